@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelgrid.llm.chat import HISTORY, STRIDE, TURN_TOKENS, chat_windows, read_back
+from reelgrid.llm.embed_dedup import embedding_groups
 from reelgrid.llm.exact_dedup import exact_groups
+from reelgrid.llm.html_extract import extract_main_text
+from reelgrid.llm.langid import predict_languages
+from reelgrid.llm.mixing import PRIME, SEEDS, mix_plan
 from reelgrid.llm.packing import pack
+from reelgrid.llm.pii import digest, personal_data
+from reelgrid.llm.sharding import shard_rows
 from reelgrid.llm.simhash import simhash_groups
 
 
@@ -16,10 +23,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -29,8 +52,34 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_rows(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(_table(spark, sf_dir, "documents"))
+
+
+ODD = r"\### Assistant: </turn> ok"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = _table(spark, sf_dir, "conversations")
+    odd = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD).alias("text"),
+    )
+    read = read_back(chat_windows(convs.select(*odd.columns).unionByName(odd)))
+    return read.select(
+        "conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.sha2(F.col("turns").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op6_simhash, op7_packing)}
+    return {f.__name__: f for f in (
+        op1_pii, op2_exact_dedup, op3_embedding_dedup, op4_main_text, op5_language, op6_simhash, op7_packing, op8_sharding, op9_mixing, op10_chat,
+    )}
 
 
 OP2_SQL = r"""
@@ -44,5 +93,40 @@ SELECT doc_id, keep_id, count(*) OVER (PARTITION BY norm) AS group_size, nth = 1
 """
 
 
+_DRAWS = [f"((base * {2 * k + 1} + {7919 * k}) % {PRIME})::DOUBLE / {PRIME}.0::DOUBLE" for k in range(SEEDS)]
+_TAKEN = [f"sum(size * (floor(rate)::BIGINT + ({u} < rate - floor(rate))::INT))" for u in _DRAWS]
+
+OP9_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 8))::BIGINT AS base
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w
+  FROM d GROUP BY source
+), p AS (
+  SELECT *, sum(source_size) OVER ()::BIGINT AS total, coalesce(sum(source_size) OVER o, 0)::BIGINT AS before, sum(w) OVER r::BIGINT AS rest
+  FROM s WINDOW o AS (ORDER BY 2.0 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                r AS (ORDER BY 2.0 * source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), l AS (
+  SELECT min_by((1.5::DOUBLE * total - (2 * before)::DOUBLE) / rest::DOUBLE, before) FILTER (WHERE
+    (2 * source_size)::DOUBLE > w * ((1.5::DOUBLE * total - (2 * before)::DOUBLE) / rest::DOUBLE)) AS level FROM p
+), t AS (
+  SELECT source, source_size, CASE WHEN level IS NULL OR (2 * source_size)::DOUBLE <= w * level THEN (2 * source_size)::DOUBLE ELSE w * level END AS target FROM s, l
+), k AS (
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate FROM t
+), e AS (
+  SELECT k.source, k.source_size, k.target, k.rate, [{", ".join(f"abs({t} - k.target)" for t in _TAKEN)}] AS off
+  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source GROUP BY k.source, k.source_size, k.target, k.rate
+), j AS (
+  SELECT d.doc_id, d.size, e.source_size, e.target, [{", ".join(_DRAWS)}] AS u, e.rate, list_position(e.off, list_min(e.off)) AS seed
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+), c AS (
+  SELECT doc_id, size, source_size, target, floor(rate)::BIGINT + (u[seed] < rate - floor(rate))::BIGINT AS copies FROM j
+)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op9_mixing": OP9_SQL}
