@@ -136,7 +136,7 @@ def _components(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, s
     n = distinct.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * MEAN_VARIANTS // VARIANTS_PER_TASK))
     links = (
-        distinct.select("fp").mapInArrow(emit_variants, "v long, fp long")
+        distinct.select("fp").repartition(parts).mapInArrow(emit_variants, "v long, fp long")
         .repartition(parts, "v").mapInArrow(meet, "u long, v long")
     )
     labels = components(scratch.put(links, "links"), scratch)
