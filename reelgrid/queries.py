@@ -341,7 +341,7 @@ def end_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT o_orderkey, o_custkey, o_totalprice, CASE o_orderstatus WHEN 'O' THEN 'north' WHEN 'F' THEN 'both' ELSE 'east' END AS ends, o_orderpriority AS pr FROM orders),
 j AS (SELECT s.*, c_custkey, c_acctbal, c_mktsegment FROM s LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) c ON o_custkey = c_custkey),
 t AS (SELECT *, CASE WHEN ends = 'east' THEN 'visible_ends' WHEN pr = '5-LOW' THEN 'number of keypoints' WHEN c_custkey IS NULL THEN 'unknown frame' WHEN c_mktsegment = 'BUILDING' THEN 'orientation'
-  WHEN pr = '4-NOT SPECIFIED' THEN 'not numeric' WHEN pr = '3-MEDIUM' THEN 'v' WHEN o_totalprice > 50000 THEN 'outside' WHEN ends = 'north' AND pr = '1-URGENT' THEN 'conflict' END AS reason FROM j)
+  WHEN o_totalprice > 50000 THEN 'outside' WHEN pr = '4-NOT SPECIFIED' THEN 'not numeric' WHEN pr = '3-MEDIUM' THEN 'v' WHEN ends = 'north' AND pr = '1-URGENT' THEN 'conflict' END AS reason FROM j)
 SELECT o_orderkey, CASE reason WHEN 'unknown frame' THEN 404 WHEN 'orientation' THEN 409 WHEN 'conflict' THEN 422 ELSE CASE WHEN reason IS NULL THEN 200 ELSE 400 END END AS code, reason,
   CASE reason WHEN 'not numeric' THEN 2 WHEN 'v' THEN 3 WHEN 'outside' THEN 1 ELSE 0 END AS position FROM t""")
 def validation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
