@@ -65,13 +65,12 @@ def list_videos(spark: SparkSession, folder: str, clip: str | None = None) -> Da
 
 def read_records(spark: SparkSession, run_dir: str) -> tuple[DataFrame, DataFrame]:
     """records (with run_id and segment_index from the path) and torn lines (value, segment_index) of records/seg_*.jsonl."""
-    ddl = f"{schemas.RECORD}, _corrupt_record string"
-    raw = spark.read.schema(ddl).option("columnNameOfCorruptRecord", "_corrupt_record").json(posixpath.join(run_dir, "records", "seg_*.jsonl"))
-    segment = F.regexp_extract("_metadata.file_path", r"seg_(\d+)\.jsonl", 1).cast("int")
-    raw = raw.withColumns({"run_id": F.regexp_extract("_metadata.file_path", r"([^/]+)/records/[^/]+$", 1), "segment_index": segment})
-    parsed = F.from_json("value", ddl, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    lines = spark.read.text(posixpath.join(run_dir, "records", "seg_*.jsonl")).select("value", segment.alias("segment_index"), parsed["_corrupt_record"].alias("_torn"))
-    return raw.where("_corrupt_record is null").drop("_corrupt_record"), lines.where("_torn is not null").drop("_torn")
+    ddl = f"{schemas.RECORD}, _torn string"
+    lines = spark.read.text(posixpath.join(run_dir, "records", "seg_*.jsonl")).select(
+        "value", F.from_json("value", ddl, {"columnNameOfCorruptRecord": "_torn"}).alias("r"),
+        F.regexp_extract("_metadata.file_path", r"([^/]+)/records/[^/]+$", 1).alias("run_id"), F.regexp_extract("_metadata.file_path", r"seg_(\d+)\.jsonl", 1).cast("int").alias("segment_index"),
+    )
+    return lines.where("r._torn is null").select("r.*", "run_id", "segment_index").drop("_torn"), lines.where("r._torn is not null").select("value", "segment_index")
 
 
 def read_run_manifest(spark: SparkSession, run_dir: str) -> DataFrame | None:

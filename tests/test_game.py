@@ -93,7 +93,7 @@ def test_whole_run(spark, tmp_path):
     p = lines[0]["players"][0]
     assert p["foot_px"] == [15.0, 60.0] and len(p["court_ft"]) == 2 and set(lines[1]) == {"frame_index", "timestamp_s", "shot_id", "scene_cut", "court", "players", "ball", "error"} and lines[1]["ball"] is None
     assert lines[0]["court"]["visible_keypoints"] == 8 and len(lines[0]["court"]["used_keypoint_ids"]) == 8 and lines[0]["court"]["keypoints"] is None
-    (tmp_path / "clip.nba" / "records" / "seg_00002.jsonl").open("a").write('{"frame_index": 1')
+    (tmp_path / "clip.nba" / "records" / "seg_00003.jsonl").write_text('{"frame_index": 1')
     good, torn = readers.read_records(spark, str(tmp_path / "clip.nba"))
     assert good.count() == 12 and torn.count() == 1 and good.first().run_id == "clip.nba"
 
