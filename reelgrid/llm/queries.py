@@ -128,5 +128,54 @@ SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
 """
 
 
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93
+), r AS (
+  SELECT vec_id, vec_id AS c FROM v UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.vec_id
+), m AS (
+  SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id
+), n AS (
+  SELECT x, count(*) AS n FROM l GROUP BY x
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN n ON x = vec_id
+"""
+
+OP10_SQL = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, * FROM (VALUES (0::BIGINT, 'user', '{ODD}'), (1::BIGINT, 'assistant', '{ODD}'))
+), t AS (
+  SELECT *, row_number() OVER w AS k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + {TURN_TOKENS} AS tokens,
+    length(role) + length(regexp_replace(role, '[^\\<>]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<]', '', 'g')) + length('<turn >') + 1 + 1 + length('</turn>') + 1 AS chars
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)
+), s AS (
+  SELECT *, k = 1 AND role = 'system' AS sys, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM t
+), p AS (
+  SELECT *, CASE WHEN sys THEN 0 ELSE start // {STRIDE} END AS w FROM s
+), u AS (
+  SELECT conv_id, w, min(start) FILTER (WHERE NOT sys) AS first FROM p GROUP BY conv_id, w
+), n AS (
+  SELECT *, lead(first) OVER (PARTITION BY conv_id ORDER BY w) AS next_first FROM u
+), h AS (
+  SELECT p.conv_id, sum(chars) AS again FROM p JOIN n ON p.conv_id IS NOT DISTINCT FROM n.conv_id AND p.w = n.w
+  WHERE NOT sys AND next_first - start <= {HISTORY} GROUP BY p.conv_id
+), y AS (
+  SELECT p.conv_id, sum(chars) AS again FROM p JOIN n ON p.conv_id IS NOT DISTINCT FROM n.conv_id AND n.w > 0 WHERE sys GROUP BY p.conv_id
+), a AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS turns,
+    coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS chars FROM p GROUP BY conv_id
+)
+SELECT a.conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  (chars + coalesce(h.again, 0) + coalesce(y.again, 0))::BIGINT AS formatted_chars
+FROM a LEFT JOIN h ON a.conv_id IS NOT DISTINCT FROM h.conv_id LEFT JOIN y ON a.conv_id IS NOT DISTINCT FROM y.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op9_mixing": OP9_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op9_mixing": OP9_SQL, "op10_chat": OP10_SQL}

@@ -37,11 +37,13 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: monotonically_increasing_id() has the partition above these bits and the row below.
-ROW_BITS = 33
+#: Rows of one block; no block spans two partitions.
+BLOCK_BITS = 16
 
 
 def numbered(df: DataFrame, part: str = "_part", row: str = "_row") -> DataFrame:
-    """Adds the partition and the row within it. Write the result before use: a rerun under another partitioning numbers differently."""
+    """Adds a block number, which grows with the partition and within it, and the row within the block.
+
+    Write the result before use: a rerun under another partitioning numbers differently."""
     uid = F.monotonically_increasing_id()
-    return df.withColumns({part: F.shiftright(uid, ROW_BITS), row: uid.bitwiseAND((1 << ROW_BITS) - 1)})
+    return df.withColumns({part: F.shiftright(uid, BLOCK_BITS), row: uid.bitwiseAND((1 << BLOCK_BITS) - 1)})

@@ -18,8 +18,8 @@ from reelgrid.llm.scratch import Scratch, numbered
 
 SHARDS = 8
 ROUNDS = 6
-#: A hub holds at most this share of a shard, about.
-HUB_SHARE = 0.25
+#: A hub holds at most this share of a shard and this many rows, about.
+HUB_SHARE, HUB_ROWS = 0.25, 50_000
 
 
 def _text(text_col: str) -> Column:
@@ -106,7 +106,7 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = scratch.put(base.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1"), "groups")
     start = F.pmod(F.col("_row") + F.col("_part") * 3, F.lit(shards)).cast("int")
     nodes = base.join(groups, "key", "left").withColumn("shard", start)
-    hubs = F.ceil(F.col("cnt") / F.lit(max(1.0, quota * HUB_SHARE)))
+    hubs = F.ceil(F.col("cnt") / F.lit(max(1.0, min(quota * HUB_SHARE, HUB_ROWS))))
     hub = F.when(F.col("cnt") > 1, F.concat_ws(":", "key", F.pmod(F.xxhash64("_part", "_row"), hubs).cast("string")))
     nodes = scratch.put(nodes.select("id", "size", "crc", "shard", hub.alias("hub")), "nodes")
     linked = nodes.where("hub is not null")
