@@ -32,114 +32,160 @@ CLOSES_P = frozenset(
 )
 SCOPES = frozenset("article aside body div footer form header html main nav section table td th ul ol".split())
 #: Elements that are never the article.
-BOILER_TAGS = frozenset("nav footer aside form button head menu dialog fieldset".split())
+BOILER_TAGS = frozenset("nav footer aside button head menu dialog fieldset".split())
+#: Words that rule out only what stands outside an article.
+OUTSIDE_WORDS = frozenset("header masthead".split())
 #: Words in class, id or role that say the same.
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disclaimer disqus "
-    "footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay paywall popup promo promoted promotion recommended "
+    "footer gdpr menu menubar modal nav navbar navigation newsletter notice notices notification overlay paywall popup promo promoted promotion recommended "
     "related respond share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets "
     "alert contentinfo complementary search pagination pager replies reply login".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,2048}+)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 HEADING = re.compile(r"h[1-6]$")
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？；、]")
 SPACE = re.compile(r"\s+")
 
 
-def _says_boiler(tag: str, attributes: str, inside_article: bool) -> bool:
+def _words(value: str) -> set[str]:
+    return set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
+
+
+def _marked(tag: str, attributes: str, inside_article: bool) -> int:
+    """2: never the article; 1: not the article, unless one stands inside (a form around a page); 0: nothing said."""
     if tag in BOILER_TAGS or (tag == "header" and not inside_article):
-        return True
-    if not attributes or "=" not in attributes:
-        return "hidden" in attributes.split()
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id", "role", "aria-label", "data-role", "itemprop"):
-            if not BOILER_WORDS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower())):
-                return tag not in ("html", "body", "main", "article")
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "aria-hidden" and value == "true":
-            return True
-    return False
+        return 2
+    if "=" in attributes:
+        for m in ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name in ("class", "id", "role", "aria-label", "data-role", "itemprop"):
+                words = _words(value)
+                if tag not in ("html", "body", "main", "article") and not (BOILER_WORDS.isdisjoint(words) and (inside_article or OUTSIDE_WORDS.isdisjoint(words))):
+                    return 2
+            elif (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower())) or (name == "aria-hidden" and value.lower() == "true"):
+                return 2
+    if "hidden" in re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes).lower().split():
+        return 2
+    return 1 if tag == "form" else 0
+
+
+def _label(tag: str, attributes: str) -> str:
+    """A tag's part of a path; containers that say nothing by their tag alone carry their first class."""
+    if tag in ("div", "section", "td", "ul", "ol") and attributes and (m := re.search(r"class\s*=\s*[\"']?\s*([\w-]+)", attributes)):
+        return f"{tag}.{m[1]}"
+    return tag
+
+
+#: Elements beyond this depth share their ancestor's path.
+PATH_DEPTH = 64
+
+
+class _Node:
+    __slots__ = ("tag", "mark", "path", "inside")
+
+    def __init__(self, tag: str, mark: int, label: str, above: _Node | None):
+        self.tag, self.mark = tag, mark
+        self.path = above.path if above else ()
+        if tag not in INLINE and len(self.path) < PATH_DEPTH:
+            self.path += (label,)
+        self.inside = tag in ("article", "main") or bool(above and above.inside)
+
+
+def _last(stack: list[_Node], tags: tuple[str, ...], stop: frozenset[str] = frozenset()) -> int:
+    """Place of the innermost open element of these tags, not looking beyond an element of stop; -1: none."""
+    for i in range(len(stack) - 1, -1, -1):
+        if stack[i].tag in tags:
+            return i
+        if stack[i].tag in stop:
+            break
+    return -1
+
+
+#: What a start tag of these closes, if it is open in the same scope; other block tags close p.
+IMPLIED_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CELL_SCOPES = SCOPES - {"td", "th"}
 
 
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
     """(path of block elements, text with single spaces, ruled out), in page order."""
-    stack: list[tuple[str, bool]] = []
+    stack: list[_Node] = []
+    opened: dict[str, int] = defaultdict(int)
     held: list[str] = []
     path: tuple[str, ...] = ()
-    at = 0
+    at, size = 0, len(page)
 
-    def flush():
+    def mark() -> int:
+        return stack[-1].mark if stack else 0
+
+    def flush() -> list[tuple[tuple[str, ...], str, bool]]:
         text = SPACE.sub(" ", "".join(held)).strip()
         held.clear()
-        return text
+        return [(path, text, mark() > 0)] if text else []
+
+    def current() -> tuple[str, ...]:
+        return stack[-1].path if stack else ()
+
+    def cut(k: int) -> None:
+        for n in stack[k:]:
+            opened[n.tag] -= 1
+        del stack[k:]
+
+    def find(tags: tuple[str, ...], stop: frozenset[str] = frozenset()) -> int:
+        return _last(stack, tags, stop) if any(opened[t] for t in tags) else -1
 
-    size = len(page)
     while at < size:
         m = TOKEN.match(page, at)
         at = m.end()
-        tag = m[2]
-        if tag is None:
+        if m[2] is None:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
                 held.append(_html.unescape(piece) if "&" in piece else piece)
             continue
-        tag = tag.lower()
+        tag, attributes = m[2].lower(), m[3] or ""
+        closed = attributes.rstrip().endswith("/")
         if m[1]:
+            k = find((tag,))
             if tag in INLINE:
-                if stack and any(t == tag for t, _ in stack):
-                    flag = stack[-1][1]
-                    k = max(i for i, (t, _) in enumerate(stack) if t == tag)
-                    if all(t in INLINE for t, _ in stack[k:]):
-                        if flag != (stack[k - 1][1] if k else False) and (text := flush()):
-                            yield path, text, flag
-                        del stack[k:]
+                if k >= 0 and all(n.tag in INLINE for n in stack[k:]):
+                    if mark() != (stack[k - 1].mark if k else 0):
+                        yield from flush()
+                    cut(k)
                 continue
-            open_at = max((i for i, (t, _) in enumerate(stack) if t == tag), default=-1)
-            if open_at >= 0:
-                if text := flush():
-                    yield path, text, stack[-1][1]
-                del stack[open_at:]
-            elif tag == "p" and (text := flush()):
-                yield path, text, bool(stack and stack[-1][1])
-            path = tuple(t for t, _ in stack if t not in INLINE)
+            if k >= 0 or tag == "p":
+                yield from flush()
+            if k >= 0:
+                cut(k)
+            path = current()
             continue
-        attributes = m[3] or ""
-        if tag in RAW and not attributes.rstrip().endswith("/"):
+        if tag in RAW and not closed:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
-            if tag not in ("svg", "math"):
-                held.append(" ")
+            held.append(" ")
             continue
         if tag == "br":
             held.append(" ")
             continue
-        flagged = bool(stack and stack[-1][1])
-        own = flagged or _says_boiler(tag, attributes, any(t in ("article", "main") for t, _ in stack))
-        if tag in INLINE:
-            if tag not in VOID and not attributes.rstrip().endswith("/"):
-                if own != flagged and (text := flush()):
-                    yield path, text, flagged
-                stack.append((tag, own))
-            continue
-        if text := flush():
-            yield path, text, flagged
-        if tag in VOID:
+        if tag not in INLINE:
+            yield from flush()
+            ends = IMPLIED_ENDS.get(tag, ("p",) if tag in CLOSES_P else ())
+            k = find(ends, CELL_SCOPES if tag in ("tr", "td", "th") else SCOPES) if ends else -1
+            if k >= 0:
+                cut(k)
+        own = max(mark(), _marked(tag, attributes, bool(stack and stack[-1].inside)))
+        if tag in ("article", "main") and own == 1:
+            own = 0
+        if tag in VOID or closed:
+            path = current()
             continue
-        if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ("p",))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    own = bool(i and stack[i - 1][1]) or _says_boiler(tag, attributes, any(t in ("article", "main") for t, _ in stack[:i]))
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPES:
-                    break
-        if not attributes.rstrip().endswith("/"):
-            stack.append((tag, own))
-        path = tuple(t for t, _ in stack if t not in INLINE)
-    if text := flush():
-        yield path, text, bool(stack and stack[-1][1])
+        if tag in INLINE and own != mark():
+            yield from flush()
+        stack.append(_Node(tag, own, _label(tag, attributes), stack[-1] if stack else None))
+        opened[tag] += 1
+        if tag not in INLINE:
+            path = current()
+    yield from flush()
 
 
 def _smooth(values: list[float], width: int = 2) -> list[float]:
