@@ -238,3 +238,11 @@ def sticky_ends(events: DataFrame) -> DataFrame:
 def trained_splits(listing: DataFrame) -> DataFrame:
     """listing (frame_id, split): one row per frame; val wins over train."""
     return listing.groupBy("frame_id").agg(F.max_by("split", F.when(F.col("split") == "val", 1).otherwise(0)).alias("trained_split"))
+
+
+def trained_progress(frames: DataFrame, trained: DataFrame) -> DataFrame:
+    """Per clip: frames that are to be kept, labeled ones among them, and ones that a model was trained on."""
+    t = trained.select("frame_id", F.lit(True).alias("_t"))
+    return frames.join(t, "frame_id", "left").groupBy("clip_id").agg(
+        F.count_if(triage_of() == "keep").alias("kept"), F.count_if(F.col("label_status") == "labeled").alias("labeled"), F.count_if(F.col("_t").isNotNull()).alias("trained"),
+    )

@@ -40,3 +40,13 @@ def with_model(frames: DataFrame, build: Callable[[], Callable[[pd.DataFrame], l
             yield done
 
     return frames.mapInPandas(run, ", ".join([*fields, f"`{out}` {out_type}", "error string"]))
+
+
+class IncompatibleModel(ValueError):
+    pass
+
+
+def check_model_points(shape: tuple[int, ...] | None, expected: int) -> None:
+    """A model may prefill labels only if it was trained on as many keypoints as the schema has."""
+    if not shape or int(shape[0]) != expected:
+        raise IncompatibleModel(f"the model has keypoint shape {shape}, the schema {expected} keypoints")

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -54,6 +54,11 @@ def segment_stream(frames: DataFrame, threshold: float = SCENE_THRESHOLD, segmen
     return frames.groupBy("run_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def frame_files(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 8) -> DataFrame:
+    """Frames that arrive as JSON files, a bounded number of files a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
+
+
 def write_segments(stream: DataFrame, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Each micro-batch lands in its own partition of folder (batch_id), which a rerun replaces."""
 

@@ -14,9 +14,10 @@ from reelgrid.operators import shots as O
 from reelgrid.operators.homography import solve, with_homography
 from reelgrid.operators.tracking import Tracker, assign
 from reelgrid.plans import game
-from reelgrid.plans.inference import with_model
+from reelgrid.plans.inference import IncompatibleModel, check_model_points, with_model
 from reelgrid.sources import readers
-from reelgrid.streaming.runner import segment_stream, write_segments
+from reelgrid.sources.video import VideoFrames
+from reelgrid.streaming.runner import frame_files, segment_stream, write_segments
 
 ROOT = pathlib.Path(__file__).resolve().parents[1]
 
@@ -169,13 +170,25 @@ def test_streaming(spark, tmp_path):
     whole = clip(spark, n=12, cut_at=6, failing=(3,)).select(*cols)
     for lo, hi in ((0, 5), (5, 12)):
         whole.where(f"frame_index >= {lo} and frame_index < {hi}").coalesce(1).write.mode("append").json(src)
-        stream = spark.readStream.schema(ddl).json(src)
+        stream = frame_files(spark, src, ddl)
         write_segments(segment_stream(stream, segment_frames=5), out, check).awaitTermination()
     rows = spark.read.parquet(out).orderBy("frame_index").collect()
     assert [r.frame_index for r in rows] == list(range(12)) and [r.shot_id for r in rows] == [0] * 6 + [1] * 6
     assert [r.segment_index for r in rows] == [i // 5 for i in range(12)] and [r.error_run for r in rows] == [int(i == 3) for i in range(12)] and [r.scene_cut for r in rows] == [i in (0, 6) for i in range(12)]
 
 
+def test_video_source(spark):
+    spark.dataSource.register(VideoFrames)
+    read = lambda **o: [(r.frame_index, r.timestamp_s) for r in spark.read.format("video_frames").options(**{k: str(v) for k, v in o.items()}).load().orderBy("frame_index").collect()]
+    assert [i for i, _ in read(frame_count=20, fps=30, stride=3, start_index=6)] == [6, 9, 12, 15, 18]
+    assert read(frame_count=20, fps="nan", stride=3, start_index=5, max_frames=2, frames_per_task=4) == [(6, 0.2), (9, 0.3)]
+    with pytest.raises(Exception, match="stride"):
+        read(frame_count=20, stride=0)
+    check_model_points((22, 3), 22)
+    with pytest.raises(IncompatibleModel):
+        check_model_points((18, 3), 22)
+
+
 def test_nothing_else_imports_the_training_data_operators():
     for path in (ROOT / "reelgrid").rglob("*.py"):
         if "llm" in path.parts:
