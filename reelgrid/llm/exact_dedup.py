@@ -90,13 +90,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeat id and text one stays (which one's other columns is not defined)."""
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     decided = scratch.put(_decided(docs, scratch, id_col, text_col, F.xxhash64).select("id", "n", "text_sha256", "kept"), "decided")
-    kept = decided.where("kept").select(F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("text_sha256").alias("_sha"))
+    kept = decided.where("kept").select(F.col("id").alias("kept_id"), F.col("n").alias("kept_n"), F.col("text_sha256").alias("kept_sha"))
     text = F.col(text_col)
-    mine = docs.withColumns({
-        "_own_id": F.col(id_col), "_own_n": F.char_length(F.coalesce(text, F.lit(""))), "_own_sha": F.sha2(normalised(text).cast("binary"), 256),
-    })
-    out = mine.join(kept, F.col("_own_sha").eqNullSafe(F.col("_sha")) & F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_n") == F.col("_n")), "left_semi")
+    mine = docs.select(
+        F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.char_length(F.coalesce(text, F.lit(""))).alias("n"), F.sha2(normalised(text).cast("binary"), 256).alias("sha"),
+    )
+    out = mine.join(kept, F.col("sha").eqNullSafe(F.col("kept_sha")) & F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("n") == F.col("kept_n")), "left_semi")
     repeated = decided.groupBy("id", "n", "text_sha256").agg(F.count(F.lit(1)).alias("c"), F.max("kept").alias("kept")).where("c > 1 and kept")
     if not repeated.isEmpty():
-        out = out.dropDuplicates(["_own_id", "_own_n", "_own_sha"])
-    return out.drop("_own_id", "_own_n", "_own_sha")
+        out = out.dropDuplicates(["id", "n", "sha"])
+    return out.select("doc.*")

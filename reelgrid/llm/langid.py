@@ -172,7 +172,7 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of docs and a struct `_lang` (pred, score, rejected)."""
+    """The rows as struct `doc`, and a struct `lang` (pred, score, rejected)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 2^15 buckets x languages
 
@@ -182,7 +182,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         for texts in batches:
             yield pd.DataFrame([predict(shared.value, words, t) for t in texts], columns=["pred", "score", "rejected"])
 
-    return docs.withColumn("_lang", apply(F.col(text_col)))
+    return docs.select(F.struct("*").alias("doc"), apply(F.col(text_col)).alias("lang"))
 
 
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -193,13 +193,13 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     labelled row everything is und. Other columns are not read.
     """
     model = train(*training_sample(docs, id_col, text_col, lang_col))
-    plain = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("_text"))
-    return with_language(plain, model, "_text").select(
-        id_col, "held_out", F.col("_lang.pred").alias("lang_pred"), F.col("_lang.score").alias("score"), F.col("_lang.rejected").alias("rejected"),
+    plain = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    return with_language(plain, model).select(
+        F.col("doc.id").alias(id_col), "doc.held_out", F.col("lang.pred").alias("lang_pred"), F.col("lang.score").alias("score"), F.col("lang.rejected").alias("rejected"),
     )
 
 
 def accepted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents whose prediction is not rejected, with all their columns unchanged."""
     model = train(*training_sample(docs, id_col, text_col, lang_col))
-    return with_language(docs, model, text_col).where(~F.col("_lang.rejected")).drop("_lang")
+    return with_language(docs, model, text_col).where(~F.col("lang.rejected")).select("doc.*")

@@ -260,14 +260,15 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def masked(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Unique ids only: docs with every found span replaced by its kind in square brackets."""
-    spans = found.select(F.col(id_col).alias("_id"), "found")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    spans = found.select(F.col(id_col).alias("found_id"), "found")
+    mine = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     ends = F.transform("found", lambda s: s["end"])
-    out = F.concat(
-        F.concat_ws("", F.transform("found", lambda s, i: F.concat(
-            F.substr(text, F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)).cast("int") + 1, (s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))).cast("int")),
-            F.lit("["), s["kind"], F.lit("]"),
-        ))),
-        F.substr(text, F.coalesce(F.array_max(ends), F.lit(0)).cast("int") + 1),
-    )
-    return docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")), "left").withColumn(text_col, F.when(F.size("found") > 0, out).otherwise(F.col(text_col))).drop("_id", "found")
+
+    def piece(s: Column, i: Column) -> Column:
+        begin = F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)).cast("int")
+        return F.concat(F.substr(F.col("t"), begin + 1, (s["start"] - begin).cast("int")), F.lit("["), s["kind"], F.lit("]"))
+
+    out = F.concat(F.concat_ws("", F.transform("found", piece)), F.substr(F.col("t"), F.coalesce(F.array_max(ends), F.lit(0)).cast("int") + 1))
+    joined = mine.join(spans, F.col("own_id").eqNullSafe(F.col("found_id")), "left")
+    text = F.when(F.size("found") > 0, out).otherwise(F.col(f"doc.{text_col}"))
+    return joined.select(F.col("doc").withField(text_col, text).alias("doc")).select("doc.*")

@@ -166,9 +166,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     last), then of smallest text hash. Of rows that repeat id and text one stays."""
     scratch = Scratch(docs.sparkSession, "simhash")
     rows, groups = _components(docs, scratch, id_col, text_col, shingle)
-    kept = scratch.put(groups.select(F.col("low").alias("_id"), F.col("low_thash").alias("_thash")).distinct(), "kept")
-    mine = docs.withColumns({"_own_id": F.col(id_col), "_own_thash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    out = mine.join(kept, F.col("_own_thash").eqNullSafe(F.col("_thash")) & F.col("_own_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = scratch.put(groups.select(F.col("low").alias("kept_id"), F.col("low_thash").alias("kept_hash")).distinct(), "kept")
+    mine = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    out = mine.join(kept, F.col("hash").eqNullSafe(F.col("kept_hash")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
     if not rows.groupBy("id", "thash").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["_own_id", "_own_thash"])
-    return out.drop("_own_id", "_own_thash")
+        out = out.dropDuplicates(["id", "hash"])
+    return out.select("doc.*")
