@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,9 +13,11 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("reelgrid.scratch.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("reelgrid.scratch.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='reelgrid-')}"
+        own = tempfile.mkdtemp(prefix="reelgrid-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
         spark.conf.set("reelgrid.scratch.dir", root)
     return root.rstrip("/")
 
