@@ -181,3 +181,12 @@ def report_summary(rows: DataFrame) -> DataFrame:
 def inspect_first(frames: DataFrame) -> DataFrame:
     """The first frame that has keypoints."""
     return frames.where(F.size("keypoints") > 0).orderBy("frame_index").limit(1)
+
+
+def write_report(rows: DataFrame, folder: str, header: dict) -> dict:
+    """frames as JSON lines beside report.json, which holds the header and the summary of one run."""
+    rows.write.mode("overwrite").json(posixpath.join(folder, "frames"))
+    counted = report_summary(rows).drop("run_id").first()
+    data = header | (counted.asDict() if counted else {"frames_processed": 0, "with_homography": 0})
+    sinks.save_json(rows.sparkSession, posixpath.join(folder, "report.json"), data)
+    return data

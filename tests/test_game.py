@@ -128,8 +128,10 @@ def test_record_rounding(spark):
     assert (p.players[0].bbox, p.players[0].conf, p.players[0].foot_px) == ([10.1, 20.2, 30.3, 40.4], 0.8346, [20.2, 40.4]) and len(p.court.keypoints) == 22 and len(p.court.homography) == 3
 
 
-def test_report_and_profiles(spark):
+def test_report_and_profiles(spark, tmp_path):
     rows = game.report(clip(spark), NBA)
+    assert game.write_report(rows, str(tmp_path / "rep"), {"video": "v"}) == {"video": "v", "frames_processed": 12, "with_homography": 12}
+    assert spark.read.json(str(tmp_path / "rep" / "frames")).count() == 12
     assert tuple(game.report_summary(rows).first())[1:] == (12, 12) and len(rows.first().players) == 3 and game.inspect_first(clip(spark)).first().frame_index == 0
     assert game.profile("hs", template=None).template == "nfhs_84x50" and game.profile("nba", template="nfhs_84x50").template == "nfhs_84x50"
     with pytest.raises(KeyError):
