@@ -59,6 +59,9 @@ def solve(src: np.ndarray, dst: np.ndarray, threshold: float = THRESHOLD_FEET) -
     n = len(src)
     if n < LEAST_POINTS:
         return None
+    whole = fit(src, dst)
+    if whole is not None and bool((((_apply(whole, src) - dst) ** 2).sum(1) <= threshold**2).all()):
+        return whole  # no sample can hold more points
     rng = np.random.default_rng(0)
     samples = combinations(range(n), 4) if n <= 9 else (rng.choice(n, 4, replace=False) for _ in range(TRIALS))
     best, most, least = None, 0, np.inf
