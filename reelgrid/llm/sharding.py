@@ -1,16 +1,22 @@
 """Sharding by balanced label propagation, in DataFrame functions only.
 
-Documents of one key (equal texts by default) are linked through hubs, not in pairs. All
-rows begin dealt out evenly; then each hub's documents move to the shard that holds most
-of them, as long as the shard has room or gives up as many itself. A group larger than a
-fraction of a shard has several hubs. At last shards that hold too many rows hand over
-unlinked documents first, until the counts are at most one apart.
-
-State is one row per hub and shard; only sums per shard come to the driver.
+Documents of one key (equal texts by default) are linked through one hub, not in pairs. Hubs
+of a good part of a shard are placed first, largest first, each whole where a shard has room
+for it; only others are split, into as few parts as that gives. The other rows begin dealt
+out evenly; then each hub's documents move to the shard that holds most of them, as long as
+the shard has room or gives up as many itself. Hubs that this leaves apart, or in a shard
+beyond its room, fill whatever room the shards have. At last shards that hold too many rows
+hand over unlinked documents, until the counts are at most one apart.
+
+State is one row per hub and shard; only sums per shard and the large hubs, of which there
+are at most shards / LARGE_SHARE, come to the driver.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +24,8 @@ from reelgrid.llm.scratch import Scratch, numbered
 
 SHARDS = 8
 ROUNDS = 6
-#: A hub holds at most this share of a shard and this many rows, about.
-HUB_SHARE, HUB_ROWS = 0.25, 50_000
+#: A hub of more than this share of a shard is placed by itself.
+LARGE_SHARE = 1 / 64
 
 
 def _text(text_col: str) -> Column:
@@ -32,15 +38,33 @@ def _offsets(counts: DataFrame, by: list[str]) -> DataFrame:
     return counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
 
 
-def _ranked(rows: DataFrame, by: list[str], scratch: Scratch, name: str, to: str) -> DataFrame:
-    """Adds `to`: a gapless position from 0 among the rows of a group, from partition totals and local row numbers."""
-    counts = scratch.put(_offsets(rows.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("n")), by).drop("n"), name)
-    local = F.row_number().over(Window.partitionBy("_part", *by).orderBy("_row"))
-    return rows.withColumn("_local", local).join(counts, ["_part", *by]).withColumn(to, F.col("before") + F.col("_local") - 1).drop("before", "_local")
-
-
-def _propagate(state: DataFrame, scratch: Scratch, shards: int, quota: float, rounds: int) -> DataFrame:
-    """state (hub, shard, n) -> the same after the moves."""
+def _ranked(rows: DataFrame, by: list[str], scratch: Scratch, name: str, to: str, weight: str | None = None) -> DataFrame:
+    """Adds `to`: the weight of the rows before in a group (a gapless position from 0), from partition totals and local sums."""
+    weight = F.col(weight) if weight else F.lit(1)
+    counts = scratch.put(_offsets(rows.groupBy("_part", *by).agg(F.sum(weight).alias("n")), by).drop("n"), name)
+    local = F.sum(weight).over(Window.partitionBy("_part", *by).orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_local", local - weight).join(counts, ["_part", *by]).withColumn(to, F.col("before") + F.col("_local")).drop("before", "_local")
+
+
+def _place(hubs: list[tuple[str, int]], room: dict[int, int]) -> list[tuple[str, int, int, int]]:
+    """(hub, rows) -> (hub, shard, first row, end), largest first, each where it fits best; one that fits nowhere fills the emptiest shard, and its rest goes on. Takes from room."""
+    todo, begin, out = [(-n, hub) for hub, n in hubs], Counter(), []
+    heapq.heapify(todo)
+    while todo:
+        n, hub = heapq.heappop(todo)
+        fits = [s for s in room if room[s] >= -n]
+        to = min(fits, key=lambda s: (room[s], s)) if fits else max(room, key=lambda s: (room[s], -s))
+        take = min(-n, room[to])
+        out.append((hub, to, begin[hub], begin[hub] + take))
+        begin[hub] += take
+        room[to] -= take
+        if take < -n:
+            heapq.heappush(todo, (n + take, hub))
+    return out
+
+
+def _propagate(state: DataFrame, scratch: Scratch, room: dict[int, int], rounds: int) -> DataFrame:
+    """state (hub, shard, n) -> the same after the moves; room: rows that each shard can take."""
     for k in range(rounds):
         best = Window.partitionBy("hub").orderBy(F.desc("n"), F.xxhash64("hub", "shard"))
         all_of = Window.partitionBy("hub")
@@ -52,7 +76,7 @@ def _propagate(state: DataFrame, scratch: Scratch, shards: int, quota: float, ro
         )).alias("x")).groupBy("x.s").agg(F.sum("x.load").alias("load"), F.sum("x.leave").alias("leave"), F.sum("x.come").alias("come")).collect()
         if not any(r["come"] for r in sums):
             break
-        share = {r["s"]: min(1.0, max(0.0, quota - r["load"] + r["leave"]) / r["come"]) if r["come"] else 1.0 for r in sums}
+        share = {r["s"]: min(1.0, max(0.0, room[r["s"]] - r["load"] + r["leave"]) / r["come"]) if r["come"] else 1.0 for r in sums}
         allowed = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("to")]
         goes = F.pmod(F.xxhash64("hub", F.lit(k)), F.lit(1 << 20)) / F.lit(float(1 << 20)) < allowed
         after = seen.withColumn("shard", F.when(goes, F.col("to")).otherwise(F.col("shard"))).groupBy("hub", "shard").agg(F.sum("n").alias("n"))
@@ -60,6 +84,33 @@ def _propagate(state: DataFrame, scratch: Scratch, shards: int, quota: float, ro
     return state
 
 
+def _settle(state: DataFrame, scratch: Scratch, room: dict[int, int]) -> tuple[DataFrame, list[tuple[str, int, int, int]]]:
+    """(hub, to) of the hubs that lie whole within the room, and pieces of the few, less than shards, at its seams. Takes from room."""
+    size = F.sum("n").alias("size")
+    hubs = scratch.put(numbered(state.groupBy("hub").agg(size, F.min("shard").alias("at"), (F.count(F.lit(1)) == 1).alias("one"))), "hubs")
+    ends = F.col("begin") + F.col("size")
+
+    def taken(rows: DataFrame) -> None:
+        for r in rows.where("to is not null").groupBy("to").agg(F.sum("size").alias("n")).collect():
+            room[r["to"]] -= r["n"]
+
+    fits = F.lit(None).cast("int")
+    for s, free in room.items():
+        fits = F.when(F.col("one") & (F.col("at") == s) & (ends <= free), F.lit(s)).otherwise(fits)
+    kept = _ranked(hubs, ["at", "one"], scratch, "hub-offsets", "begin", "size").withColumn("to", fits)
+    kept = scratch.put(kept.select("hub", "size", "_part", "_row", F.lit(0).alias("line"), "to"), "kept")
+    taken(kept)
+    lo, fits = 0, F.lit(None).cast("int")
+    for s, free in room.items():
+        fits = F.when((F.col("begin") >= lo) & (ends <= lo + free), F.lit(s)).otherwise(fits)
+        lo += free
+    loose = _ranked(kept.where("to is null").drop("to"), ["line"], scratch, "loose-offsets", "begin", "size").withColumn("to", fits)
+    loose = scratch.put(loose.select("hub", "size", "to"), "loose")
+    taken(loose)
+    rest = _place([(r["hub"], r["size"]) for r in loose.where("to is null").collect()], room)
+    return kept.select("hub", "to").union(loose.select("hub", "to")).where("to is not null"), rest
+
+
 def _even_out(rows: DataFrame, scratch: Scratch, shards: int, n: int) -> DataFrame:
     """Moves as few rows as needed, unlinked ones first, so that counts are at most one apart."""
     have = {s: [0, 0] for s in range(shards)}
@@ -102,21 +153,32 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), key.alias("key"),
     )), "base")
     n = base.count()
-    quota = max(1.0, n / shards)
+    room = {s: n // shards + (s < n % shards) for s in range(shards)}
     groups = scratch.put(base.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1"), "groups")
+    large = F.col("cnt") > n / shards * LARGE_SHARE
+    pieces = _place([(r["key"], r["cnt"]) for r in groups.where(large).collect()], room)
     start = F.pmod(F.col("_row") + F.col("_part") * 3, F.lit(shards)).cast("int")
     nodes = base.join(groups, "key", "left").withColumn("shard", start)
-    hubs = F.ceil(F.col("cnt") / F.lit(max(1.0, min(quota * HUB_SHARE, HUB_ROWS))))
-    hub = F.when(F.col("cnt") > 1, F.concat_ws(":", "key", F.pmod(F.xxhash64("_part", "_row"), hubs).cast("string")))
-    nodes = scratch.put(nodes.select("id", "size", "crc", "shard", hub.alias("hub")), "nodes")
+    hub = F.when(F.col("cnt") > 1, F.col("key"))
+    nodes = scratch.put(nodes.select("id", "size", "crc", "_part", "_row", "shard", "cnt", hub.alias("hub")), "nodes")
     linked = nodes.where("hub is not null")
-    state = scratch.put(linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n")), "state-0")
-    state = _propagate(state, scratch, shards, quota, rounds)
-    settled = scratch.put(
-        state.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.min("shard").alias("to")).where("k = 1").select("hub", "to"), "settled",
-    )
-    moved = linked.join(settled, "hub", "left").select("id", "size", "crc", F.coalesce("to", "shard").alias("shard"), F.lit(1).alias("linked"))
-    placed = scratch.put(numbered(moved.union(nodes.where("hub is null").select("id", "size", "crc", "shard", F.lit(0).alias("linked")))), "placed")
+    state = scratch.put(linked.where(~large).groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n")), "state-0")
+    state = _propagate(state, scratch, room, rounds)
+    settled, rest = _settle(state, scratch, room)
+    pieces += rest
+    split = [hub for hub, parts in Counter(p[0] for p in pieces).items() if parts > 1]
+    whole = spark.createDataFrame([p[:2] for p in pieces if p[0] not in split], "hub string, to int")
+    settled = scratch.put(settled.union(whole), "settled")
+    cols = ["id", "size", "crc"]
+    moved = linked.where(~F.col("hub").isin(split)).join(settled, "hub").select(*cols, F.col("to").alias("shard"), F.lit(1).alias("linked"))
+    if split:
+        to = F.col("shard")
+        for k, s, lo, hi in pieces:
+            if k in split:
+                to = F.when((F.col("hub") == k) & (F.col("rank") >= lo) & (F.col("rank") < hi), F.lit(s)).otherwise(to)
+        parts = _ranked(linked.where(F.col("hub").isin(split)), ["hub"], scratch, "split", "rank")
+        moved = moved.union(parts.select(*cols, to.alias("shard"), F.lit(1).alias("linked")))
+    placed = scratch.put(numbered(moved.union(nodes.where("hub is null").select(*cols, "shard", F.lit(0).alias("linked")))), "placed")
     even = scratch.put(_even_out(placed, scratch, shards, n), "even")
     return _ranked(even, ["shard"], scratch, "slots", "slot").select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot", (F.col("linked") == 1).alias("linked"),

@@ -194,6 +194,17 @@ def test_shards_keep_groups_together(spark):
     assert whole >= 95
 
 
+def test_shards_keep_large_groups_whole(spark):
+    sizes = {"a": 360, "b": 250, "c": 120, "d": 60, "e": 1000}
+    texts = [k for k, n in sizes.items() for _ in range(n)] + [f"own {i}" for i in range(4000 - sum(sizes.values()))]
+    random.Random(3).shuffle(texts)
+    got = [(texts[r.doc_id], r["shard"]) for r in shard_rows(docs(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()]
+    counts = Counter(s for _, s in got)
+    assert set(counts.values()) == {500}
+    spread = {k: len({s for t, s in got if t == k}) for k in sizes}
+    assert spread == {"a": 1, "b": 1, "c": 1, "d": 1, "e": 2}
+
+
 def test_mix(spark, odd_rows):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     got = mixing.mix_plan(docs(spark, odd_rows)).collect()
