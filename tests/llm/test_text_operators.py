@@ -205,6 +205,17 @@ def test_shards_keep_large_groups_whole(spark):
     assert spread == {"a": 1, "b": 1, "c": 1, "d": 1, "e": 2}
 
 
+def test_shards_leave_no_pair_apart_beside_a_hot_group(spark):
+    texts = ["hot"] * 2000 + [f"pair {i // 2}" for i in range(3000)] + [f"own {i}" for i in range(1000)]
+    random.Random(4).shuffle(texts)
+    got = [(texts[r.doc_id], r["shard"]) for r in shard_rows(docs(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()]
+    assert set(Counter(s for _, s in got).values()) == {750}
+    places = defaultdict(set)
+    for t, s in got:
+        places[t].add(s)
+    assert sum(len(p) > 1 for t, p in places.items() if t != "hot") == 0 and len(places["hot"]) == 3
+
+
 def test_mix(spark, odd_rows):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     got = mixing.mix_plan(docs(spark, odd_rows)).collect()
