@@ -5,7 +5,8 @@ runs of 2 to 4 characters that lie inside a word (boundaries included) are hashe
 buckets. The mean of their embeddings goes through a linear softmax. Training is
 stochastic gradient descent on a bounded, documented sample of snippets; a part of it is
 held back to fit the temperature of the softmax and the score below which a prediction
-is rejected, at most half, so that texts of two known languages stay. Prediction reads whole texts.
+is rejected. Texts of several known languages stay: one that scores below is read again in
+pieces, at least two, and kept if most of them reach the score. Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ SNIPPETS = (40, 160, 640)  # code points of the snippets cut from each sampled r
 EPOCHS, BATCH, RATE = 6, 64, 2.0
 REJECT_QUANTILE = 0.0005  # share of right held-back predictions that the threshold may reject
 PIECE = 1 << 18  # characters hashed at once
+MIXED_PIECE = SNIPPETS[1]  # most code points of the pieces in which a text that may be of several languages is read
 
 
 @dataclass(frozen=True)
@@ -126,22 +128,34 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     p = _softmax(z / temperature)
     right = p.argmax(1) == y[held]
     threshold = float(np.quantile(p.max(1)[right], REJECT_QUANTILE)) if right.any() else 0.0
-    return Model(names, logits, temperature, min(threshold, 1.5 / len(names), 0.5))
+    return Model(names, logits, temperature, threshold)
 
 
 def predict(model: Model, words: Subwords, text: str | None) -> tuple[str, float, bool]:
     """(language, calibrated probability, rejected); no text or no letter, or no known language: und, 0, rejected."""
     if not text or not model.langs:
         return UNKNOWN, 0.0, True
+    p = _probabilities(model, words, text)
+    if p is None or not _has_letter(text):
+        return UNKNOWN, 0.0, True
+    k = int(p.argmax())
+    return model.langs[k], float(p[k]), bool(p[k] < model.threshold) and not _mixed(model, words, text)
+
+
+def _probabilities(model: Model, words: Subwords, text: str) -> np.ndarray | None:
     total, n = np.zeros(len(model.langs)), 0
     for b in words.buckets(text):
         total += model.logits[b].sum(0, dtype=np.float64)
         n += len(b)
-    if not n or not _has_letter(text):
-        return UNKNOWN, 0.0, True
-    p = _softmax(total / n / model.temperature)
-    k = int(p.argmax())
-    return model.langs[k], float(p[k]), bool(p[k] < model.threshold)
+    return _softmax(total / n / model.temperature) if n else None
+
+
+def _mixed(model: Model, words: Subwords, text: str) -> bool:
+    """Whether most of the text's pieces with letters are of known languages, each by itself."""
+    size = min(MIXED_PIECE, -(-len(text) // 2))
+    pieces = (text[i : i + size] for i in range(0, len(text), size))
+    known = [_probabilities(model, words, x).max() >= model.threshold for x in pieces if _has_letter(x)]
+    return 2 * sum(known) > len(known)
 
 
 def _has_letter(text: str) -> bool:

@@ -13,7 +13,7 @@ from reelgrid.llm import pii
 from reelgrid.llm.chat import chat_windows, escape, read_back, unescape
 from reelgrid.llm.embed_dedup import Quantised, embedding_groups, may_reach
 from reelgrid.llm.html_extract import extract_main_text, main_text
-from reelgrid.llm.langid import Subwords, accepted_documents, predict, predict_languages, train
+from reelgrid.llm.langid import Subwords, accepted_documents, held_out, predict, predict_languages, train, training_sample
 from reelgrid.llm.queries import ODD
 
 # The base as the contract words it.
@@ -174,6 +174,27 @@ def test_language_cases(spark):
     assert predict(train([], []), Subwords(), "text")[0] == "und"
 
 
+def test_unlearned_languages_are_rejected(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model, words = train(*training_sample(table)), Subwords()
+    clean = [r for r in table.where(held_out() & F.col("lang").isNotNull() & (F.length("text") > 40)).limit(1000).collect()]
+    assert np.mean([predict(model, words, r.text)[2] for r in clean]) < 0.005
+    for text in (
+        "Il governo ha annunciato oggi che le nuove misure entreranno in vigore a partire dal prossimo mese, dopo una lunga discussione in parlamento.",
+        "O governo anunciou hoje que as novas medidas entram em vigor a partir do próximo mês, depois de uma longa discussão no parlamento.",
+        "De regering heeft vandaag aangekondigd dat de nieuwe maatregelen vanaf volgende maand ingaan, na een lange discussie in het parlement.",
+        "Rząd ogłosił dziś, że nowe środki wejdą w życie od przyszłego miesiąca, po długiej dyskusji w parlamencie.",
+        "Hallitus ilmoitti tänään, että uudet toimenpiteet tulevat voimaan ensi kuusta alkaen pitkän keskustelun jälkeen.",
+        "Правительство объявило сегодня о новых мерах.",
+    ):
+        assert predict(model, words, text)[2], text
+    first = {r.lang: r.text[:600] for r in clean if len(r.text) > 600}
+    assert len(first) > 2
+    mixed = [f"{first[a]}\n{first[b]}" for a in first for b in first if a < b]
+    assert min(predict(model, words, t)[1] for t in mixed) < model.threshold
+    assert not any(predict(model, words, t)[2] for t in mixed)
+
+
 def test_chat(spark):
     rng = random.Random(6)
     texts = [ODD, "", None, "\\s \\l </turn>\n<turn user>\nx", "a b " * 400, "plain, words here " * 9, "é\U0001f600 <>\\"]
