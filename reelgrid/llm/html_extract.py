@@ -4,7 +4,8 @@ A page becomes a list of blocks, each with its path of tags from the root. Per p
 length of text and the punctuation are summed and divided by the number of blocks; over
 the blocks in page order both ratios are smoothed, their product (fused with the path's
 own) is the block's score, and a path is content where its mean score reaches a share of
-the page's mean, weighted by text. Marks that state what an element is (nav, footer,
+the page's mean, weighted by text. Content paths show where the article lies: every block
+in the article element, or else in the element that holds all content paths, is kept. Marks that state what an element is (nav, footer,
 aside, form, class names of menus, adverts, notices, comments and the like) rule its path
 out before; a heading is content where a content path follows it in the same section.
 """
@@ -200,6 +201,13 @@ def _smooth(values: list[float], width: int = 2) -> list[float]:
     return out
 
 
+def _common(paths: list[tuple[str, ...]]) -> tuple[str, ...]:
+    """The longest path that all paths begin with."""
+    a, b = min(paths), max(paths)
+    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[:k]
+
+
 def content_blocks(page: str, share: float = 0.1) -> list[str]:
     """The blocks of text that a page's content paths hold."""
     found = [(p, t) for p, t, out in blocks(page) if not out]
@@ -222,7 +230,7 @@ def content_blocks(page: str, share: float = 0.1) -> list[str]:
         chosen = {p for p in chosen if "article" in p or "main" in p}
         sure = [p[: next(i for i, t in enumerate(p) if t in ("article", "main")) + 1] for p in chosen]
     else:
-        sure = []
+        sure = [_common([p[:-1] for p in chosen])]
     roots = set(sure)
     kept = [p in chosen or any(p[: len(r)] == r for r in roots) for p, _ in found]
     follows = None

@@ -141,6 +141,16 @@ def test_html(spark, sf):
     assert extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_keeps_short_blocks_of_an_unnamed_article():
+    sentence = "Some words, then more; and so on: it reads, as text does, to an end. "
+    long = [f"{n} {sentence * 6}".strip() for n in range(10)]
+    items, cells = [f"Item {n} of a short list" for n in range(5)], [f"cell {n}" for n in range(12)]
+    middle = f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul><table>{''.join(f'<tr><td>{x}</td></tr>' for x in cells)}</table>"
+    body = "".join(f"<p>{x}</p>" for x in long[:5]) + middle + "".join(f"<p>{x}</p>" for x in long[5:])
+    page = f"<body><div class=top><span>Home</span></div><div class=text>{body}<div class=share>Share, now.</div></div><div class=bottom>End</div></body>"
+    assert main_text(page).split("\n\n") == long[:5] + items + cells + long[5:]
+
+
 def test_subwords_have_no_seams(monkeypatch):
     from reelgrid.llm import langid
 
