@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 # What HTML defines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math canvas object audio video select datalist".split())
+#: Of these, the ones that HTML reads to the end of the page when their end tag is missing.
+TO_THE_END = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -109,6 +111,20 @@ IMPLIED_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("t
 CELL_SCOPES = SCOPES - {"td", "th"}
 
 
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """End of each start tag of the element -> end of its end tag; a start tag without one is not in it."""
+    out, opened = {}, []
+    for m in TOKEN.finditer(page):
+        if m[2] is None or m[2].lower() != tag:
+            continue
+        if not m[1]:
+            if not (m[3] or "").rstrip().endswith("/"):
+                opened.append(m.end())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
     """(path of block elements, text with single spaces, ruled out), in page order."""
     stack: list[_Node] = []
@@ -116,6 +132,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
     held: list[str] = []
     path: tuple[str, ...] = ()
     at, size = 0, len(page)
+    ends_of: dict[str, dict[int, int]] = {}
 
     def mark() -> int:
         return stack[-1].mark if stack else 0
@@ -161,8 +178,13 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
             path = current()
             continue
         if tag in RAW and not closed:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            if tag in TO_THE_END:
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = end.end() if end else size
+            else:  # without its end tag, only the tag itself is passed over
+                if tag not in ends_of:
+                    ends_of[tag] = _ends(page, tag)
+                at = ends_of[tag].get(at, at)
             held.append(" ")
             continue
         if tag == "br":

@@ -151,6 +151,13 @@ def test_html_keeps_short_blocks_of_an_unnamed_article():
     assert main_text(page).split("\n\n") == long[:5] + items + cells + long[5:]
 
 
+@pytest.mark.parametrize("tag", "video object audio canvas svg math select datalist noscript template".split())
+def test_html_reads_on_after_an_element_without_its_end(tag):
+    page = f"<article><p>First, para.</p><{tag} class=x><p>Second, para.</p><{tag}>Not shown.</{tag}><p>Third, para.</p></article><footer>End.</footer>"
+    assert main_text(page) == "First, para.\n\nSecond, para.\n\nThird, para."
+    assert main_text(f"<article><p>First, para.</p><{tag}>Not <{tag}>this</{tag}> shown.</{tag}><p>Last, para.</p></article>") == "First, para.\n\nLast, para."
+
+
 def test_subwords_have_no_seams(monkeypatch):
     from reelgrid.llm import langid
 
