@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a folder of our own, in local mode alone: on a cluster the executors would not share it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("reelgrid.scratch.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="reelgrid-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = f"file://{own}"
@@ -23,22 +26,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables of one operator call; `drop` frees those that no later plan reads."""
+    """Written tables of one operator call. `drop` and `only` free those that no later plan reads; the rest go when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: set[str] = set()
+        atexit.register(self._end)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        self.tables.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+            self.tables.discard(name)
+
+    def only(self, *names: str) -> None:
+        self.drop(*(self.tables - set(names)))
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            self._delete(self.root)
 
 
 #: Rows of one block; no block spans two partitions.

@@ -10,16 +10,24 @@ are verified. Two facts thin the balls without losing a pair:
   only. At distance 1 the odd one's own value, at 3 its two-bit variants meet the even
   one's one-bit variants; at distance 2 the one-bit variants of both meet.
 * of three differing bits two lie in the same half of the word, so two-bit variants
-  flip both bits in one half (992 of 2016).
+  flip both bits in one half (992 of 2016 in a word of 64).
 
-Where a value has a member at most one bit away, every member is within 3 bits of it,
-so a star around that member holds all that this value shows: two members that are both
-two bits away are linked at another value or through the star. No task emits all pairs.
+`simhash_groups` links fingerprints of three-word shingles at 3 bits. There, where a value
+has a member at most one bit away, every member is within 3 bits of it, so a star around
+that member holds all that this value shows: two members that are both two bits away are
+linked at another value or through the star.
+
+`drop_near_copies` takes the general rule, a Jaccard similarity of 0.8 over five-word
+shingles. Texts that similar are mostly further than 3 of 64 bits apart, so its
+fingerprints are of words and word pairs, and are met by each half of 32 bits: all pairs
+within 7 bits have a half within 3. What meets is checked by the whole fingerprint and
+then by the shingle sets themselves. At each value a member is held against one centre,
+another at each value, and its next neighbours. No task emits all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,46 +39,90 @@ from reelgrid.llm.scratch import Scratch
 
 RADIUS = 3
 SEED = 42
-#: Variants in one shuffle partition, about; they are sorted there in memory.
+#: Variants in one shuffle partition, about; Spark sorts them.
 VARIANTS_PER_TASK = 4_000_000
-MEAN_VARIANTS = 561
+#: Rows that a Python worker looks at together.
+SLICE = 400_000
+SIMILARITY, SHINGLE = 0.8, 5
+#: Texts of that similarity about never lie further apart than so many of 64 bits (of 3,674 pairs measured, none beyond 13).
+FAR = 15
+#: Neighbours in a value's order that a member is held against besides the centre.
+NEXT = 2
+
+Links = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words between ASCII white space of UTF-8 bytes, A-Z in lower case."""
+    return text.translate(_LOWER).split() if text else []
+
+
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def _grams(words: list[bytes], n: int) -> Iterator[bytes]:
+    """The n-word shingles, repeats included; of fewer words the whole sequence."""
+    if len(words) < n:
+        return iter([b" ".join(words)])
+    return iter(words) if n == 1 else map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = SEED) -> int:
     """Unsigned 64-bit SimHash of UTF-8 bytes; null or no word: 0."""
     from xxhash import xxh64_intdigest
 
-    if not text:
-        return 0
-    words = text.translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
+    words = words_of(text)
     if not words:
         return 0
-    if len(words) < shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    bits, n = np.zeros(64, np.int64), 0
-    hashes: list[int] = []
-    for gram in grams:
+    bits, n, hashes = np.zeros(64, np.int64), 0, []
+    for gram in _grams(words, shingle):
         hashes.append(xxh64_intdigest(gram, seed))
         if len(hashes) == 65_536:  # a very long text keeps no list of all its hashes
-            bits, n, hashes = bits + _bit_counts(hashes), n + len(hashes), []
-    bits, n = bits + _bit_counts(hashes), n + len(hashes)
+            bits, n, hashes = bits + _bit_counts(np.array(hashes, "<u8")), n + len(hashes), []
+    return _majority(bits + _bit_counts(np.array(hashes, "<u8")), n + len(hashes))
+
+
+def word_fingerprint(text: bytes | None, seed: int = SEED) -> int:
+    """SimHash of a text's distinct words and distinct pairs of adjacent words; null or no word: 0."""
+    from xxhash import xxh64_intdigest
+
+    words = words_of(text)
+    if not words:
+        return 0
+    hashes = np.concatenate([np.fromiter((xxh64_intdigest(g, seed + k) for g in set(_grams(words, k))), np.uint64) for k in (1, 2)])
+    return _majority(_bit_counts(hashes), len(hashes))
+
+
+def _majority(bits: np.ndarray, n: int) -> int:
     return int(((bits * 2 > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
-def _bit_counts(hashes: list[int]) -> np.ndarray:
-    raw = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-    return np.unpackbits(raw, axis=1, bitorder="little").sum(0, dtype=np.int64)
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    raw = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.add.reduce([np.unpackbits(raw[i : i + 65_536], axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(0, len(raw), 65_536)], axis=0, initial=0)
+
+
+def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; without a word: none."""
+    from xxhash import xxh64_intdigest
+
+    words = words_of(text)
+    return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in set(_grams(words, shingle))), np.uint64)) if words else np.zeros(0, np.uint64)
+
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; of two empty ones 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+
+def with_fingerprints(docs: DataFrame, of: Callable[[bytes | None], int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, thash, fp): fp as the signed long of the same bits, thash a hash of the text."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(2)), np.uint64, b.num_rows)
+            fps = np.fromiter((of(t.as_py()) for t in b.column(2)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["id", "thash", "fp"])
 
     text = F.col(text_col)
@@ -78,42 +130,53 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, f"id {id_type}, thash long, fp long")
 
 
-def _masks() -> tuple[np.ndarray, np.ndarray]:
-    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    pairs = [one[i] | one[j] for half in (0, 32) for i in range(half, half + 32) for j in range(i + 1, half + 32)]
+def _masks(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """What even and odd words of so many bits emit."""
+    one = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+    half = bits // 2
+    pairs = [one[i] | one[j] for lo in (0, half) for i in range(lo, lo + half) for j in range(i + 1, lo + half)]
     return one, np.concatenate([np.zeros(1, np.uint64), one, np.array(pairs, np.uint64)])
 
 
-def emit_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    even, odd = _masks()
+def mean_variants(bits: int) -> int:
+    return sum(map(len, _masks(bits))) // 2
+
+
+def emit_variants(batches: Iterator[pa.RecordBatch], bits: int = 64) -> Iterator[pa.RecordBatch]:
+    """Fingerprints -> (v, fp) for each piece of so many bits; pieces that are not the whole carry their number above their bits."""
+    even, odd = _masks(bits)
     for b in batches:
         fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        odd_bits = np.bitwise_count(fps) % 2 == 1
-        for own, masks in ((fps[~odd_bits], even), (fps[odd_bits], odd)):
-            step = 200_000 // len(masks) + 1
-            for i in range(0, len(own), step):
-                x = own[i : i + step]
-                v = (x[:, None] ^ masks[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(np.repeat(x, len(masks)).view(np.int64))], ["v", "fp"])
-
-
-def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows (v, fp) of one shuffle partition -> verified links (u, v), a star per value."""
-    vs, fs = [], []
+        for k in range(64 // bits):
+            piece = fps if bits == 64 else (fps >> np.uint64(k * bits)) & np.uint64((1 << bits) - 1)
+            odd_bits = np.bitwise_count(piece) % 2 == 1
+            for mine, masks in ((~odd_bits, even), (odd_bits, odd)):
+                own, whole = piece[mine] | np.uint64(k << bits if bits < 64 else 0), fps[mine]
+                step = 100_000 // len(masks) + 1
+                for i in range(0, len(own), step):
+                    v = (own[i : i + step, None] ^ masks[None, :]).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(np.repeat(whole[i : i + step], len(masks)).view(np.int64))], ["v", "fp"])
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(v, fp) in slices of about `size` rows that no value's rows straddle; of a value with more rows one row goes into the next slice again."""
+    vs, fs, n = [], [], 0
     for b in batches:
         vs.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
         fs.append(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-    if not vs:
-        return
-    v, f = np.concatenate(vs), np.concatenate(fs)
-    del vs, fs
-    order = np.argsort(v)
-    v, f = v[order], f[order]
-    again = np.concatenate([[False], v[1:] == v[:-1]])
-    shared = again | np.concatenate([again[1:], [False]])
-    v, f = v[shared], f[shared]
-    if not len(v):
-        return
+        n += len(vs[-1])
+        if n < size:
+            continue
+        v, f = np.concatenate(vs), np.concatenate(fs)
+        cut = int(np.flatnonzero(v != v[-1])[-1]) + 1 if (v != v[-1]).any() else len(v) - 1
+        yield (v[:cut], f[:cut]) if cut < len(v) - 1 or v[0] != v[-1] else (v, f)
+        vs, fs, n = [v[cut:]], [f[cut:]], len(v) - cut
+    if n:
+        yield np.concatenate(vs), np.concatenate(fs)
+
+
+def stars(v: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Links (f, centre) of fingerprints within RADIUS bits, for each value that has a member at most one bit away."""
     far = np.bitwise_count(v ^ f)
     order = np.lexsort((f, far, v))
     v, f, far = v[order], f[order], far[order]
@@ -121,29 +184,88 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     run = np.cumsum(start) - 1
     centre, nearest = f[start][run], far[start][run]
     good = (nearest <= 1) & ~start & (np.bitwise_count(f ^ centre) <= RADIUS) & (f != centre)
-    links = np.unique(np.stack([f[good], centre[good]], 1), axis=0)
-    for i in range(0, len(links), 100_000):
-        part = links[i : i + 100_000]
+    return np.stack([f[good], centre[good]], 1)
+
+
+def candidates(v: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Pairs of fingerprints at most FAR bits apart: each member of a value with its centre, chosen by the value, and with its NEXT neighbours."""
+    mixed = (f ^ (v * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    order = np.lexsort((mixed ^ (mixed >> np.uint64(32)), v))
+    v, f = v[order], f[order]
+    start = np.concatenate([[True], v[1:] != v[:-1]])
+    out = [np.stack([f, f[start][np.cumsum(start) - 1]], 1)]
+    for k in range(1, NEXT + 1):
+        same = v[k:] == v[:-k]
+        out.append(np.stack([f[k:][same], f[:-k][same]], 1))
+    pairs = np.concatenate(out)
+    far = np.bitwise_count(pairs[:, 0] ^ pairs[:, 1])
+    return pairs[(far > 0) & (far <= FAR)]
+
+
+def spanning(links: np.ndarray) -> np.ndarray:
+    """The same components with one link a node: (node, smallest node of its component)."""
+    nodes, ends = np.unique(links, return_inverse=True)
+    a, b = ends.reshape(links.shape).T
+    low = np.arange(len(nodes))
+    while (low[a] != low[b]).any():
+        least = np.minimum(low[a], low[b])
+        for x in (a, b, low[a], low[b]):
+            np.minimum.at(low, x, least)
+        low = low[low]
+    while (low[low] != low).any():
+        low = low[low]
+    mine = low != np.arange(len(nodes))
+    return np.stack([nodes[mine], nodes[low[mine]]], 1)
+
+
+def meet(batches: Iterator[pa.RecordBatch], links: Links = stars, thin: bool = True) -> Iterator[pa.RecordBatch]:
+    """Rows (v, fp) in the order of v -> links (u, v), in bounded slices; thin: no more than one for each fingerprint of a slice."""
+    for v, f in slices(batches):
+        again = np.concatenate([[False], v[1:] == v[:-1]])
+        shared = again | np.concatenate([again[1:], [False]])
+        if not shared.any():
+            continue
+        found = links(v[shared], f[shared])
+        if len(found):
+            found = spanning(found) if thin else np.unique(np.sort(found, axis=1), axis=0)
+        yield from _link_batches(found)
+
+
+def _link_batches(links: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(links), 50_000):
+        part = links[i : i + 50_000]
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, k]).view(np.int64)) for k in (0, 1)], ["u", "v"])
 
 
-def _components(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Written rows (id, thash, fp), and for each distinct fp: fp, low (smallest id of its component), best."""
-    spark = docs.sparkSession
-    rows = scratch.put(with_fingerprints(docs, id_col, text_col, shingle), "rows")
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "thash"))
-    distinct = scratch.put(rows.groupBy("fp").agg(best.alias("best")), "distinct")
-    n = distinct.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * MEAN_VARIANTS // VARIANTS_PER_TASK))
-    links = (
-        distinct.select("fp").repartition(parts).mapInArrow(emit_variants, "v long, fp long")
-        .repartition(parts, "v").mapInArrow(meet, "u long, v long")
+def thinned(links: DataFrame) -> DataFrame:
+    """The same components with fewer links (u, v): of every SLICE links of a task at most one a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(np.stack([b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1)], 1))
+            n += b.num_rows
+            if n >= SLICE:
+                held = [spanning(np.concatenate(held))]
+                n = len(held[0])
+                if n >= SLICE // 2:
+                    yield from _link_batches(held[0])
+                    held, n = [], 0
+        if n:
+            yield from _link_batches(spanning(np.concatenate(held)))
+
+    return links.mapInArrow(run, "u long, v long")
+
+
+def fingerprint_links(distinct: DataFrame, bits: int = 64, links: Links = stars, thin: bool = True, n: int | None = None) -> DataFrame:
+    """Links (u, v) of distinct fingerprints (fp long); they may repeat."""
+    spark = distinct.sparkSession
+    n = distinct.count() if n is None else n
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * mean_variants(bits) * (64 // bits) // VARIANTS_PER_TASK))
+    return (
+        distinct.select("fp").repartition(parts).mapInArrow(lambda b: emit_variants(b, bits), "v long, fp long")
+        .repartition(parts, "v").sortWithinPartitions("v").mapInArrow(lambda b: meet(b, links, thin), "u long, v long")
     )
-    labels = components(scratch.put(links, "links"), scratch)
-    whole = F.coalesce("component", "fp")
-    linked = scratch.put(distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "best", whole.alias("component")), "linked")
-    lows = scratch.put(linked.groupBy("component").agg(F.min("best").alias("best")), "lows")
-    return rows, linked.drop("best").join(lows, "component").select("fp", F.col("best.id").alias("low"), F.col("best.thash").alias("low_thash"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -151,24 +273,70 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null, empty or word-less text: fingerprint zero, linked like any other. component_id is
     the smallest id reachable over links (nulls count last; null only if all ids are).
-    Repeated rows come out once each; an empty table gives no rows; other columns are not read.
+    Repeated rows come out once each; an empty table gives no rows; other columns are not
+    read. Whole texts count, however long.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows, groups = _components(docs, scratch, id_col, text_col, shingle)
-    groups = scratch.put(groups, "groups")
+    rows = scratch.put(with_fingerprints(docs, lambda t: fingerprint(t, shingle), id_col, text_col), "rows")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))
+    distinct = scratch.put(rows.groupBy("fp").agg(best.alias("best")), "distinct")
+    labels = components(thinned(scratch.put(fingerprint_links(distinct), "links")), scratch)
+    linked = scratch.put(distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "best", F.coalesce("component", "fp").alias("component")), "linked")
+    lows = scratch.put(linked.groupBy("component").agg(F.min("best").alias("best")), "lows")
+    groups = scratch.put(linked.select("fp", "component").join(lows, "component").select("fp", F.col("best.id").alias("low")), "groups")
+    scratch.only("rows", "groups")
     return rows.join(groups, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id"),
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """One document of each component, with all its columns: the one of smallest id (nulls
-    last), then of smallest text hash. Of rows that repeat id and text one stays."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    rows, groups = _components(docs, scratch, id_col, text_col, shingle)
-    kept = scratch.put(groups.select(F.col("low").alias("kept_id"), F.col("low_thash").alias("kept_hash")).distinct(), "kept")
-    mine = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
-    out = mine.join(kept, F.col("hash").eqNullSafe(F.col("kept_hash")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
-    if not rows.groupBy("id", "thash").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["id", "hash"])
+def _similar(pairs: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float, shingle: int) -> DataFrame:
+    """Of pairs (u, v) of text hashes those whose shingle sets are similar; texts: (thash, b), each hash once or more."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], ["thash", "shingles"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [jaccard(*(np.frombuffer(x[i].as_buffer(), np.uint64) for x in (b.column(2), b.column(3)))) >= similarity for i in range(b.num_rows)]
+            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    asked = scratch.put(pairs.select(F.explode(F.array("u", "v")).alias("thash")).distinct(), "asked")
+    read = scratch.put(texts.join(asked, "thash").mapInArrow(sets, "thash long, shingles binary"), "sets-all").dropDuplicates(["thash"])
+    read = scratch.put(read, "sets")
+    left = scratch.put(pairs.join(read.withColumnsRenamed({"thash": "u", "shingles": "su"}), "u"), "left")
+    return left.join(read.withColumnsRenamed({"thash": "v", "shingles": "sv"}), "v").select("u", "v", "su", "sv").mapInArrow(check, "u long, v long")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each group of near copies, with all its columns: the one of smallest id
+    (nulls last), then of smallest text hash.
+
+    Texts are linked where the Jaccard similarity of their shingle sets reaches `similarity`
+    (words as for `simhash_groups`; null or word-less texts have empty sets, alike with each
+    other); groups are what links reach. Of rows that repeat id and text one stays, of their
+    other columns the least. An empty table gives no rows; whole texts count.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = scratch.put(with_fingerprints(docs, word_fingerprint, id_col, text_col), "rows")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "thash")).alias("best")
+    texts = scratch.put(rows.groupBy("thash").agg(F.first("fp").alias("fp"), best, F.count(F.lit(1)).alias("n")), "texts")
+    distinct = scratch.put(texts.groupBy("fp").agg(F.min("thash").alias("one")), "distinct")
+    met = scratch.put(fingerprint_links(distinct, 32, candidates, thin=False).distinct(), "met")
+    one = distinct.select(F.col("fp"), F.col("one").alias("x"))
+    met = met.join(one.withColumnsRenamed({"fp": "u", "x": "a"}), "u").join(one.withColumnsRenamed({"fp": "v", "x": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same = texts.join(distinct, "fp").where("thash <> one").select(F.col("thash").alias("u"), F.col("one").alias("v"))
+    pairs = scratch.put(met.union(same), "pairs")
+    text = F.col(text_col)
+    links = _similar(pairs, docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("thash"), text.cast("binary").alias("b")), scratch, similarity, shingle)
+    labels = components(scratch.put(links, "links"), scratch)
+    linked = scratch.put(texts.join(labels, texts.thash == labels.node, "left").select("best", F.coalesce("component", "thash").alias("component")), "linked")
+    kept = scratch.put(linked.groupBy("component").agg(F.min("best").alias("best")).select("best.id", "best.thash"), "kept")
+    mine = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"))
+    out = mine.join(kept, F.col("hash").eqNullSafe(F.col("thash")) & mine.id.eqNullSafe(kept.id), "left_semi")
+    repeated = not rows.groupBy("id", "thash").count().where("count > 1").isEmpty()
+    scratch.only("kept")
+    if repeated:
+        out = out.groupBy("id", "hash").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
     return out.select("doc.*")

@@ -104,7 +104,7 @@ def test_balls_find_all_pairs(spark):
     whole = reach(fps, lambda a, b: (a ^ b).bit_count() <= 3)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
-    links = df.mapInArrow(simhash.emit_variants, "v long, fp long").repartition(4, "v").mapInArrow(simhash.meet, "u long, v long")
+    links = simhash.fingerprint_links(df)
     got = {r.node: r.component for r in components(links, Scratch(spark, "t")).collect()}
     mine = defaultdict(set)
     for x in fps:
@@ -133,9 +133,124 @@ def test_simhash_groups(spark, odd_rows):
         low[comp[fp[t]]].append(i)
     want = Counter((i, f"{fp[t]:016x}", min((x for x in low[comp[fp[t]]] if x is not None), default=None)) for i, t, _ in rows)
     assert Counter(map(tuple, got)) == want
-    kept = simhash.drop_near_copies(docs(spark, rows)).collect()
-    assert len(kept) == len(low)
-    assert {comp[fp[r.text]] for r in kept} == set(low)
+
+
+def shingles(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_drop_near_copies_against_brute_force(spark, odd_rows):
+    rng = random.Random(8)
+    rows = list(odd_rows)
+    for k, i in enumerate((1, 2, 4, 6, 8, 9)):
+        words = odd_rows[i][1].split()
+        for j in range(4):  # copies of copies: groups reach further than one link
+            for _ in range(max(1, len(words) // 90)):
+                if words:
+                    words[rng.randrange(len(words))] = f"new{k}{j}"
+            rows.append((500 + 10 * k + j, " ".join(words), "a"))
+    sets = {t: shingles(t) for _, t, _ in rows}
+    texts = sorted(sets, key=lambda t: (t is None, t or ""))
+    comp = reach(range(len(texts)), lambda a, b: alike(sets[texts[a]], sets[texts[b]]))
+    group = {t: comp[k] for k, t in enumerate(texts)}
+    want = defaultdict(list)
+    for i, t, _ in rows:
+        want[group[t]].append((i is None, i or 0))
+    got = simhash.drop_near_copies(docs(spark, rows).repartition(3)).collect()
+    assert Counter((group[r.text], r.doc_id is None, r.doc_id or 0) for r in got) == Counter((g, *min(v)) for g, v in want.items())
+    assert len(want) < len(texts) - 10
+
+
+def test_near_copy_recall(spark):
+    """Ids divisible by 50 against all rows of a table: of pairs at a five-word Jaccard similarity of 0.8 or more at least 0.9 end in one group."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null")
+    rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+    sets = {i: shingles(t) for i, t in rows}
+    at = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            at[x].append(i)
+    pairs = set()
+    for i in sets:
+        if i % 50 == 0:
+            shared = Counter(j for x in sets[i] for j in at[x] if j != i)
+            pairs |= {(i, j) for j, n in shared.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)}
+    kept = {r.doc_id for r in simhash.drop_near_copies(table).select("doc_id").collect()}
+    assert len(pairs) > 10
+    assert sum(i not in kept or j not in kept for i, j in pairs) >= 0.9 * len(pairs)
+
+
+def test_slices_split_no_value():
+    import pyarrow as pa
+
+    v = np.sort(np.random.default_rng(2).integers(0, 40, 3000)).astype(np.int64)
+    v[1000:2500] = v[1000]
+    v.sort()
+    f = np.arange(3000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(v[i : i + 70]), pa.array(f[i : i + 70])], ["v", "fp"]) for i in range(0, 3000, 70)]
+    seen, largest = Counter(), 0
+    for a, b in simhash.slices(iter(batches), 200):
+        seen.update(b.tolist())
+        largest = max(largest, len(a))
+    assert set(seen) == set(range(3000)) and largest < 500 and sum(n - 1 for n in seen.values()) < 20
+
+
+def test_spanning_keeps_components():
+    rng = np.random.default_rng(5)
+    links = rng.integers(0, 3000, (2000, 2)).astype(np.uint64)
+    links = links[links[:, 0] != links[:, 1]]
+    got = simhash.spanning(links)
+    low = {int(n): int(n) for n in np.unique(links)}
+    find = lambda x: x if low[x] == x else find(low[x])
+    for a, b in links.tolist():
+        low[max(find(a), find(b))] = min(find(a), find(b))
+    assert {(n, find(n)) for n in low if find(n) != n} == set(map(tuple, got.tolist()))
+
+
+def test_dense_groups_over_many_partitions(spark):
+    """A large group of near copies and one of exact copies, dealt over 211 partitions: the components of a union-find, few links."""
+    rng = random.Random(9)
+    centre, fps = rng.getrandbits(64), set()
+    while len(fps) < 10_000:
+        fps.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 1, 2, 2, 3, 3, 4]))))
+    fps |= {rng.getrandbits(64) for _ in range(2000)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        scratch = Scratch(spark, "t")
+        links = scratch.put(simhash.fingerprint_links(spark.createDataFrame([(signed(x),) for x in fps], "fp long").repartition(211)), "links")
+        few = simhash.thinned(links)
+        n = few.count()
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        got = {r.node: r.component for r in components(few, scratch).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    order = sorted(fps)
+    low = {x: x for x in order}
+    find = lambda x: x if low[x] == x else find(low[x])
+    flips = [1 << i for i in range(64)]
+    for x in order:  # one or two bits link the group; three hold whatever is left
+        for i in range(64):
+            for y in [x ^ flips[i]] + [x ^ flips[i] ^ flips[j] for j in range(i)]:
+                if y in low and find(x) != find(y):
+                    low[max(find(x), find(y))] = min(find(x), find(y))
+    roots = sorted({find(x) for x in order})
+    for x in roots:  # fingerprints apart so far
+        for y in order:
+            if (x ^ y).bit_count() <= 3 and find(x) != find(y):
+                low[max(find(x), find(y))] = min(find(x), find(y))
+    groups, mine = defaultdict(set), defaultdict(set)
+    for x in order:
+        groups[find(x)].add(x)
+        mine[got.get(signed(x), signed(x))].add(x)
+    assert len(roots) > 2000 and sorted(map(sorted, mine.values())) == sorted(map(sorted, groups.values()))
+    assert n < 2 * len(fps)
 
 
 def test_encoder_equals_the_library():
