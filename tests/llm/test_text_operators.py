@@ -250,7 +250,7 @@ def test_dense_groups_over_many_partitions(spark):
         groups[find(x)].add(x)
         mine[got.get(signed(x), signed(x))].add(x)
     assert len(roots) > 2000 and sorted(map(sorted, mine.values())) == sorted(map(sorted, groups.values()))
-    assert n < 2 * len(fps)
+    assert n < 10 * len(fps)  # with 4 to 8 tasks a link a node each
 
 
 def test_encoder_equals_the_library():
