@@ -1,13 +1,23 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes a list of blocks, each with its path of tags from the root. Per path the
-length of text and the punctuation are summed and divided by the number of blocks; over
-the blocks in page order both ratios are smoothed, their product (fused with the path's
-own) is the block's score, and a path is content where its mean score reaches a share of
-the page's mean, weighted by text. Content paths show where the article lies: every block
-in the article element, or else in the element that holds all content paths, is kept. Marks that state what an element is (nav, footer,
-aside, form, class names of menus, adverts, notices, comments and the like) rule its path
-out before; a heading is content where a content path follows it in the same section.
+A page becomes a tree of elements and a list of text blocks, each with its path of tags
+from the root. Per path the length of text, the punctuation and the share of text inside
+links are summed. Over the blocks in page order the length and punctuation ratios are
+smoothed; smoothed and own ratios, the link share and what markup says of the path (an
+article, or a menu, an advert and the like) are fused into one score, in logarithms. Paths
+whose score reaches the page's mean, weighted by text, less a margin are content. They
+decide three things:
+
+* where the article lies: the deepest element that holds the content text but for a small
+  part, all of whose paths score clearly lower, or, where most of that text is inside article
+  or main elements, those elements;
+* which marked elements inside are left out: one marked plainly (a nav element, the class
+  `advert`) always, one marked by a word that has other uses (`related-work`, a form around
+  the page) only where the ratios of the text inside speak against it too;
+* which unmarked blocks inside are left out: those of a path that is links almost alone and
+  scores far below content.
+
+Every other block inside stays, however short. A heading right before the article stays too.
 """
 
 from __future__ import annotations
@@ -16,7 +26,8 @@ import html as _html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from math import exp, sqrt
+from dataclasses import dataclass, field
+from math import exp, log, log1p
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,44 +45,71 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
 SCOPES = frozenset("article aside body div footer form header html main nav section table td th ul ol".split())
-#: Elements that are never the article.
-BOILER_TAGS = frozenset("nav footer aside button head menu dialog fieldset".split())
-#: Words that rule out only what stands outside an article.
-OUTSIDE_WORDS = frozenset("header masthead".split())
-#: Words in class, id or role that say the same.
-BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disclaimer disqus "
-    "footer gdpr menu menubar modal nav navbar navigation newsletter notice notices notification overlay paywall popup promo promoted promotion recommended "
-    "related respond share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets "
-    "alert contentinfo complementary search pagination pager replies reply login".split()
+#: Elements that are plainly not the article.
+PLAIN_TAGS = frozenset("nav footer aside button head menu dialog fieldset".split())
+#: Words of class, id or role with hardly another use, and words that say it only where they stand alone.
+PLAIN_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus footer gdpr menu menubar modal "
+    "nav navbar navigation newsletter overlay paywall popup promo promoted sidebar sidenav signup sponsor sponsored toolbar topbar contentinfo complementary pagination pager".split()
+)
+OTHER_WORDS = frozenset(
+    "banner consent copyright disclaimer notice notices notification promotion recommended related respond share sharing skip social subscribe subscription tags teaser widget widgets "
+    "alert search replies reply login".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,2048}+)>|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: Words that say so only outside an article, and words that say the opposite.
+OUTSIDE_WORDS = frozenset("header masthead".split())
+CONTENT_WORDS = frozenset("article body content entry main post prose story text".split())
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]+|<", re.S)
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 HEADING = re.compile(r"h[1-6]$")
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？；、]")
 SPACE = re.compile(r"\s+")
 
+#: What markup adds to a path's score, and to an element's evidence.
+IN_ARTICLE, PLAIN, OTHER = 1.5, -8.0, -1.0
+#: Evidence of the ratios is held within this, so that it never outweighs a plain mark.
+MOST = 2.5
+#: How far below the page's mean a content path may score: a tenth.
+MARGIN = log(10)
+#: The article's element holds at least this share of the content text, and scores at least so much above each content path outside it.
+HELD, LOWER = 0.8, 1.0
+#: A path of links almost alone, at this share of its text, is left out where it scores LINKS_BELOW under content.
+LINKS, LINKS_BELOW = 0.8, 0.5
 
-def _words(value: str) -> set[str]:
-    return set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
 
+def _words(value: str) -> list[str]:
+    return [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if w]
 
-def _marked(tag: str, attributes: str, inside_article: bool) -> int:
-    """2: never the article; 1: not the article, unless one stands inside (a form around a page); 0: nothing said."""
-    if tag in BOILER_TAGS or (tag == "header" and not inside_article):
-        return 2
+
+def mark_of(tag: str, attributes: str, inside_article: bool) -> float:
+    """PLAIN, OTHER or 0: what an element's own tag and attributes say."""
+    if tag in PLAIN_TAGS or (tag == "header" and not inside_article):
+        return PLAIN
+    said = 0.0
     if "=" in attributes:
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id", "role", "aria-label", "data-role", "itemprop"):
-                words = _words(value)
-                if tag not in ("html", "body", "main", "article") and not (BOILER_WORDS.isdisjoint(words) and (inside_article or OUTSIDE_WORDS.isdisjoint(words))):
-                    return 2
+                if tag not in ("html", "body", "main", "article"):
+                    said = min([said, *(_word_mark(_words(token), inside_article) for token in value.split())])
             elif (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower())) or (name == "aria-hidden" and value.lower() == "true"):
-                return 2
+                return PLAIN
     if "hidden" in re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes).lower().split():
-        return 2
-    return 1 if tag == "form" else 0
+        return PLAIN
+    return min(said, OTHER) if tag == "form" else said
+
+
+def _word_mark(words: list[str], inside_article: bool) -> float:
+    """Of one name: a plain word at an end of it, or any listed word alone, is plain; another listed word is a hint; beside a word for content neither is."""
+    if not words or (len(words) > 1 and not CONTENT_WORDS.isdisjoint(words)):
+        return 0.0
+    if words[0] in PLAIN_WORDS or words[-1] in PLAIN_WORDS:
+        return PLAIN
+    if not inside_article and not OUTSIDE_WORDS.isdisjoint(words):
+        return PLAIN
+    if OTHER_WORDS.isdisjoint(words) and PLAIN_WORDS.isdisjoint(words):
+        return 0.0
+    return PLAIN if len(words) == 1 else OTHER
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -81,29 +119,27 @@ def _label(tag: str, attributes: str) -> str:
     return tag
 
 
-#: Elements beyond this depth share their ancestor's path.
-PATH_DEPTH = 64
+@dataclass
+class Tree:
+    """Elements in page order, each after its parent (-1: none), and the blocks of text."""
 
+    parent: list[int] = field(default_factory=list)
+    tag: list[str] = field(default_factory=list)
+    mark: list[float] = field(default_factory=list)
+    article: list[bool] = field(default_factory=list)  # inside article or main, or one itself
+    path: list[int] = field(default_factory=list)
+    paths: dict[tuple[int, str], int] = field(default_factory=dict)
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)  # element, text with single spaces, characters in links
 
-class _Node:
-    __slots__ = ("tag", "mark", "path", "inside")
-
-    def __init__(self, tag: str, mark: int, label: str, above: _Node | None):
-        self.tag, self.mark = tag, mark
-        self.path = above.path if above else ()
-        if tag not in INLINE and len(self.path) < PATH_DEPTH:
-            self.path += (label,)
-        self.inside = tag in ("article", "main") or bool(above and above.inside)
-
-
-def _last(stack: list[_Node], tags: tuple[str, ...], stop: frozenset[str] = frozenset()) -> int:
-    """Place of the innermost open element of these tags, not looking beyond an element of stop; -1: none."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i].tag in tags:
-            return i
-        if stack[i].tag in stop:
-            break
-    return -1
+    def add(self, tag: str, attributes: str, parent: int) -> int:
+        inside = parent >= 0 and self.article[parent]
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.mark.append(mark_of(tag, attributes, inside))
+        self.article.append(inside or tag in ("article", "main"))
+        above = self.path[parent] if parent >= 0 else -1
+        self.path.append(above if tag in INLINE else self.paths.setdefault((above, _label(tag, attributes)), len(self.paths)))
+        return len(self.tag) - 1
 
 
 #: What a start tag of these closes, if it is open in the same scope; other block tags close p.
@@ -113,8 +149,8 @@ CELL_SCOPES = SCOPES - {"td", "th"}
 
 def _ends(page: str, tag: str) -> dict[int, int]:
     """End of each start tag of the element -> end of its end tag; a start tag without one is not in it."""
-    out, opened = {}, []
-    for m in TOKEN.finditer(page):
+    out, opened, stop = {}, [], page.rfind(">") + 1
+    for m in TOKEN.finditer(page, 0, stop):
         if m[2] is None or m[2].lower() != tag:
             continue
         if not m[1]:
@@ -125,57 +161,72 @@ def _ends(page: str, tag: str) -> dict[int, int]:
     return out
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
-    """(path of block elements, text with single spaces, ruled out), in page order."""
-    stack: list[_Node] = []
+def parse(page: str) -> Tree:
+    """Malformed markup is read to its end; a tag that never ends is text."""
+    tree, stack = Tree(), []  # the stack holds elements by number
     opened: dict[str, int] = defaultdict(int)
     held: list[str] = []
-    path: tuple[str, ...] = ()
-    at, size = 0, len(page)
+    links = 0  # characters of `held` inside links
+    at, size, last = 0, len(page), page.rfind(">")
     ends_of: dict[str, dict[int, int]] = {}
+    owner = -1  # element of the block being read
 
-    def mark() -> int:
-        return stack[-1].mark if stack else 0
-
-    def flush() -> list[tuple[tuple[str, ...], str, bool]]:
+    def flush() -> None:
+        nonlocal links
         text = SPACE.sub(" ", "".join(held)).strip()
+        if text:
+            tree.blocks.append((owner, text, min(links, len(text))))
         held.clear()
-        return [(path, text, mark() > 0)] if text else []
-
-    def current() -> tuple[str, ...]:
-        return stack[-1].path if stack else ()
+        links = 0
 
     def cut(k: int) -> None:
         for n in stack[k:]:
-            opened[n.tag] -= 1
+            opened[tree.tag[n]] -= 1
         del stack[k:]
 
     def find(tags: tuple[str, ...], stop: frozenset[str] = frozenset()) -> int:
-        return _last(stack, tags, stop) if any(opened[t] for t in tags) else -1
+        """Place of the innermost open element of these tags, not looking beyond an element of stop; -1: none."""
+        if any(opened[t] for t in tags):
+            for i in range(len(stack) - 1, -1, -1):
+                if tree.tag[stack[i]] in tags:
+                    return i
+                if tree.tag[stack[i]] in stop:
+                    break
+        return -1
+
+    def top() -> int:
+        return stack[-1] if stack else -1
 
     while at < size:
+        if at > last and page[at] == "<" and not page.startswith("<!", at):
+            held.append(page[at:])
+            break
         m = TOKEN.match(page, at)
         at = m.end()
         if m[2] is None:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
-                held.append(_html.unescape(piece) if "&" in piece else piece)
+                piece = _html.unescape(piece) if "&" in piece else piece
+                held.append(piece)
+                if opened["a"]:
+                    links += len(piece)
             continue
         tag, attributes = m[2].lower(), m[3] or ""
         closed = attributes.rstrip().endswith("/")
         if m[1]:
             k = find((tag,))
             if tag in INLINE:
-                if k >= 0 and all(n.tag in INLINE for n in stack[k:]):
-                    if mark() != (stack[k - 1].mark if k else 0):
-                        yield from flush()
+                if k >= 0 and all(tree.tag[n] in INLINE for n in stack[k:]):
+                    if any(tree.mark[n] for n in stack[k:]):
+                        flush()
+                        owner = stack[k - 1] if k else -1
                     cut(k)
                 continue
             if k >= 0 or tag == "p":
-                yield from flush()
+                flush()
             if k >= 0:
                 cut(k)
-            path = current()
+            owner = top()
             continue
         if tag in RAW and not closed:
             if tag in TO_THE_END:
@@ -191,24 +242,23 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
             held.append(" ")
             continue
         if tag not in INLINE:
-            yield from flush()
+            flush()
             ends = IMPLIED_ENDS.get(tag, ("p",) if tag in CLOSES_P else ())
             k = find(ends, CELL_SCOPES if tag in ("tr", "td", "th") else SCOPES) if ends else -1
             if k >= 0:
                 cut(k)
-        own = max(mark(), _marked(tag, attributes, bool(stack and stack[-1].inside)))
-        if tag in ("article", "main") and own == 1:
-            own = 0
         if tag in VOID or closed:
-            path = current()
+            if tag not in INLINE:
+                owner = top()
             continue
-        if tag in INLINE and own != mark():
-            yield from flush()
-        stack.append(_Node(tag, own, _label(tag, attributes), stack[-1] if stack else None))
+        node = tree.add(tag, attributes, top())
+        if tag not in INLINE or tree.mark[node]:
+            flush()
+            owner = node
+        stack.append(node)
         opened[tag] += 1
-        if tag not in INLINE:
-            path = current()
-    yield from flush()
+    flush()
+    return tree
 
 
 def _smooth(values: list[float], width: int = 2) -> list[float]:
@@ -223,46 +273,151 @@ def _smooth(values: list[float], width: int = 2) -> list[float]:
     return out
 
 
-def _common(paths: list[tuple[str, ...]]) -> tuple[str, ...]:
-    """The longest path that all paths begin with."""
-    a, b = min(paths), max(paths)
-    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    return a[:k]
-
-
-def content_blocks(page: str, share: float = 0.1) -> list[str]:
-    """The blocks of text that a page's content paths hold."""
-    found = [(p, t) for p, t, out in blocks(page) if not out]
-    if not found:
-        return []
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for p, t in found:
+def path_scores(blocks: list[tuple[int, str, int]], marks: list[float]) -> tuple[dict[int, float], dict[int, float], dict[int, float]]:
+    """Blocks as (path, text, characters in links) and what markup adds to each -> by path: the ratios' part of the score, the whole score, the link share."""
+    length, points, linked, count = (defaultdict(int) for _ in range(4))
+    for p, t, x in blocks:
         length[p] += len(t)
-        marks[p] += len(PUNCTUATION.findall(t))
+        points[p] += len(PUNCTUATION.findall(t))
+        linked[p] += x
         count[p] += 1
-    text_ratio = _smooth([length[p] / count[p] for p, _ in found])
-    mark_ratio = _smooth([marks[p] / count[p] for p, _ in found])
-    score: dict[tuple[str, ...], float] = defaultdict(float)
-    for (p, _), x, y in zip(found, text_ratio, mark_ratio, strict=True):
-        score[p] += sqrt(x * (1 + length[p] / count[p])) * (0.1 + y + marks[p] / count[p]) / count[p]
-    total = sum(length.values())
-    mean = sum(score[p] * length[p] for p in length) / total
-    chosen = {p for p in score if score[p] >= share * mean}
-    if any("article" in p or "main" in p for p in chosen):  # the page says itself where its article is
-        chosen = {p for p in chosen if "article" in p or "main" in p}
-        sure = [p[: next(i for i, t in enumerate(p) if t in ("article", "main")) + 1] for p in chosen]
+    texts = _smooth([length[p] / count[p] for p, _, _ in blocks])
+    stops = _smooth([points[p] / count[p] for p, _, _ in blocks])
+    ratios, whole = defaultdict(float), defaultdict(float)
+    share = {p: linked[p] / length[p] for p in length}
+    for (p, _, _), x, y, mark in zip(blocks, texts, stops, marks, strict=True):
+        own, own_points = length[p] / count[p], points[p] / count[p]
+        s = 0.5 * (log1p(x) + log1p(own)) + 0.5 * (log(0.1 + y) + log(0.1 + own_points)) + log(1.05 - share[p])
+        ratios[p] += s / count[p]
+        whole[p] += (s + mark) / count[p]
+    return ratios, whole, share
+
+
+def content_blocks(page: str) -> list[str]:
+    """The blocks of text that belong to a page's article, in page order."""
+    tree = parse(page)
+    found = tree.blocks
+    if not found:
+        return []
+    n = len(tree.tag)
+    above = [0.0] * n  # the strongest mark on the way from the root
+    holds_article = [False] * n
+    for i in range(n - 1, -1, -1):
+        if (tree.tag[i] in ("article", "main") or holds_article[i]) and tree.parent[i] >= 0:
+            holds_article[tree.parent[i]] = True
+    for i in range(n):
+        own = 0.0 if holds_article[i] and tree.tag[i] not in PLAIN_TAGS else tree.mark[i]
+        above[i] = min(own, above[tree.parent[i]] if tree.parent[i] >= 0 else 0.0)
+    at = [b[0] for b in found]
+    blocks = [(tree.path[e] if e >= 0 else -1, t, x) for e, t, x in found]
+    marks = [(above[e] + IN_ARTICLE * tree.article[e]) if e >= 0 else 0.0 for e in at]
+    ratios, whole, share = path_scores(blocks, marks)
+    size = sum(len(t) for _, t, _ in blocks)
+    clear = [k for k, e in enumerate(at) if e < 0 or above[e] > PLAIN]
+    if not clear:
+        return []
+    mass = sum(len(blocks[k][1]) for k in clear)
+    level = sum(whole[blocks[k][0]] * len(blocks[k][1]) for k in clear) / mass - MARGIN
+    plain_level = sum(ratios[blocks[k][0]] * len(blocks[k][1]) for k in clear) / mass - MARGIN
+
+    def subtree(values: list[float]) -> list[float]:
+        """Sums over each element's blocks, those of the elements inside it too."""
+        out = [0.0] * n
+        for e, x in zip(at, values, strict=True):
+            if e >= 0:
+                out[e] += x
+        for i in range(n - 1, -1, -1):
+            if tree.parent[i] >= 0:
+                out[tree.parent[i]] += out[i]
+        return out
+
+    text_in = subtree([float(len(t)) for _, t, _ in blocks])
+    score_in = subtree([ratios[p] * len(t) for p, t, _ in blocks])
+    gone = [False] * n
+    for i in range(n):
+        own = 0.0 if holds_article[i] and tree.tag[i] not in PLAIN_TAGS else tree.mark[i]
+        if own and text_in[i]:
+            speaks = score_in[i] / text_in[i] - plain_level if text_in[i] else 0.0
+            ruled = own + max(-MOST, min(MOST, speaks)) < 0
+            if tree.tag[i] == "form" and own == OTHER:  # a form, unless it stands around most of the page's text
+                ruled = text_in[i] <= 0.5 * size
+        else:
+            ruled = False
+        gone[i] = ruled or (tree.parent[i] >= 0 and gone[tree.parent[i]])
+    free = [e < 0 or not gone[e] for e in at]
+    chosen = [f and whole[p] >= level for f, (p, _, _) in zip(free, blocks, strict=True)]
+    content = [len(t) * c for (_, t, _), c in zip(blocks, chosen, strict=True)]
+    inside = subtree([float(x) for x in content])
+    total = float(sum(content))
+    if not total:
+        return []
+    named = sum(x for e, x in zip(at, content, strict=True) if e >= 0 and tree.article[e])
+    roots: set[int] = set()
+    if named >= total / 2:  # the page says itself where its article is
+        for e, c in zip(at, chosen, strict=True):
+            if c and e >= 0 and tree.article[e]:
+                while tree.parent[e] >= 0 and tree.article[tree.parent[e]]:
+                    e = tree.parent[e]
+                roots.add(e)
     else:
-        sure = [_common([p[:-1] for p in chosen])]
-    roots = set(sure)
-    kept = [p in chosen or any(p[: len(r)] == r for r in roots) for p, _ in found]
+        scored = subtree([whole[p] * x for (p, _, _), x in zip(blocks, content, strict=True)])
+        best = _deepest(tree, [(e, whole[p]) for e, c, (p, _, _) in zip(at, chosen, blocks, strict=True) if c], inside, scored, total)
+        while best >= 0 and tree.tag[best] in INLINE | {"p", "li", "td", "tr", "tbody", "dd", "dt", "ul", "ol"} and tree.parent[best] >= 0:
+            best = tree.parent[best]
+        if best >= 0:
+            roots.add(best)
+    within = [False] * n
+    for i in range(n):
+        within[i] = i in roots or (tree.parent[i] >= 0 and within[tree.parent[i]])
+
+    def links_alone(p: int) -> bool:
+        return share[p] >= LINKS and ratios[p] < plain_level - LINKS_BELOW
+
+    kept = [f and (not roots or (e >= 0 and within[e])) and not links_alone(p) for e, f, (p, _, _) in zip(at, free, blocks, strict=True)]
     follows = None
-    for i in range(len(found) - 1, -1, -1):
-        p = found[i][0]
-        if kept[i]:
-            follows = p
-        elif p and HEADING.match(p[-1]) and follows is not None and follows[: len(p) - 1] == p[:-1]:
-            kept[i] = True
-    return [t for (_, t), k in zip(found, kept, strict=True) if k]
+    for k in range(len(found) - 1, -1, -1):
+        e = at[k]
+        if kept[k]:
+            follows = e
+        elif free[k] and e >= 0 and HEADING.match(tree.tag[e]) and follows is not None and _holds(tree, tree.parent[e], follows):
+            kept[k] = True
+            follows = e
+    return [t for (_, t, _), k in zip(blocks, kept, strict=True) if k]
+
+
+def _deepest(tree: Tree, content: list[tuple[int, float]], inside: list[float], scored: list[float], total: float) -> int:
+    """The deepest element that holds HELD of the content text and scores LOWER above all content outside it; -1: none. content: (element, score) of each block; inside, scored: content text in each element, and its score by text."""
+    n = len(tree.tag)
+    highest = [-1e9] * n
+    own = [-1e9] * n
+    loose = -1e9  # content in no element
+    for e, s in content:
+        if e >= 0:
+            own[e] = max(own[e], s)
+        else:
+            loose = max(loose, s)
+    below: dict[int, list[int]] = defaultdict(list)
+    for i in range(n - 1, -1, -1):
+        highest[i] = max(highest[i], own[i])
+        if inside[i]:
+            below[tree.parent[i]].append(i)
+            if tree.parent[i] >= 0:
+                highest[tree.parent[i]] = max(highest[tree.parent[i]], highest[i])
+    best, outside = -1, loose
+    while True:
+        child = max(below[best], key=lambda i: inside[i], default=-1)
+        if child < 0 or inside[child] < HELD * total:
+            return best
+        outside = max([outside, own[best] if best >= 0 else -1e9, *(highest[i] for i in below[best] if i != child)])
+        if outside > scored[child] / inside[child] - LOWER:
+            return best
+        best = child
+
+
+def _holds(tree: Tree, outer: int, e: int) -> bool:
+    while e > outer:
+        e = tree.parent[e]
+    return e == outer
 
 
 def main_text(page: str | None) -> str:
@@ -274,7 +429,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Null or empty html, and a page without content: empty text. Malformed markup is read to
     its end. Repeated rows come out once each; an empty table gives no rows; other columns
-    are not read. A batch holds few pages, so that long ones do not add up.
+    are not read. Whole pages count, however long; a batch holds few, so that long ones do not add up.
     """
     types = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
 
