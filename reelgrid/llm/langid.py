@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,6 @@ UNKNOWN = "und"
 BUCKET_BITS = 15
 DIM = 8
 ROWS_PER_LANG = 800  # bound of the training sample: labelled rows of each language, about
-MAX_LANGS = 300  # the most frequent languages that are learned
 SNIPPETS = (40, 160, 640)  # code points of the snippets cut from each sampled row
 EPOCHS, BATCH, RATE = 6, 64, 2.0
 REJECT_QUANTILE = 0.0005  # share of right held-back predictions that the threshold may reject
@@ -170,17 +168,17 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
     """Snippets of about ROWS_PER_LANG rows of each language, drawn by a hash of the id, never of held-out rows."""
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(F.col(text_col)) > 0))
-    by_lang = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    counts = {r["lang"]: r["n"] for r in by_lang.collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     if not counts:
         return [], []
     u = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)), F.lit(1 << 40))
-    share = [F.when((F.col(lang_col) == k) & (u < int((1 << 40) * min(1.0, ROWS_PER_LANG / n))), True) for k, n in counts.items()]
-    drawn = labelled.where(reduce(lambda a, b: F.coalesce(a, b), share))
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int((1 << 40) * min(1.0, ROWS_PER_LANG / n)))])
+    drawn = labelled.where(u < share[F.col(lang_col)])
     start = F.xxhash64(F.col(id_col), F.lit(12))
     cut = [F.substring(F.col(text_col), F.pmod(start, F.greatest(F.lit(1), F.length(text_col) - n)).cast("int") + 1, F.lit(n)) for n in SNIPPETS]
     rows = drawn.select(F.col(lang_col).alias("lang"), *(c.alias(f"s{i}") for i, c in enumerate(cut))).distinct()
-    rows = rows.limit(2 * ROWS_PER_LANG * len(counts)).collect()
+    # the draw comes near ROWS_PER_LANG; many rows of one id and text would be one draw, and are one row here
+    rows = rows.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(2 * ROWS_PER_LANG * len(counts)).collect()
     rows.sort(key=lambda r: tuple(r))
     return [r[f"s{i}"] for r in rows for i in range(len(SNIPPETS))], [r["lang"] for r in rows for _ in SNIPPETS]
 
@@ -188,13 +186,14 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows as struct `doc`, and a struct `lang` (pred, score, rejected)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # 2^15 buckets x languages
+    # 2^15 buckets x languages; plain values, as workers read broadcasts without this package
+    shared = spark.sparkContext.broadcast((model.langs, model.logits, model.temperature, model.threshold))
 
     @F.pandas_udf("pred string, score double, rejected boolean")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words = Subwords()
+        words, known = Subwords(), Model(*shared.value)
         for texts in batches:
-            yield pd.DataFrame([predict(shared.value, words, t) for t in texts], columns=["pred", "score", "rejected"])
+            yield pd.DataFrame([predict(known, words, t) for t in texts], columns=["pred", "score", "rejected"])
 
     return docs.select(F.struct("*").alias("doc"), apply(F.col(text_col)).alias("lang"))
 

@@ -78,13 +78,14 @@ def test_ratios_decide_where_nothing_is_named(pages):
 
 
 def test_without_ratios_other_pages_come_out(monkeypatch):
-    """The ratios change what comes out: flat ones, and a threshold that none reaches."""
+    """The ratios change what comes out: thresholds that all reach, and flat ones."""
     prose = "".join(f"<p>{SENTENCE * 4}</p>" for _ in range(5))
     menu = "<ul>" + "".join(f"<li><a href=x>Item {i}</a></li>" for i in range(8)) + "</ul>"
     page = f"<body><div>{menu}</div><div>{prose}<section id='related-work'><p>{SENTENCE * 3}</p></section></div><div>Short end.</div></body>"
     want = [(SENTENCE * 4).strip()] * 5 + [(SENTENCE * 3).strip()]
     assert hx.content_blocks(page) == want
     monkeypatch.setattr(hx, "LOWER", 100.0)
+    monkeypatch.setattr(hx, "MARGIN", 100.0)
     assert hx.content_blocks(page) != want
     monkeypatch.undo()
     monkeypatch.setattr(hx, "path_scores", lambda blocks, marks: ({p: 0.0 for p, *_ in blocks}, {p: 0.0 for p, *_ in blocks}, {p: 0.0 for p, *_ in blocks}))

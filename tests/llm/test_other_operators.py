@@ -1,8 +1,11 @@
 """PII, embeddings, HTML, language and chat against plain Python."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -252,3 +255,32 @@ def test_empty_tables_and_clashing_names(spark):
     assert extract_main_text(page).first().text == "Hi, you."
     talk = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string").select("*", *many)
     assert read_back(chat_windows(talk)).first().turns == "user\nx\n"
+
+
+APART = '''
+import os, sys
+sys.path.insert(0, {repo!r})
+import __spark_entry__ as entry
+sys.path.remove({repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+for name in {names!r}:
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0, name
+print("all ran")
+'''
+
+
+def test_workers_need_no_package_on_their_path(tmp_path):
+    """From another folder, with an empty PYTHONPATH: the driver alone knows where the code is."""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith("SPARK") and not k.startswith("PYSPARK")}
+    names = ["op3_embedding_dedup", "op4_main_text", "op5_language", "op6_simhash", "op7_packing", "pipeline"]
+    out = subprocess.run([sys.executable, "-c", APART.format(repo=repo, names=names)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all ran" in out.stdout, out.stderr[-2000:]
+
+
+def test_training_sample_is_the_same_on_every_run_and_knows_all_languages(spark):
+    rows = [(i, f"word{i % 7} text{i % 400} some more", f"l{i % 400}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = training_sample(df), training_sample(df.repartition(5))
+    assert a == b and len(set(a[1])) == 400
