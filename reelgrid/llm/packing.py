@@ -8,8 +8,10 @@ that crosses has a boundary piece on each side. Nothing is sorted or shuffled.
 
 from __future__ import annotations
 
-import base64
 import os
+import re
+import sys
+import types
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from reelgrid.llm.scratch import Scratch
 
 WINDOW = 2048
-#: A worker remembers the ids of the last so many to twice so many distinct words.
-MEMO = 300_000
+#: A worker remembers the ids of the last so many to twice so many distinct words, over all its tasks.
+MEMO = 150_000
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -32,40 +34,80 @@ def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str):
-    """Text -> ids as little-endian bytes of `width` each, equal to the tokenizers library's encode of the whole text.
+#: Latin letters, then ASCII punctuation: two tokens of the pre-tokenizer.
+WORD = re.compile(r"([A-Za-z\u00AA-\u024F]+)([!-/:-@\[-`{-~]*)")
 
-    Where all white space is single spaces and line feeds between other characters, the
-    vocabulary's pre-tokenizer begins a new token before each of them, so the text is
-    encoded word by word and the words' ids remembered; other texts are encoded whole.
-    Strings of special tokens are ordinary text.
+
+def _byte_letters(split) -> dict[int, str]:
+    """How the vocabulary shows each byte of two-byte letters, asked of its pre-tokenizer."""
+    shown = {}
+    for code in range(0x80, 0x250):
+        if chr(code).isalpha():
+            piece = split(chr(code))[0][0]
+            shown |= dict(zip(chr(code).encode(), piece, strict=True))
+    return shown
+
+
+def encoder(path: str, plain_specials: bool = False):
+    """Text -> ids as little-endian bytes of `width` each, equal to the tokenizers library's encode of the whole text without special tokens added.
+
+    Strings of special tokens inside a text get those tokens' ids, as the library has it;
+    with plain_specials they are ordinary text. Where all white space is single spaces and
+    line feeds between other characters, the vocabulary's pre-tokenizer begins a new token
+    before each of them, so the text is encoded word by word and the words' ids remembered:
+    a word's pieces by the library's pre-tokenizer, their ids by its model. Other texts, and
+    those with a special token's string, are encoded whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    small = tok.get_vocab_size() <= 1 << 16
-    dtype = np.dtype("<u2" if small else "<u4")
-
-    def plain(text: str) -> bytes:
+    tok.encode_special_tokens = plain_specials
+    dtype = np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
+    specials = () if plain_specials else tuple(t.content for t in tok.get_added_tokens_decoder().values())
+    raw = [np.array([i], dtype).tobytes() for i in range(tok.get_vocab_size())]
+    merge, split = tok.model.tokenize, tok.pre_tokenizer.pre_tokenize_str
+    by_word = tok.normalizer is None
+
+    def whole(text: str) -> bytes:
         return np.array(tok.encode(text, add_special_tokens=False).ids, dtype).tobytes()
 
-    whole, word = _same_ranks(path, dtype) or (plain, lambda w: plain(" " + w))
-    marks = {c: plain(c) for c in ".,;:!?|"}
+    def word(text: str) -> bytes:
+        return b"".join([raw[t.id] for piece, _ in split(text) for t in merge(piece)])
+
+    def letters(lead: str, w: str) -> bytes:
+        piece = lead + (w if w.isascii() else w.encode().decode("latin-1").translate(shown))
+        return b"".join([raw[t.id] for t in merge(piece)])
+
+    space, line = (split(c + "a")[0][0][:-1] if by_word else "" for c in " \n")
+    feed = word("\n") if by_word else b""
+    by_word = by_word and bool(space) and not line  # a space is the beginning of the next token, a line feed one of its own
+    shown = _byte_letters(split) if by_word else {}
+
+    class Tails(dict):
+        def __missing__(self, t: str) -> bytes:
+            out = self[t] = word(t)
+            return out
 
     class Memo(dict):
         older: dict[str, bytes] = {}
+        tails = Tails()
 
         def __missing__(self, w: str) -> bytes:
+            new_line = w[0] == "\n"
+            m = WORD.fullmatch(w, new_line)
             if w in self.older:
                 out = self.older[w]
-            elif w.isalpha():
-                out = word(w)
-            elif w[-1] in marks and w[:-1].isalpha():
-                out = self[w[:-1]] + marks[w[-1]]
+            elif m and m[1].isalpha():
+                head, tail = m[1], m[2]
+                if new_line:
+                    out = feed + letters("", head)
+                else:
+                    out = self[head] if tail else letters(space, head)
+                if tail:
+                    out += self.tails[tail] if len(tail) < 8 else word(tail)
             else:
-                out = whole(w if w[0] == "\n" else " " + w)
+                out = word(w if new_line else " " + w)
             if len(w) < 64:
                 if len(self) >= MEMO:
                     self.older = dict(self)
@@ -76,40 +118,31 @@ def encoder(path: str):
     ids_of = Memo().__getitem__
 
     def encode(text: str) -> bytes:
-        if not text or " ".join(text.split()) != text.replace("\n", " "):
-            return whole(text) if text else b""
+        if not text:
+            return b""
+        if not by_word or any(s in text for s in specials) or " ".join(text.split()) != text.replace("\n", " "):
+            return whole(text)
         first, *words = text.replace("\n", " \n").split(" ")
-        return whole(first) + b"".join(map(ids_of, words))
+        return word(first) + b"".join(map(ids_of, words))
 
     return encode, dtype
 
 
-def _same_ranks(path: str, dtype: np.dtype):
-    """The same vocabulary for tiktoken, where a file of it lies beside: several times as fast.
-    Two functions: of any text, and of a word of letters with a space before it."""
-    beside = path[: -len(".json")] + ".tiktoken"
-    if not path.endswith("byte_bpe_50k.json") or not os.path.exists(beside):
-        return None
-    import public_tokenizers
-    import tiktoken
-
-    with open(beside, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    raw = [np.array([i], dtype).tobytes() for i in range(len(ranks))]
-    piece = enc._core_bpe.encode_single_piece
-    return (
-        lambda text: np.array(enc.encode_ordinary(text), dtype).tobytes(),
-        lambda w: b"".join([raw[i] for i in piece(b" " + w.encode())]),
-    )
+def shared_encoder(path: str, plain_specials: bool = False):
+    """This process's one encoder of a vocabulary. Kept in a module of its own: code that came by value with a task has new globals each time."""
+    kept = sys.modules.setdefault("_reelgrid_worker", types.ModuleType("_reelgrid_worker")).__dict__
+    key = f"encoder {plain_specials} {path}"
+    if key not in kept:
+        kept[key] = encoder(path, plain_specials)
+    return kept[key]
 
 
-def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int) -> DataFrame:
+def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, plain_specials: bool = False) -> DataFrame:
     """Rows (id, part, at, n, width, ids): the document's place inside its partition, and its ids with end_id last."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, dtype = encoder(path)
+        encode, dtype = shared_encoder(path, plain_specials)
         end, part, at = np.array([end_id], dtype).tobytes(), TaskContext.get().partitionId(), 0
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
@@ -127,15 +160,17 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {id_type}, part long, at long, n long, width int, ids binary")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, path: str | None = None, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, path: str | None = None, end_id: int = 1, plain_specials: bool = False) -> DataFrame:
     """Pieces: id_col, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     Null or empty text: the end id alone. Every id of every row lies in exactly one piece;
     all sequences but the last are full. Repeated rows are packed each time; an empty
-    table gives no rows; other columns are not read.
+    table gives no rows; other columns are not read. Whole texts count; a document's ids are
+    one binary cell. Strings of special tokens inside texts get those tokens' ids unless
+    plain_specials is set.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    rows = scratch.put(tokenized(docs, id_col, text_col, path or public_vocabulary(), end_id), "ids")
+    rows = scratch.put(tokenized(docs, id_col, text_col, path or public_vocabulary(), end_id, plain_specials), "ids")
     totals = sorted((r.part, r.n) for r in rows.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row per input split
     before = dict(zip((p for p, _ in totals), accumulate((n for _, n in totals), initial=0), strict=False))
     id_type = docs.schema[id_col].dataType.simpleString()

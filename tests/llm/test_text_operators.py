@@ -253,10 +253,13 @@ def test_dense_groups_over_many_partitions(spark):
     assert n < 10 * len(fps)  # with 4 to 8 tasks a link a node each
 
 
-def test_encoder_equals_the_library():
-    encode, dtype = encoder(public_vocabulary())
+@pytest.mark.parametrize("plain_specials", [False, True])
+def test_encoder_equals_the_library(plain_specials):
+    encode, dtype = encoder(public_vocabulary(), plain_specials)
     tok = Tokenizer.from_file(public_vocabulary())
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = plain_specials
+    assert np.frombuffer(encode("x <|endoftext|> y"), dtype).tolist() == tok.encode("x <|endoftext|> y", add_special_tokens=False).ids
+    assert (50256 in np.frombuffer(encode("x <|endoftext|> y"), dtype)) != plain_specials
     rng = random.Random(1)
     some = [" ", " ", "\n", "  ", "\t", "a", "Bc", "'s", "12", "é", " ", "　", ".", ",", "|", "<|endoftext|>", "\r\n", "日本", "\x85", "​", "\U0001f600", "ª"]
     for _ in range(3000):
@@ -264,10 +267,17 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(encode(text), dtype).tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_on_a_table(spark):
+    """Every text of sf0.01 as the library encodes it."""
+    encode, dtype = encoder(public_vocabulary())
+    tok = Tokenizer.from_file(public_vocabulary())
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").collect():
+        assert np.frombuffer(encode(r.text), dtype).tolist() == tok.encode(r.text, add_special_tokens=False).ids
+
+
 def test_pack(spark, odd_rows):
     tok = Tokenizer.from_file(public_vocabulary())
-    tok.encode_special_tokens = True
-    rows = [r for r in odd_rows if r[0] is not None and r[0] != 103]
+    rows = [r for r in odd_rows if r[0] is not None and r[0] != 103] + [(700, "x <|endoftext|> y<|endoftext|>", "a")]
     got = pack(docs(spark, rows).repartition(3), window=64).collect()
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [1] for i, t, _ in rows}
     pieces, sequences = defaultdict(list), defaultdict(list)
