@@ -25,7 +25,7 @@ from reelgrid.llm.scratch import Scratch
 
 WINDOW = 2048
 #: A worker remembers the ids of the last so many to twice so many distinct words, over all its tasks.
-MEMO = 150_000
+MEMO = 300_000
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
