@@ -3,13 +3,13 @@
 Documents of one key (equal texts by default) are linked through one hub, not in pairs. Hubs
 of a good part of a shard are placed first, largest first, each whole where a shard has room
 for it; only others are split, into as few parts as that gives. The other rows begin dealt
-out evenly; then each hub's documents move to the shard that holds most of them, as long as
-the shard has room or gives up as many itself. Hubs that this leaves apart, or in a shard
-beyond its room, fill whatever room the shards have. At last shards that hold too many rows
+out evenly; then, round by round, each document is joined to the shard that most documents of
+its hub lie in and moves there, as long as that shard has room or gives up as many itself.
+Hubs that this leaves apart, or in a shard beyond its room, fill whatever room the shards have. At last shards that hold too many rows
 hand over unlinked documents, until the counts are at most one apart.
 
-State is one row per hub and shard; only sums per shard and the large hubs, of which there
-are at most shards / LARGE_SHARE, come to the driver.
+Only sums per pair of shards and the large hubs, of which there are at most
+shards / LARGE_SHARE, come to the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from reelgrid.llm.scratch import Scratch, numbered
 
 SHARDS = 8
-ROUNDS = 6
+ROUNDS = 12  # at most; rounds end when no document would move
 #: A hub of more than this share of a shard is placed by itself.
 LARGE_SHARE = 1 / 64
 
@@ -63,25 +63,32 @@ def _place(hubs: list[tuple[str, int]], room: dict[int, int]) -> list[tuple[str,
     return out
 
 
-def _propagate(state: DataFrame, scratch: Scratch, room: dict[int, int], rounds: int) -> DataFrame:
-    """state (hub, shard, n) -> the same after the moves; room: rows that each shard can take."""
+def _propagate(docs: DataFrame, scratch: Scratch, room: dict[int, int], rounds: int) -> DataFrame:
+    """docs (hub, shard), a row per linked document -> (hub, shard, n) after the moves; room: rows that each shard can take.
+
+    Each round counts every hub's documents by shard and joins its documents to the shard that
+    holds most of them; of those that would move to a shard, as many as it has room for do,
+    whole hubs at a time. A shard that had to refuse is chosen last in the next round.
+    """
+    refused: list[int] = []
     for k in range(rounds):
-        best = Window.partitionBy("hub").orderBy(F.desc("n"), F.xxhash64("hub", "shard"))
-        all_of = Window.partitionBy("hub")
-        seen = state.withColumns({"to": F.first("shard").over(best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "total": F.sum("n").over(all_of)})
-        moving = F.when(F.col("shard") != F.col("to"), F.col("n")).otherwise(0)
-        sums = seen.select(F.explode(F.array(
-            F.struct(F.col("shard").alias("s"), F.col("n").alias("load"), moving.alias("leave"), F.lit(0).cast("long").alias("come")),
-            F.struct(F.col("to").alias("s"), F.lit(0).cast("long").alias("load"), F.lit(0).cast("long").alias("leave"), moving.alias("come")),
-        )).alias("x")).groupBy("x.s").agg(F.sum("x.load").alias("load"), F.sum("x.leave").alias("leave"), F.sum("x.come").alias("come")).collect()
-        if not any(r["come"] for r in sums):
+        votes = docs.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
+        ready = F.when(F.col("shard").isin(refused), 0).otherwise(1) if refused else F.lit(1)
+        target = votes.groupBy("hub").agg(F.max_by("shard", F.struct(ready.alias("ready"), "n", F.xxhash64("hub", "shard"))).alias("to"))
+        wished = scratch.put(docs.join(scratch.put(target, f"target-{k}"), "hub"), f"wished-{k}")
+        flows = {(r["shard"], r["to"]): r["n"] for r in wished.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()}  # shards squared at most
+        scratch.drop(f"target-{k}", *([f"wished-{k - 1}"] if k else []))
+        come = {s: sum(n for (x, to), n in flows.items() if to == s != x) for s in room}
+        if not any(come.values()):
+            docs = wished
             break
-        share = {r["s"]: min(1.0, max(0.0, room[r["s"]] - r["load"] + r["leave"]) / r["come"]) if r["come"] else 1.0 for r in sums}
+        stay = {s: sum(n for (x, to), n in flows.items() if to == x == s) for s in room}
+        share = {s: min(1.0, max(0.0, room[s] - stay[s]) / come[s]) if come[s] else 1.0 for s in room}
+        refused = [s for s in room if share[s] < 1]
         allowed = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("to")]
         goes = F.pmod(F.xxhash64("hub", F.lit(k)), F.lit(1 << 20)) / F.lit(float(1 << 20)) < allowed
-        after = seen.withColumn("shard", F.when(goes, F.col("to")).otherwise(F.col("shard"))).groupBy("hub", "shard").agg(F.sum("n").alias("n"))
-        state = scratch.put(after, f"state-{k + 1}")
-    return state
+        docs = wished.select("hub", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard"))
+    return scratch.put(docs.select("hub", "shard").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n")), "state")
 
 
 def _settle(state: DataFrame, scratch: Scratch, room: dict[int, int]) -> tuple[DataFrame, list[tuple[str, int, int, int]]]:
@@ -162,8 +169,7 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hub = F.when(F.col("cnt") > 1, F.col("key"))
     nodes = scratch.put(nodes.select("id", "size", "crc", "_part", "_row", "shard", "cnt", hub.alias("hub")), "nodes")
     linked = nodes.where("hub is not null")
-    state = scratch.put(linked.where(~large).groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n")), "state-0")
-    state = _propagate(state, scratch, room, rounds)
+    state = _propagate(linked.where(~large).select("hub", "shard"), scratch, room, rounds)
     settled, rest = _settle(state, scratch, room)
     pieces += rest
     split = [hub for hub, parts in Counter(p[0] for p in pieces).items() if parts > 1]
@@ -180,6 +186,8 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         moved = moved.union(parts.select(*cols, to.alias("shard"), F.lit(1).alias("linked")))
     placed = scratch.put(numbered(moved.union(nodes.where("hub is null").select(*cols, "shard", F.lit(0).alias("linked")))), "placed")
     even = scratch.put(_even_out(placed, scratch, shards, n), "even")
-    return _ranked(even, ["shard"], scratch, "slots", "slot").select(
+    out = _ranked(even, ["shard"], scratch, "slots", "slot")
+    scratch.only("even", "slots")
+    return out.select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot", (F.col("linked") == 1).alias("linked"),
     )

@@ -341,6 +341,31 @@ def test_shards_leave_no_pair_apart_beside_a_hot_group(spark):
     assert sum(len(p) > 1 for t, p in places.items() if t != "hot") == 0 and len(places["hot"]) == 3
 
 
+def test_shards_keep_a_group_of_100_000_rows_whole(spark):
+    table = spark.range(900_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 == 0, "hot").when(F.col("id") % 9 < 3, F.concat(F.lit("pair "), F.floor(F.col("id") / 9).cast("string"))).otherwise(F.col("id").cast("string")).alias("text"))
+    placed = shard_rows(table).select("doc_id", "shard").join(table, "doc_id")
+    counts = [r.n for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert counts == [112_500] * 8
+    apart = placed.groupBy("text").agg(F.count_distinct("shard").alias("n")).where("n > 1")
+    assert apart.count() == 0
+
+
+def test_shards_cut_no_more_than_the_best_of_all_placements(spark):
+    """Groups that just fill the shards: every placement of whole groups is tried for the fewest that must be split."""
+    from itertools import product
+
+    rng = random.Random(11)
+    for _ in range(3):
+        sizes = [rng.randint(2, 7) for _ in range(7)]
+        n = 3 * max(-(-sum(sizes) // 3), 8)
+        texts = [f"g{k}" for k, m in enumerate(sizes) for _ in range(m)] + [f"own {i}" for i in range(n - sum(sizes))]
+        best = min(sum(max(0, sum(m for m, s in zip(sizes, at) if s == k) - n // 3) for k in range(3)) for at in product(range(3), repeat=len(sizes)))
+        got = [(texts[r.doc_id], r["shard"]) for r in shard_rows(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]), shards=3).collect()]
+        assert set(Counter(s for _, s in got).values()) == {n // 3}
+        split = sum(len({s for t, s in got if t == f"g{k}"}) > 1 for k in range(len(sizes)))
+        assert split <= best + 1, (sizes, split, best)
+
+
 def test_mix(spark, odd_rows):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     got = mixing.mix_plan(docs(spark, odd_rows)).collect()
