@@ -1,12 +1,15 @@
-"""Personal data by weak supervision, in DataFrame functions only.
-
-Patterns propose spans: strict ones, whose valid matches always stand (the base), and
-loose ones. Three labelers vote on each span: its pattern (strict and valid or not), a
-gazetteer (of domains, country codes, card prefixes, network ranges) and its context
-(words before it that speak for or against). Expectation-maximisation over the counts of
-vote patterns estimates each labeler's reliability per kind without any true label. Its
-posteriors then train a logistic span classifier on the spans' own features; loose spans
-that it accepts, and that touch no base span, are added.
+"""Personal data and secrets by weak supervision, in DataFrame functions only.
+
+Patterns propose spans: strict ones, whose valid matches always stand (the base), and loose
+ones: other ways to write the base's kinds (spelled-out addresses, IPv6, national phone
+numbers), secrets, IBANs, names and postal addresses. Four labelers vote on each span: its
+pattern (does it pass the kind's check), a gazetteer (of domains, country codes, card
+prefixes, networks, given names, street words), its context (words before it that speak for
+or against, in four languages) and its shape (quoted or assigned, or glued to other
+text). Expectation-maximisation over the counts of vote patterns estimates each
+labeler's reliability per kind without any true label. Its posteriors then train a logistic
+span classifier on the spans' own features; loose spans that it accepts, that the words
+before them do not deny, and that touch no base span, are added. Of added spans that overlap, directly or over others, the first stays.
 
 The text is read once; from then on only spans move. Counts of vote and feature patterns,
 of which there is a fixed number, come to the driver.
@@ -22,8 +25,26 @@ from pyspark.sql import functions as F
 
 from reelgrid.llm.scratch import Scratch
 
-KINDS = ("email", "ip", "card", "phone")
+#: The base's kinds, then those that only the method adds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret", "iban", "name", "address")
 
+# Gazetteers.
+DOMAIN_ENDS = "com net org edu gov io co info biz eu de fr es uk us ca it nl ch at be pl ru jp cn in br au"
+COUNTRY_CODES = r"^\+?(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-9][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[7-9][0-9]|8[0578][0-9]|9[679][0-9])"
+CARD_PREFIXES = r"^(?:4|5[1-5]|2[2-7]|3[0-9]|6[0-9])"
+PUBLIC_NETWORKS = r"^(?!0\.|127\.|22[4-9]\.|2[345][0-9]\.)"
+IBAN_COUNTRIES = "AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SA SE SI SK SM TR"
+GIVEN_NAMES = (
+    "Alice Amelia Andrew Barbara Benjamin Brian Carlos Catherine Charles Charlotte Christian Christopher Claudia Daniel David Deborah Diego Dorothy Edward Elizabeth Emily Emma Fernando Florian Frank "
+    "François Françoise Gabriel George Gerhard Hannah Harold Heinrich Helmut Isabella Jack Jacob Jacques James Javier Jean Jennifer Jessica Jonathan Jorge José Joseph Joshua Juan Jürgen Karen Karl Katharina "
+    "Kevin Klaus Laura Linda Lucas Luis Manuel Margaret Maria María Marie Mark Martin Mary Matthew Michael Michel Miguel Nancy Nicolas Olivia Pablo Patricia Patrick Paul Pedro Peter Philippe Pierre Rachel Ricardo "
+    "Richard Robert Roberto Ronald Samuel Sandra Sarah Sofia Sophie Stefan Stephen Susan Thomas Ursula Victoria William Wolfgang"
+)
+TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Señor Señora Sr Sra"
+STREETS = "Street Avenue Road Lane Drive Boulevard Square Terrace Crescent"
+
+_CAPITAL = r"\p{Lu}\p{Ll}++"
 # Strict patterns, with possessive parts where giving back could not help: a long run of
 # letters or digits is read once and needs no stack.
 STRICT = {
@@ -32,44 +53,63 @@ STRICT = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-LOOSE = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)|\{at\}) ?[a-z0-9-]{1,63}+(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}) ?[a-z0-9-]{1,63}+){1,8}",
-    "ip": r"(?i)(?<![0-9a-f:.])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:.])",
-    "card": r"(?<![0-9./_])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9./_])",
-    "phone": r"(?<![0-9+()./-])(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])",
-}
-#: A text without a match of this has none of the kind's pattern either; cheaper to look for.
-HINT = {
-    ("email", True): "@", ("phone", True): "+", ("email", False): r"(?i)[\[({]at[\])}]", ("ip", False): r"(?i)[0-9a-f]:[0-9a-f]{1,4}:[0-9a-f]",
-    ("ip", True): r"[0-9]\.[0-9]", ("card", True): r"[0-9][\x20-]?[0-9]", ("card", False): r"[0-9]{4}[./_][0-9]{4}", ("phone", False): r"[0-9]\)?[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3}",
-}
+SECRET_WORDS = r"password|passwd|pwd|passphrase|passwort|contraseña|mot de passe|secret|token|api[_-]?key|access[_-]?key|private[_-]?key"
+#: How keys of well-known services begin.
+KNOWN_KEYS = r"^(?:sk|pk|ghp|gho|xox[bap]|AKIA|eyJ)[A-Za-z0-9_+/-]{12,}"
+#: (kind, pattern); more than one for a kind.
+LOOSE = (
+    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?(?:\[at\]|\(at\)|\{at\}) ?[a-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)|\{dot\}) ?[a-z0-9-]++)++"),
+    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ at [a-z0-9-]++(?: dot [a-z0-9-]++)++"),
+    ("ip", r"(?i)(?<![0-9a-z:.])(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,6})(?![0-9a-z:]|\.[0-9])"),
+    ("card", r"(?<![0-9./_])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9]|[./_][0-9])"),
+    ("phone", r"(?<![0-9+()./-])(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9]|[.-][0-9])"),
+    ("secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"),
+    ("secret", rf"(?i)(?<=\b(?:{SECRET_WORDS})[\"']?[ ]?[:=][ ]?[\"']?)[^\s\"',;<>:=]{{6,}}+"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("name", rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{TITLES.replace(' ', '|')})\.? {_CAPITAL}(?:[ -]{_CAPITAL})?|(?:{GIVEN_NAMES.replace(' ', '|')}) (?:\p{{Lu}}\. )?{_CAPITAL}(?:-{_CAPITAL})?)"),
+    ("address", rf"(?<![\p{{L}}0-9])[0-9]{{1,5}} (?:{_CAPITAL} ){{1,3}}(?:{STREETS.replace(' ', '|')})(?!\p{{L}})"),
+    ("address", r"(?<!\p{L})\p{Lu}\p{Ll}+(?:straße|strasse|weg|platz|allee) [0-9]{1,4}[a-z]?(?![\p{L}0-9])"),
+    ("address", rf"(?<![\p{{L}}0-9])(?:[0-9]{{1,4}},? (?:rue|avenue|boulevard|place|chemin) (?:de la |de |du |des )?{_CAPITAL}|(?:Calle|Avenida|Plaza) (?:de la |de |del )?{_CAPITAL},? [0-9]{{1,4}}(?![0-9]))"),
+)
+#: Patterns by number: (kind, strict, pattern, hint). A text without a match of the hint has none of the pattern either; cheaper to look for.
+_HINTS = (
+    "@", r"[0-9]\.[0-9]", r"[0-9][\x20-]?[0-9]", "+", r"(?i)[\[({]at[\])}]", r"(?i) dot ", r"(?i)[0-9a-f]:[0-9a-f]{0,4}:[0-9a-f]", r"[0-9]{4}[./_][0-9]{4}", r"[0-9]\)?[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3}",
+    r"[0-9][A-Za-z+/_-]|[A-Za-z+/_-][0-9]", r"(?i)(?:pass|pwd|secret|token|key|contrase)[a-zñ _-]{0,8}[\"']? ?[:=]", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", r"\p{Lu}\p{Ll}+\.? \p{Lu}", rf"(?:{STREETS.replace(' ', '|')})",
+    r"(?:straße|strasse|weg|platz|allee) [0-9]", r"(?:rue|avenue|boulevard|place|chemin|Calle|Avenida|Plaza) ",
+)
+PATTERNS = tuple((k, strict, p, hint) for (k, strict, p), hint in zip([*((k, True, p) for k, p in STRICT.items()), *((k, False, p) for k, p in LOOSE)], _HINTS, strict=True))
 IP_PARTS = r"^0*(?:1?[0-9]{1,2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:1?[0-9]{1,2}|2[0-4][0-9]|25[0-5])){3}$"
 
-# Gazetteers.
-DOMAIN_ENDS = "com net org edu gov io co info biz eu de fr es uk us ca it nl ch at be pl ru jp cn in br au"
-COUNTRY_CODES = r"^\+?(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-9][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[7-9][0-9]|8[0578][0-9]|9[679][0-9])"
-CARD_PREFIXES = r"^(?:4|5[1-5]|2[2-7]|3[0-9]|6[0-9])"
-PUBLIC_NETWORKS = r"^(?!0\.|127\.|22[4-9]\.|2[345][0-9]\.)"
+#: Words before a span that speak for its kind, and against it.
 FOR = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|correo|courriel|kontakt|an|to|from)\b",
     "ip": r"(?i)\b(?:ip|host|server|address|addr|from|client|serveur|servidor|adresse)\b",
     "card": r"(?i)\b(?:card|credit|visa|mastercard|amex|carte|tarjeta|karte|pay|paid|kreditkarte)\b",
     "phone": r"(?i)\b(?:phone|tel|call|fax|mobile|cell|telefon|telefono|appelez|anruf|dial|whatsapp)\b",
+    "secret": rf"(?i)\b(?:{SECRET_WORDS}|key|auth|authorization|bearer|credential|credentials|clave|schlüssel|clé)\b",
+    "iban": r"(?i)\b(?:iban|account|konto|compte|cuenta|bank|banque|banco|transfer|überweisung)\b",
+    "name": r"(?i)\b(?:name|dear|contact|signed|by|von|from|nom|nombre|llamo|heiße|appelle|sincerely|regards|hello|hi|liebe|lieber|cher|chère|estimado|estimada)\b",
+    "address": r"(?i)\b(?:address|live|lives|at|adresse|dirección|wohnt|habite|vive|street|visit|office)\b",
+}
+_NUMBERS = r"(?i)\b(?:version|isbn|issn|order|invoice|serial|password|token|hash|sha|id|ref|build|release|page|chapter|number|no|nr|part|sku|doi)[\s:=#.]*$"
+AGAINST = {k: _NUMBERS for k in BASE_KINDS} | {
+    "secret": r"(?i)(?:\b(?:commit|sha|sha-?1|sha-?256|md5|hash|digest|checksum|uuid|guid|isbn|doi|revision|version)\b[\s:=#.\"']*|https?://\S*)$",
+    "iban": r"(?i)\b(?:serial|part|sku|model|version)[\s:=#.]*$", "name": r"(?i)\b(?:the|der|die|das|le|la|les|el|los|saint|st|lake|mount|mont|monte)[\s.]*$", "address": r"(?i)\b(?:page|chapter|no|nr|version)[\s:=#.]*$",
 }
-AGAINST = r"(?i)\b(?:version|isbn|issn|order|invoice|serial|password|token|hash|sha|id|ref|build|release|page|chapter|number|no|nr|part|sku|doi)[\s:=#.]*$"
 CONTEXT = 40
 
-ROUNDS = 60
+ROUNDS = 300
 STEPS = 400
 
 
-def _positions(text: Column, pattern: str, hint: str, kind: str, strict: bool) -> Column:
-    """Array of (kind, strict, i, gap, before, after, match); gap is the length of the text between this and the previous match."""
+def _positions(text: Column, number: int) -> Column:
+    """Array of (pattern, kind, strict, i, gap, before, after, match) of a pattern; gap is the length of the text between this and the previous match."""
+    kind, strict, pattern, hint = PATTERNS[number]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.split(text, pattern, -1)
     both = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("p"), F.slice(parts, 2, F.size(found)).alias("q"), found.alias("m"))
     out = F.transform(both, lambda x, i: F.struct(
-        F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), i.alias("i"), F.length(x["p"]).alias("gap"),
+        F.lit(number).alias("pattern"), F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), i.alias("i"), F.length(x["p"]).alias("gap"),
         F.right(x["p"], F.lit(CONTEXT)).alias("before"), F.left(x["q"], F.lit(1)).alias("after"), x["m"].alias("match"),
     ))
     there = F.contains(text, F.lit(hint)) if len(hint) == 1 else F.rlike(text, F.lit(hint))
@@ -87,13 +127,28 @@ def _digits() -> Column:
     return F.regexp_replace("match", "[^0-9]", "")
 
 
+def _iban_rest() -> Column:
+    """Remainder of an IBAN modulo 97: its first four characters go last, letters count from 10."""
+    plain = F.replace("match", F.lit(" "), F.lit(""))
+    turned = F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4)))
+
+    def step(a: Column, c: Column) -> Column:
+        digit = F.ascii(c) - F.when(F.ascii(c) >= 65, 55).otherwise(48)
+        return (a * F.when(digit >= 10, 100).otherwise(10) + digit) % 97
+
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step)
+
+
 def _valid() -> Column:
-    """Whether a strict match passes its kind's check."""
+    """Whether a match passes its kind's check."""
     n = F.length(_digits())
+    mixed = F.length("match").between(20, 200) & F.rlike("match", F.lit("[a-z]")) & F.rlike("match", F.lit("[A-Z]")) & (n >= 3)
     return (
-        F.when(F.col("kind") == "ip", F.rlike("match", F.lit(IP_PARTS)))
+        F.when(F.col("kind") == "ip", F.when(F.contains("match", F.lit(":")), True).otherwise(F.rlike("match", F.lit(IP_PARTS))))
         .when(F.col("kind") == "card", F.when(n.between(12, 19), _luhn(_digits())).otherwise(False))
-        .when(F.col("kind") == "phone", n.between(9, 15)).otherwise(True)
+        .when(F.col("kind") == "phone", n.between(9, 15))
+        .when(F.col("kind") == "secret", F.rlike("match", F.lit(r"^(?i)(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$")) | F.rlike("match", F.lit(KNOWN_KEYS)) | mixed)
+        .when(F.col("kind") == "iban", F.length(F.replace("match", F.lit(" "), F.lit(""))).between(15, 34) & (_iban_rest() == 1)).otherwise(True)
     )
 
 
@@ -107,17 +162,28 @@ def _by_kind(cases: dict[str, Column]) -> Column:
 def _votes() -> dict[str, Column]:
     """1 for, -1 against, 0 no opinion."""
     end = F.lower(F.regexp_extract("match", r"([A-Za-z0-9-]+)$", 1))
+    characters = F.size(F.array_distinct(F.split(F.lower("match"), "")))
     gazetteer = _by_kind({
         "email": F.when(end.isin(*DOMAIN_ENDS.split()), 1).otherwise(-1),
         "ip": F.when(F.rlike("match", F.lit(PUBLIC_NETWORKS)), 1).otherwise(-1),
         "card": F.when(F.rlike(_digits(), F.lit(CARD_PREFIXES)), 1).otherwise(-1),
         "phone": F.when(F.startswith("match", F.lit("+")), F.when(F.rlike("match", F.lit(COUNTRY_CODES)), 1).otherwise(-1)).otherwise(0),
+        "secret": F.when(characters <= 5, -1).otherwise(0),
+        "iban": F.when(F.left("match", F.lit(2)).isin(*IBAN_COUNTRIES.split()), 1).otherwise(-1),
+        "name": F.when(F.rlike("match", F.lit(rf"\b(?:{GIVEN_NAMES.replace(' ', '|')}) ")), 1).otherwise(0),
+        "address": F.when(F.rlike("match", F.lit(r"[0-9]")), 1).otherwise(-1),
     })
     speaks = _by_kind({k: F.rlike("before", F.lit(v)) for k, v in FOR.items()})
+    denies = _by_kind({k: F.rlike("before", F.lit(v)) for k, v in AGAINST.items()})
+    titled = F.rlike("match", F.lit(rf"^(?:{TITLES.replace(' ', '|')})\b"))
+    checked = _by_kind({"iban": F.when(_valid(), 1).otherwise(-1), "secret": F.rlike("match", F.lit(KNOWN_KEYS)).cast("int"), "name": titled.cast("int")})
+    given = F.rlike("before", F.lit(r"(?:[=:]\s?|[=:]?\s?[\"'`(<\[])$"))
+    alone = ~F.rlike("before", F.lit(r"[\p{L}\p{N}=\"':/_-]$")) & ~F.rlike("after", F.lit(r"^[\p{L}\p{N}=/_-]"))
     return {
-        "v_pattern": F.when(F.col("base"), 1).when(F.col("strict"), -1).otherwise(0),
+        "v_pattern": F.when(F.col("base"), 1).when(F.col("strict"), -1).otherwise(F.coalesce(checked, F.lit(0))),
         "v_gazetteer": gazetteer,
-        "v_context": F.when(F.rlike("before", F.lit(AGAINST)), -1).when(speaks, 1).otherwise(0),
+        "v_context": F.when(denies, -1).when(speaks, 1).otherwise(0),
+        "v_shape": F.when(given, 1).when(alone, 0).otherwise(-1),
     }
 
 
@@ -128,11 +194,14 @@ def _features() -> dict[str, Column]:
         "f_long": F.when(n > 10, 1).otherwise(0), "f_marked": F.rlike("match", F.lit(r"[@+(\[{]")).cast("int"),
         "f_split": F.rlike("match", F.lit(r"[0-9][\x20()./_-]+[0-9]")).cast("int"),
         "f_alone": (~F.rlike("before", F.lit(r"[\p{L}\p{N}=\"':/_-]$")) & ~F.rlike("after", F.lit(r"^[\p{L}\p{N}=/_-]"))).cast("int"),
+        "f_given": F.rlike("before", F.lit(r"(?:[=:]\s?|[=:]?\s?[\"'`(<\[])$")).cast("int"),
+        "f_spoken": (F.col("v_context") == 1).cast("int"), "f_denied": (F.col("v_context") == -1).cast("int"), "f_listed": (F.col("v_gazetteer") == 1).cast("int"),
+        "f_letters": F.rlike("match", F.lit(r"\p{L}")).cast("int"),
     }
 
 
-FEATURES = ("f_valid", "f_strict", "f_long", "f_marked", "f_split", "f_alone")
-VOTES = ("v_pattern", "v_gazetteer", "v_context")
+FEATURES = ("f_valid", "f_strict", "f_long", "f_marked", "f_split", "f_alone", "f_given", "f_spoken", "f_denied", "f_listed", "f_letters")
+VOTES = ("v_pattern", "v_gazetteer", "v_context", "v_shape")
 
 
 def reliabilities(counts: dict[tuple[int, ...], int]) -> tuple[float, list[dict[int, tuple[float, float]]], dict[tuple[int, ...], float]]:
@@ -191,7 +260,7 @@ class SpanModel:
 
 
 def train_spans(spans: DataFrame) -> SpanModel:
-    """spans with kind, VOTES and FEATURES. At most 4 x 27 x 64 counts come to the driver."""
+    """spans with kind, VOTES and FEATURES. A count for each of their combinations comes to the driver: a number that does not grow with the documents."""
     rows = spans.groupBy("kind", *VOTES, *FEATURES).agg(F.count(F.lit(1)).alias("n")).collect()
     weights = {}
     for kind in KINDS:
@@ -207,14 +276,14 @@ def train_spans(spans: DataFrame) -> SpanModel:
 
 
 def find_spans(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Written rows (uid, id) of all documents, and all spans that stand: uid, kind, kind_no, start, end, base, match."""
+    """Written rows (uid, id, thash) of all documents, and all spans that stand: uid, kind, kind_no, start, end, base, match."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = "array<struct<kind:string,strict:boolean,i:int,gap:int,before:string,after:string,match:string>>"
-    hits = [F.coalesce(_positions(F.col("t"), p, HINT[k, strict], k, strict).cast(none), F.array().cast(none)) for strict, table in ((True, STRICT), (False, LOOSE)) for k, p in table.items()]
-    read = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), text.alias("t"))
-    seen = scratch.put(read.select("uid", "id", F.concat(*hits).alias("hits")), "seen")
+    none = "array<struct<pattern:int,kind:string,strict:boolean,i:int,gap:int,before:string,after:string,match:string>>"
+    hits = [F.coalesce(_positions(F.col("t"), k).cast(none), F.array().cast(none)) for k in range(len(PATTERNS))]
+    read = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.xxhash64(text).alias("thash"), text.alias("t"))
+    seen = scratch.put(read.select("uid", "id", "thash", F.concat(*hits).alias("hits")), "seen")
     rows = seen.select("uid", F.explode("hits").alias("h")).select("uid", "h.*")
-    before = Window.partitionBy("uid", "kind", "strict").orderBy("i")
+    before = Window.partitionBy("uid", "pattern").orderBy("i")
     length = F.length("match")
     placed = rows.withColumn("end", F.sum(F.col("gap") + length).over(before)).withColumn("start", F.col("end") - length)
     placed = placed.withColumn("base", F.col("strict") & _valid()).drop("gap", "i")
@@ -226,8 +295,12 @@ def find_spans(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) ->
     candidates = scratch.put(placed.withColumn("free", free).where("base or free").withColumns(_votes()).withColumns(_features()), "candidates")
     model = train_spans(candidates)
     number = _by_kind({k: F.lit(i) for i, k in enumerate(KINDS)})
-    stands = candidates.where(F.col("base") | model.accepts())
-    return seen.select("uid", "id"), stands.select("uid", "kind", number.alias("kind_no"), "start", "end", "base", "match")
+    undenied = (F.col("v_context") >= 0) | (F.col("v_pattern") > 0)  # what the words before it deny is added only where it passes a check
+    stands = candidates.where(F.col("base") | (model.accepts() & undenied)).withColumn("kind_no", number)
+    earlier = Window.partitionBy("uid").orderBy("start", "kind_no", F.desc("end"), "pattern").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.max(F.when(~F.col("base"), F.col("end"))).over(earlier) > F.col("start")
+    stands = stands.withColumn("covered", ~F.col("base") & F.coalesce(covered, F.lit(False))).where("not covered")
+    return seen.select("uid", "id", "thash"), stands.select("uid", "kind", "kind_no", "start", "end", "base", "match")
 
 
 def _joined(spans: Column) -> Column:
@@ -235,40 +308,49 @@ def _joined(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id_col and `found`, its spans (start, kind_no, end, kind, base, match) in order.
+    """One row per document: id_col, thash (a hash of its text) and `found`, its spans (start, kind_no, end, kind, base, match) in order.
 
     Null text: empty. Positions are code points, the end exclusive. Added spans never touch
     base spans. Repeated rows come out once each; an empty table gives no rows; other
-    columns are not read.
+    columns are not read. Whole texts count.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     rows, spans = find_spans(docs, scratch, id_col, text_col)
     lists = spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "kind_no", "end", "kind", "base", "match"))).alias("found"))
     kind = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string,base:boolean,match:string>>"
-    return rows.join(lists, "uid", "left").select(F.col("id").alias(id_col), F.coalesce(F.col("found").cast(kind), F.array().cast(kind)).alias("found"))
+    return rows.join(lists, "uid", "left").select(F.col("id").alias(id_col), "thash", F.coalesce(F.col("found").cast(kind), F.array().cast(kind)).alias("found"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id_col, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and all spans as text."""
+    """id_col, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, all spans as text, n_spans of them, and n_secret."""
     base = F.filter("found", lambda s: s["base"])
 
     def count(kind: str) -> Column:
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select(id_col, *map(count, KINDS), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
+    return found.select(
+        id_col, *map(count, BASE_KINDS), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"),
+        F.size("found").cast("long").alias("n_spans"), F.size(F.filter("found", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"),
+    )
 
 
 def masked(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Unique ids only: docs with every found span replaced by its kind in square brackets."""
-    spans = found.select(F.col(id_col).alias("found_id"), "found")
-    mine = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    """docs with every found span replaced by its kind in square brackets; null texts stay null.
+
+    Spans are those of the same id and text, so ids may repeat; a row without any in `found`
+    stays as it is. Of base spans that overlap, the one that begins first gives the name.
+    """
+    spans = found.select(F.col(id_col).alias("found_id"), F.col("thash").alias("found_hash"), "found").groupBy("found_id", "found_hash").agg(F.first("found").alias("found"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    mine = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("own_id"), F.xxhash64(text).alias("own_hash"), text.alias("t"))
     ends = F.transform("found", lambda s: s["end"])
 
     def piece(s: Column, i: Column) -> Column:
-        begin = F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1)).cast("int")
-        return F.concat(F.substr(F.col("t"), begin + 1, (s["start"] - begin).cast("int")), F.lit("["), s["kind"], F.lit("]"))
+        begin = F.when(i == 0, F.lit(0)).otherwise(F.array_max(F.slice(ends, F.lit(1), i))).cast("int")
+        name = F.concat(F.lit("["), s["kind"], F.lit("]"))
+        return F.when(s["start"] < begin, F.lit("")).otherwise(F.concat(F.substr(F.col("t"), begin + 1, (s["start"] - begin).cast("int")), name))
 
     out = F.concat(F.concat_ws("", F.transform("found", piece)), F.substr(F.col("t"), F.coalesce(F.array_max(ends), F.lit(0)).cast("int") + 1))
-    joined = mine.join(spans, F.col("own_id").eqNullSafe(F.col("found_id")), "left")
-    text = F.when(F.size("found") > 0, out).otherwise(F.col(f"doc.{text_col}"))
-    return joined.select(F.col("doc").withField(text_col, text).alias("doc")).select("doc.*")
+    joined = mine.join(spans, F.col("own_id").eqNullSafe(F.col("found_id")) & (F.col("own_hash") == F.col("found_hash")), "left")
+    changed = F.when(F.size("found") > 0, out).otherwise(F.col(f"doc.{text_col}"))
+    return joined.select(F.col("doc").withField(text_col, changed).alias("doc")).select("doc.*")
