@@ -11,7 +11,7 @@ from reelgrid import court
 from reelgrid.functions import keypoints as K
 from reelgrid.functions import scalars as S
 from reelgrid.operators.catalog import labels_missing
-from reelgrid.sources.files import write_text_atomically
+from reelgrid.sources.files import copy, publish_partitions, remove, write_text_atomically
 
 
 class ExportRefused(ValueError):
@@ -46,16 +46,33 @@ def data_yaml(out: str) -> str:
     return f"{head}path: {out}\ntrain: images/train\nval: images/val\nkpt_shape: [{court.COUNT}, 3]\nflip_idx: {court.flip_order()}\nnames:\n  0: court\n"
 
 
-def export(frames: DataFrame, labels: DataFrame, out: str, val_fraction: float = 0.1, box: str = "full") -> dict[str, int]:
-    """Rebuilds `out`: labels/split=train|val as text rows `frame_id TAB line`, data.yaml; returns rows per split and `missing`.
+def export(
+    frames: DataFrame, labels: DataFrame, out: str, val_fraction: float = 0.1, box: str = "full", images: str | None = None, schema_file: str | None = None, packed: bool = False,
+) -> dict[str, int]:
+    """Rebuilds `out`: labels/<split>/<frame_id>.txt, images/<split>/<frame_id>.<ending> copied from the folder `images`, data.yaml and a
+    copy of schema_file; returns rows per split and `missing`.
 
-    One file per frame is no shape for a distributed sink: rows are packed by split, and
-    `frame_id` says which image a line belongs to.
+    Lines are made by Spark's tasks; the driver then renames a file per labeled frame. For
+    sets too large for that, packed=True writes labels/split=train|val as text rows
+    `frame_id TAB line`; images are then not copied.
     """
     check_labels(frames, labels)
+    spark = frames.sparkSession
     lines = export_lines(frames, labels, val_fraction, box)
-    lines.select(F.concat_ws("\t", "frame_id", "line").alias("value"), "split").write.mode("overwrite").partitionBy("split").text(posixpath.join(out, "labels"))
-    write_text_atomically(frames.sparkSession, posixpath.join(out, "data.yaml"), data_yaml(out))
+    remove(spark, out)
+    if packed:
+        lines.select(F.concat_ws("\t", "frame_id", "line").alias("value"), "split").write.mode("overwrite").partitionBy("split").text(posixpath.join(out, "labels"))
+    else:
+        temp = posixpath.join(out, ".lines")
+        lines.select("split", "frame_id", F.col("line").alias("value")).repartition("split", "frame_id").write.partitionBy("split", "frame_id").text(temp)
+        publish_partitions(spark, temp, posixpath.join(out, "labels"), ("split", "frame_id"), ".txt")
+        if images is not None:
+            ending = F.regexp_extract("image", r"(\.[A-Za-z0-9]+)$", 1)
+            for r in lines.select("split", "frame_id", "image", ending.alias("ending")).where("image is not null").toLocalIterator():
+                copy(spark, posixpath.join(images, r["image"]), posixpath.join(out, "images", r["split"], r["frame_id"] + r["ending"]))
+    if schema_file is not None:
+        copy(spark, schema_file, posixpath.join(out, posixpath.basename(schema_file)))
+    write_text_atomically(spark, posixpath.join(out, "data.yaml"), data_yaml(out))
     counts = {"train": 0, "val": 0} | {r["split"]: r["n"] for r in split_counts(lines).collect()}
     return counts | {"missing": labels_missing(frames, labels).count()}
 

@@ -18,6 +18,9 @@ from reelgrid import court
 THRESHOLD_FEET = 5.0
 LEAST_POINTS = 4
 TRIALS = 400
+TRIALS_AT_ONCE = 50
+#: Samples end once the chance that none of them held inliers alone is below this.
+MISSED = 1e-4
 SOLVED = "struct<homography:array<array<double>>,used_keypoint_ids:array<string>>"
 
 
@@ -50,38 +53,71 @@ def fit(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
     return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
 
 
-def _collinear(p: np.ndarray) -> bool:
-    return any(abs((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])) < 1e-9 for a, b, c in combinations(p, 3))
+def _fit_samples(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Homographies (k, 3, 3) through samples of four points (k, 4, 2), all at once; degenerate ones are left out."""
+    triples = np.array(list(combinations(range(4), 3)))
+
+    def spread(p: np.ndarray) -> np.ndarray:
+        u, v = p[:, triples[:, 1]] - p[:, triples[:, 0]], p[:, triples[:, 2]] - p[:, triples[:, 0]]
+        return np.abs(u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]).min(1)
+
+    good = (spread(src) >= 1e-9) & (spread(dst) >= 1e-9)
+    src, dst = src[good], dst[good]
+    if not len(src):
+        return np.zeros((0, 3, 3))
+    x, y, u, v = src[..., 0], src[..., 1], dst[..., 0], dst[..., 1]
+    zero, one = np.zeros_like(x), np.ones_like(x)
+    rows = np.concatenate([
+        np.stack([-x, -y, -one, zero, zero, zero, u * x, u * y, u], 2), np.stack([zero, zero, zero, -x, -y, -one, v * x, v * y, v], 2),
+    ], 1)
+    _, sizes, vt = np.linalg.svd(rows)
+    h = vt[:, -1].reshape(-1, 3, 3)[sizes[:, 7] >= 1e-9 * sizes[:, 0]]
+    return h
 
 
 def solve(src: np.ndarray, dst: np.ndarray, threshold: float = THRESHOLD_FEET) -> np.ndarray | None:
-    """The homography with most points within the threshold, fitted again to those points. Equal input gives equal output."""
+    """The homography with most points within the threshold, fitted again to those points.
+
+    Equal input gives equal output. Fewer than four points, a number that is not finite, or
+    points that no homography fits: null.
+    """
     n = len(src)
-    if n < LEAST_POINTS:
+    if n < LEAST_POINTS or not np.isfinite(src).all():
+        return None
+    try:
+        return _solve(src, dst, threshold)
+    except np.linalg.LinAlgError:
         return None
+
+
+def _solve(src: np.ndarray, dst: np.ndarray, threshold: float) -> np.ndarray | None:
+    n = len(src)
     whole = fit(src, dst)
     if whole is not None and bool((((_apply(whole, src) - dst) ** 2).sum(1) <= threshold**2).all()):
         return whole  # no sample can hold more points
     rng = np.random.default_rng(0)
-    samples = combinations(range(n), 4) if n <= 9 else (rng.choice(n, 4, replace=False) for _ in range(TRIALS))
-    best, most, least = None, 0, np.inf
-    for pick in samples:
-        at = list(pick)
-        if _collinear(src[at]) or _collinear(dst[at]):
-            continue
-        h = fit(src[at], dst[at])
-        if h is None:
-            continue
-        err = np.sqrt(((_apply(h, src) - dst) ** 2).sum(1))
-        inside = err <= threshold
-        count, total = int(inside.sum()), float(np.where(inside, err, 0).sum())
-        if count > most or (count == most and total < least):
-            best, most, least = inside, count, total
-            if count == n and total < 1e-6 * n:
-                break
-    if best is None or most < LEAST_POINTS:
-        return None
-    return fit(src[best], dst[best])
+    picks = np.array(list(combinations(range(n), 4))) if n <= 9 else np.argsort(rng.random((TRIALS, n)), 1)[:, :4]
+    ts, td = _normaliser(src), _normaliser(dst)
+    s, d, back = _apply(ts, src), _apply(td, dst), np.linalg.inv(td)
+    points = np.c_[src, np.ones(n)]
+    best, most, least, done = None, 0, np.inf, 0
+    while done < len(picks):
+        at = picks[done : done + TRIALS_AT_ONCE]
+        done += len(at)
+        h = back @ _fit_samples(s[at], d[at]) @ ts
+        if len(h):
+            q = np.einsum("kij,nj->kni", h, points)
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                err = np.nan_to_num(np.sqrt(((q[..., :2] / q[..., 2:] - dst) ** 2).sum(2)), nan=np.inf)
+            inside = err <= threshold
+            count, total = inside.sum(1), np.where(inside, err, 0).sum(1)
+            k = int(np.lexsort((total, -count))[0])
+            if count[k] > most or (count[k] == most and total[k] < least):
+                best, most, least = inside[k], int(count[k]), float(total[k])
+        clean = (most / n) ** 4  # chance that a sample holds inliers alone
+        if clean >= 1 or (clean > 0 and done * np.log1p(-clean) < np.log(MISSED)):
+            break
+    return fit(src[best], dst[best]) if best is not None and most >= LEAST_POINTS else None
 
 
 def homography(points: Column, template: str) -> Column:

@@ -6,6 +6,10 @@ runs, and within one window Spark streams over sorted rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +20,23 @@ BINS = 64
 
 
 def grey_histogram(pixels: Column, bins: int = BINS) -> Column:
-    """Share of pixels (0 to 255) in each of the bins."""
-    width = 256 // bins
-    n = F.size(pixels)
-    filled = F.aggregate(
-        pixels, F.array_repeat(F.lit(0.0), bins),
-        lambda a, p: F.transform(a, lambda x, i: F.when(i == F.floor(p / width).cast("int"), x + 1).otherwise(x)),
-    )
-    return F.transform(filled, lambda x: F.try_divide(x, n))
+    """Share of pixels (0 to 255; an array or bytes) in each of the bins. Null: null; no pixel: nulls."""
+
+    @F.pandas_udf("array<double>")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([_histogram(p, bins) for p in batch])
+
+    return count(pixels)
+
+
+def _histogram(pixels, bins: int) -> list | None:
+    if pixels is None:
+        return None
+    values = np.frombuffer(pixels, np.uint8) if isinstance(pixels, (bytes, bytearray, memoryview)) else np.asarray(pixels, float)
+    at = np.floor(values / (256 // bins)).astype(np.int64)
+    counts = np.bincount(at[(at >= 0) & (at < bins)], minlength=bins)
+    return (counts / len(values)).tolist() if len(values) else [None] * bins
 
 
 def correlation(a: Column, b: Column) -> Column:

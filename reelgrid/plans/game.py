@@ -21,7 +21,7 @@ from reelgrid.operators import shots as O
 from reelgrid.operators.homography import with_homography
 from reelgrid.operators.tracking import track
 from reelgrid.sources import sinks
-from reelgrid.sources.files import exists
+from reelgrid.sources.files import exists, remove
 
 
 @dataclass(frozen=True)
@@ -59,10 +59,11 @@ class Config:
     format: str = "jsonl"
     max_frames: int | None = None
     max_consecutive_errors: int = O.MAX_CONSECUTIVE_ERRORS
+    checkpoint_frames: int = 4 * O.SEGMENT_FRAMES  # processed frames between two points from which a run can go on
 
     def keyed(self, stride: int, source_fps: float, who: Profile | None = None) -> dict:
-        """What a stored run must have been made with to be continued; the two limits are not part of it."""
-        out = {k: v for k, v in asdict(self).items() if k not in ("max_frames", "max_consecutive_errors")} | {"stride": stride, "source_fps": source_fps}
+        """What a stored run must have been made with to be continued; the limits and the checkpoints are not part of it."""
+        out = {k: v for k, v in asdict(self).items() if k not in ("max_frames", "max_consecutive_errors", "checkpoint_frames")} | {"stride": stride, "source_fps": source_fps}
         return out | ({"court_template": who.template} | {f"{k}_weights": v for k, v in who.weights.items()} if who else {})
 
 
@@ -73,10 +74,19 @@ def _round(x: Column, digits: int) -> Column:
 def records(frames: DataFrame, who: Profile, config: Config | None = None, frame_rate: float = 5.0, start_shot: int = 0, start_segment: int = 0) -> DataFrame:
     """run_id, segment_index and the record columns, for every frame up to an abort."""
     config = config or Config()
+    return finished(ordered(frames, config, start_shot, start_segment), who, config, frame_rate)
+
+
+def ordered(frames: DataFrame, config: Config, start_shot: int = 0, start_segment: int = 0) -> DataFrame:
+    """What depends on the order of a run's frames: shot_id, scene_cut, segment_index; frames after an abort go."""
     f = frames if "error" in frames.columns else frames.withColumn("error", F.lit(None).cast("string"))
     f = O.shots(O.scene_cuts(f, config.scene_threshold), start_shot)
     f = O.until_abort(f.withColumn("failed", F.col("error").isNotNull()), config.max_consecutive_errors)
-    f = O.segments(f, config.segment_frames, start_segment)
+    return O.segments(f, config.segment_frames, start_segment)
+
+
+def finished(f: DataFrame, who: Profile, config: Config, frame_rate: float) -> DataFrame:
+    """Records of whole shots."""
     ok = F.col("error").isNull()
     f = f.withColumns({
         "keypoints": F.when(ok, F.col("keypoints")), "players": F.when(ok, D.of_classes(F.col("players"), who.player_classes)).otherwise(F.array().cast(f"array<{schemas.DETECTION}>")),
@@ -120,7 +130,10 @@ def run_game(frames: DataFrame, run_dir: str, who: Profile, config: Config | Non
     """Frames of one run (native indices) into records/seg_NNNNN.jsonl and run.json; returns the manifest.
 
     A stored run of the same key goes on after its last segment, with a shot of its own; one
-    of another key starts afresh. The summary covers all segments of the run.
+    of another key starts afresh. The summary covers all segments of the run. The run goes on
+    in parts of checkpoint_frames processed frames: after each, the shots that are over are
+    finished, complete segments are published and the manifest says so. After a crash at most
+    one part and the shot that was open are done again.
     """
     config = config or Config()
     spark: SparkSession = frames.sparkSession
@@ -143,23 +156,50 @@ def run_game(frames: DataFrame, run_dir: str, who: Profile, config: Config | Non
     chosen = frames.where((F.col("frame_index") >= start) & (F.col("frame_index") % step == 0))
     if config.max_frames is not None:
         chosen = chosen.orderBy("frame_index").limit(config.max_frames)
-    made = records(chosen, who, config, config.target_fps, shot, segment)
-    sinks.write_shards(made, run_dir)
-    if not exists(spark, posixpath.join(run_dir, "records")) or made.isEmpty():
+    staged = posixpath.join(run_dir, ".staged")
+    remove(spark, staged)
+    manifest["segments"] = done
+    bounds = chosen.agg(F.min("frame_index").alias("lo"), F.max("frame_index").alias("hi")).first()
+    lo, hi, size, shown = bounds["lo"], bounds["hi"], config.checkpoint_frames * step, segment
+    while lo is not None and lo <= hi:
+        upto = min(lo + size, hi + 1)
+        part = chosen.where((F.col("frame_index") >= lo) & (F.col("frame_index") < upto))
+        part.write.mode("append").parquet(posixpath.join(staged, "frames"))  # models run once, here
+        lo = upto
+        so_far = ordered(spark.read.schema(part.schema).parquet(posixpath.join(staged, "frames")), config, shot, segment)
+        state = so_far.agg(F.max("shot_id").alias("shot"), F.max("segment_index").alias("segment"), F.bool_or("aborted").alias("aborted")).first()
+        if state["shot"] is None:
+            continue
+        last = bool(state["aborted"]) or lo > hi
+        known = posixpath.join(staged, "records")
+        shots_done = spark.read.parquet(known).agg(F.max("shot_id")).first()[0] if exists(spark, known) else None
+        open_shot = state["shot"] + 1 if last else state["shot"]
+        ready = so_far.where((F.col("shot_id") < open_shot) & (F.col("shot_id") > (shots_done if shots_done is not None else -1)))
+        made = finished(ready, who, config, config.target_fps)
+        made.write.mode("append").parquet(known)
+        # a segment is complete when no frame of it is in the open shot
+        first_open = state["segment"] + 1 if last else so_far.where(F.col("shot_id") == open_shot).agg(F.min("segment_index")).first()[0]
+        complete = spark.read.schema(made.schema).parquet(known).where((F.col("segment_index") >= shown) & (F.col("segment_index") < first_open))
+        if first_open > shown:
+            sinks.write_shards(complete, run_dir)
+            new = O.segment_rollup(complete).orderBy("segment_index").collect()
+            manifest["segments"] = manifest["segments"] + [{"index": r["segment_index"], **{k: r[k] for k in ("start_frame", "end_frame", "n_records", "errors", "path", "status")}} for r in new]
+            manifest["last_shot_id"] = complete.agg(F.max("shot_id")).first()[0]
+            sinks.save_json(spark, manifest_path, manifest)
+            shown = first_open
+        if last:
+            manifest["status"] = "aborted" if state["aborted"] else "done"
+            break
+    else:
         manifest["status"] = "done"
-        sinks.save_json(spark, manifest_path, manifest)
-        return manifest
-    from reelgrid.sources.readers import read_records
-
-    stored, _ = read_records(spark, run_dir)
-    stored = stored.withColumn("run_id", F.lit(who.name))
-    new = O.segment_rollup(stored.where(F.col("segment_index") >= segment)).orderBy("segment_index").collect()
-    manifest["segments"] = done + [{"index": r["segment_index"], **{k: r[k] for k in ("start_frame", "end_frame", "n_records", "errors", "path", "status")}} for r in new]
-    summary = O.run_summary(stored).drop("run_id").first().asDict()
-    shots_seen = stored.agg(F.max("shot_id")).first()[0]
-    tail = O.error_runs(stored.withColumn("failed", F.col("error").isNotNull())).agg(F.max("error_run")).first()[0]
-    manifest |= {"summary": summary, "last_shot_id": shots_seen, "status": "aborted" if tail >= config.max_consecutive_errors else "done"}
+    if manifest["segments"]:
+        from reelgrid.sources.readers import read_records
+
+        stored, _ = read_records(spark, run_dir)
+        summary = O.run_summary(stored.withColumn("run_id", F.lit(who.name))).drop("run_id").first()
+        manifest["summary"] = summary.asDict() if summary else {}
     sinks.save_json(spark, manifest_path, manifest)
+    remove(spark, staged)
     return manifest
 
 

@@ -339,20 +339,20 @@ def end_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT o_orderkey, o_custkey, o_totalprice, CASE o_orderstatus WHEN 'O' THEN 'north' WHEN 'F' THEN 'both' ELSE 'east' END AS ends, o_orderpriority AS pr FROM orders),
-j AS (SELECT s.*, c_custkey, c_acctbal, c_mktsegment FROM s LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) c ON o_custkey = c_custkey),
+j AS (SELECT s.*, c_custkey, c_acctbal, c_mktsegment FROM s LEFT JOIN customer ON o_custkey = c_custkey AND pr <> '2-HIGH'),
 t AS (SELECT *, CASE WHEN ends = 'east' THEN 'visible_ends' WHEN pr = '5-LOW' THEN 'number of keypoints' WHEN c_custkey IS NULL THEN 'unknown frame' WHEN c_mktsegment = 'BUILDING' THEN 'orientation'
   WHEN o_totalprice > 50000 THEN 'outside' WHEN pr = '4-NOT SPECIFIED' THEN 'not numeric' WHEN pr = '3-MEDIUM' THEN 'v' WHEN ends = 'north' AND pr = '1-URGENT' THEN 'conflict' END AS reason FROM j)
 SELECT o_orderkey, CASE reason WHEN 'unknown frame' THEN 404 WHEN 'orientation' THEN 409 WHEN 'conflict' THEN 422 ELSE CASE WHEN reason IS NULL THEN 200 ELSE 400 END END AS code, reason,
   CASE reason WHEN 'not numeric' THEN 2 WHEN 'v' THEN 3 WHEN 'outside' THEN 1 ELSE 0 END AS position FROM t""")
 def validation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer").where("c_custkey % 10 <> 0")
+    o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
     pr = F.col("o_orderpriority")
     p = lambda x, v, y=F.lit("1"): F.struct(x.alias("x"), y.alias("y"), v.alias("v"), F.lit("0").alias("src_conf"))
     points = [p(F.col("o_totalprice").cast("string"), F.lit("2")), p(F.when(pr == "4-NOT SPECIFIED", "abc").otherwise("5"), F.lit("1")), p(F.lit("7"), F.when(pr == "3-MEDIUM", "3").otherwise("0"))]
     points += [p(F.lit("3"), F.lit("0"))] * 10 + [p(F.lit("4"), F.when(pr == "1-URGENT", "1.9").otherwise("0"))] + [p(F.lit("3"), F.lit("0"))] * 8
     whole = F.array(*points)
     subs = o.select(
-        "o_orderkey", F.col("o_custkey").cast("string").alias("frame_id"), F.when(F.col("o_orderstatus") == "O", "north").when(F.col("o_orderstatus") == "F", "both").otherwise("east").alias("visible_ends"),
+        "o_orderkey", F.when(pr == "2-HIGH", "no such frame").otherwise(F.col("o_custkey").cast("string")).alias("frame_id"), F.when(F.col("o_orderstatus") == "O", "north").when(F.col("o_orderstatus") == "F", "both").otherwise("east").alias("visible_ends"),
         F.when(pr == "5-LOW", F.slice(whole, 1, 21)).otherwise(whole).cast(V.RAW_POINTS).alias("keypoints"),
     )
     locked = F.struct(*[F.lit("3.0.0" if f == "schema_version" else schemas.NORTH_CONVENTION if f == "north_convention" else "x").alias(f) for f in ("schema_version", "north_convention", "anchor_frame_id", "method", "locked_at", "declared_end")])
@@ -401,16 +401,33 @@ def _orientation_case(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     return clips, event_frames(spark, sf_dir).select("frame_id", "clip_id", "label_status")
 
 
-@query("""WITH r AS (SELECT user_id::VARCHAR AS clip_id, event_id::VARCHAR AS frame_id, event_id AS seq FROM events WHERE event_type IN ('click', 'purchase')),
-w AS (SELECT clip_id, min_by(frame_id, seq) AS anchor FROM r GROUP BY clip_id) SELECT c_custkey::VARCHAR AS clip_id, anchor FROM customer LEFT JOIN w ON clip_id = c_custkey::VARCHAR""")
-def orientation_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips, frames = _orientation_case(spark, sf_dir)
+LOCKS = """r AS (SELECT event_id AS seq, event_id::VARCHAR AS frame_id, user_id::VARCHAR AS clip_id, CASE WHEN event_type NOT IN ('click', 'purchase') OR event_type IS NULL THEN 400 WHEN c_custkey IS NULL THEN 404 ELSE 200 END AS code,
+  event_type FROM events LEFT JOIN customer ON user_id = c_custkey), m AS (SELECT *, min(seq) FILTER (WHERE code = 200) OVER (PARTITION BY clip_id) AS first FROM r)"""
+
+
+def _lock_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
-    requests = read(spark, sf_dir, "events").select(
+    return read(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("clip_id"), F.col("event_id").cast("string").alias("frame_id"), F.when(kind == "click", "both_ends_visible").when(kind.isin("purchase", "error"), "declared").alias("mode"),
         F.when(kind == "purchase", "south").alias("declared_end"), F.lit("t").alias("locked_at"), F.col("event_id").alias("seq"),
     )
-    return C.lock_orientations(clips, frames, requests)[0].select("clip_id", F.col("orientation.anchor_frame_id").alias("anchor"))
+
+
+@query(f"""WITH {LOCKS} SELECT c_custkey::VARCHAR AS clip_id, frame_id AS anchor, CASE event_type WHEN 'click' THEN 'anchor_both_ends_image_left' WHEN 'purchase' THEN 'operator_declared_single_end' END AS method,
+  CASE WHEN event_type = 'purchase' THEN 'south' END AS declared_end, CASE WHEN seq IS NOT NULL THEN '{court.SCHEMA_VERSION}' END AS schema_version, CASE WHEN seq IS NOT NULL THEN '{schemas.NORTH_CONVENTION}' END AS north_convention,
+  CASE WHEN seq IS NOT NULL THEN 't' END AS locked_at FROM customer LEFT JOIN (SELECT * FROM m WHERE code = 200 AND seq = first) w ON clip_id = c_custkey::VARCHAR""")
+def orientation_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips, frames = _orientation_case(spark, sf_dir)
+    o = "orientation."
+    return C.lock_orientations(clips, frames, _lock_requests(spark, sf_dir))[0].select(
+        "clip_id", F.col(o + "anchor_frame_id").alias("anchor"), o + "method", o + "declared_end", o + "schema_version", o + "north_convention", o + "locked_at",
+    )
+
+
+@query(f"WITH {LOCKS} SELECT seq, frame_id, clip_id, code, code = 200 AND seq > first AS already_locked FROM m")
+def orientation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips, frames = _orientation_case(spark, sf_dir)
+    return C.lock_orientations(clips, frames, _lock_requests(spark, sf_dir))[1].select("seq", "frame_id", "clip_id", "code", "already_locked")
 
 
 @query("""WITH n AS (SELECT user_id AS k, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1)
@@ -421,28 +438,89 @@ def orientation_unlock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.unlock_orientations(clips, frames, requests)[1].select("clip_id", "n_labeled", "code")
 
 
-@query("""WITH p AS (SELECT n_nationkey AS id, n_regionkey AS r FROM nation)
-SELECT 'unknown id' AS rule, 'east_west|a|zz' AS subject UNION ALL SELECT 'swaps', 'east_west|a|a' UNION ALL SELECT 'mirrors', 'east_west|a|a' UNION ALL SELECT 'in one pair', 'east_west|a'
-UNION ALL SELECT 'paired or on the axis', s || '|' || i FROM (VALUES ('east_west', 'b'), ('north_south', 'a'), ('north_south', 'b')) v(s, i)""")
+#: Nations as points, each paired with the next one: of both kinds of pair and of all rules some are broken.
+BROKEN = """p AS (SELECT n_name AS id, n_nationkey AS k, CASE WHEN n_regionkey <= 1 THEN 'north' WHEN n_regionkey = 2 THEN 'mid' ELSE 'south' END AS e, CASE n_nationkey % 3 WHEN 0 THEN 'east' WHEN 1 THEN 'west' ELSE 'center' END AS s,
+  n_regionkey * 20.0::DOUBLE AS x, CASE n_nationkey % 3 WHEN 0 THEN 50.0 WHEN 1 THEN 0.0 ELSE 25.0 END::DOUBLE AS y FROM nation),
+q AS (SELECT CASE WHEN a.k % 2 = 0 THEN 'east_west' ELSE 'north_south' END AS ps, a.id AS ia, coalesce(b.id, 'nowhere') AS ib FROM p a LEFT JOIN p b ON b.k = a.k + 1)"""
+
+
+def _broken_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n, k = read(spark, sf_dir, "nation"), F.col("n_nationkey")
+    points = n.select(
+        F.col("n_name").alias("id"), k.alias("k"), F.when(F.col("n_regionkey") <= 1, "north").when(F.col("n_regionkey") == 2, "mid").otherwise("south").alias("end"),
+        F.when(k % 3 == 0, "east").when(k % 3 == 1, "west").otherwise("center").alias("side"),
+        F.array((F.col("n_regionkey") * 20).cast("double"), F.when(k % 3 == 0, 50.0).when(k % 3 == 1, 0.0).otherwise(25.0)).alias("court_xy_ft"),
+    )
+    after = points.select(F.col("id").alias("next"), (F.col("k") - 1).alias("k"))
+    pairs = points.join(after, "k", "left").select(F.when(F.col("k") % 2 == 0, "east_west").otherwise("north_south").alias("pair_set"), F.col("id").alias("id_a"), F.coalesce("next", F.lit("nowhere")).alias("id_b"))
+    return points.drop("k"), pairs
+
+
+@query(f"""WITH {BROKEN}, b AS (SELECT ps || '|' || ia || '|' || ib AS pair, ps = 'east_west' AS ew, a.id IS NOT NULL AND b.id IS NOT NULL AS known, a.e AS ae, b.e AS be, a.s AS sa, b.s AS sb, a.x AS ax, b.x AS bx, a.y AS ay, b.y AS byy
+  FROM q LEFT JOIN p a ON ia = a.id LEFT JOIN p b ON ib = b.id),
+m AS (SELECT ps, id, count(*) AS n FROM (SELECT ps, ia AS id FROM q UNION ALL SELECT ps, ib FROM q) GROUP BY ALL), t AS (SELECT id, 'east_west' AS ps, s = 'center' AS axis FROM p UNION ALL SELECT id, 'north_south', e = 'mid' FROM p)
+SELECT 'unknown id' AS rule, pair AS subject FROM b WHERE NOT known
+UNION ALL SELECT 'shares', pair FROM b WHERE known AND CASE WHEN ew THEN ae <> be ELSE sa <> sb END
+UNION ALL SELECT 'swaps', pair FROM b WHERE known AND NOT CASE WHEN ew THEN sa <> sb AND sa <> 'center' AND sb <> 'center' ELSE ae <> be AND ae <> 'mid' AND be <> 'mid' END
+UNION ALL SELECT 'keeps coordinate', pair FROM b WHERE known AND CASE WHEN ew THEN ax <> bx ELSE ay <> byy END
+UNION ALL SELECT 'mirrors', pair FROM b WHERE known AND CASE WHEN ew THEN abs(ay + byy - 50) > 1e-6 ELSE abs(ax + bx - 80) > 1e-6 END
+UNION ALL SELECT 'in one pair', ps || '|' || id FROM m WHERE n > 1
+UNION ALL SELECT 'paired or on the axis', ps || '|' || id FROM t LEFT JOIN m USING (ps, id) WHERE (n IS NOT NULL) = axis""")
 def pair_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = spark.createDataFrame([("a", "north", "east", [0.0, 50.0]), ("b", "north", "west", [0.0, 0.0])], "id string, end string, side string, court_xy_ft array<double>")
-    pairs = spark.createDataFrame([("east_west", "a", "a"), ("east_west", "a", "zz")], "pair_set string, id_a string, id_b string")
-    return V.pair_violations(points, pairs, 84.0, 50.0)
+    return V.pair_violations(*_broken_points(spark, sf_dir), 80.0, 50.0)
+
+
+@query(f"""WITH {BROKEN}, t AS (SELECT CASE WHEN n_nationkey % 5 = 4 THEN 'x' || n_name ELSE n_name END AS id, n_regionkey * 25.0::DOUBLE AS al, n_nationkey * 2.5::DOUBLE AS ac FROM nation),
+j AS (SELECT t.id AS tid, p.id AS pid, al, ac, e, s FROM t FULL JOIN p ON t.id = p.id),
+m AS (SELECT ps || '|' || ia || '|' || ib AS pair, ps = 'east_west' AS ew, a.al AS aal, b.al AS bal, a.ac AS aac, b.ac AS bac FROM q JOIN t a ON ia = a.id JOIN t b ON ib = b.id)
+SELECT 'missing id' AS rule, pid AS subject FROM j WHERE tid IS NULL UNION ALL SELECT 'extra id', tid FROM j WHERE pid IS NULL
+UNION ALL SELECT 'inside the court', tid FROM j WHERE tid IS NOT NULL AND pid IS NOT NULL AND NOT (al BETWEEN 0 AND 84 AND ac BETWEEN 0 AND 50)
+UNION ALL SELECT 'centre axis', tid FROM j WHERE tid IS NOT NULL AND s = 'center' AND abs(ac - 25) > 1e-6 UNION ALL SELECT 'mid axis', tid FROM j WHERE tid IS NOT NULL AND e = 'mid' AND abs(al - 42) > 1e-6
+UNION ALL SELECT 'shares', pair FROM m WHERE CASE WHEN ew THEN abs(aal - bal) > 1e-6 ELSE abs(aac - bac) > 1e-6 END
+UNION ALL SELECT 'mirrors', pair FROM m WHERE CASE WHEN ew THEN abs(aac + bac - 50) > 1e-6 ELSE abs(aal + bal - 84) > 1e-6 END""")
+def template_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, pairs = _broken_points(spark, sf_dir)
+    k = F.col("n_nationkey")
+    template = read(spark, sf_dir, "nation").select(
+        F.when(k % 5 == 4, F.concat(F.lit("x"), "n_name")).otherwise(F.col("n_name")).alias("id"), (F.col("n_regionkey") * 25.0).alias("along"), (k * 2.5).alias("across"), F.lit(84.0).alias("length"), F.lit(50.0).alias("width"),
+    )
+    return V.template_violations(template, points, pairs)
+
+
+@query("""WITH m AS (SELECT 'kpt-' || n_nationkey AS id, n_regionkey * 1.0 AS cx, n_nationkey * 1.0 AS cy, ' ' || (n_nationkey - n_nationkey % 2) AS label FROM nation),
+w AS (SELECT n_nationkey + 2 AS i, n_regionkey * 1.0 AS dx, (n_nationkey + 2) * 1.0 AS dy FROM nation), j AS (SELECT m.*, w.*, 'kpt-' || i AS wid FROM m FULL JOIN w ON id = 'kpt-' || i)
+SELECT 'marker groups' AS rule, coalesce(id, wid) AS subject FROM j WHERE id IS NULL OR wid IS NULL UNION ALL SELECT 'marker place', id FROM j WHERE id IS NOT NULL AND wid IS NOT NULL AND (abs(cx - dx) > 1e-6 OR abs(cy - dy) > 1e-6)
+UNION ALL SELECT 'marker label', id FROM j WHERE id IS NOT NULL AND wid IS NOT NULL AND trim(label) <> i::VARCHAR""")
+def marker_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as the markers of a diagram, held against points two numbers on."""
+    n, k = read(spark, sf_dir, "nation"), F.col("n_nationkey")
+    markers = n.select(F.concat(F.lit("kpt-"), k.cast("string")).alias("id"), F.col("n_regionkey").cast("double").alias("cx"), k.cast("double").alias("cy"), F.concat(F.lit(" "), (k - k % 2).cast("string")).alias("label"))
+    points = n.select((k + 2).alias("index"), F.array(F.col("n_regionkey").cast("double"), (k + 2).cast("double")).alias("diagram_xy"))
+    return V.marker_violations(markers, points)
+
+
+@query(f"""WITH h AS (SELECT CASE WHEN n_regionkey = 0 THEN '{court.SCHEMA_NAME}' ELSE n_name END AS n, CASE WHEN n_nationkey % 2 = 0 THEN '3.1.0' ELSE '2.0.0' END AS v, n_nationkey % 3 = 0 AS vis, n_nationkey % 4 = 0 AS ends, CASE n_nationkey % 3 WHEN 0 THEN 'east_west' WHEN 1 THEN 'north_south' ELSE 'up' END AS f FROM nation)
+SELECT 'schema_name' AS rule, n AS subject FROM h WHERE n <> '{court.SCHEMA_NAME}' UNION ALL SELECT 'schema_version', n FROM h WHERE v NOT LIKE '3.%' UNION ALL SELECT 'visibility_values', n FROM h WHERE NOT vis
+UNION ALL SELECT 'visible_ends_values', n FROM h WHERE NOT ends UNION ALL SELECT 'flip_uses', n FROM h WHERE f = 'up'""")
+def header_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    values = lambda good, *all_of: F.when(good, F.array(*map(F.lit, all_of))).otherwise(F.array(F.lit(all_of[0])))
+    return V.header_violations(read(spark, sf_dir, "nation").select(
+        F.when(F.col("n_regionkey") == 0, court.SCHEMA_NAME).otherwise(F.col("n_name")).alias("schema_name"), F.when(k % 2 == 0, "3.1.0").otherwise("2.0.0").alias("schema_version"),
+        values(k % 3 == 0, "2", "0", "1").alias("visibility_values"), values(k % 4 == 0, *V.VISIBLE_ENDS).alias("visible_ends_values"), F.when(k % 3 == 0, "east_west").when(k % 3 == 1, "north_south").otherwise("up").alias("flip_uses"),
+    ))
 
 
-@query("SELECT 'none' AS rule, 'none' AS subject WHERE false")
-def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical points, pairs and templates break no rule."""
-    points, pairs = court.keypoint_table(spark), court.pair_table(spark)
-    out = V.keypoint_violations(points, 84.0, 50.0).unionByName(V.pair_violations(points, pairs, 84.0, 50.0))
-    for name in court.templates():
-        out = out.unionByName(V.template_violations(court.template_table(spark).where(F.col("template") == name), points, pairs))
-    return out
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: least(255, floor(abs(x::DOUBLE) * 400))::INT) AS px FROM embeddings)
+SELECT vec_id, array_to_string(list_transform(range(64), lambda b: (len(list_filter(px, lambda v: v // 4 = b)) * 4096 // len(px))::BIGINT), ',') AS hist FROM p""")
+def grey_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = F.transform("embedding", lambda x: F.least(F.lit(255), F.floor(F.abs(x.cast("double")) * 400)).cast("int"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(O.grey_histogram(pixels), lambda h: F.floor(h * 4096).cast("string")), ",").alias("hist"))
 
 
-@query("""SELECT doc_id, CASE WHEN l IS NULL THEN 'missing' ELSE 'extra' END AS side FROM (SELECT doc_id, 1 AS d FROM documents WHERE doc_id % 3 <> 0) FULL JOIN (SELECT doc_id, 1 AS l FROM labels) USING (doc_id) WHERE d IS NULL OR l IS NULL""")
+@query("""SELECT id, CASE WHEN c IS NULL THEN 'missing' ELSE 'extra' END AS side FROM (SELECT doc_id AS id, 1 AS d FROM documents) FULL JOIN (SELECT c_custkey AS id, 1 AS c FROM customer) USING (id) WHERE d IS NULL OR c IS NULL""")
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = read(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id"), read(spark, sf_dir, "labels").select("doc_id")
+    a, b = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     return a.exceptAll(b).withColumn("side", F.lit("missing")).unionByName(b.exceptAll(a).withColumn("side", F.lit("extra")))
 
 
@@ -481,11 +559,11 @@ def migration_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.migrate(clips, frames, labels)[3]
 
 
-@query("""WITH t AS (SELECT l_orderkey, l_linenumber AS cls, l_returnflag AS name, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount FROM lineitem WHERE l_linenumber <= 3),
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber AS cls, l_returnflag AS name, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount FROM lineitem),
 s AS (SELECT l_orderkey, cls, max_by(name, (l_quantity, l_extendedprice, name)) AS carried FROM t GROUP BY ALL)
 SELECT l_orderkey, cls, carried, count(*) AS n FROM t JOIN s USING (l_orderkey, cls) GROUP BY ALL""")
 def carried_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = read(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    item = read(spark, sf_dir, "lineitem")
     d = F.struct(F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("e"), F.col("l_returnflag").alias("name"), F.col("l_linenumber").alias("cls"))
     seen = item.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(d)).alias("seen"))
     named = seen.select("l_orderkey", F.explode(D.carried_names(F.transform("seen", lambda x: x.withField("name", F.lit("?"))), F.col("seen"))).alias("t"))
@@ -498,17 +576,18 @@ def window_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sample_frames(clips)
 
 
-@query()
+@query("""SELECT event_id, CASE WHEN event_id % 23 < 22 THEN 21 ELSE 22 END AS used, array_to_string(list_transform([1 / a, 0, -b / a, 0, 1 / a, -30 / a, 0, 0, 1], lambda x: floor(x * 1000 + 0.5)::BIGINT), ',') AS h1000
+FROM (SELECT event_id, value % 7 + 6 AS a, event_id % 50 AS b FROM events)""")
 def homography_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event is a frame in which a camera of its own sees the NBA court."""
     feet = court.template("nba_94x50")
     a, b = F.col("value") % 7 + 6, F.col("event_id") % 50
     points = F.array(*[K.point(a * feet[i][1] + b, a * feet[i][0] + 30, F.when(F.col("event_id") % 23 == n, 0).otherwise(2)) for n, i in enumerate(court.IDS)])
     frames = read(spark, sf_dir, "events").select("event_id", points.alias("keypoints"))
-    return with_homography(frames, "nba_94x50").select("event_id", F.size("solved.used_keypoint_ids").alias("used"), F.transform(F.flatten("solved.homography"), lambda x: F.floor(x * 1000 + 0.5)).alias("h1000"))
+    return with_homography(frames, "nba_94x50").select("event_id", F.size("solved.used_keypoint_ids").alias("used"), F.array_join(F.transform(F.flatten("solved.homography"), lambda x: F.floor(x * 1000 + 0.5).cast("string")), ",").alias("h1000"))
 
 
-@query()
+@query(f"WITH {SHOTS} SELECT run_id, shot_id, frame_index, d AS det_no, (d + 1)::BIGINT AS track_id FROM s, (VALUES (0), (1)) v(d)")
 def track_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user is a run, errors cut shots; two boxes drift to the right."""
     f = O.shots(run_frames(spark, sf_dir))

@@ -47,3 +47,34 @@ def write_text_atomically(spark: SparkSession, path: str, text: str) -> None:
     finally:
         if fs.exists(temp):
             fs.delete(temp, False)
+
+
+def copy(spark: SparkSession, source: str, target: str) -> None:
+    """One file, whichever stores the two are in; the target is replaced."""
+    fs, p = _fs(spark, source)
+    to_fs, to = _fs(spark, target)
+    to_fs.mkdirs(to.getParent())
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to_fs, to, False, True, spark._jsc.hadoopConfiguration()):
+        raise OSError(f"cannot copy {source}")
+
+
+def publish_partitions(spark: SparkSession, written: str, target: str, columns: tuple[str, ...], ending: str) -> int:
+    """Files of a table partitioned by `columns`, one file a partition, renamed to target/<value>/.../<value><ending>; `written` goes. Returns their number."""
+    fs, root = _fs(spark, written)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    found, files = 0, fs.listFiles(root, True)
+    while files.hasNext():
+        p = files.next().getPath()
+        if not p.getName().startswith("part-"):
+            continue
+        values, folder = [], p.getParent()
+        for c in reversed(columns):
+            values.insert(0, unescape(folder.getName()[len(c) + 1 :]))
+            folder = folder.getParent()
+        final = path_of(posixpath.join(target, *values) + ending)
+        fs.mkdirs(final.getParent())
+        fs.rename(p, final)
+        found += 1
+    fs.delete(root, True)
+    return found

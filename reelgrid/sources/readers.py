@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,9 +103,13 @@ def read_split_listing(spark: SparkSession, export_dir: str) -> DataFrame:
         spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]*)\.txt$", 1).alias("frame_id"), F.lit(split).alias("split")).where("frame_id <> ''")
         for split in ("train", "val") if exists(spark, path := posixpath.join(export_dir, "labels", split))
     ]
+    parts += [  # packed: a row `frame_id TAB line` for each frame
+        spark.read.text(path).select(F.substring_index("value", "\t", 1).alias("frame_id"), F.lit(split).alias("split"))
+        for split in ("train", "val") if exists(spark, path := posixpath.join(export_dir, "labels", f"split={split}"))
+    ]
     if not parts:
         return spark.createDataFrame([], "frame_id string, trained_split string")
-    return trained_splits(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+    return trained_splits(reduce(DataFrame.unionByName, parts))
 
 
 def read_trained_frames(spark: SparkSession, weights: str) -> DataFrame:

@@ -133,11 +133,21 @@ def test_export(spark, project, tmp_path):
     clips, frames = project
     _, labels, frames = labeling.submit_labels(submission(spark, [("clipA_f000001", "both", points())]), frames, clips, spark.createDataFrame([], schemas.LABELS), "now")
     out = str(tmp_path / "export")
-    counts = E.export(frames, labels, out, 0.5)
+    counts = E.export(frames, labels, out, 0.5, packed=True)
     assert counts["train"] + counts["val"] == 1 and counts["missing"] == 1
     line = spark.read.text(f"{out}/labels").first().value.split("\t")
     assert line[0] == "clipA_f000001" and line[1].startswith("0 0.500000 0.500000 1.000000 1.000000 0.052083 0.185185 2")
     assert "flip_idx: [18, 17" in (tmp_path / "export" / "data.yaml").read_text()
+    split = "train" if counts["train"] else "val"
+    assert [tuple(r) for r in readers.read_split_listing(spark, out).collect()] == [("clipA_f000001", split)]
+    (tmp_path / "pictures").mkdir()
+    (tmp_path / "pictures" / "one.jpg").write_bytes(b"jpg")
+    (tmp_path / "schema.json").write_text("{}")
+    pictured = frames.withColumn("image", F.lit("one.jpg"))
+    assert E.export(pictured, labels, out, 0.5, images=str(tmp_path / "pictures"), schema_file=str(tmp_path / "schema.json")) == counts
+    assert (tmp_path / "export" / "labels" / split / "clipA_f000001.txt").read_text().strip() == line[1]
+    assert (tmp_path / "export" / "images" / split / "clipA_f000001.jpg").read_bytes() == b"jpg" and (tmp_path / "export" / "schema.json").exists()
+    assert [tuple(r) for r in readers.read_split_listing(spark, out).collect()] == [("clipA_f000001", split)]
     with pytest.raises(E.ExportRefused):
         E.export(frames, labels.withColumn("schema", F.lit(None).cast(schemas.SCHEMA_REF)), out)
     with pytest.raises(E.ExportRefused):

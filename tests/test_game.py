@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reelgrid.sources.readers import read_records
 from reelgrid import court, schemas
 from reelgrid.operators import shots as O
 from reelgrid.operators.homography import solve, with_homography
@@ -128,6 +129,58 @@ def test_record_rounding(spark):
     assert (p.players[0].bbox, p.players[0].conf, p.players[0].foot_px) == ([10.1, 20.2, 30.3, 40.4], 0.8346, [20.2, 40.4]) and len(p.court.keypoints) == 22 and len(p.court.homography) == 3
 
 
+def test_a_crash_loses_one_part(spark, tmp_path, monkeypatch):
+    """Segments are published as they complete; after a crash the run goes on behind the last one."""
+    frames, folder = clip(spark, n=24, cut_at=6), str(tmp_path / "run")
+    config = game.Config(target_fps=30, segment_frames=3, checkpoint_frames=6)
+    write, calls = game.sinks.write_shards, []
+
+    def failing(records, run_dir):
+        calls.append(run_dir)
+        if len(calls) == 2:
+            raise RuntimeError("killed")
+        return write(records, run_dir)
+
+    whole = game.run_game(frames, str(tmp_path / "whole"), NBA, config, key="k")
+    assert [s["n_records"] for s in whole["segments"]] == [3] * 8 and whole["status"] == "done" and whole["last_shot_id"] == 1
+    assert [s["n_records"] for s in game.run_game(frames, str(tmp_path / "once"), NBA, game.Config(target_fps=30, segment_frames=3), key="k")["segments"]] == [3] * 8
+    monkeypatch.setattr(game.sinks, "write_shards", failing)
+    with pytest.raises(RuntimeError):
+        game.run_game(frames, folder, NBA, config, key="k")
+    stored = game.sinks.load_json(spark, f"{folder}/run.json")
+    assert stored["status"] == "running" and [s["end_frame"] for s in stored["segments"]] == [2, 5]
+    again = game.run_game(frames, folder, NBA, config, key="k")
+    records, _ = read_records(spark, folder)
+    assert sorted(r.frame_index for r in records.collect()) == list(range(24)) and again["status"] == "done"
+    assert [s["start_frame"] for s in again["segments"]] == list(range(0, 24, 3)) and again["summary"]["frames_processed"] == 24
+
+
+def test_a_bad_point_leaves_its_frame_alone(spark):
+    import numpy as np
+
+    from reelgrid import court
+    from reelgrid.operators.homography import solve
+
+    feet = court.template("nba_94x50")
+    plane = np.array([(feet[i][1], feet[i][0]) for i in court.IDS])
+    h = np.linalg.inv(np.array([[18, 1.5, 120], [2, 9, 80], [0, 0.0008, 1]]))
+    image = np.c_[plane, np.ones(22)] @ np.linalg.inv(h).T
+    image = image[:, :2] / image[:, 2:]
+    assert np.allclose(solve(image, plane), h / h[2, 2], atol=1e-6)
+    bad = image.copy()
+    bad[[3, 9]] += 400
+    assert np.allclose(solve(bad, plane), h / h[2, 2], atol=1e-6)
+    bad[0, 0] = np.nan
+    assert solve(bad, plane) is None and solve(np.full((5, 2), 1.0), plane[:5]) is None and solve(image[:3], plane[:3]) is None
+    for seed in range(30):  # few points, some of them wrong
+        rng = np.random.default_rng(seed)
+        at = rng.permutation(22)[:10]
+        some = image[at] + 0.0
+        some[:3] += (300 + rng.random((3, 2)) * 200) * rng.choice([-1, 1], (3, 2))  # far beyond the threshold
+        got = solve(some, plane[at])
+        assert got is not None and np.allclose(got, h / h[2, 2], atol=1e-4)
+
+
 def test_report_and_profiles(spark, tmp_path):
     rows = game.report(clip(spark), NBA)
     assert game.write_report(rows, str(tmp_path / "rep"), {"video": "v"}) == {"video": "v", "frames_processed": 12, "with_homography": 12}
