@@ -81,13 +81,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest id (null ids last), then any one of rows that repeat both; exactly one row
     of a group is kept. An empty table gives no rows; other columns are not read.
     """
-    decided = _decided(docs, Scratch(docs.sparkSession, "exact-dedup"), id_col, text_col, hash_fn)
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    decided = _decided(docs, scratch, id_col, text_col, hash_fn)
+    scratch.only("recipes", "groups")
     return decided.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns. Null text: empty. Of rows that
-    repeat id and text one stays (which one's other columns is not defined)."""
+    repeat id and text the one of the least other columns stays. Whole texts count; an empty table gives no rows."""
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     decided = scratch.put(_decided(docs, scratch, id_col, text_col, F.xxhash64).select("id", "n", "text_sha256", "kept"), "decided")
     kept = decided.where("kept").select(F.col("id").alias("kept_id"), F.col("n").alias("kept_n"), F.col("text_sha256").alias("kept_sha"))
@@ -97,6 +99,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     out = mine.join(kept, F.col("sha").eqNullSafe(F.col("kept_sha")) & F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("n") == F.col("kept_n")), "left_semi")
     repeated = decided.groupBy("id", "n", "text_sha256").agg(F.count(F.lit(1)).alias("c"), F.max("kept").alias("kept")).where("c > 1 and kept")
-    if not repeated.isEmpty():
-        out = out.dropDuplicates(["id", "n", "sha"])
+    several = not repeated.isEmpty()
+    scratch.only("decided")
+    if several:
+        out = out.groupBy("id", "n", "sha").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
     return out.select("doc.*")

@@ -94,6 +94,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
              weights: Sequence[int] = WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
     """One row per document: id_col, size, source_size, target, taken, copies.
 
+    Of a fixed number of seeds each source takes the one whose draws come nearest its target,
+    so the draws of a source are not independent of each other.
+
     Null text: size 0. A null source is a source of its own, last in order. Rows that repeat
     id and text share one draw. A source without a word has target 0, and its documents are
     not taken. An empty table gives no rows; other columns are not read.
@@ -103,6 +106,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), draw_base(id_col, text_col).alias("base")), "rows",
     )
     plan = _plan(rows, scratch, weights, share, limit)
+    scratch.only("rows", "plan")
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("key"))).withColumn("copies", _copies(F.col("seed")))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
@@ -113,6 +117,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.put(docs.select(F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), draw_base(id_col, text_col).alias("base")), "rows")
     plan = _plan(rows, scratch, weights, share, limit)
+    scratch.only("plan")
     mine = docs.select(F.struct("*").alias("doc"), F.col(source_col).alias("source"), draw_base(id_col, text_col).alias("base"))
     out = mine.join(plan.select("key", "whole", "fraction", "seed"), F.col("source").eqNullSafe(F.col("key")))
     return out.select("doc", F.explode(F.array_repeat(F.lit(0), _copies(F.col("seed")).cast("int")))).select("doc.*")
