@@ -46,7 +46,7 @@ def fit(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
         np.stack([-s[:, 0], -s[:, 1], -one, zero, zero, zero, d[:, 0] * s[:, 0], d[:, 0] * s[:, 1], d[:, 0]], 1),
         np.stack([zero, zero, zero, -s[:, 0], -s[:, 1], -one, d[:, 1] * s[:, 0], d[:, 1] * s[:, 1], d[:, 1]], 1),
     ])
-    _, sizes, vt = np.linalg.svd(rows)
+    _, sizes, vt = np.linalg.svd(rows, full_matrices=len(rows) < 9)  # four points: the ninth vector is beyond the rows' rank
     if len(sizes) < 8 or sizes[7] < 1e-9 * sizes[0]:
         return None
     h = np.linalg.inv(td) @ vt[-1].reshape(3, 3) @ ts
