@@ -131,13 +131,14 @@ def homography(points: Column, template: str) -> Column:
         for batch in batches:
             out = []
             for points in batch:
-                rows = np.zeros((0, 3)) if points is None else np.array([[p["x"], p["y"], p["v"]] for p in points], float).reshape(-1, 3)
+                rows = np.zeros((0, 3)) if points is None else np.asarray(points, float).reshape(-1, 3)
                 seen = np.flatnonzero(rows[:, 2] > 0)
                 h = solve(rows[seen, :2], plane[seen])
                 out.append((None, []) if h is None else (h.tolist(), [ids[i] for i in seen]))
             yield pd.DataFrame(out, columns=["homography", "used_keypoint_ids"])
 
-    return apply(points)
+    # plain numbers reach the workers as arrays, structs as a dictionary each
+    return apply(F.flatten(F.transform(points, lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"), p["v"].cast("double")))))
 
 
 def with_homography(frames: DataFrame, template: str, points: str = "keypoints") -> DataFrame:
