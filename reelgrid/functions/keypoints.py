@@ -50,6 +50,20 @@ def gated(points: Column, decimals: bool = False, least: float = MIN_CONFIDENCE)
     return F.transform(points, gate)
 
 
+def of_best_instance(instances: Column, point_type: str = "struct<x:double,y:double,conf:double>", count: int = court.COUNT) -> Column:
+    """Gated points of the instance of highest conf, the first of equals, of array<struct<conf, points>>; unplaced points where there is none."""
+    best = F.aggregate(
+        instances, F.lit(None).cast(f"struct<conf:double,points:array<{point_type}>>"), lambda a, i: F.when(a.isNull() | (i["conf"] > a["conf"]), F.struct(i["conf"].cast("double").alias("conf"), i["points"].alias("points"))).otherwise(a),
+    )
+    return F.coalesce(gated(best["points"]), F.array_repeat(nothing(), count))
+
+
+def defined(ids: Column, points: Column) -> Column:
+    """struct<id, p> by position, as many as the shorter of both has."""
+    n = F.least(F.size(points), F.size(ids))
+    return F.arrays_zip(F.slice(ids, 1, n).alias("id"), F.slice(points, 1, n).alias("p"))
+
+
 def visible_count(points: Column) -> Column:
     return F.size(F.filter(points, lambda p: p["v"] > 0))
 

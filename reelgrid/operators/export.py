@@ -26,11 +26,16 @@ def export_lines(frames: DataFrame, labels: DataFrame, val_fraction: float = 0.1
     return both.select("frame_id", "clip_id", S.split_of(F.col("frame_id"), val_fraction).alias("split"), line.alias("line"), "image")
 
 
-def check_labels(frames: DataFrame, labels: DataFrame) -> None:
-    """The whole export is refused if a label is of another schema or has another number of points."""
+def refused_labels(frames: DataFrame, labels: DataFrame) -> DataFrame:
+    """frame_id and number of points of labels of labeled frames that are of another schema or have another number of points."""
     both = frames.where("label_status = 'labeled'").select("frame_id").join(labels, "frame_id")
     other = ~(F.col("schema.schema_name").eqNullSafe(court.SCHEMA_NAME) & F.col("schema.schema_version").eqNullSafe(court.SCHEMA_VERSION))
-    bad = both.where(other | (F.size("keypoints") != court.COUNT)).orderBy("frame_id").select("frame_id", F.size("keypoints").alias("n")).first()
+    return both.where(other | (F.size("keypoints") != court.COUNT)).select("frame_id", F.size("keypoints").alias("n"))
+
+
+def check_labels(frames: DataFrame, labels: DataFrame) -> None:
+    """The whole export is refused if a label is of another schema or has another number of points."""
+    bad = refused_labels(frames, labels).orderBy("frame_id").first()
     if bad:
         raise ExportRefused(f"{bad.frame_id}: not {court.COUNT} points of {court.SCHEMA_NAME} {court.SCHEMA_VERSION} (has {bad.n})")
     if frames.where("label_status = 'labeled'").isEmpty():

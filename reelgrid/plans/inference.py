@@ -8,11 +8,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def with_model(frames: DataFrame, build: Callable[[], Callable[[pd.DataFrame], list]], out: str, out_type: str) -> DataFrame:
+def _cut(batches: Iterator[pd.DataFrame], size: int | None) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for at in range(0, len(b), size or max(1, len(b))):
+            yield b.iloc[at : at + size] if size else b
+
+
+def with_model(frames: DataFrame, build: Callable[[], Callable[[pd.DataFrame], list]], out: str, out_type: str, batch: int | None = None) -> DataFrame:
     """Adds column `out` and, where the model raised, `error` as `TypeName: message` (an earlier error stays).
 
     build() is called once a worker and gives a model of a batch of rows -> one value a row.
-    A batch that raises is done again row by row.
+    A batch has at most `batch` rows (none: an Arrow batch); one that raises is done again row by row.
     """
     fields = [f"`{c}` {t}" for c, t in frames.dtypes if c not in (out, "error")]
     kept = [c for c in frames.columns if c not in (out, "error")]
@@ -20,7 +26,7 @@ def with_model(frames: DataFrame, build: Callable[[], Callable[[pd.DataFrame], l
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = build()
-        for b in batches:
+        for b in _cut(batches, batch):
             errors = list(b["error"]) if had else [None] * len(b)
             try:
                 values = list(model(b))

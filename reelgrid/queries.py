@@ -17,11 +17,14 @@ from reelgrid.functions import detections as D
 from reelgrid.functions import keypoints as K
 from reelgrid.functions import scalars as S
 from reelgrid.operators import catalog as C
+from reelgrid.operators import export as X
 from reelgrid.operators import frames as R
 from reelgrid.operators import shots as O
 from reelgrid.operators import validation as V
 from reelgrid.operators.homography import with_homography
 from reelgrid.operators.tracking import track
+from reelgrid.plans import game as G
+from reelgrid.sources.video import until_decode_failure
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -597,3 +600,137 @@ def track_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_id", "shot_id", "frame_index", "det_no", (F.col("x0") + F.col("n")).alias("x1"), F.lit(10.0).alias("y1"), (F.col("x0") + F.col("n") + 20).alias("x2"), F.lit(60.0).alias("y2"), F.lit(0.9).alias("conf"),
     )
     return track(boxes, 5.0)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round_even(sqrt(l_extendedprice) * 10, 0)::BIGINT AS box10, round_even(sqrt(l_extendedprice) * 100, 0)::BIGINT AS feet100,
+  round_even(l_discount / 7 * 10000, 0)::BIGINT AS conf10000, round_even(l_partkey / 29.97 * 1000, 0)::BIGINT AS ms FROM lineitem""")
+def record_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digits of the record's numbers: boxes 1, feet 2, confidences 4, seconds 3. None of these numbers lies half-way, which SQL cannot tell exactly; tests have such ones."""
+    item, p = read(spark, sf_dir, "lineitem"), F.sqrt("l_extendedprice")
+    whole = lambda x, k: F.bround(x * k).cast("long")
+    r = item.withColumns({"box": S.round_all_like_python(F.array(p), 1), "feet": S.round_all_like_python(F.array(p), 2), "conf": S.round_like_python(F.col("l_discount") / 7, 4), "s": S.timestamp_s(F.col("l_partkey"), F.lit(29.97))})
+    return r.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", whole(F.get("box", 0), 10).alias("box10"), whole(F.get("feet", 0), 100).alias("feet100"), whole(F.col("conf"), 10000).alias("conf10000"), whole(F.col("s"), 1000).alias("ms"),
+    )
+
+
+CLEAN_SQL = "list_transform(pts, lambda q: {'x': CASE WHEN q.v = 0 THEN 0.0 ELSE q.x END, 'y': CASE WHEN q.v = 0 THEN 0.0 ELSE q.y END, 'v': q.v})"
+
+
+@query(f"WITH {POINTS_SQL} SELECT vec_id, {_six_sql(CLEAN_SQL)} AS points FROM p")
+def cleaned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts = embedded_points(spark, sf_dir).withColumn("pts", F.transform("pts", lambda p: p.withField("src_conf", F.lit(0.5))))
+    return pts.select("vec_id", _six(K.cleaned(F.col("pts"))).alias("points"))
+
+
+_IDS_SQL = "[" + ", ".join(f"'{i}'" for i in court.IDS) + "]"
+
+
+@query(f"""WITH {POINTS_SQL}, z AS (SELECT vec_id, list_zip({_IDS_SQL}, pts[1:least(32, vec_id % 40)], true) AS z FROM p)
+SELECT vec_id, coalesce(list_aggregate(list_transform(z, lambda t: t[1] || ' ' || t[2].v::VARCHAR), 'string_agg', ','), '') AS named FROM z""")
+def point_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions beside points by position: frames have 0 to 32 points, the schema 22."""
+    z = K.defined(F.array(*map(F.lit, court.IDS)), F.slice("pts", 1, (F.col("vec_id") % 40).cast("int")))
+    return embedded_points(spark, sf_dir).select("vec_id", F.array_join(F.transform(z, lambda t: F.concat_ws(" ", t["id"], t["p"]["v"].cast("string"))), ",").alias("named"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_discount, l_extendedprice, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_extendedprice, l_quantity) AS rn FROM lineitem WHERE l_returnflag <> 'R'),
+b AS (SELECT * FROM r WHERE rn = 1)
+SELECT DISTINCT o.l_orderkey, CASE WHEN b.l_quantity >= 25 THEN b.l_extendedprice ELSE 0 END AS x, CASE WHEN b.l_quantity >= 25 THEN 2 ELSE 0 END AS v, CASE WHEN b.l_orderkey IS NULL THEN 22 ELSE 1 END AS n
+FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN b USING (l_orderkey)""")
+def instance_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as instances of one point each; quantity is the point's confidence in hundredths, discount the instance's."""
+    point = F.struct(F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"), (F.col("l_quantity") / 100).alias("conf"))
+    one = F.struct(F.col("l_linenumber").alias("n"), F.col("l_extendedprice").alias("e"), F.col("l_quantity").alias("q"), F.struct(F.col("l_discount").alias("conf"), F.array(point).alias("points")).alias("i"))
+    sets = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.when(F.col("l_returnflag") != "R", one))).alias("s"))
+    picked = sets.select("l_orderkey", K.of_best_instance(F.transform("s", lambda s: s["i"])).alias("p"))
+    return picked.select("l_orderkey", F.get("p", 0)["x"].alias("x"), F.get("p", 0)["v"].alias("v"), F.size("p").alias("n"))
+
+
+@query(f"""WITH {POINTS_SQL}, d AS (SELECT vec_id, list_filter(range(0, 32), lambda i: (pts[i + 1].x - 50) * (pts[i + 1].x - 50) + (pts[i + 1].y - 50) * (pts[i + 1].y - 50) <= 144) AS near, pts FROM p)
+SELECT vec_id, near[-1]::INT AS hit, CASE pts[1].v WHEN 2 THEN 1 ELSE 2 END AS other, least(20, greatest(0.05, pow(1.15, vec_id % 50 - 25)))::FLOAT AS zoom, floor(((pts[1].x * 2 + 7) - 7) / 2 * 1000 + 0.5)::BIGINT AS there_and_back FROM d""")
+def point_editing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.get("pts", 0)["x"]
+    return embedded_points(spark, sf_dir).select(
+        "vec_id", K.topmost_within(F.col("pts"), F.lit(50.0), F.lit(50.0)).alias("hit"), K.toggled(F.get("pts", 0)["v"]).alias("other"), K.zoomed(F.lit(1.0), F.col("vec_id") % 50 - 25).cast("float").alias("zoom"),
+        F.floor(K.to_image(K.to_screen(x, F.lit(7.0), F.lit(2.0)), F.lit(7.0), F.lit(2.0)) * 1000 + 0.5).alias("there_and_back"),
+    )
+
+
+@query(f"""WITH {EVENT_FRAMES} SELECT frame_id, CASE coalesce(triage, 'pending') WHEN 'pending' THEN 'keep' WHEN 'keep' THEN 'skip' WHEN 'skip' THEN 'pending' END AS next,
+  printf('%s.nba', clip_id) AS run_dir, printf('seg_%05d.jsonl', event_id) AS shard FROM f""")
+def names_and_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_frames(spark, sf_dir).select(
+        "frame_id", K.next_triage(F.col("triage")).alias("next"), S.run_dir(F.col("clip_id"), F.lit("nba")).alias("run_dir"), S.shard_name(F.col("event_id")).alias("shard"),
+    )
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber WHEN 1 THEN 'Player' WHEN 2 THEN 'Ball' ELSE l_linenumber::VARCHAR END AS name FROM lineitem""")
+def class_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.create_map(F.lit(1), F.lit("Player"), F.lit(2), F.lit("Ball"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", D.named(F.col("l_linenumber"), names).alias("name"))
+
+
+def _mixed_orientation(k: Column) -> Column:
+    """By number: none, of an old schema, of another convention, two good ones."""
+    return F.when(k % 5 != 0, F.struct(
+        F.when(k % 5 == 1, "2.1.0").otherwise("3.0.0").alias("schema_version"), F.when(k % 5 == 2, "other").otherwise(schemas.NORTH_CONVENTION).alias("north_convention"), F.concat(F.lit("f"), k.cast("string")).alias("anchor_frame_id"),
+        F.lit("m").alias("method"), F.lit("t").alias("locked_at"), F.when(k % 5 == 3, "").otherwise("south").alias("declared_end"),
+    ).cast(schemas.ORIENTATION))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 >= 3 THEN 'f' || c_custkey END AS anchor, CASE WHEN c_custkey % 5 = 4 THEN 'south' END AS declared_end, c_custkey % 5 >= 3 AS shown FROM customer")
+def orientation_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    o = C.shown_orientation(C.valid_orientation(_mixed_orientation(k)))
+    return read(spark, sf_dir, "customer").select(k, o["anchor_frame_id"].alias("anchor"), o["declared_end"].alias("declared_end"), o.isNotNull().alias("shown"))
+
+
+def _saved_labels(f: DataFrame) -> DataFrame:
+    """Purchases and every seventh event have a label of two points, of which some are of another schema or one point short of 22."""
+    e = F.col("event_id")
+    one = lambda v: F.struct(v.cast("double").alias("x"), F.lit(1.0).alias("y"), F.lit(2).alias("v"), F.lit(0.5).alias("src_conf"))
+    points = F.concat(F.array(one(e)), F.array_repeat(one(F.lit(1.0)), F.when(e % 11 == 0, 20).otherwise(21))).cast(schemas.POINTS)
+    ref = F.struct(F.lit(court.SCHEMA_NAME).alias("schema_name"), F.when(e % 13 == 0, "2.1.0").otherwise(court.SCHEMA_VERSION).alias("schema_version"))
+    return f.where((F.col("event_type") == "purchase") | (e % 7 == 0)).select("frame_id", points.alias("keypoints"), ref.alias("schema"))
+
+
+@query(f"""WITH {EVENT_FRAMES}, l AS (SELECT frame_id, frame_index, clip_id, event_id, event_type = 'purchase' AS labeled FROM f WHERE event_type = 'purchase' OR event_id % 7 = 0),
+j AS (SELECT f.*, c_custkey, s.frame_id IS NOT NULL AS saved, p.event_id AS prev FROM f JOIN customer ON c_custkey = user_id LEFT JOIN l s ON s.frame_id = f.frame_id
+  ASOF LEFT JOIN (SELECT * FROM l WHERE labeled) p ON f.clip_id = p.clip_id AND f.frame_index > p.frame_index)
+SELECT frame_id, CASE WHEN ok THEN 200 ELSE 409 END AS code, CASE WHEN ok THEN CASE WHEN saved THEN 'saved' WHEN prev IS NOT NULL THEN 'previous_frame' ELSE 'empty' END END AS source, CASE WHEN ok THEN c_custkey ELSE 0 END::INT AS image_w,
+  CASE WHEN ok THEN CASE WHEN saved THEN event_id WHEN prev IS NOT NULL THEN prev ELSE 0 END END::DOUBLE AS x, CASE WHEN ok THEN CASE WHEN saved THEN 0.5 ELSE 0 END END::DOUBLE AS src_conf,
+  CASE WHEN ok THEN CASE WHEN coalesce(CASE WHEN saved THEN event_id END, prev, 1) % 11 = 0 THEN 21 ELSE 22 END ELSE 0 END AS n FROM (SELECT *, c_custkey % 5 >= 3 AS ok FROM j)""")
+def prefill_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each event's labeling begins with; frames of unknown clips have none."""
+    f, k = event_frames(spark, sf_dir), F.col("c_custkey")
+    clips = read(spark, sf_dir, "customer").select(k.cast("string").alias("clip_id"), k.cast("int").alias("width"), k.cast("int").alias("height"), _mixed_orientation(k).alias("orientation"))
+    out = C.prefilled(f.select("frame_id", "clip_id", "frame_index", "label_status"), clips, _saved_labels(f))
+    ready = F.col("code") == 200
+    return out.select("frame_id", "code", "source", F.when(ready, F.col("image_w")).otherwise(0).alias("image_w"), F.get("keypoints", 0)["x"].alias("x"), F.get("keypoints", 0)["src_conf"].alias("src_conf"), F.coalesce("num_keypoints", F.lit(0)).alias("n"))
+
+
+@query("""SELECT event_id::VARCHAR AS frame_id, CASE WHEN event_id % 11 = 0 THEN 21 ELSE 22 END AS n FROM events WHERE event_type = 'purchase' AND (event_id % 11 = 0 OR event_id % 13 = 0)""")
+def refused_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = event_frames(spark, sf_dir)
+    return X.refused_labels(f, _saved_labels(f))
+
+
+@query(f"""WITH {EVENT_FRAMES} SELECT clip_id, count(*) FILTER (WHERE triage = 'keep') AS kept, count(*) FILTER (WHERE label_status = 'labeled') AS labeled, count(*) FILTER (WHERE doc_id IS NOT NULL) AS trained
+FROM f LEFT JOIN labels ON doc_id = event_id GROUP BY clip_id""")
+def trained_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.trained_progress(event_frames(spark, sf_dir), read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("frame_id")))
+
+
+@query("SELECT o_custkey AS run_id, count(*) AS frames_processed, count(*) FILTER (WHERE o_orderstatus = 'O') AS with_homography FROM orders GROUP BY o_custkey")
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.report_summary(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), (F.col("o_orderstatus") == "O").alias("homography")))
+
+
+@query("""WITH r AS (SELECT user_id AS path, event_id // 10 AS b, min(event_id) AS lo, max(event_id) AS hi, count(*) AS n FROM (SELECT DISTINCT user_id % 3 AS user_id, event_id FROM events WHERE event_type <> 'error') GROUP BY ALL),
+g AS (SELECT path, CASE WHEN lo <> before + 1 THEN before WHEN hi - lo + 1 <> n THEN lo + n - 1 END AS gap FROM (SELECT *, coalesce(lag(hi) OVER (PARTITION BY path ORDER BY b), -1) AS before FROM r)), s AS (SELECT path, min(gap) AS stop FROM g GROUP BY path)
+SELECT user_id % 3 AS path, event_id AS frame_index FROM events JOIN s ON path = user_id % 3 WHERE event_type <> 'error' AND (stop IS NULL OR event_id <= stop)""")
+def decode_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames up to the first that is missing: errors count as not decoded, users fall into three videos."""
+    f = read(spark, sf_dir, "events").where("event_type <> 'error'").select((F.col("user_id") % 3).alias("path"), F.col("event_id").alias("frame_index"))
+    return until_decode_failure(f, frames_per_task=10)

@@ -74,7 +74,9 @@ def publish_partitions(spark: SparkSession, written: str, target: str, columns:
             folder = folder.getParent()
         final = path_of(posixpath.join(target, *values) + ending)
         fs.mkdirs(final.getParent())
-        fs.rename(p, final)
+        fs.delete(final, False)  # some stores refuse to replace
+        if not fs.rename(p, final):
+            raise OSError(f"cannot write {final}")
         found += 1
     fs.delete(root, True)
     return found

@@ -81,11 +81,22 @@ def read_run_manifest(spark: SparkSession, run_dir: str) -> DataFrame | None:
     return spark.read.schema(schemas.RUN_MANIFEST).option("multiLine", True).json(path)
 
 
-def read_keypoint_schema(spark: SparkSession, path: str) -> DataFrame:
-    """One row per point of a keypoint schema file, with the file's header columns."""
+class BadSchema(ValueError):
+    pass
+
+
+def read_keypoint_schema(spark: SparkSession, path: str, count: int | None = None) -> DataFrame:
+    """One row per point of a keypoint schema file, with the file's header columns.
+
+    With `count` the file must have that many points, in order of their index from 1 on; else BadSchema.
+    """
     point = "struct<index:int,id:string,feature:string,end:string,side:string,court_position:string,court_xy_ft:array<double>,diagram_xy:array<double>>"
     ddl = f"schema_name string, schema_version string, visible_ends_values array<string>, reference_court struct<length:double,width:double>, keypoints array<{point}>"
     whole = spark.read.schema(ddl).option("multiLine", True).json(path)
+    if count is not None:
+        found = [i for r in whole.select("keypoints.index").collect() for i in r["index"] or []]  # one small file
+        if found != list(range(1, count + 1)):
+            raise BadSchema(f"{path}: {len(found)} keypoints where {count} of contiguous index are needed")
     return whole.select("schema_name", "schema_version", "reference_court.length", "reference_court.width", F.explode("keypoints").alias("p")).select("p.*", "schema_name", "schema_version", "length", "width")
 
 

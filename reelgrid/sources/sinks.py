@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import posixpath
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrid.sources.files import read_text, remove, write_text_atomically
+from reelgrid.operators.catalog import migrate
+from reelgrid.sources.files import publish_partitions, read_text, remove, write_text_atomically
 
 
 def write_records(records: DataFrame, folder: str, fmt: str = "json") -> None:
@@ -70,3 +73,71 @@ def save_manifest(clips: DataFrame, frames: DataFrame, folder: str) -> None:
     """manifest.json from both tables; a catalog this small is the file's own limit. Large catalogs stay tables."""
     entry = lambda df, key: {r[key]: {k: v for k, v in r.asDict(True).items() if k != key and v is not None} for r in df.orderBy(key).toLocalIterator()}
     save_json(clips.sparkSession, posixpath.join(folder, "manifest.json"), {"version": 1, "clips": entry(clips, "clip_id"), "frames": entry(frames, "frame_id")})
+
+
+def write_labels(labels: DataFrame, frames: DataFrame, folder: str) -> int:
+    """labels/<clip_id>/<frame_id>.json of every label whose frame is known, written again as a whole; returns their number.
+
+    Tasks make the texts, the driver renames a file per label, as the folder's form asks for.
+    """
+    spark = labels.sparkSession
+    temp = posixpath.join(folder, ".labels")
+    body = F.to_json(F.struct(*labels.columns), {"ignoreNullFields": "false"}).alias("value")
+    rows = labels.join(frames.select("frame_id", "clip_id"), "frame_id").select("clip_id", "frame_id", body)
+    rows.repartition("clip_id", "frame_id").write.mode("overwrite").partitionBy("clip_id", "frame_id").text(temp)
+    return publish_partitions(spark, temp, posixpath.join(folder, "labels"), ("clip_id", "frame_id"), ".json")
+
+
+def remove_labels(gone: DataFrame, frames: DataFrame, folder: str) -> int:
+    """Deletes the label files of `gone` (frame_id); returns their number."""
+    n = 0
+    for r in gone.select("frame_id").join(frames.select("frame_id", "clip_id"), "frame_id").toLocalIterator():
+        remove(gone.sparkSession, posixpath.join(folder, "labels", r["clip_id"], f"{r['frame_id']}.json"))
+        n += 1
+    return n
+
+
+def migrate_project(clips: DataFrame, frames: DataFrame, labels: DataFrame, folder: str) -> dict:
+    """Migration of a project folder: outdated label files go, manifest.json is written if anything changes. A second run finds nothing to do.
+
+    Returns removed, reset, unlocked, changed.
+    """
+    new_clips, new_frames, kept, counts = migrate(clips, frames, labels)
+    found = counts.first().asDict()
+    if found["changed"]:
+        # the manifest first: where a crash comes between, the next run still finds the outdated files
+        save_manifest(new_clips, new_frames, folder)
+        remove_labels(labels.join(kept.select("frame_id"), "frame_id", "left_anti"), frames, folder)
+    return found
+
+
+def write_pictures(frames: DataFrame, folder: str, render: Callable[[bytes, int | None], bytes], thumb_width: int = 320) -> DataFrame:
+    """Writes each row's payload as folder/<image> and, at thumb_width, as folder/<thumb>; returns frame_id and both sizes in bytes.
+
+    frames: frame_id, image, thumb, payload. render(payload, width or None) -> encoded picture;
+    its height follows functions.scalars.thumb_height. Tasks write under another name and then
+    rename, so that a task that is run again replaces its files. The folder must be one that
+    every executor reaches (pyarrow.fs). The result is lazy: nothing is written before it is.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs as arrow_fs
+
+        store, root = arrow_fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (arrow_fs.LocalFileSystem(), folder)
+
+        def put(name: str, data: bytes) -> int:
+            path = posixpath.join(root, name)
+            parent, temp = posixpath.dirname(path), posixpath.join(posixpath.dirname(path), f".{uuid.uuid4().hex}")
+            store.create_dir(parent, recursive=True)
+            with store.open_output_stream(temp) as out:
+                out.write(data)
+            store.move(temp, path)
+            return len(data)
+
+        for b in batches:
+            done = [(i, put(image, render(p, None)), put(thumb, render(p, thumb_width))) for i, image, thumb, p in zip(b["frame_id"], b["image"], b["thumb"], b["payload"], strict=True)]
+            yield pd.DataFrame(done, columns=["frame_id", "image_bytes", "thumb_bytes"])
+
+    return frames.select("frame_id", "image", "thumb", "payload").mapInPandas(run, "frame_id string, image_bytes long, thumb_bytes long")

@@ -1,22 +1,33 @@
 """A Spark data source of a video's frames; decoding is behind `decoder`, a `module:function` of the reader's own environment.
 
 decoder(path, start, stop, stride) yields (native_index, payload bytes) in order and ends at
-the first frame it cannot read. Without one, only indices and times come out, from the
-options `fps` and `frame_count`. Options: path, stride (1), start_index (0), max_frames,
+the first frame it cannot read. Without one, only indices and times come out. `fps` and
+`frame_count` are options, or come from `probe`, a `module:function` of the driver's
+environment: probe(path) -> mapping with fps, frame_count, width, height. Options: path, stride (1), start_index (0), max_frames,
 frames_per_task (1000; native frames that one task decodes).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from importlib import import_module
 
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from reelgrid.functions import scalars as S
+
 SCHEMA = "path string, frame_index bigint, timestamp_s double, payload binary"
 
 
+def _hook(name: str) -> Callable:
+    module, function = name.split(":")
+    return getattr(import_module(module), function)
+
+
 class FrameRange(InputPartition):
     def __init__(self, start: int, stop: int):
         self.start, self.stop = start, stop
@@ -25,12 +36,13 @@ class FrameRange(InputPartition):
 class FrameReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options.get("path", "")
-        fps = float(options.get("fps", "nan"))
+        known = _hook(options["probe"])(self.path) if "probe" in options else {}
+        fps = float(options.get("fps", known.get("fps") or "nan"))
         self.fps = fps if fps > 0 else 30.0  # false for not-a-number too
         self.stride, self.first = int(options.get("stride", 1)), int(options.get("start_index", 0))
         if self.stride < 1 or self.first < 0:
             raise ValueError("stride must be at least 1 and start_index not negative")
-        stop = int(options["frame_count"])
+        stop = int(options["frame_count"] if "frame_count" in options else known["frame_count"])
         if "max_frames" in options:
             first = -(-self.first // self.stride) * self.stride
             stop = min(stop, first + int(options["max_frames"]) * self.stride)
@@ -45,8 +57,7 @@ class FrameReader(DataSourceReader):
         if self.decoder is None:
             frames = ((i, None) for i in range(begin, partition.stop, self.stride))
         else:
-            module, name = self.decoder.split(":")
-            frames = getattr(import_module(module), name)(self.path, begin, partition.stop, self.stride)
+            frames = _hook(self.decoder)(self.path, begin, partition.stop, self.stride)
         for i, payload in frames:
             yield self.path, i, round(i / self.fps, 3), payload
 
@@ -61,3 +72,42 @@ class VideoFrames(DataSource):
 
     def reader(self, schema: StructType) -> FrameReader:
         return FrameReader(self.options)
+
+
+def probed(videos: DataFrame, probe: Callable[[str], dict]) -> DataFrame:
+    """videos (path, ...) with fps (30 where it is missing, not positive or not a number), width, height, frame_count as probe(path) says.
+
+    A file that cannot be probed has nulls and its reason in probe_error. Files are probed in parallel, a row each.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path in b["path"]:
+                try:
+                    info, error = probe(path), None
+                except Exception as e:
+                    info, error = {}, f"{type(e).__name__}: {e}"
+                rows.append((info.get("fps"), info.get("width"), info.get("height"), info.get("frame_count"), error))
+            found = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield b.assign(**{c: pd.Series(v, index=b.index, dtype=object) for c, v in zip(("fps", "width", "height", "frame_count", "probe_error"), found, strict=True)})
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in videos.dtypes)
+    out = videos.mapInPandas(run, f"{fields}, fps double, width int, height int, frame_count long, probe_error string")
+    return out.withColumn("fps", F.when(F.col("probe_error").isNull(), S.valid_fps(F.col("fps"))))
+
+
+def until_decode_failure(frames: DataFrame, stride: int = 1, start_index: int = 0, frames_per_task: int = 1000) -> DataFrame:
+    """Frames of each path before the first one that is missing, as a reader of the whole file would have stopped there.
+
+    A task's range already ends at its first failure; this drops the ranges after it. Only
+    one row a range is put in order, not the frames.
+    """
+    ranged = F.floor(F.col("frame_index") / frames_per_task)
+    ranges = frames.groupBy("path", ranged.alias("_range")).agg(F.min("frame_index").alias("lo"), F.max("frame_index").alias("hi"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("path").orderBy("_range")
+    first = -(-start_index // stride) * stride
+    before = F.coalesce(F.lag("hi").over(order), F.lit(first - stride))
+    gap = F.when(F.col("lo") != before + stride, before).when((F.col("hi") - F.col("lo")) / stride + 1 != F.col("n"), F.col("lo") + (F.col("n") - 1) * stride)
+    stop = ranges.withColumn("gap", gap).groupBy("path").agg(F.min("gap").alias("_stop"))
+    return frames.join(stop, "path").where(F.col("_stop").isNull() | (F.col("frame_index") <= F.col("_stop"))).select(frames.columns)
