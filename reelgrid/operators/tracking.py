@@ -2,13 +2,15 @@
 
 After the published ByteTrack method (Zhang et al., arXiv 2110.06864): detections of high
 confidence are matched to predicted tracks first, those of low confidence to what is left.
-A shot is one group, so ids never cross shots, and memory is bounded by one shot's boxes.
+Ids never cross shots. A shot is streamed, so memory does not grow with its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 HIGH, LOW, NEW = 0.25, 0.1, 0.35
@@ -150,21 +152,55 @@ def _pairs(similar: np.ndarray, least: float) -> list[tuple[int, int]]:
     return [(r, c) for r, c in assign(1 - similar) if near[r, c]]
 
 
+COLUMNS = ("run_id", "shot_id", "frame_index", "det_no", "x1", "y1", "x2", "y2", "conf")
+TRACKED = "run_id string, shot_id int, frame_index long, det_no int, track_id long"
+
+
 def track(detections: DataFrame, frame_rate: float) -> DataFrame:
-    """(run_id, shot_id, frame_index, det_no, x1, y1, x2, y2, conf; one row of null det_no for a frame without any) -> tracked rows with track_id."""
-    rate = float(max(1, round(frame_rate)))
+    """(run_id, shot_id, frame_index, det_no, x1, y1, x2, y2, conf; one row of null det_no for a frame without any) -> tracked rows with track_id.
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker = Tracker(rate)
-        pdf = pdf.sort_values(["frame_index", "det_no"])
-        frame, det = pdf["frame_index"].to_numpy(), pdf["det_no"].to_numpy(float)
-        boxes, conf = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float)
-        ids = np.zeros(len(frame), np.int64)
-        edges = np.flatnonzero(np.diff(frame)) + 1
-        for lo, hi in zip([0, *edges], [*edges, len(frame)], strict=True):
-            there = lo + np.flatnonzero(~np.isnan(det[lo:hi]))
-            ids[there] = tracker.update(boxes[there], conf[there])
-        kept = ids > 0
-        return pd.DataFrame({"run_id": key[0], "shot_id": key[1], "frame_index": frame[kept], "det_no": det[kept].astype(int), "track_id": ids[kept]})
-
-    return detections.groupBy("run_id", "shot_id").applyInPandas(run, "run_id string, shot_id int, frame_index long, det_no int, track_id long")
+    Shots are dealt to tasks and streamed in frame order: a task holds one Arrow batch, the
+    frame at its edge and the tracks in sight, however long a shot is.
+    """
+    rate = float(max(1, round(frame_rate)))
+    types = pa.schema([("run_id", pa.string()), ("shot_id", pa.int32()), ("frame_index", pa.int64()), ("det_no", pa.int32()), ("track_id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shot, tracker = None, Tracker(rate)
+
+        def done(rows: pa.Table, keys: list[tuple]) -> list[pa.RecordBatch]:
+            nonlocal shot, tracker
+            det = rows["det_no"].to_numpy(zero_copy_only=False).astype(float)
+            numbers = np.stack([rows[c].to_numpy(zero_copy_only=False).astype(float) for c in COLUMNS[4:]], 1)
+            ids, lo = np.zeros(len(keys), np.int64), 0
+            for hi in range(1, len(keys) + 1):
+                if hi < len(keys) and keys[hi] == keys[lo]:
+                    continue
+                if shot != keys[lo][:2]:
+                    shot, tracker = keys[lo][:2], Tracker(rate)
+                there = lo + np.flatnonzero(~np.isnan(det[lo:hi]))
+                ids[there] = tracker.update(numbers[there, :4], numbers[there, 4])
+                lo = hi
+            kept = np.flatnonzero(ids > 0)
+            out = rows.select(COLUMNS[:4]).take(kept).append_column("track_id", pa.array(ids[kept]))
+            return out.cast(types).combine_chunks().to_batches()
+
+        rest = None  # rows of the frame that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            keys = list(zip(*(rows[c].to_pylist() for c in COLUMNS[:3]), strict=True))
+            cut = len(keys)
+            while cut and keys[cut - 1] == keys[-1]:
+                cut -= 1
+            rest = rows.slice(cut)
+            if cut:
+                yield from done(rows.slice(0, cut), keys[:cut])
+        if rest is not None:
+            yield from done(rest, list(zip(*(rest[c].to_pylist() for c in COLUMNS[:3]), strict=True)))
+
+    # a stated number: few bytes make much work here, so tasks are not to be merged by size
+    tasks = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return detections.select(*COLUMNS).repartition(tasks, "run_id", "shot_id").sortWithinPartitions(*COLUMNS[:4]).mapInArrow(run, TRACKED)

@@ -144,3 +144,30 @@ def test_rounding_half_way(spark):
     got = spark.createDataFrame(pd.DataFrame({"x": values})).select(S.round_all_like_python(F.array("x"), 2).alias("a"), S.round_like_python(F.col("x"), 1).alias("b")).collect()
     for v, r in zip(values[:-1], got[:-1], strict=True):
         assert r.a == [round(v, 2)] and r.b == round(v, 1)
+
+
+def test_tracks_do_not_depend_on_batches(spark):
+    """Shots longer than a batch, frames across its edge, frames without boxes, empty input."""
+    import numpy as np
+
+    from reelgrid.operators.tracking import Tracker, track
+
+    rng, rows, want = np.random.default_rng(5), [], set()
+    for run in ("a", None):
+        for shot in range(3):
+            tracker = Tracker(5)
+            for frame in range(12):
+                n = int(rng.integers(0, 4))
+                boxes = np.array([[60.0 * i + frame + shot, 5.0, 60.0 * i + frame + shot + 30, 50.0] for i in range(n)]).reshape(n, 4)
+                conf = rng.uniform(0.05, 1, n).round(3)
+                want |= {(run, shot, frame, i, int(t)) for i, t in enumerate(tracker.update(boxes, conf)) if t}
+                rows += [(run, shot, frame, i, *map(float, boxes[i]), float(conf[i])) for i in range(n)] or [(run, shot, frame, None, None, None, None, None, None)]
+    ddl = "run_id string, shot_id int, frame_index long, det_no int, x1 double, y1 double, x2 double, y2 double, conf double"
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "4", old):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert {tuple(r) for r in track(spark.createDataFrame(rows, ddl), 5.0).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert track(spark.createDataFrame([], ddl), 5.0).count() == 0
