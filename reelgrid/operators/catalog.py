@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reelgrid import court
 from reelgrid.functions import keypoints as K
+from reelgrid.operators.blocks import BLOCK, blocked, in_block, with_prior
 from reelgrid.schemas import NORTH_CONVENTION, ORIENTATION, ORIENTATION_MODES, POINTS, TRIAGE
 
 
@@ -164,8 +165,16 @@ def unlock_orientations(clips: DataFrame, frames: DataFrame, requests: DataFrame
     return after, r.select("clip_id", "force", "code", "n_labeled")
 
 
-def previous_labeled(frames: DataFrame) -> DataFrame:
-    """frames with prev_frame_id: the labeled frame of the same clip with the largest smaller frame_index, then the largest id."""
+def previous_labeled(frames: DataFrame, block: int | None = None) -> DataFrame:
+    """frames with prev_frame_id: the labeled frame of the same clip with the largest smaller frame_index, then the largest id.
+
+    With `block` (units of frame_index) a clip is spread over tasks, see operators/blocks.py.
+    """
+    if block is not None:
+        labeled = F.when(F.col("label_status") == "labeled", F.struct("frame_index", "frame_id"))
+        f = with_prior(blocked(frames, "frame_index", block), "clip_id", {"_last": F.max(labeled)}, {"_before": lambda b: F.max("_last").over(b)})
+        here = F.max(labeled).over(in_block("clip_id", "frame_index").rangeBetween(Window.unboundedPreceding, -1))
+        return f.withColumn("prev_frame_id", F.coalesce(here, F.col("_before"))["frame_id"]).drop("_before", BLOCK)
     w = Window.partitionBy("clip_id").orderBy("frame_index").rangeBetween(Window.unboundedPreceding, -1)
     seen = F.max(F.when(F.col("label_status") == "labeled", F.struct("frame_index", "frame_id"))).over(w)
     return frames.withColumn("prev_frame_id", seen["frame_id"])
@@ -229,8 +238,13 @@ def migrate(clips: DataFrame, frames: DataFrame, labels: DataFrame) -> tuple[Dat
     return clips.withColumn("orientation", F.when(~stale, F.col("orientation"))), frames_after, kept, counts
 
 
-def sticky_ends(events: DataFrame) -> DataFrame:
-    """events (clip_id, seq, visible_ends): the last value confirmed in the clip up to each event."""
+def sticky_ends(events: DataFrame, block: int | None = None) -> DataFrame:
+    """events (clip_id, seq, visible_ends): the last value confirmed in the clip up to each event. With `block` (units of seq) a clip is spread over tasks."""
+    if block is not None:
+        last = F.max_by("visible_ends", F.when(F.col("visible_ends").isNotNull(), F.col("seq")))
+        f = with_prior(blocked(events, "seq", block), "clip_id", {"_last": last}, {"_before": lambda b: F.last("_last", ignorenulls=True).over(b)})
+        here = F.last("visible_ends", ignorenulls=True).over(in_block("clip_id", "seq").rowsBetween(Window.unboundedPreceding, 0))
+        return f.withColumn("sticky", F.coalesce(here, "_before")).drop("_before", BLOCK)
     w = Window.partitionBy("clip_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("sticky", F.last("visible_ends", ignorenulls=True).over(w))
 

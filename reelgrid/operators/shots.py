@@ -1,7 +1,8 @@
 """Ordered operators over the frames of a run: scene cuts, shots, error runs, segments, summaries.
 
-Every window is over one run in frame order; runs are independent, so parallelism is over
-runs, and within one window Spark streams over sorted rows.
+Runs are independent, and frame_index is unique in a run. Without `block` a window is over one
+run in frame order, which suits runs that are videos; with it (units of the order column a
+block) a run is spread over tasks, see operators/blocks.py. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelgrid.operators.blocks import BLOCK, blocked, in_block, with_prior
+
 SCENE_THRESHOLD = 0.5
 MAX_CONSECUTIVE_ERRORS = 100
 SEGMENT_FRAMES = 1000
@@ -50,38 +53,69 @@ def correlation(a: Column, b: Column) -> Column:
     return F.when(F.abs(low) > 2.220446049250313e-16, top / F.sqrt(low)).when(low.isNotNull(), F.lit(1.0))
 
 
-def scene_cuts(frames: DataFrame, threshold: float = SCENE_THRESHOLD, run: str = "run_id", order: str = "frame_index", hist: str = "hist") -> DataFrame:
+def scene_cuts(frames: DataFrame, threshold: float = SCENE_THRESHOLD, run: str = "run_id", order: str = "frame_index", hist: str = "hist", block: int | None = None) -> DataFrame:
     """Adds cut: correlation with the frame before is below the threshold; a run's first frame is no cut."""
+    if block is not None:
+        w = in_block(run, order)
+        f = with_prior(blocked(frames, order, block), run, {"_end": F.max_by(F.struct(hist), order)}, {"_edge": lambda b: F.last("_end").over(b)})
+        f = f.withColumn("_prev", F.when(F.row_number().over(w) == 1, F.col(f"_edge.{hist}")).otherwise(F.lag(hist).over(w)))
+        return f.withColumn("cut", F.coalesce(correlation(F.col("_prev"), F.col(hist)) < threshold, F.lit(False))).drop("_prev", "_edge", BLOCK)
     w = Window.partitionBy(run).orderBy(order)
     return frames.withColumn("_prev", F.lag(hist).over(w)).withColumn("cut", F.coalesce(correlation(F.col("_prev"), F.col(hist)) < threshold, F.lit(False))).drop("_prev")
 
 
-def shots(frames: DataFrame, start_shot: int = 0, run: str = "run_id", order: str = "frame_index", cut: str = "cut") -> DataFrame:
+def shots(frames: DataFrame, start_shot: int = 0, run: str = "run_id", order: str = "frame_index", cut: str = "cut", block: int | None = None) -> DataFrame:
     """Adds shot_id, the cuts counted up, and scene_cut; a run's first frame opens a shot without counting."""
+    if block is not None:
+        w, whole = in_block(run, order), F.col(cut).cast("int")
+        totals = {"_n": F.sum(whole), "_first": F.min_by(whole, order)}
+        f = with_prior(blocked(frames, order, block), run, totals, {"_before": lambda b: F.sum("_n").over(b) - F.first("_first").over(b)})
+        first = F.col("_before").isNull() & (F.row_number().over(w) == 1)
+        f = f.withColumn("_is_first", first).withColumn("shot_id", (F.coalesce("_before", F.lit(0)) + F.sum(F.when(F.col("_is_first"), 0).otherwise(whole)).over(w.rowsBetween(Window.unboundedPreceding, 0)) + start_shot).cast("int"))
+        return f.withColumn("scene_cut", F.col("_is_first") | F.col(cut)).drop("_before", "_is_first", BLOCK)
     w = Window.partitionBy(run).orderBy(order)
     first = F.row_number().over(w) == 1
     counted = F.sum(F.when(first, 0).otherwise(F.col(cut).cast("int"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return frames.withColumns({"shot_id": (counted + start_shot).cast("int"), "scene_cut": first | F.col(cut)})
 
 
-def error_runs(frames: DataFrame, run: str = "run_id", order: str = "frame_index", failed: str = "failed") -> DataFrame:
+def error_runs(frames: DataFrame, run: str = "run_id", order: str = "frame_index", failed: str = "failed", block: int | None = None) -> DataFrame:
     """Adds error_run: consecutive failures up to and with each frame, 0 where it did not fail."""
+    if block is not None:
+        # failures so far less those there were at the last frame that did not fail
+        w = in_block(run, order).rowsBetween(Window.unboundedPreceding, 0)
+        f = blocked(frames, order, block).withColumn("_p", F.count_if(failed).over(w))
+        f = with_prior(
+            f, run, {"_n": F.count_if(failed), "_q": F.max(F.when(~F.col(failed), F.col("_p")))},
+            {"_before": lambda b: F.coalesce(F.sum("_n").over(b), F.lit(0))}, {"_base": lambda b: F.max(F.col("_before") + F.col("_q")).over(b)},
+        )
+        here = F.max(F.when(~F.col(failed), F.col("_p"))).over(w)
+        since = F.coalesce(F.col("_before") + here, F.col("_base"), F.lit(0))
+        return f.withColumn("error_run", F.col("_before") + F.col("_p") - since).drop("_p", "_before", "_base", BLOCK)
     w = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     island = frames.withColumn("_ok", F.count_if(~F.col(failed)).over(w))
     inside = Window.partitionBy(run, "_ok").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return island.withColumn("error_run", F.count_if(failed).over(inside)).drop("_ok")
 
 
-def until_abort(frames: DataFrame, limit: int = MAX_CONSECUTIVE_ERRORS, run: str = "run_id", order: str = "frame_index", failed: str = "failed") -> DataFrame:
+def until_abort(frames: DataFrame, limit: int = MAX_CONSECUTIVE_ERRORS, run: str = "run_id", order: str = "frame_index", failed: str = "failed", block: int | None = None) -> DataFrame:
     """Frames up to and with the first whose error run reaches the limit; adds error_run and aborted (of the run)."""
-    marked = error_runs(frames, run, order, failed)
+    marked = error_runs(frames, run, order, failed, block)
+    if block is not None:
+        over = marked.where(F.col("error_run") >= limit).groupBy(F.col(run).alias("_run")).agg(F.min(order).alias("_stop"))
+        out = marked.join(over, F.col(run).eqNullSafe(F.col("_run")), "left").where(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop")))
+        return out.withColumn("aborted", F.col("_stop").isNotNull()).drop("_run", "_stop")
     w = Window.partitionBy(run)
     stop = F.min(F.when(F.col("error_run") >= limit, F.col(order))).over(w)
     return marked.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).withColumn("aborted", F.col("_stop").isNotNull()).drop("_stop")
 
 
-def segments(frames: DataFrame, size: int = SEGMENT_FRAMES, start_segment: int = 0, run: str = "run_id", order: str = "frame_index") -> DataFrame:
+def segments(frames: DataFrame, size: int = SEGMENT_FRAMES, start_segment: int = 0, run: str = "run_id", order: str = "frame_index", block: int | None = None) -> DataFrame:
     """Adds segment_index: stretches of `size` records in order."""
+    if block is not None:
+        f = with_prior(blocked(frames, order, block), run, {"_n": F.count(F.lit(1))}, {"_before": lambda b: F.coalesce(F.sum("_n").over(b), F.lit(0))})
+        at = F.col("_before") + F.row_number().over(in_block(run, order)) - 1
+        return f.withColumn("segment_index", (F.floor(at / size) + start_segment).cast("int")).drop("_before", BLOCK)
     w = Window.partitionBy(run).orderBy(order)
     return frames.withColumn("segment_index", (F.floor((F.row_number().over(w) - 1) / size) + start_segment).cast("int"))
 

@@ -49,6 +49,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 MICROS = ("cast(cast(cast(ts - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(18, 6)) * 1000000 as bigint)")
 
 
+#: Blocks of the ordered operators, as one user or label may have a great part of all rows: a week of microseconds, so many vectors.
+WEEK, VECTORS = 7 * 86_400_000_000, 65_536
+
+
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as frames: triage by type, purchases are labeled."""
     kind = F.col("event_type")
@@ -92,7 +96,7 @@ def counts_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EVENT_FRAMES} SELECT f.frame_id, p.frame_id AS prev_frame_id FROM f
 ASOF LEFT JOIN (SELECT * FROM f WHERE label_status = 'labeled') p ON f.clip_id = p.clip_id AND f.frame_index > p.frame_index""")
 def prev_labeled_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.previous_labeled(event_frames(spark, sf_dir)).select("frame_id", "prev_frame_id")
+    return C.previous_labeled(event_frames(spark, sf_dir), WEEK).select("frame_id", "prev_frame_id")
 
 
 def run_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +112,7 @@ SHOTS = f"""{RUN_FRAMES}, s AS (SELECT *, sum(CASE WHEN rn > 1 AND cut THEN 1 EL
 
 @query(f"WITH {SHOTS} SELECT event_id, shot_id, scene_cut FROM s")
 def shot_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.shots(run_frames(spark, sf_dir)).select("event_id", "shot_id", "scene_cut")
+    return O.shots(run_frames(spark, sf_dir), block=WEEK).select("event_id", "shot_id", "scene_cut")
 
 
 ERROR_RUNS = f"""{RUN_FRAMES}, e AS (SELECT *, count(*) FILTER (WHERE NOT cut) OVER (PARTITION BY run_id ORDER BY frame_index) AS island FROM r),
@@ -117,17 +121,17 @@ g AS (SELECT *, count(*) FILTER (WHERE cut) OVER (PARTITION BY run_id, island OR
 
 @query(f"WITH {ERROR_RUNS} SELECT event_id, error_run FROM g")
 def error_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.error_runs(run_frames(spark, sf_dir)).select("event_id", "error_run")
+    return O.error_runs(run_frames(spark, sf_dir), block=WEEK).select("event_id", "error_run")
 
 
 @query(f"""WITH {ERROR_RUNS}, h AS (SELECT *, min(frame_index) FILTER (WHERE error_run >= 2) OVER (PARTITION BY run_id) AS stop FROM g)
 SELECT event_id, error_run, stop IS NOT NULL AS aborted FROM h WHERE stop IS NULL OR frame_index <= stop""")
 def abort_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.until_abort(run_frames(spark, sf_dir), 2).select("event_id", "error_run", "aborted")
+    return O.until_abort(run_frames(spark, sf_dir), 2, block=WEEK).select("event_id", "error_run", "aborted")
 
 
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.segments(run_frames(spark, sf_dir), 10).withColumn("error", F.when(F.col("failed"), "failed"))
+    return O.segments(run_frames(spark, sf_dir), 10, block=WEEK).withColumn("error", F.when(F.col("failed"), "failed"))
 
 
 ROLLUP = f"""{SHOTS}, u AS (SELECT run_id, segment_index, min(frame_index) AS start_frame, max(frame_index) AS end_frame, count(*) AS n_records,
@@ -206,7 +210,7 @@ p AS (SELECT *, lag(a) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM h),
 s AS (SELECT vec_id, a, b, list_sum(a) AS sa, list_sum(b) AS sb, list_dot_product(a, a) AS aa, list_dot_product(b, b) AS bb, list_dot_product(a, b) AS ab FROM p)
 SELECT vec_id AS frame_index, coalesce((ab - sa * sb / 64) / sqrt((aa - sa * sa / 64) * (bb - sb * sb / 64)) < 0.5, false) AS cut FROM s""")
 def scene_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.scene_cuts(histograms(spark, sf_dir)).select("frame_index", "cut")
+    return O.scene_cuts(histograms(spark, sf_dir), block=VECTORS).select("frame_index", "cut")
 
 
 def embedded_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,7 +373,7 @@ def validation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sticky_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = event_frames(spark, sf_dir)
     ends = F.when(F.col("event_type").isin("purchase", "click"), F.col("event_type"))
-    return C.sticky_ends(f.select("frame_id", "clip_id", F.col("frame_index").alias("seq"), ends.alias("visible_ends"))).select("frame_id", "sticky")
+    return C.sticky_ends(f.select("frame_id", "clip_id", F.col("frame_index").alias("seq"), ends.alias("visible_ends")), WEEK).select("frame_id", "sticky")
 
 
 @query("""WITH u AS (SELECT doc_id, 'train' AS s FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'val' FROM labels WHERE toxic = 1)
