@@ -12,11 +12,14 @@ from reelgrid.llm.embed_dedup import embedding_groups
 from reelgrid.llm.exact_dedup import exact_groups
 from reelgrid.llm.html_extract import extract_main_text
 from reelgrid.llm.langid import predict_languages
+from reelgrid.llm.lm_score import lm_scores
 from reelgrid.llm.mixing import PRIME, SEEDS, mix_plan
 from reelgrid.llm.packing import pack
+from reelgrid.llm.phrases import collocations
 from reelgrid.llm.pii import digest, personal_data
 from reelgrid.llm.sharding import shard_rows
 from reelgrid.llm.simhash import simhash_groups
+from reelgrid.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,9 +79,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_pii, op2_exact_dedup, op3_embedding_dedup, op4_main_text, op5_language, op6_simhash, op7_packing, op8_sharding, op9_mixing, op10_chat,
+        op1_pii, op2_exact_dedup, op3_embedding_dedup, op4_main_text, op5_language, op6_simhash, op7_packing, op8_sharding, op9_mixing, op10_chat, op11_whitening, op12_lm_score, op13_phrases,
     )}
 
 
@@ -177,5 +192,33 @@ FROM a LEFT JOIN h ON a.conv_id IS NOT DISTINCT FROM h.conv_id LEFT JOIN y ON a.
 """
 
 
+OP13_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), p AS (
+  SELECT lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') AS w FROM t
+), n AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang
+), s AS (
+  SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS sizes(m) WHERE len(w) >= m
+), g AS (
+  SELECT lang, w[i:i + m - 1] AS ws, any_value(m) AS m, count(*) AS f FROM s GROUP BY lang, ws HAVING count(*) >= 30
+), c AS (
+  SELECT lang, ws, m, f AS a, unnest(range(1, m)) AS k FROM g WHERE m > 1
+), b AS (
+  SELECT c.lang, c.ws, c.m, c.a, min(((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f), k, x.f, y.f)) AS cut
+  FROM c JOIN g x ON x.lang = c.lang AND x.ws = c.ws[1:k] JOIN g y ON y.lang = c.lang AND y.ws = c.ws[k + 1:c.m] GROUP BY ALL
+), u AS (
+  SELECT lang, ws[j:j + z - 1] AS ws, max(f) AS longer FROM (SELECT lang, ws, m, f, z, unnest(range(1, m - z + 2)) AS j FROM g, (VALUES (2), (3)) AS sizes(z) WHERE z < m) GROUP BY ALL
+), k AS (
+  SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, b.a, cut[3] AS l, cut[4] AS r, cut[1]::BIGINT AS score
+  FROM b LEFT JOIN u ON u.lang = b.lang AND u.ws = b.ws WHERE u.longer IS NULL OR 100::HUGEINT * u.longer < 80::HUGEINT * b.a
+)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM k JOIN n USING (lang)
+) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op9_mixing": OP9_SQL, "op10_chat": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op9_mixing": OP9_SQL, "op10_chat": OP10_SQL, "op13_phrases": OP13_SQL}
