@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reelgrid import court
+from reelgrid.schemas import SCHEMA_REF
 
 MIN_CONFIDENCE = 0.25
 HULL_PAD = 0.02
@@ -152,3 +153,24 @@ def to_image(v: Column, offset: Column, scale: Column) -> Column:
 
 def zoomed(scale: Column, steps: Column) -> Column:
     return F.least(F.lit(20.0), F.greatest(F.lit(0.05), scale * F.pow(F.lit(1.15), steps)))
+
+
+def diagram_xy(along: Column, across: Column) -> Column:
+    """Place on the court diagram of a point in feet: x from across, y from along."""
+    return F.array(court.DIAGRAM_ORIGIN[0] + court.DIAGRAM_SCALE * across, court.DIAGRAM_ORIGIN[1] + court.DIAGRAM_SCALE * along)
+
+
+def id_of(index: Column) -> Column:
+    """Canonical id of an index from 0; null beyond."""
+    return F.get(F.array(*map(F.lit, court.IDS)), index)
+
+
+def index_of(cid: Column) -> Column:
+    """Index from 0 of a canonical id; null for others."""
+    at = F.array_position(F.array(*map(F.lit, court.IDS)), cid).cast("int")
+    return F.when(at > 0, at - 1)
+
+
+def schema_ref() -> Column:
+    """Which schema a label was made by."""
+    return F.struct(F.lit(court.SCHEMA_NAME).alias("schema_name"), F.lit(court.SCHEMA_VERSION).alias("schema_version")).cast(SCHEMA_REF)

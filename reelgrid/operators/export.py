@@ -11,7 +11,7 @@ from reelgrid import court
 from reelgrid.functions import keypoints as K
 from reelgrid.functions import scalars as S
 from reelgrid.operators.catalog import labels_missing
-from reelgrid.sources.files import copy, publish_partitions, remove, write_text_atomically
+from reelgrid.sources.named_files import write_files
 
 
 class ExportRefused(ValueError):
@@ -57,27 +57,27 @@ def export(
     """Rebuilds `out`: labels/<split>/<frame_id>.txt, images/<split>/<frame_id>.<ending> copied from the folder `images`, data.yaml and a
     copy of schema_file; returns rows per split and `missing`.
 
-    Lines are made by Spark's tasks; the driver then renames a file per labeled frame. For
-    sets too large for that, packed=True writes labels/split=train|val as text rows
-    `frame_id TAB line`; images are then not copied.
+    Tasks write the lines and copy the pictures beside `out`, which is replaced in one rename
+    when all are done; an export that fails leaves the former one. packed=True is for sets of
+    too many files for a folder: labels/split=train|val as text rows `frame_id TAB line`,
+    without pictures.
     """
     check_labels(frames, labels)
     spark = frames.sparkSession
     lines = export_lines(frames, labels, val_fraction, box)
-    remove(spark, out)
-    if packed:
-        lines.select(F.concat_ws("\t", "frame_id", "line").alias("value"), "split").write.mode("overwrite").partitionBy("split").text(posixpath.join(out, "labels"))
-    else:
-        temp = posixpath.join(out, ".lines")
-        lines.select("split", "frame_id", F.col("line").alias("value")).repartition("split", "frame_id").write.partitionBy("split", "frame_id").text(temp)
-        publish_partitions(spark, temp, posixpath.join(out, "labels"), ("split", "frame_id"), ".txt")
+    one = spark.range(1)
+    none = F.lit(None).cast("string")
+    files = one.select(F.lit("data.yaml").alias("name"), F.lit(data_yaml(out)).alias("content"), none.alias("source"))
+    if schema_file is not None:
+        files = files.unionByName(one.select(F.lit(posixpath.basename(schema_file)).alias("name"), none.alias("content"), F.lit(schema_file).alias("source")))
+    if not packed:
+        files = files.unionByName(lines.select(F.concat(F.lit("labels/"), "split", F.lit("/"), "frame_id", F.lit(".txt")).alias("name"), F.concat("line", F.lit("\n")).alias("content"), none.alias("source")))
         if images is not None:
             ending = F.regexp_extract("image", r"(\.[A-Za-z0-9]+)$", 1)
-            for r in lines.select("split", "frame_id", "image", ending.alias("ending")).where("image is not null").toLocalIterator():
-                copy(spark, posixpath.join(images, r["image"]), posixpath.join(out, "images", r["split"], r["frame_id"] + r["ending"]))
-    if schema_file is not None:
-        copy(spark, schema_file, posixpath.join(out, posixpath.basename(schema_file)))
-    write_text_atomically(spark, posixpath.join(out, "data.yaml"), data_yaml(out))
+            files = files.unionByName(lines.where("image is not null").select(F.concat(F.lit("images/"), "split", F.lit("/"), "frame_id", ending).alias("name"), none.alias("content"), F.concat(F.lit(images.rstrip("/") + "/"), "image").alias("source")))
+    write_files(files, out, overwrite=True)
+    if packed:
+        lines.select(F.concat_ws("\t", "frame_id", "line").alias("value"), "split").write.mode("overwrite").partitionBy("split").text(posixpath.join(out, "labels"))
     counts = {"train": 0, "val": 0} | {r["split"]: r["n"] for r in split_counts(lines).collect()}
     return counts | {"missing": labels_missing(frames, labels).count()}
 

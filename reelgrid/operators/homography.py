@@ -19,6 +19,7 @@ THRESHOLD_FEET = 5.0
 LEAST_POINTS = 4
 TRIALS = 400
 TRIALS_AT_ONCE = 50
+FRAMES_AT_ONCE = 2000
 #: Samples end once the chance that none of them held inliers alone is below this.
 MISSED = 1e-4
 SOLVED = "struct<homography:array<array<double>>,used_keypoint_ids:array<string>>"
@@ -120,22 +121,89 @@ def _solve(src: np.ndarray, dst: np.ndarray, threshold: float) -> np.ndarray | N
     return fit(src[best], dst[best]) if best is not None and most >= LEAST_POINTS else None
 
 
+def _normalisers(p: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """_normaliser of the seen points of every frame: p (k, n, 2), seen (k, n) as 0 and 1 -> (k, 3, 3)."""
+    count = np.maximum(seen.sum(1), 1)
+    centre = (p * seen[..., None]).sum(1) / count[:, None]
+    spread = (np.sqrt(((p - centre[:, None]) ** 2).sum(2)) * seen).sum(1) / count
+    s = np.divide(np.sqrt(2), spread, out=np.ones_like(spread), where=spread > 0)
+    out = np.zeros((len(p), 3, 3))
+    out[:, 0, 0] = out[:, 1, 1] = s
+    out[:, :2, 2] = -s[:, None] * centre
+    out[:, 2, 2] = 1
+    return out
+
+
+def _moved(h: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Points (k, n, 2) through the homographies (k, 3, 3)."""
+    q = p @ h[:, :, :2].transpose(0, 2, 1) + h[:, None, :, 2]
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        return q[..., :2] / q[..., 2:]
+
+
+def fit_all(src: np.ndarray, dst: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least-squares homographies (k, 3, 3) of k frames at once from their seen points, and which of them there are.
+
+    An unseen point's equations are rows of zeros, which change no singular vector, so frames
+    of any points share one stack; its rows are made nine by QR before the decomposition.
+    """
+    weight = seen.astype(float)
+    src = np.where(seen[..., None], src, 0.0)
+    planes = np.broadcast_to(dst, src.shape)
+    ts, td = _normalisers(src, weight), _normalisers(planes, weight)
+    s, d = _moved(ts, src), _moved(td, planes)
+    x, y, u, v = s[..., 0], s[..., 1], d[..., 0], d[..., 1]
+    zero, one = np.zeros_like(x), np.ones_like(x)
+    rows = np.concatenate([
+        np.stack([-x, -y, -one, zero, zero, zero, u * x, u * y, u], 2) * weight[..., None], np.stack([zero, zero, zero, -x, -y, -one, v * x, v * y, v], 2) * weight[..., None],
+    ], 1)
+    _, sizes, vt = np.linalg.svd(np.linalg.qr(rows, mode="r"))
+    h = np.linalg.inv(td) @ vt[:, -1].reshape(-1, 3, 3) @ ts
+    last = h[:, 2, 2]
+    good = (seen.sum(1) >= LEAST_POINTS) & (sizes[:, 7] >= 1e-9 * sizes[:, 0]) & (np.abs(last) > 1e-12)
+    return h / np.where(good, last, 1.0)[:, None, None], good
+
+
+def solve_all(src: np.ndarray, dst: np.ndarray, seen: np.ndarray, threshold: float = THRESHOLD_FEET) -> list[np.ndarray | None]:
+    """solve() of every frame. Frames whose first fit leaves no seen point beyond the threshold are done by stacks; RANSAC sees the others alone."""
+    usable = (seen.sum(1) >= LEAST_POINTS) & np.isfinite(np.where(seen[..., None], src, 0.0)).all((1, 2))
+    out: list[np.ndarray | None] = [None] * len(src)
+    for at in range(0, len(src), FRAMES_AT_ONCE):
+        which = at + np.flatnonzero(usable[at : at + FRAMES_AT_ONCE])
+        if not len(which):
+            continue
+        try:
+            h, good = fit_all(src[which], dst, seen[which])
+            err = ((_moved(h, np.where(seen[which][..., None], src[which], 0.0)) - dst) ** 2).sum(2)
+            good &= ((err <= threshold**2) | ~seen[which]).all(1)
+        except np.linalg.LinAlgError:
+            h, good = np.zeros((len(which), 3, 3)), np.zeros(len(which), bool)
+        for i, fits, whole in zip(which, good, h, strict=True):
+            out[i] = whole if fits else solve(src[i][seen[i]], dst[seen[i]], threshold)
+    return out
+
+
 def homography(points: Column, template: str) -> Column:
     """Canonical points -> struct of the 3 x 3 matrix and the ids of all visible points; fewer than four: null and none."""
     feet = court.template(template)
     plane = np.array([(feet[i][1], feet[i][0]) for i in court.IDS])
-    ids = list(court.IDS)
+    ids = np.array(list(court.IDS))
+    n = len(ids)
 
     @F.pandas_udf(SOLVED)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for points in batch:
-                rows = np.zeros((0, 3)) if points is None else np.asarray(points, float).reshape(-1, 3)
-                seen = np.flatnonzero(rows[:, 2] > 0)
-                h = solve(rows[seen, :2], plane[seen])
-                out.append((None, []) if h is None else (h.tolist(), [ids[i] for i in seen]))
-            yield pd.DataFrame(out, columns=["homography", "used_keypoint_ids"])
+            flat = np.zeros((len(batch), n * 3))  # a frame of other than n points has no homography by them
+            for k, points in enumerate(batch):
+                if points is not None and len(points) == n * 3:
+                    flat[k] = points
+            rows = flat.reshape(-1, n, 3)
+            seen = rows[..., 2] > 0
+            solved = solve_all(rows[..., :2], plane, seen)
+            yield pd.DataFrame({
+                "homography": pd.Series([None if h is None else h.tolist() for h in solved], dtype=object),
+                "used_keypoint_ids": pd.Series([[] if h is None else ids[on].tolist() for h, on in zip(solved, seen, strict=True)], dtype=object),
+            })
 
     # plain numbers reach the workers as arrays, structs as a dictionary each
     return apply(F.flatten(F.transform(points, lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"), p["v"].cast("double")))))

@@ -8,9 +8,10 @@ block) a run is spread over tasks, see operators/blocks.py. Both give the same r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,24 +23,88 @@ SEGMENT_FRAMES = 1000
 BINS = 64
 
 
+def _stretches(sizes: np.ndarray, most: int = 1 << 24) -> Iterator[slice]:
+    """Neighbouring rows of together at most so many numbers (or a single row)."""
+    lo, total = 0, 0
+    for i, n in enumerate(sizes):
+        if total + n > most and i > lo:
+            yield slice(lo, i)
+            lo, total = i, 0
+        total += n
+    if lo < len(sizes):
+        yield slice(lo, len(sizes))
+
+
+def _shares(values: np.ndarray, starts: np.ndarray, bins: int) -> np.ndarray:
+    """Share of each row's values (0 to 255) in each of the bins; one count over rows and bins together. No value: not-a-number."""
+    sizes, out = np.diff(starts), np.full((len(starts) - 1, bins), np.nan)
+    for part in _stretches(sizes):
+        n = sizes[part]
+        here = values[starts[part.start] : starts[part.stop]]
+        at = here // (256 // bins) if here.dtype == np.uint8 else np.floor(here / (256 // bins))
+        row = np.repeat(np.arange(len(n)), n)
+        inside = (at >= 0) & (at < bins)
+        counts = np.bincount(row[inside] * bins + at[inside].astype(np.int64), minlength=len(n) * bins).reshape(-1, bins)
+        out[part] = np.divide(counts, n[:, None], out=np.full(counts.shape, np.nan), where=n[:, None] > 0)
+    return out
+
+
+def _histograms(shares: np.ndarray, null: np.ndarray) -> pa.Array:
+    flat = shares[~null].ravel()
+    starts = np.concatenate([[0], np.cumsum(np.where(null, 0, shares.shape[1]))]).astype(np.int32)
+    offsets = pa.array(starts, mask=np.append(null, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, mask=np.isnan(flat)))
+
+
+def _bytes(payload: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, where each row begins, and which rows are null."""
+    payload = payload.cast(pa.large_binary())
+    _, offsets, data = payload.buffers()
+    starts = np.frombuffer(offsets, np.int64)[payload.offset : payload.offset + len(payload) + 1] if len(payload) else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), starts, payload.is_null().to_numpy(zero_copy_only=False)
+
+
 def grey_histogram(pixels: Column, bins: int = BINS) -> Column:
     """Share of pixels (0 to 255; an array or bytes) in each of the bins. Null: null; no pixel: nulls."""
 
-    @F.pandas_udf("array<double>")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([_histogram(p, bins) for p in batch])
+    @F.arrow_udf("array<double>")
+    def count(batch: pa.Array) -> pa.Array:
+        if pa.types.is_binary(batch.type) or pa.types.is_large_binary(batch.type):
+            values, starts, null = _bytes(batch)
+        else:
+            null = batch.is_null().to_numpy(zero_copy_only=False)
+            sizes = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            values = batch.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+        return _histograms(_shares(values, starts, bins), null)
 
     return count(pixels)
 
 
-def _histogram(pixels, bins: int) -> list | None:
-    if pixels is None:
-        return None
-    values = np.frombuffer(pixels, np.uint8) if isinstance(pixels, (bytes, bytearray, memoryview)) else np.asarray(pixels, float)
-    at = np.floor(values / (256 // bins)).astype(np.int64)
-    counts = np.bincount(at[(at >= 0) & (at < bins)], minlength=bins)
-    return (counts / len(values)).tolist() if len(values) else [None] * bins
+#: Weights of blue, green and red in grey (BT.601) as whole shares of 2^15.
+BLUE, GREEN, RED, GREY_BITS = 3735, 19235, 9798, 15
+
+
+def grey_of(bgr: np.ndarray) -> np.ndarray:
+    """Grey of pixels (n, 3) of blue, green, red bytes, in whole numbers, rounded to nearest."""
+    wide = bgr.astype(np.uint32)
+    return ((wide[:, 0] * BLUE + wide[:, 1] * GREEN + wide[:, 2] * RED + (1 << (GREY_BITS - 1))) >> GREY_BITS).astype(np.uint8)
+
+
+def colour_histogram(payload: Column, bins: int = BINS) -> Column:
+    """grey_histogram of raw colour frames (bytes of blue, green, red, pixel after pixel; bytes that make no whole pixel at the end count for nothing)."""
+
+    @F.arrow_udf("array<double>")
+    def count(batch: pa.Array) -> pa.Array:
+        data, starts, null = _bytes(batch)
+        pixels, out = np.diff(starts) // 3, np.full((len(batch), bins), np.nan)
+        for part in _stretches(pixels, 1 << 22):
+            rows = [data[starts[i] : starts[i] + 3 * pixels[i]] for i in range(part.start, part.stop)]
+            grey = grey_of((np.concatenate(rows) if len(rows) > 1 else rows[0]).reshape(-1, 3))
+            out[part] = _shares(grey, np.concatenate([[0], np.cumsum(pixels[part])]), bins)
+        return _histograms(out, null)
+
+    return count(payload.cast("binary"))
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -120,6 +185,52 @@ def segments(frames: DataFrame, size: int = SEGMENT_FRAMES, start_segment: int =
     return frames.withColumn("segment_index", (F.floor((F.row_number().over(w) - 1) / size) + start_segment).cast("int"))
 
 
+@dataclass
+class Carry:
+    """Where an ordered run stands after some of its frames; `tracker` is the open shot's (see operators.tracking)."""
+
+    shot: int = 0
+    segment: int = 0  # of the next record
+    filled: int = 0  # records of that segment so far
+    error_run: int = 0
+    opened: bool = False
+    hist: list[float] | None = None
+    tracker: str | None = None
+    frame: int = -1
+
+
+def going_on(frames: DataFrame, carry: Carry, threshold: float = SCENE_THRESHOLD, segment_frames: int = SEGMENT_FRAMES, limit: int = MAX_CONSECUTIVE_ERRORS) -> DataFrame:
+    """shot_id, scene_cut, error_run, segment_index and aborted of one run's next frames (frame_index, hist, error), from where it stands.
+
+    The same as scene_cuts, shots, until_abort and segments over the whole run; frames after an abort go.
+    """
+    w = Window.partitionBy("run_id").orderBy("frame_index")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    no, failed = F.row_number().over(w), F.col("error").isNotNull()
+    before = F.lit(carry.hist).cast("array<double>") if carry.hist is not None else F.lit(None).cast("array<double>")
+    f = frames.withColumns({"_no": no, "_prev": F.when(no == 1, before).otherwise(F.lag("hist").over(w)), "_ok": F.count_if(~failed).over(so_far)})
+    f = f.withColumn("_cut", F.coalesce(correlation(F.col("_prev"), F.col("hist")) < threshold, F.lit(False)))
+    inside = Window.partitionBy("run_id", "_ok").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
+    f = f.withColumns({
+        "shot_id": (F.sum(F.col("_cut").cast("int")).over(so_far) + carry.shot).cast("int"), "scene_cut": F.col("_cut") | F.lit(not carry.opened) & (F.col("_no") == 1),
+        "error_run": F.count_if(failed).over(inside) + F.when(F.col("_ok") == 0, carry.error_run).otherwise(0),
+        "segment_index": (F.floor((F.col("_no") - 1 + carry.filled) / segment_frames) + carry.segment).cast("int"),
+    })
+    stop = F.min(F.when(F.col("error_run") >= limit, F.col("frame_index"))).over(Window.partitionBy("run_id"))
+    f = f.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col("frame_index") <= F.col("_stop")))
+    return f.withColumn("aborted", F.col("_stop").isNotNull()).drop("_no", "_prev", "_ok", "_cut", "_stop")
+
+
+def carried(rows: DataFrame, carry: Carry, segment_frames: int) -> tuple[Carry, bool]:
+    """Where the run stands after these rows of going_on (without the tracker), and whether it was aborted; the same carry if there are none."""
+    last = F.max_by(F.struct("shot_id", "error_run", "hist", "frame_index"), "frame_index")
+    r = rows.agg(last.alias("last"), F.count(F.lit(1)).alias("n"), F.bool_or("aborted").alias("aborted")).first()
+    if not r["n"]:
+        return carry, False
+    end, whole = r["last"], carry.filled + r["n"]
+    return Carry(end["shot_id"], carry.segment + whole // segment_frames, whole % segment_frames, end["error_run"], True, end["hist"], None, end["frame_index"]), r["aborted"]
+
+
 def segment_rollup(records: DataFrame, run: str = "run_id", order: str = "frame_index") -> DataFrame:
     """Per run and segment: start_frame, end_frame, n_records, errors, path, status."""
     return records.groupBy(run, "segment_index").agg(

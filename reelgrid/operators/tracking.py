@@ -7,6 +7,7 @@ Ids never cross shots. A shot is streamed, so memory does not grow with its leng
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +85,21 @@ class Tracker:
         self.keep = max(1, round(max(1.0, frame_rate) * LOST_SECONDS))
         self.frame = self.last = 0
 
+    ARRAYS = ("place", "speed", "pp", "pv", "vv", "number", "seen")
+
+    def dump(self) -> str:
+        """All there is to go on with, as text; numbers come back as they were."""
+        return json.dumps({"keep": self.keep, "frame": self.frame, "last": self.last, **{n: getattr(self, n).tolist() for n in self.ARRAYS}})
+
+    @classmethod
+    def load(cls, text: str) -> Tracker:
+        stored, out = json.loads(text), cls(1.0)
+        out.keep, out.frame, out.last = stored["keep"], stored["frame"], stored["last"]
+        for n in cls.ARRAYS:
+            whole = n in ("number", "seen")
+            setattr(out, n, np.array(stored[n], np.int64 if whole else float).reshape((-1,) if whole else (-1, 4)))
+        return out
+
     def _predict(self) -> np.ndarray:
         h = self.place[:, 3]
         self.place = self.place + self.speed
@@ -139,7 +155,7 @@ class Tracker:
             out[new] = self._open(boxes[new])
         alive = self.frame - self.seen <= self.keep
         if not alive.all():
-            for name in ("place", "speed", "pp", "pv", "vv", "number", "seen"):
+            for name in self.ARRAYS:
                 setattr(self, name, getattr(self, name)[alive])
         return out
 
@@ -156,20 +172,27 @@ COLUMNS = ("run_id", "shot_id", "frame_index", "det_no", "x1", "y1", "x2", "y2",
 TRACKED = "run_id string, shot_id int, frame_index long, det_no int, track_id long"
 
 
-def track(detections: DataFrame, frame_rate: float) -> DataFrame:
+def track(detections: DataFrame, frame_rate: float, carry: tuple[int, str] | None = None, states: bool = False) -> DataFrame:
     """(run_id, shot_id, frame_index, det_no, x1, y1, x2, y2, conf; one row of null det_no for a frame without any) -> tracked rows with track_id.
 
     Shots are dealt to tasks and streamed in frame order: a task holds one Arrow batch, the
-    frame at its edge and the tracks in sight, however long a shot is.
+    frame at its edge and the tracks in sight, however long a shot is. A shot whose earlier
+    frames were tracked before goes on from carry, its shot_id and the tracker's state; with
+    `states` a row of null det_no and track_id follows each shot's last frame, whose `state` is
+    that of its tracker then.
     """
     rate = float(max(1, round(frame_rate)))
-    types = pa.schema([("run_id", pa.string()), ("shot_id", pa.int32()), ("frame_index", pa.int64()), ("det_no", pa.int32()), ("track_id", pa.int64())])
+    types = pa.schema([("run_id", pa.string()), ("shot_id", pa.int32()), ("frame_index", pa.int64()), ("det_no", pa.int32()), ("track_id", pa.int64())] + [("state", pa.string())] * states)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shot, tracker = None, Tracker(rate)
+        shot, tracker, last = None, Tracker(rate), None
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if states and shot is not None:
+                yield pa.RecordBatch.from_pylist([{"run_id": shot[0], "shot_id": shot[1], "frame_index": last, "state": tracker.dump()}], types)
 
-        def done(rows: pa.Table, keys: list[tuple]) -> list[pa.RecordBatch]:
-            nonlocal shot, tracker
+        def done(rows: pa.Table, keys: list[tuple]) -> Iterator[pa.RecordBatch]:
+            nonlocal shot, tracker, last
             det = rows["det_no"].to_numpy(zero_copy_only=False).astype(float)
             numbers = np.stack([rows[c].to_numpy(zero_copy_only=False).astype(float) for c in COLUMNS[4:]], 1)
             ids, lo = np.zeros(len(keys), np.int64), 0
@@ -177,13 +200,17 @@ def track(detections: DataFrame, frame_rate: float) -> DataFrame:
                 if hi < len(keys) and keys[hi] == keys[lo]:
                     continue
                 if shot != keys[lo][:2]:
-                    shot, tracker = keys[lo][:2], Tracker(rate)
+                    yield from ended()
+                    shot = keys[lo][:2]
+                    tracker = Tracker.load(carry[1]) if carry is not None and shot[1] == carry[0] else Tracker(rate)
+                last = keys[lo][2]
                 there = lo + np.flatnonzero(~np.isnan(det[lo:hi]))
                 ids[there] = tracker.update(numbers[there, :4], numbers[there, 4])
                 lo = hi
             kept = np.flatnonzero(ids > 0)
             out = rows.select(COLUMNS[:4]).take(kept).append_column("track_id", pa.array(ids[kept]))
-            return out.cast(types).combine_chunks().to_batches()
+            out = out.append_column("state", pa.nulls(len(kept), pa.string())) if states else out
+            yield from out.cast(types).combine_chunks().to_batches()
 
         rest = None  # rows of the frame that the next batch may go on with
         for batch in batches:
@@ -200,7 +227,8 @@ def track(detections: DataFrame, frame_rate: float) -> DataFrame:
                 yield from done(rows.slice(0, cut), keys[:cut])
         if rest is not None:
             yield from done(rest, list(zip(*(rest[c].to_pylist() for c in COLUMNS[:3]), strict=True)))
+        yield from ended()
 
     # a stated number: few bytes make much work here, so tasks are not to be merged by size
     tasks = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return detections.select(*COLUMNS).repartition(tasks, "run_id", "shot_id").sortWithinPartitions(*COLUMNS[:4]).mapInArrow(run, TRACKED)
+    return detections.select(*COLUMNS).repartition(tasks, "run_id", "shot_id").sortWithinPartitions(*COLUMNS[:4]).mapInArrow(run, TRACKED + (", state string" if states else ""))

@@ -47,7 +47,7 @@ def validate_submissions(submissions: DataFrame, frames: DataFrame, clips: DataF
         inside = x.between(0.0, F.col("_w")) & y.between(0.0, F.col("_h")) & ~F.isnan(x) & ~F.isnan(y)
         return F.when(~numeric, "not numeric").when(~F.coalesce(whole.isin(0, 1, 2), F.lit(False)), "v").when((whole != 0) & ~inside, "outside")
 
-    judged = F.transform("keypoints", judge)
+    judged = F.col("_judged")  # a column of its own, as place and reason are both taken from it
     at = F.array_position(F.transform(judged, lambda j: j.isNotNull()), True)
     clean = K.cleaned(F.transform("keypoints", lambda p: F.struct(
         _number(p["x"]).alias("x"), _number(p["y"]).alias("y"), _number(p["v"]).cast("int").alias("v"), _number(p["src_conf"]).alias("src_conf"),
@@ -58,7 +58,7 @@ def validate_submissions(submissions: DataFrame, frames: DataFrame, clips: DataF
         .when(F.col("_frame").isNull(), F.struct(F.lit(404).alias("code"), F.lit("unknown frame").alias("reason")))
         .when(~F.col("_locked"), F.struct(F.lit(409).alias("code"), F.lit("orientation").alias("reason")))
     )
-    out = out.withColumn("_static", static).withColumn("_at", F.when(F.col("_static").isNull(), at))
+    out = out.withColumns({"_static": static, "_judged": F.transform("keypoints", judge)}).withColumn("_at", F.when(F.col("_static").isNull(), at))
     out = out.withColumn("_clean", F.when(F.col("_static").isNull() & (F.col("_at") == 0), clean))
     out = out.withColumn("conflicting_ids", F.when(F.col("_clean").isNotNull(), K.conflicts(F.col("_clean"), ends, ids, F.col("visible_ends"))))
     point_reason = F.when(F.col("_at") > 0, F.get(judged, (F.col("_at") - 1).cast("int")))

@@ -2,15 +2,21 @@
 
 Input rows: run_id, frame_index, timestamp_s, hist array<double>, keypoints
 array<struct<x,y,v>>, players and balls arrays of detections, error (of the models; null:
-none). Two shuffles: by run for what depends on order, by shot for tracking.
+none). Two shuffles: by run for what depends on order, by shot for tracking. `records` does
+whole runs at once; `run_game` does one run part by part, with what the next part needs (last
+histogram, shot, error run, records in the segment, the open shot's tracks) handed on, so
+that each frame goes through the models once and a part's work does not grow with the run.
 """
 
 from __future__ import annotations
 
+import contextlib
 import posixpath
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelgrid import schemas
@@ -20,8 +26,10 @@ from reelgrid.functions import scalars as S
 from reelgrid.operators import shots as O
 from reelgrid.operators.homography import with_homography
 from reelgrid.operators.tracking import track
+from reelgrid.plans.inference import Model, with_models
 from reelgrid.sources import sinks
-from reelgrid.sources.files import exists, remove
+from reelgrid.sources.files import remove
+from reelgrid.sources.named_files import write_files
 
 
 @dataclass(frozen=True)
@@ -59,7 +67,7 @@ class Config:
     format: str = "jsonl"
     max_frames: int | None = None
     max_consecutive_errors: int = O.MAX_CONSECUTIVE_ERRORS
-    checkpoint_frames: int = 4 * O.SEGMENT_FRAMES  # processed frames between two points from which a run can go on
+    checkpoint_frames: int | None = None  # processed frames in a part of run_game; none: a segment's
 
     def keyed(self, stride: int, source_fps: float, who: Profile | None = None) -> dict:
         """What a stored run must have been made with to be continued; the limits and the checkpoints are not part of it."""
@@ -85,17 +93,37 @@ def ordered(frames: DataFrame, config: Config, start_shot: int = 0, start_segmen
     return O.segments(f, config.segment_frames, start_segment)
 
 
-def finished(f: DataFrame, who: Profile, config: Config, frame_rate: float) -> DataFrame:
-    """Records of whole shots."""
+def chosen_detections(f: DataFrame, who: Profile) -> DataFrame:
+    """Detections of the profile's classes; frames with an error have neither points nor detections."""
     ok = F.col("error").isNull()
-    f = f.withColumns({
+    return f.withColumns({
         "keypoints": F.when(ok, F.col("keypoints")), "players": F.when(ok, D.of_classes(F.col("players"), who.player_classes)).otherwise(F.array().cast(f"array<{schemas.DETECTION}>")),
         "balls": F.when(ok, D.of_classes(F.col("balls"), who.ball_classes)),
     })
+
+
+def player_boxes(f: DataFrame) -> DataFrame:
+    """Rows for operators.tracking of chosen_detections; frames with an error are none, others without players one empty row."""
     rows = f.select("run_id", "shot_id", "frame_index", "error", F.posexplode_outer("players").alias("det_no", "d")).where("error is null")
-    boxes = rows.select("run_id", "shot_id", "frame_index", "det_no", *[F.get("d.xyxy", i).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], "d.conf")
-    tracked = track(boxes, frame_rate).groupBy("run_id", "frame_index").agg(F.map_from_entries(F.collect_list(F.struct("det_no", "track_id"))).alias("ids"))
-    f = with_homography(f.join(tracked, ["run_id", "frame_index"], "left"), who.template)
+    return rows.select("run_id", "shot_id", "frame_index", "det_no", *[F.get("d.xyxy", i).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], "d.conf")
+
+
+def with_ids(f: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Adds ids, the track of each tracked detection by its place."""
+    ids = tracked.groupBy("run_id", "frame_index").agg(F.map_from_entries(F.collect_list(F.struct("det_no", "track_id"))).alias("ids"))
+    return f.join(ids, ["run_id", "frame_index"], "left")
+
+
+def finished(f: DataFrame, who: Profile, config: Config, frame_rate: float) -> DataFrame:
+    """Records of whole shots."""
+    f = chosen_detections(f, who)
+    return record_columns(with_ids(f, track(player_boxes(f), frame_rate)), who, config)
+
+
+def record_columns(f: DataFrame, who: Profile, config: Config, extra: Sequence[str] = ()) -> DataFrame:
+    """Records of frames that are chosen, ordered and tracked (ids), and the columns `extra`; each by itself, without a shuffle."""
+    ok = F.col("error").isNull()
+    f = with_homography(f, who.template)
     h = F.col("solved.homography")
     kept = F.filter(F.transform("players", lambda d, i: d.withField("track_id", F.try_element_at("ids", i))), lambda d: d["track_id"].isNotNull())
     ball = D.best(D.at_least(F.coalesce("balls", F.array().cast(f"array<{schemas.DETECTION}>")), config.ball_conf), schemas.DETECTION)
@@ -122,76 +150,132 @@ def finished(f: DataFrame, who: Profile, config: Config, frame_rate: float) -> D
     ball_struct = F.when(F.col("b").isNotNull(), F.struct(F.get("b_conf", 0).alias("conf"), F.col("b_box").alias("bbox"), F.col("b_centre").alias("center_px"), F.when(F.col("h").isNotNull(), F.col("b_court")).alias("court_ft")))
     return f.select(
         "run_id", "segment_index", "frame_index", "timestamp_s", "shot_id", "scene_cut", court_struct.cast(schemas.COURT).alias("court"),
-        players.cast(f"array<{schemas.PLAYER}>").alias("players"), ball_struct.cast(schemas.BALL).alias("ball"), "error",
+        players.cast(f"array<{schemas.PLAYER}>").alias("players"), ball_struct.cast(schemas.BALL).alias("ball"), "error", *extra,
     )
 
 
-def run_game(frames: DataFrame, run_dir: str, who: Profile, config: Config | None = None, *, source_fps: float = 30.0, key: str = "", resume: bool = True, video: str = "") -> dict:
+def unbroken(frames: DataFrame, first: int, step: int) -> DataFrame:
+    """One run's frames from `first` on, every step-th, up to the first that is missing."""
+    no = F.row_number().over(Window.partitionBy("run_id").orderBy("frame_index"))
+    return frames.withColumn("_no", no).where(F.col("frame_index") == first + (F.col("_no") - 1) * step).drop("_no")
+
+
+def completed(frames: DataFrame) -> DataFrame:
+    """Columns that no model gave are null."""
+    types = {"hist": "array<double>", "keypoints": "array<struct<x:double,y:double,v:int>>", "players": f"array<{schemas.DETECTION}>", "balls": f"array<{schemas.DETECTION}>", "error": "string"}
+    return frames.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in frames.columns})
+
+
+def run_game(
+    frames: DataFrame, run_dir: str, who: Profile, config: Config | None = None, *, models: Sequence[Model] = (), source_fps: float = 30.0, video_info: dict | None = None, key: str = "", resume: bool = True,
+    video: str = "", stop_at_gap: bool = False, continue_shot: bool = False,
+) -> dict:
     """Frames of one run (native indices) into records/seg_NNNNN.jsonl and run.json; returns the manifest.
 
-    A stored run of the same key goes on after its last segment, with a shot of its own; one
-    of another key starts afresh. The summary covers all segments of the run. The run goes on
-    in parts of checkpoint_frames processed frames: after each, the shots that are over are
-    finished, complete segments are published and the manifest says so. After a crash at most
-    one part and the shot that was open are done again.
+    The run goes on in parts of checkpoint_frames processed frames. A part's frames are chosen by
+    index (a filter that the frame source takes), then go through the models (payload is dropped
+    behind them; without a hist column it is made from the payload) and are written, once. What
+    was open before the part goes on in it, the tracks too, and each segment is published, with
+    the manifest and state.json, as soon as it is full, in the midst of a shot as well. When a
+    part fails, the records there are make a last, partial segment, and the error is raised.
+
+    A stored run of the same key goes on after its last segment, with a shot of its own; with
+    continue_shot in the shot and with the tracks of state.json, so that its records are those
+    of a run that was never stopped (where that segment was full). One of another key starts
+    afresh. The summary covers all segments of the run. video_info (fps, width, height,
+    frame_count) goes into the manifest; with frame_count the source is not asked for its
+    bounds. stop_at_gap ends the run at the first sampled frame that is missing, as a decoder does.
     """
     config = config or Config()
     spark: SparkSession = frames.sparkSession
     if config.format != "jsonl":
         raise NotImplementedError(f"format {config.format}")
-    step = max(1, round(source_fps / config.target_fps)) if config.target_fps > 0 else 1
-    manifest_path = posixpath.join(run_dir, "run.json")
+    info = {"fps": source_fps, "width": None, "height": None, "frame_count": None} | (video_info or {})
+    step = max(1, round(info["fps"] / config.target_fps)) if config.target_fps > 0 else 1
+    manifest_path, state_path, staged = (posixpath.join(run_dir, n) for n in ("run.json", "state.json", ".staged"))
     manifest = sinks.load_json(spark, manifest_path) if resume else None
     if manifest is not None and manifest.get("resume_key") != key:
         manifest = None
     if manifest is None:
         sinks.clear_run(spark, run_dir)
+        remove(spark, state_path)
         manifest = {
             "schema_version": schemas.MANIFEST_VERSION, "record_schema_version": schemas.RECORD_VERSION, "video": video, "resume_key": key, "profile": who.name,
-            "video_info": {"fps": source_fps}, "config": config.keyed(step, source_fps, who), "last_shot_id": -1, "segments": [], "summary": {}, "status": "running",
+            "video_info": info, "config": config.keyed(step, info["fps"], who), "last_shot_id": -1, "segments": [], "summary": {}, "status": "running",
         }
-    done = [s for s in manifest["segments"] if s["status"] == "done"]
-    last = max(done, key=lambda s: s["index"], default=None)
-    start, segment, shot = (last["end_frame"] + 1, last["index"] + 1, manifest["last_shot_id"] + 1) if last else (0, 0, 0)
-    chosen = frames.where((F.col("frame_index") >= start) & (F.col("frame_index") % step == 0))
-    if config.max_frames is not None:
-        chosen = chosen.orderBy("frame_index").limit(config.max_frames)
-    staged = posixpath.join(run_dir, ".staged")
     remove(spark, staged)
-    manifest["segments"] = done
-    bounds = chosen.agg(F.min("frame_index").alias("lo"), F.max("frame_index").alias("hi")).first()
-    lo, hi, size, shown = bounds["lo"], bounds["hi"], config.checkpoint_frames * step, segment
-    while lo is not None and lo <= hi:
-        upto = min(lo + size, hi + 1)
-        part = chosen.where((F.col("frame_index") >= lo) & (F.col("frame_index") < upto))
-        part.write.mode("append").parquet(posixpath.join(staged, "frames"))  # models run once, here
-        lo = upto
-        so_far = ordered(spark.read.schema(part.schema).parquet(posixpath.join(staged, "frames")), config, shot, segment)
-        state = so_far.agg(F.max("shot_id").alias("shot"), F.max("segment_index").alias("segment"), F.bool_or("aborted").alias("aborted")).first()
-        if state["shot"] is None:
-            continue
-        last = bool(state["aborted"]) or lo > hi
-        known = posixpath.join(staged, "records")
-        shots_done = spark.read.parquet(known).agg(F.max("shot_id")).first()[0] if exists(spark, known) else None
-        open_shot = state["shot"] + 1 if last else state["shot"]
-        ready = so_far.where((F.col("shot_id") < open_shot) & (F.col("shot_id") > (shots_done if shots_done is not None else -1)))
-        made = finished(ready, who, config, config.target_fps)
-        made.write.mode("append").parquet(known)
-        # a segment is complete when no frame of it is in the open shot
-        first_open = state["segment"] + 1 if last else so_far.where(F.col("shot_id") == open_shot).agg(F.min("segment_index")).first()[0]
-        complete = spark.read.schema(made.schema).parquet(known).where((F.col("segment_index") >= shown) & (F.col("segment_index") < first_open))
-        if first_open > shown:
-            sinks.write_shards(complete, run_dir)
-            new = O.segment_rollup(complete).orderBy("segment_index").collect()
-            manifest["segments"] = manifest["segments"] + [{"index": r["segment_index"], **{k: r[k] for k in ("start_frame", "end_frame", "n_records", "errors", "path", "status")}} for r in new]
-            manifest["last_shot_id"] = complete.agg(F.max("shot_id")).first()[0]
-            sinks.save_json(spark, manifest_path, manifest)
-            shown = first_open
-        if last:
-            manifest["status"] = "aborted" if state["aborted"] else "done"
-            break
+    manifest["segments"] = [s for s in manifest["segments"] if s["status"] == "done"]
+    last = max(manifest["segments"], key=lambda s: s["index"], default=None)
+    carry = O.Carry(shot=manifest["last_shot_id"] + 1, segment=last["index"] + 1, frame=last["end_frame"]) if last else O.Carry()
+    if last and continue_shot:
+        state = O.Carry(**(sinks.load_json(spark, state_path) or {}))
+        carry = state if state.frame == carry.frame and state.segment == carry.segment else carry
+    pending: list[str] = []
+    shown = carry.segment
+
+    def publish(before: int) -> None:
+        """Segments below `before` of the records not yet published."""
+        nonlocal pending, shown
+        rows = spark.read.parquet(*pending).where((F.col("segment_index") >= shown) & (F.col("segment_index") < before)) if pending else None
+        if rows is None or before <= shown:
+            return
+        new = O.segment_rollup(rows).orderBy("segment_index").collect()
+        if not new:
+            return
+        sinks.write_shards(rows, run_dir)
+        manifest["segments"] = [s for s in manifest["segments"] if s["index"] < shown] + [{"index": r["segment_index"], **{k: r[k] for k in ("start_frame", "end_frame", "n_records", "errors", "path", "status")}} for r in new]
+        manifest["last_shot_id"] = rows.agg(F.max("shot_id")).first()[0]
+        if carry.filled == 0:
+            sinks.save_json(spark, state_path, asdict(carry))
+        sinks.save_json(spark, manifest_path, manifest)
+        pending, shown = pending[-1:], before  # only the last part can hold records of the segment that is open
+
+    lo = -(-(carry.frame + 1) // step) * step
+    if info["frame_count"] is not None:
+        hi = info["frame_count"] - 1
     else:
-        manifest["status"] = "done"
+        bounds = frames.where((F.col("frame_index") >= lo) & (F.col("frame_index") % step == 0)).agg(F.min("frame_index").alias("lo"), F.max("frame_index").alias("hi")).first()
+        hi = -1 if bounds["hi"] is None else bounds["hi"]
+        lo = lo if stop_at_gap or bounds["lo"] is None else bounds["lo"]
+    size, left, status, k = (config.checkpoint_frames or config.segment_frames) * step, config.max_frames, "done", 0
+    try:
+        while lo <= hi and (left is None or left > 0):
+            upto = min(lo + size, hi + 1, hi + 1 if left is None else lo + left * step)
+            part = frames.where((F.col("frame_index") >= lo) & (F.col("frame_index") < upto) & (F.col("frame_index") % step == 0))
+            if "hist" not in part.columns and "payload" in part.columns:
+                part = part.withColumn("hist", O.colour_histogram(F.col("payload")))
+            part = completed(with_models(part, models, config.batch, drop=("payload",)) if models else part.drop("payload"))
+            if stop_at_gap:
+                part = unbroken(part, lo, step)
+            part = chosen_detections(O.going_on(part, carry, config.scene_threshold, config.segment_frames, config.max_consecutive_errors), who)
+            at = lambda name: posixpath.join(staged, name)
+            part.write.mode("overwrite").parquet(at("part"))  # the models run here, once
+            done = spark.read.schema(part.schema).parquet(at("part"))
+            after, aborted = O.carried(done, carry, config.segment_frames)
+            seen = (after.segment - carry.segment) * config.segment_frames + after.filled - carry.filled
+            if seen:
+                tracked = track(player_boxes(done), config.target_fps, (carry.shot, carry.tracker) if carry.tracker else None, states=True)
+                tracked.write.mode("overwrite").parquet(at("tracked"))
+                tracked = spark.read.schema(tracked.schema).parquet(at("tracked"))
+                state = tracked.where(F.col("state").isNotNull() & (F.col("shot_id") == after.shot)).select("state").first()
+                after.tracker = state["state"] if state else carry.tracker if after.shot == carry.shot else None
+                ids = tracked.where("state is null").drop("state")
+                record_columns(with_ids(done, ids), who, config).write.mode("overwrite").parquet(at(f"records-{k}"))
+                pending.append(at(f"records-{k}"))
+                carry, k = after, k + 1
+                publish(carry.segment)
+            if left is not None:
+                left -= seen
+            if aborted or (stop_at_gap and seen < len(range(lo, upto, step))):
+                status = "aborted" if aborted else "done"
+                break
+            lo = -(-upto // step) * step
+    except BaseException:
+        with contextlib.suppress(Exception):
+            publish(carry.segment + 1)
+        raise
+    publish(carry.segment + 1)
+    manifest["status"] = status
     if manifest["segments"]:
         from reelgrid.sources.readers import read_records
 
@@ -223,6 +307,19 @@ def inspect_first(frames: DataFrame) -> DataFrame:
     return frames.where(F.size("keypoints") > 0).orderBy("frame_index").limit(1)
 
 
+def write_overlays(frames: DataFrame, folder: str, render: Callable[[bytes, list, list], bytes]) -> int:
+    """overlay/<run_id>_f<frame_index>.jpg of each row with a payload, as render(payload, keypoints, players) draws it (points and detections as dictionaries); tasks write them. Returns their number."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            listed = lambda x: [] if x is None else [p if isinstance(p, dict) else p.asDict(True) for p in x]
+            yield pd.DataFrame({"name": b["name"], "content": [render(bytes(p), listed(k), listed(d)) for p, k, d in zip(b["payload"], b["keypoints"], b["players"], strict=True)]})
+
+    name = F.concat(F.lit("overlay/"), S.frame_id(F.col("run_id"), F.col("frame_index")), F.lit(".jpg")).alias("name")
+    rows = completed(frames).where("payload is not null").select(name, "payload", "keypoints", "players")
+    return write_files(rows.mapInPandas(draw, "name string, content binary"), folder)
+
+
 def write_report(rows: DataFrame, folder: str, header: dict) -> dict:
     """frames as JSON lines beside report.json, which holds the header and the summary of one run."""
     rows.write.mode("overwrite").json(posixpath.join(folder, "frames"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from reelgrid import schemas
+
 
 def _cut(batches: Iterator[pd.DataFrame], size: int | None) -> Iterator[pd.DataFrame]:
     for b in batches:
@@ -14,38 +18,73 @@ def _cut(batches: Iterator[pd.DataFrame], size: int | None) -> Iterator[pd.DataF
             yield b.iloc[at : at + size] if size else b
 
 
-def with_model(frames: DataFrame, build: Callable[[], Callable[[pd.DataFrame], list]], out: str, out_type: str, batch: int | None = None) -> DataFrame:
-    """Adds column `out` and, where the model raised, `error` as `TypeName: message` (an earlier error stays).
+@dataclass(frozen=True)
+class Model:
+    """A column that a model adds: build() is called once a worker and gives a function of a batch of rows -> one value a row."""
+
+    column: str
+    type: str
+    build: Callable[[], Callable[[pd.DataFrame], list]]
 
-    build() is called once a worker and gives a model of a batch of rows -> one value a row.
-    A batch has at most `batch` rows (none: an Arrow batch); one that raises is done again row by row.
+
+def with_models(frames: DataFrame, models: Sequence[Model], batch: int | None = None, drop: Sequence[str] = ()) -> DataFrame:
+    """Adds the models' columns in one pass and, where one raised, `error` as `TypeName: message` (an earlier error stays); then leaves out `drop`.
+
+    A batch has at most `batch` rows (none: an Arrow batch); one that raises is done again row
+    by row. Each model sees the rows with the columns of those before it. Spark moves no filter
+    through it: frames that need no model are to be left out before.
     """
-    fields = [f"`{c}` {t}" for c, t in frames.dtypes if c not in (out, "error")]
-    kept = [c for c in frames.columns if c not in (out, "error")]
+    added = [m.column for m in models]
+    kept = [c for c in frames.columns if c not in (*added, "error", *drop)]
+    types = dict(frames.dtypes)
+    fields = [f"`{c}` {types[c]}" for c in kept] + [f"`{m.column}` {m.type}" for m in models]
     had = "error" in frames.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = build()
+        built = [(m.column, m.build()) for m in models]
         for b in _cut(batches, batch):
             errors = list(b["error"]) if had else [None] * len(b)
-            try:
-                values = list(model(b))
-                if len(values) != len(b):
-                    raise ValueError("a value for each row is needed")
-            except Exception:
-                values = []
-                for i in range(len(b)):
-                    try:
-                        values.append(model(b.iloc[i : i + 1])[0])
-                    except Exception as e:
-                        values.append(None)
-                        errors[i] = errors[i] if isinstance(errors[i], str) else f"{type(e).__name__}: {e}"
-            done = b[kept].copy()
-            done[out] = pd.Series(values, index=b.index, dtype=object)
+            b = b.copy()
+            for column, model in built:
+                try:
+                    values = list(model(b))
+                    if len(values) != len(b):
+                        raise ValueError("a value for each row is needed")
+                except Exception:
+                    values = []
+                    for i in range(len(b)):
+                        try:
+                            values.append(model(b.iloc[i : i + 1])[0])
+                        except Exception as e:
+                            values.append(None)
+                            errors[i] = errors[i] if isinstance(errors[i], str) else f"{type(e).__name__}: {e}"
+                b[column] = pd.Series(values, index=b.index, dtype=object)
+            done = b[[*kept, *added]].copy()
             done["error"] = pd.Series(errors, index=b.index, dtype=object)
             yield done
 
-    return frames.mapInPandas(run, ", ".join([*fields, f"`{out}` {out_type}", "error string"]))
+    return frames.mapInPandas(run, ", ".join([*fields, "error string"]))
+
+
+def with_model(frames: DataFrame, build: Callable[[], Callable[[pd.DataFrame], list]], out: str, out_type: str, batch: int | None = None) -> DataFrame:
+    """with_models of one model."""
+    return with_models(frames, [Model(out, out_type, build)], batch)
+
+
+#: What each kind of weights of a profile gives.
+KINDS = {
+    "court": ("keypoints", "array<struct<x:double,y:double,v:int>>"),
+    "detector": ("players", f"array<{schemas.DETECTION}>"),
+    "ball": ("balls", f"array<{schemas.DETECTION}>"),
+}
+
+
+def models_of(weights: Mapping[str, str | None], builders: Mapping[str, Callable[[str, str | None], Callable[[pd.DataFrame], list]]], device: str | None = None) -> list[Model]:
+    """The models of a profile's weights (court, detector, ball): builders[kind](weights, device) runs once a worker. A kind without weights has no model, and its column stays null."""
+    for kind in weights:
+        if kind not in KINDS:
+            raise KeyError(f"unknown weights {kind}; choose from {sorted(KINDS)}")
+    return [Model(*KINDS[kind], partial(builders[kind], weights[kind], device)) for kind in KINDS if weights.get(kind) is not None]
 
 
 class IncompatibleModel(ValueError):

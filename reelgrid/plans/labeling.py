@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid import court
+from reelgrid.functions import keypoints as K
 from reelgrid.operators import catalog
 from reelgrid.operators.validation import validate_submissions
-from reelgrid.schemas import SCHEMA_REF
 
 
 def clips_page(clips: DataFrame, frames: DataFrame) -> DataFrame:
@@ -32,9 +31,8 @@ def submit_labels(submissions: DataFrame, frames: DataFrame, clips: DataFrame, l
     judged = validate_submissions(submissions, frames, clips)
     size = frames.select("frame_id", "clip_id").join(clips.select("clip_id", "width", "height", "orientation"), "clip_id")
     good = judged.where("code = 200").join(size, "frame_id")
-    ref = F.struct(F.lit(court.SCHEMA_NAME).alias("schema_name"), F.lit(court.SCHEMA_VERSION).alias("schema_version")).cast(SCHEMA_REF)
     new = good.select(
-        "frame_id", F.col("width").alias("image_w"), F.col("height").alias("image_h"), F.size("cleaned").alias("num_keypoints"), ref.alias("schema"),
+        "frame_id", F.col("width").alias("image_w"), F.col("height").alias("image_h"), F.size("cleaned").alias("num_keypoints"), K.schema_ref().alias("schema"),
         F.col("orientation").withField("locked_at", F.lit(None).cast("string")).alias("orientation"), "visible_ends", F.col("cleaned").alias("keypoints"), F.lit(saved_at).alias("saved_at"), "seq",
     )
     after, marked = catalog.save_labels(labels, frames, new.select(*labels.columns, "seq"))

@@ -583,27 +583,44 @@ def window_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sample_frames(clips)
 
 
+@query("""WITH c AS (SELECT c_name AS clip_id, c_custkey * 7 + 50 AS frames FROM customer)
+SELECT clip_id, unnest(range(0, frames // 60)) AS w, 1::BIGINT AS n FROM c""")
+def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames sampled in each window that is whole: one."""
+    frames = window_sample(spark, sf_dir).join(read(spark, sf_dir, "customer").select(F.col("c_name").alias("clip_id"), (F.col("c_custkey") * 7 + 50).alias("frames")), "clip_id")
+    w = F.floor(F.col("frame_index") / 60)
+    return frames.where(w < F.floor(F.col("frames") / 60)).groupBy("clip_id", w.alias("w")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 23 < 22 THEN 21 ELSE 22 END AS used, array_to_string(list_transform([1 / a, 0, -b / a, 0, 1 / a, -30 / a, 0, 0, 1], lambda x: floor(x * 1000 + 0.50037)::BIGINT), ',') AS h1000
 FROM (SELECT event_id, value % 7 + 6 AS a, event_id % 50 AS b FROM events)""")
 def homography_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event is a frame in which a camera of its own sees the NBA court."""
+    """Each event is a frame in which a camera of its own sees the NBA court; in every seventh, two points of 21 or 22 are far off and must not count."""
     feet = court.template("nba_94x50")
     a, b = F.col("value") % 7 + 6, F.col("event_id") % 50
-    points = F.array(*[K.point(a * feet[i][1] + b, a * feet[i][0] + 30, F.when(F.col("event_id") % 23 == n, 0).otherwise(2)) for n, i in enumerate(court.IDS)])
+    off = lambda n: F.when((F.col("event_id") % 7 == 3) & ((F.col("event_id") + n) % 11 == 0), 700.0).otherwise(0.0)
+    points = F.array(*[K.point(a * feet[i][1] + b + off(n), a * feet[i][0] + 30 - off(n), F.when(F.col("event_id") % 23 == n, 0).otherwise(2)) for n, i in enumerate(court.IDS)])
     frames = read(spark, sf_dir, "events").select("event_id", points.alias("keypoints"))
     return with_homography(frames, "nba_94x50").select("event_id", F.size("solved.used_keypoint_ids").alias("used"), F.array_join(F.transform(F.flatten("solved.homography"), lambda x: F.floor(x * 1000 + 0.50037).cast("string")), ",").alias("h1000"))
 
 
-@query(f"WITH {SHOTS} SELECT run_id, shot_id, frame_index, d AS det_no, (d + 1)::BIGINT AS track_id FROM s, (VALUES (0), (1)) v(d)")
+@query(f"""WITH {SHOTS}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id, shot_id ORDER BY frame_index) AS n FROM s),
+-- Fixed values: the track each box belongs to, by its place in a frame; the faint box has none.
+b(det_no, track_id) AS (VALUES (0, 1::BIGINT), (1, 2::BIGINT), (3, 3::BIGINT))
+SELECT run_id, shot_id, frame_index, det_no, track_id FROM n, b WHERE CASE det_no WHEN 1 THEN n NOT IN (4, 5, 14) WHEN 3 THEN n >= 3 ELSE true END""")
 def track_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user is a run, errors cut shots; two boxes drift to the right."""
-    f = O.shots(run_frames(spark, sf_dir))
-    n = F.row_number().over(Window.partitionBy("run_id").orderBy("frame_index"))
-    at = F.posexplode(F.array(F.lit(10.0), F.lit(200.0))).alias("det_no", "x0")
-    boxes = f.select("run_id", "shot_id", "frame_index", n.alias("n"), at).select(
-        "run_id", "shot_id", "frame_index", "det_no", (F.col("x0") + F.col("n")).alias("x1"), F.lit(10.0).alias("y1"), (F.col("x0") + F.col("n") + 20).alias("x2"), F.lit(60.0).alias("y2"), F.lit(0.9).alias("conf"),
+    """Each user is a run, errors cut shots. Two boxes cross each other, one of them with low confidence at times, the other lost at times; a third is too faint, a fourth comes later."""
+    f = O.shots(run_frames(spark, sf_dir), block=WEEK)
+    n = F.row_number().over(Window.partitionBy("run_id", "shot_id").orderBy("frame_index"))
+    box = lambda x, y, conf: F.struct(x.alias("x"), F.lit(y).alias("y"), conf.alias("conf"))
+    k = F.col("n")
+    boxes = F.array(
+        box(10.0 + 4 * k, 10.0, F.when(k % 4 == 3, 0.15).otherwise(0.9)), F.when(~k.isin(4, 5, 14), box(90.0 - 4 * k, 34.0, F.lit(0.8))),
+        box(300.0 + 0 * k, 10.0, F.lit(0.05)), F.when(k >= 3, box(500.0 + k, 200.0, F.lit(0.6))),
     )
-    return track(boxes, 5.0)
+    rows = f.select("run_id", "shot_id", "frame_index", n.alias("n")).select("run_id", "shot_id", "frame_index", F.posexplode(boxes).alias("det_no", "b")).where("b is not null")
+    x, y = F.col("b.x"), F.col("b.y")
+    return track(rows.select("run_id", "shot_id", "frame_index", "det_no", x.alias("x1"), y.alias("y1"), (x + 20).alias("x2"), (y + 50).alias("y2"), "b.conf"), 5.0)
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round_even(sqrt(l_extendedprice) * 10, 0)::BIGINT AS box10, round_even(sqrt(l_extendedprice) * 100, 0)::BIGINT AS feet100,
@@ -731,10 +748,83 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.report_summary(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), (F.col("o_orderstatus") == "O").alias("homography")))
 
 
-@query("""WITH r AS (SELECT user_id AS path, event_id // 10 AS b, min(event_id) AS lo, max(event_id) AS hi, count(*) AS n FROM (SELECT DISTINCT user_id % 3 AS user_id, event_id FROM events WHERE event_type <> 'error') GROUP BY ALL),
-g AS (SELECT path, CASE WHEN lo <> before + 1 THEN before WHEN hi - lo + 1 <> n THEN lo + n - 1 END AS gap FROM (SELECT *, coalesce(lag(hi) OVER (PARTITION BY path ORDER BY b), -1) AS before FROM r)), s AS (SELECT path, min(gap) AS stop FROM g GROUP BY path)
-SELECT user_id % 3 AS path, event_id AS frame_index FROM events JOIN s ON path = user_id % 3 WHERE event_type <> 'error' AND (stop IS NULL OR event_id <= stop)""")
+#: Events as frames of videos of 4000 frames; the bad ones cannot be decoded.
+CLIPPED = "v AS (SELECT (event_id // 4000)::VARCHAR AS path, event_id % 4000 AS frame_index, value > 320 AS bad FROM events)"
+
+
+@query(f"WITH {CLIPPED}, s AS (SELECT path, min(frame_index) FILTER (WHERE bad) AS stop FROM v GROUP BY path) SELECT path, frame_index FROM v JOIN s USING (path) WHERE stop IS NULL OR frame_index < stop")
 def decode_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames up to the first that is missing: errors count as not decoded, users fall into three videos."""
-    f = read(spark, sf_dir, "events").where("event_type <> 'error'").select((F.col("user_id") % 3).alias("path"), F.col("event_id").alias("frame_index"))
-    return until_decode_failure(f, frames_per_task=10)
+    """Frames as tasks of 500 native frames decode them, each up to its own first failure; what lies behind a video's first failure goes."""
+    e = read(spark, sf_dir, "events")
+    f = e.select(F.floor(F.col("event_id") / 4000).cast("string").alias("path"), (F.col("event_id") % 4000).alias("frame_index"), (F.col("value") > 320).alias("bad"))
+    task = F.floor(F.col("frame_index") / 500)
+    fails = f.where("bad").groupBy(F.col("path").alias("_path"), task.alias("_task")).agg(F.min("frame_index").alias("_fails"))
+    decoded = f.join(fails, (F.col("path") == F.col("_path")) & (task == F.col("_task")), "left").where(F.col("_fails").isNull() | (F.col("frame_index") < F.col("_fails")))
+    return until_decode_failure(decoded.select("path", "frame_index"), frames_per_task=500)
+
+
+@query("""WITH b AS (SELECT page_id, hex(encode(url)) AS x, octet_length(encode(url)) // 3 AS n FROM pages),
+g AS (SELECT page_id, n, list_transform(range(n), lambda i: (3735 * ('0x' || substr(x, (6 * i + 1)::INT, 2))::BIGINT + 19235 * ('0x' || substr(x, (6 * i + 3)::INT, 2))::BIGINT + 9798 * ('0x' || substr(x, (6 * i + 5)::INT, 2))::BIGINT + 16384) // 32768) AS grey FROM b)
+SELECT page_id, array_to_string(list_transform(range(64), lambda k: (len(list_filter(grey, lambda v: v // 4 = k)) * 4096 // n)::BIGINT), ',') AS hist FROM g""")
+def colour_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of urls as pixels of blue, green and red."""
+    shares = O.colour_histogram(F.encode("url", "utf-8"))
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(F.transform(shares, lambda h: F.floor(h * 4096).cast("string")), ",").alias("hist"))
+
+
+@query(f"""WITH f AS (SELECT doc_id::VARCHAR AS frame_id, CASE WHEN {HASH_SQL} < 10 THEN 'val' ELSE 'train' END AS split FROM documents)
+SELECT '2024-01-01' AS trained_at, 'set/data.yaml' AS data, 'pose.pt' AS model_init, count(*) AS n, md5(string_agg(frame_id || ':' || split, ',' ORDER BY frame_id)) AS frames FROM f""")
+def training_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as exported frames; the map of frames to splits is digested."""
+    lines = hash_split(spark, sf_dir).select(F.col("doc_id").cast("string").alias("frame_id"), "split")
+    made = X.training_manifest(lines, "2024-01-01", "set/data.yaml", "pose.pt")
+    entries = F.array_join(F.transform(F.map_entries("frames"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
+    return made.select("trained_at", "data", "model_init", F.size("frames").cast("long").alias("n"), F.md5(entries.cast("binary")).alias("frames"))
+
+
+@query(f"""SELECT p_partkey, ([{", ".join(f"'{i}'" for i in court.IDS)}])[p_partkey % 25 + 1] AS id, CASE WHEN p_partkey % 25 < 22 THEN p_partkey % 25 ELSE -1 END::INT AS index, '{court.SCHEMA_NAME}' AS schema_name, '{court.SCHEMA_VERSION}' AS schema_version,
+  {court.DIAGRAM_ORIGIN[0]} + {court.DIAGRAM_SCALE} * (p_size * 1.0::DOUBLE) AS diagram_x, {court.DIAGRAM_ORIGIN[1]} + {court.DIAGRAM_SCALE} * (p_retailprice / 20) AS diagram_y FROM part""")
+def keypoint_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of indices and back (three of 25 are beyond), the schema they are of, places in feet on the diagram."""
+    cid = K.id_of((F.col("p_partkey") % 25).cast("int"))
+    at = K.diagram_xy(F.col("p_retailprice") / 20, F.col("p_size").cast("double"))
+    part = read(spark, sf_dir, "part").select("p_partkey", cid.alias("id"), K.schema_ref().alias("schema"), at.alias("at"))
+    return part.select("p_partkey", "id", F.coalesce(K.index_of(F.col("id")), F.lit(-1)).alias("index"), "schema.schema_name", "schema.schema_version", F.get("at", 0).alias("diagram_x"), F.get("at", 1).alias("diagram_y"))
+
+
+@query(f"WITH {POINTS_SQL} SELECT vec_id, len(list_filter({CLEAN_SQL}, lambda q: q.x = 0 AND q.y = 0 AND q.v = 0))::INT AS unplaced FROM p")
+def unplaced_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts = embedded_points(spark, sf_dir).withColumn("pts", F.transform("pts", lambda p: p.withField("src_conf", F.lit(0.5))))
+    return pts.select("vec_id", F.size(F.filter(K.cleaned(F.col("pts")), K.unplaced)).alias("unplaced"))
+
+
+@query("SELECT event_id AS frame_index, (event_id % 5)::INT AS points FROM events WHERE event_id % 5 > 0 AND event_type = 'purchase' ORDER BY event_id LIMIT 1")
+def inspect_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first frame with native keypoints: purchases have up to four."""
+    points = F.when(F.col("event_type") == "purchase", F.array_repeat(F.lit(1.0), (F.col("event_id") % 5).cast("int")))
+    found = G.inspect_first(read(spark, sf_dir, "events").select(F.col("event_id").alias("frame_index"), points.alias("keypoints")))
+    return found.select("frame_index", F.size("keypoints").alias("points"))
+
+
+@query(f"""WITH p AS (SELECT n_nationkey % 24 + 1 AS i, CASE WHEN n_nationkey % 8 = 0 THEN 'north_' || lower(n_name) WHEN n_nationkey % 8 = 1 THEN lower(n_name) || '_east' ELSE 'south_x_west' END AS id, n_nationkey AS k,
+  CASE n_regionkey WHEN 0 THEN 'north' WHEN 1 THEN 'south' WHEN 2 THEN 'mid' WHEN 3 THEN 'top' ELSE 'south' END AS e, CASE n_nationkey % 4 WHEN 0 THEN 'center' WHEN 1 THEN 'east' WHEN 2 THEN 'west' ELSE 'left' END AS s,
+  CASE WHEN n_nationkey % 6 = 0 THEN '  ' ELSE n_name END AS f, n_nationkey * 4.2::DOUBLE AS al, n_nationkey * 2.5::DOUBLE AS ac FROM nation),
+d AS (SELECT *, {court.DIAGRAM_ORIGIN[0]} + {court.DIAGRAM_SCALE} * ac + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS dx, {court.DIAGRAM_ORIGIN[1]} + {court.DIAGRAM_SCALE} * al AS dy FROM p)
+SELECT 'contiguous index' AS rule, 'index' AS subject FROM d HAVING min(i) <> 1 OR max(i) <> count(*) OR count(DISTINCT i) <> count(*)
+UNION ALL SELECT 'unique id', id FROM d GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'end', id FROM d WHERE e NOT IN ('north', 'south', 'mid') UNION ALL SELECT 'side', id FROM d WHERE s NOT IN ('east', 'west', 'center')
+UNION ALL SELECT 'feature', id FROM d WHERE trim(f) = '' UNION ALL SELECT 'id starts with end', id FROM d WHERE e IN ('north', 'south') AND NOT starts_with(id, e || '_')
+UNION ALL SELECT 'id ends with side', id FROM d WHERE s IN ('east', 'west') AND NOT ends_with(id, '_' || s) UNION ALL SELECT 'inside the court', id FROM d WHERE NOT (al BETWEEN 0 AND 84 AND ac BETWEEN 0 AND 50)
+UNION ALL SELECT 'centre axis', id FROM d WHERE s = 'center' AND ac <> 25 UNION ALL SELECT 'mid axis', id FROM d WHERE e = 'mid' AND al <> 42 UNION ALL SELECT 'diagram', id FROM d WHERE k % 7 = 0
+UNION ALL SELECT 'view box', id FROM d WHERE NOT (dx BETWEEN {court.VIEW_BOX[0]} AND {court.VIEW_BOX[2]} AND dy BETWEEN {court.VIEW_BOX[1]} AND {court.VIEW_BOX[3]})""")
+def keypoint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as the rows of a keypoint schema, of which each rule is broken by some."""
+    n, k, r = read(spark, sf_dir, "nation"), F.col("n_nationkey"), F.col("n_regionkey")
+    along, across = k * F.lit(4.2), k * F.lit(2.5)
+    at = K.diagram_xy(along, across)
+    points = n.select(
+        (k % 24 + 1).alias("index"), F.when(k % 8 == 0, F.concat(F.lit("north_"), F.lower("n_name"))).when(k % 8 == 1, F.concat(F.lower("n_name"), F.lit("_east"))).otherwise("south_x_west").alias("id"),
+        F.get(F.array(*map(F.lit, ("north", "south", "mid", "top", "south"))), r).alias("end"), F.get(F.array(*map(F.lit, ("center", "east", "west", "left"))), k % 4).alias("side"),
+        F.when(k % 6 == 0, "  ").otherwise(F.col("n_name")).alias("feature"), F.array(along, across).alias("court_xy_ft"),
+        F.array(F.get(at, 0) + F.when(k % 7 == 0, 1.0).otherwise(0.0), F.get(at, 1)).alias("diagram_xy"),
+    )
+    return V.keypoint_violations(points, 84.0, 50.0)

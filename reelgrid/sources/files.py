@@ -49,34 +49,29 @@ def write_text_atomically(spark: SparkSession, path: str, text: str) -> None:
             fs.delete(temp, False)
 
 
-def copy(spark: SparkSession, source: str, target: str) -> None:
-    """One file, whichever stores the two are in; the target is replaced."""
-    fs, p = _fs(spark, source)
-    to_fs, to = _fs(spark, target)
-    to_fs.mkdirs(to.getParent())
-    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to_fs, to, False, True, spark._jsc.hadoopConfiguration()):
-        raise OSError(f"cannot copy {source}")
-
-
-def publish_partitions(spark: SparkSession, written: str, target: str, columns: tuple[str, ...], ending: str) -> int:
-    """Files of a table partitioned by `columns`, one file a partition, renamed to target/<value>/.../<value><ending>; `written` goes. Returns their number."""
-    fs, root = _fs(spark, written)
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
-    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    found, files = 0, fs.listFiles(root, True)
-    while files.hasNext():
-        p = files.next().getPath()
-        if not p.getName().startswith("part-"):
-            continue
-        values, folder = [], p.getParent()
-        for c in reversed(columns):
-            values.insert(0, unescape(folder.getName()[len(c) + 1 :]))
-            folder = folder.getParent()
-        final = path_of(posixpath.join(target, *values) + ending)
-        fs.mkdirs(final.getParent())
-        fs.delete(final, False)  # some stores refuse to replace
-        if not fs.rename(p, final):
-            raise OSError(f"cannot write {final}")
-        found += 1
-    fs.delete(root, True)
-    return found
+def shared_store(path: str):
+    """File system and path for tasks, which have no Spark session: any that pyarrow knows by its URI, else the local one."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def shared_read(path: str) -> bytes | None:
+    """Content of one small file, in a task or a source; null if it is missing."""
+    store, at = shared_store(path)
+    try:
+        with store.open_input_stream(at) as f:
+            return f.read()
+    except FileNotFoundError:
+        return None
+
+
+def shared_write(path: str, data: bytes) -> None:
+    """Under another name first, then renamed."""
+    store, at = shared_store(path)
+    folder = posixpath.dirname(at)
+    temp = posixpath.join(folder, f".{uuid.uuid4().hex}")
+    store.create_dir(folder, recursive=True)
+    with store.open_output_stream(temp) as out:
+        out.write(data)
+    store.move(temp, at)

@@ -7,11 +7,12 @@ import posixpath
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrid.operators.catalog import migrate
-from reelgrid.sources.files import publish_partitions, read_text, remove, write_text_atomically
+from reelgrid.sources.files import read_text, remove, shared_write, write_text_atomically
+from reelgrid.sources.named_files import delete_files, write_files
 
 
 def write_records(records: DataFrame, folder: str, fmt: str = "json") -> None:
@@ -76,25 +77,20 @@ def save_manifest(clips: DataFrame, frames: DataFrame, folder: str) -> None:
 
 
 def write_labels(labels: DataFrame, frames: DataFrame, folder: str) -> int:
-    """labels/<clip_id>/<frame_id>.json of every label whose frame is known, written again as a whole; returns their number.
+    """labels/<clip_id>/<frame_id>.json of every label whose frame is known, written again as a whole by the tasks; returns their number."""
+    body = F.concat(F.to_json(F.struct(*labels.columns), {"ignoreNullFields": "false"}), F.lit("\n"))
+    rows = labels.join(frames.select("frame_id", "clip_id"), "frame_id")
+    return write_files(rows.select(_label_name(), body.alias("content")), posixpath.join(folder, "labels"))
 
-    Tasks make the texts, the driver renames a file per label, as the folder's form asks for.
-    """
-    spark = labels.sparkSession
-    temp = posixpath.join(folder, ".labels")
-    body = F.to_json(F.struct(*labels.columns), {"ignoreNullFields": "false"}).alias("value")
-    rows = labels.join(frames.select("frame_id", "clip_id"), "frame_id").select("clip_id", "frame_id", body)
-    rows.repartition("clip_id", "frame_id").write.mode("overwrite").partitionBy("clip_id", "frame_id").text(temp)
-    return publish_partitions(spark, temp, posixpath.join(folder, "labels"), ("clip_id", "frame_id"), ".json")
+
+def _label_name() -> Column:
+    return F.concat("clip_id", F.lit("/"), "frame_id", F.lit(".json")).alias("name")
 
 
 def remove_labels(gone: DataFrame, frames: DataFrame, folder: str) -> int:
-    """Deletes the label files of `gone` (frame_id); returns their number."""
-    n = 0
-    for r in gone.select("frame_id").join(frames.select("frame_id", "clip_id"), "frame_id").toLocalIterator():
-        remove(gone.sparkSession, posixpath.join(folder, "labels", r["clip_id"], f"{r['frame_id']}.json"))
-        n += 1
-    return n
+    """Deletes the label files of `gone` (frame_id); returns how many there were."""
+    names = gone.select("frame_id").join(frames.select("frame_id", "clip_id"), "frame_id").select(_label_name())
+    return delete_files(names, posixpath.join(folder, "labels"))
 
 
 def migrate_project(clips: DataFrame, frames: DataFrame, labels: DataFrame, folder: str) -> dict:
@@ -121,19 +117,8 @@ def write_pictures(frames: DataFrame, folder: str, render: Callable[[bytes, int
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
-        from pyarrow import fs as arrow_fs
-
-        store, root = arrow_fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (arrow_fs.LocalFileSystem(), folder)
-
         def put(name: str, data: bytes) -> int:
-            path = posixpath.join(root, name)
-            parent, temp = posixpath.dirname(path), posixpath.join(posixpath.dirname(path), f".{uuid.uuid4().hex}")
-            store.create_dir(parent, recursive=True)
-            with store.open_output_stream(temp) as out:
-                out.write(data)
-            store.move(temp, path)
+            shared_write(posixpath.join(folder, name), data)
             return len(data)
 
         for b in batches:

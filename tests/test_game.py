@@ -137,7 +137,7 @@ def test_a_crash_loses_one_part(spark, tmp_path, monkeypatch):
 
     def failing(records, run_dir):
         calls.append(run_dir)
-        if len(calls) == 2:
+        if len(calls) >= 2:
             raise RuntimeError("killed")
         return write(records, run_dir)
 
@@ -149,6 +149,7 @@ def test_a_crash_loses_one_part(spark, tmp_path, monkeypatch):
         game.run_game(frames, folder, NBA, config, key="k")
     stored = game.sinks.load_json(spark, f"{folder}/run.json")
     assert stored["status"] == "running" and [s["end_frame"] for s in stored["segments"]] == [2, 5]
+    monkeypatch.setattr(game.sinks, "write_shards", write)
     again = game.run_game(frames, folder, NBA, config, key="k")
     records, _ = read_records(spark, folder)
     assert sorted(r.frame_index for r in records.collect()) == list(range(24)) and again["status"] == "done"
