@@ -17,14 +17,17 @@ has a member at most one bit away, every member is within 3 bits of it, so a sta
 that member holds all that this value shows: two members that are both two bits away are
 linked at another value or through the star.
 
-`drop_near_copies` takes the general rule, a Jaccard similarity of 0.8 over five-word
-shingles. Texts that similar are mostly further than 3 of 64 bits apart, so its
-fingerprints are of words and word pairs, and are met by each half of 32 bits: all pairs
-within 7 bits have a half within 3. What meets is checked by the whole fingerprint and
-then by the shingle sets themselves. At each value a member is paired with the closest of
-its neighbours in an order that is another one at each value. A document's closest partner
-is checked first; of the other pairs only those that this leaves apart. No task emits all
-pairs, and no pair that was met goes unchecked.
+`near_groups` takes the general rule, a Jaccard similarity of 0.8 over five-word shingles.
+Texts that similar are mostly further than 3 of 64 bits apart, so its fingerprints are of
+words and word pairs, and are met by each half of 32 bits: all pairs within 7 bits have a
+half within 3. Texts of equal shingle sets are one from the start. What meets, and lies within
+FAR bits as a whole, is compared by the shingle sets themselves, in two rounds. The first takes
+each text's closest partner (and, of one fingerprint, a common one) and so joins nearly all
+there is to join. The second compares every met pair that the first left in different groups:
+the members of one fingerprint, those of fingerprints that met, and those of values that too
+many met at to list their pairs (more than FEW; of these the first round sees neighbours
+only), joined by value across groups. So no pair that was met goes uncompared, and no pairs
+are listed within a group.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.llm.components import components
@@ -48,10 +51,8 @@ SLICE = 400_000
 SIMILARITY, SHINGLE = 0.8, 5
 #: Texts of that similarity hardly ever lie further apart than so many of 64 bits (of 3,674 pairs measured 1 % did).
 FAR = 10
-#: Neighbours in a value's order among which a member looks for its closest.
-NEXT = 8
-
-Links = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: A value of so many members lists all their pairs; of more each with the closest of so many neighbours, the rest in the second round.
+FEW = 16
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -102,9 +103,8 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
-def word_fingerprint(text: bytes | None) -> int:
-    """SimHash of a text's distinct words and distinct pairs of adjacent words; null or no word: 0."""
-    words = _hashes(words_of(text))
+def word_fingerprint(words: np.ndarray) -> int:
+    """SimHash of a text's distinct words and distinct pairs of adjacent words, from the words' hashes; no word: 0."""
     if not len(words):
         return 0
     hashes = np.concatenate([shingle_hashes(words, 1), shingle_hashes(words, 2)])
@@ -202,22 +202,45 @@ def stars(v: np.ndarray, f: np.ndarray) -> np.ndarray:
     return np.stack([f[good], centre[good]], 1)
 
 
-def candidates(v: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Pairs of fingerprints at most FAR bits apart: each member of a value with the closest of its NEXT neighbours on either side.
+def candidates(v: np.ndarray, f: np.ndarray, begun: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of fingerprints at most FAR bits apart that met at a value, and members (value, fingerprint) of values with more than FEW.
 
-    Members go by their bits, from another bit on at each value."""
+    A value of FEW members or less gives all its pairs; of others each member is paired with
+    the closest of FEW / 2 neighbours on either side, in an order by their bits, from another
+    bit on at each value. `begun` is a value that had members before these.
+    """
     turn = (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
     order = np.lexsort(((f << turn) | (f >> ((np.uint64(64) - turn) & np.uint64(63))), v))
     v, f = v[order], f[order]
+    run = np.cumsum(np.concatenate([[True], v[1:] != v[:-1]])) - 1
+    many = np.bincount(run)[run] > FEW
+    if begun is not None:
+        many |= v == np.uint64(begun)
     near, best = np.full(len(f), 65, np.uint8), f.copy()
-    for k in range(1, NEXT + 1):
+    pairs = []
+    for k in range(1, FEW):
         far = np.where(v[k:] == v[:-k], np.bitwise_count(f[k:] ^ f[:-k]), 65).astype(np.uint8)
+        listed = np.flatnonzero((far <= FAR) & (far > 0) & ~many[k:])
+        pairs.append(np.stack([f[listed + k], f[listed]], 1))
+        if k > FEW // 2:
+            continue
         for here, there in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):
             closer = (far < near[here]) & (far > 0)
             near[here] = np.where(closer, far, near[here])
             best[here] = np.where(closer, f[there], best[here])
-    good = near <= FAR
-    return np.stack([f[good], best[good]], 1)
+    good = many & (near <= FAR)
+    return np.concatenate([*pairs, np.stack([f[good], best[good]], 1)]), np.stack([v[many], f[many]], 1)
+
+
+def meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (v, fp) in the order of v -> (u, v, member): met pairs, and members (value, fingerprint) of values with many."""
+    last = None
+    for v, f in slices(batches):
+        pairs, members = candidates(v, f, last)
+        last = v[-1]
+        for rows, member in ((np.unique(np.sort(pairs, axis=1), axis=0), False), (members, True)):
+            for b in _link_batches(rows):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([member] * b.num_rows)], ["u", "v", "member"])
 
 
 def spanning(links: np.ndarray) -> np.ndarray:
@@ -236,17 +259,15 @@ def spanning(links: np.ndarray) -> np.ndarray:
     return np.stack([nodes[mine], nodes[low[mine]]], 1)
 
 
-def meet(batches: Iterator[pa.RecordBatch], links: Links = stars, thin: bool = True) -> Iterator[pa.RecordBatch]:
-    """Rows (v, fp) in the order of v -> links (u, v), in bounded slices; thin: no more than one for each fingerprint of a slice."""
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (v, fp) in the order of v -> links (u, v), in bounded slices, no more than one for each fingerprint of a slice."""
     for v, f in slices(batches):
         again = np.concatenate([[False], v[1:] == v[:-1]])
         shared = again | np.concatenate([again[1:], [False]])
         if not shared.any():
             continue
-        found = links(v[shared], f[shared])
-        if len(found):
-            found = spanning(found) if thin else np.unique(np.sort(found, axis=1), axis=0)
-        yield from _link_batches(found)
+        found = stars(v[shared], f[shared])
+        yield from _link_batches(spanning(found) if len(found) else found)
 
 
 def _link_batches(links: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -275,17 +296,22 @@ def thinned(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "u long, v long")
 
 
-def fingerprint_links(distinct: DataFrame, bits: int = 64, links: Links = stars, thin: bool = True, n: int | None = None) -> DataFrame:
-    """Links (u, v) of distinct fingerprints (fp long); they may repeat."""
+def met(distinct: DataFrame, bits: int, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, n: int | None = None) -> DataFrame:
+    """`run` over the variants (v, fp) of distinct fingerprints (fp long) by each piece of so many bits, equal variants together."""
     spark = distinct.sparkSession
     n = distinct.count() if n is None else n
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * mean_variants(bits) * (64 // bits) // VARIANTS_PER_TASK))
     return (
         distinct.select("fp").repartition(parts).mapInArrow(lambda b: emit_variants(b, bits), "v long, fp long")
-        .repartition(parts, "v").sortWithinPartitions("v").mapInArrow(lambda b: meet(b, links, thin), "u long, v long")
+        .repartition(parts, "v").sortWithinPartitions("v").mapInArrow(run, schema)
     )
 
 
+def fingerprint_links(distinct: DataFrame, n: int | None = None) -> DataFrame:
+    """Links (u, v) of distinct fingerprints (fp long); they may repeat."""
+    return met(distinct, 64, meet, "u long, v long", n)
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row per document: id_col, fingerprint (16 hex digits), component_id.
 
@@ -308,69 +334,135 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def _sets(pairs: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
-    """Written shingle sets (thash, shingles) of the texts that pairs (u, v) name; texts: (thash, b), each hash once or more."""
+def with_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Rows (id, thash, fp, node): word_fingerprint, and a hash of the shingle set; texts of equal sets are one node."""
+    from xxhash import xxh64_intdigest
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], ["thash", "shingles"])
+            fps, nodes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
+            for i, t in enumerate(b.column(2)):
+                words = _hashes(words_of(t.as_py()))
+                fps[i], nodes[i] = word_fingerprint(words), xxh64_intdigest(shingle_hashes(words, shingle).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64))], ["id", "thash", "fp", "node"])
+
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), _text_hash(text).alias("thash"), text.cast("binary").alias("b"))
+    return rows.mapInArrow(run, f"id {id_type}, thash long, fp long, node long")
 
-    asked = scratch.put(pairs.select(F.explode(F.array("u", "v")).alias("thash")).distinct(), "asked")
-    return scratch.put(texts.join(asked, "thash").dropDuplicates(["thash"]).mapInArrow(sets, "thash long, shingles binary"), "sets")
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-def _similar(pairs: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, name: str) -> DataFrame:
-    """Of pairs (u, v) of text hashes those whose shingle sets are similar."""
+
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float, shingle: int, name: str) -> DataFrame:
+    """Of pairs (u, v) of nodes those whose shingle sets are similar, written; texts: (thash, b), each hash once or more."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], ["node", "shingles"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = [jaccard(*(np.frombuffer(x[i].as_buffer(), np.uint64) for x in (b.column(2), b.column(3)))) >= similarity for i in range(b.num_rows)]
             yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "thash"), "node").select("node", F.col("thash").alias("asked"))
+    asked = scratch.put(asked, f"asked-{name}")
+    made = texts.join(asked, F.col("thash") == F.col("asked")).select("node", "b").dropDuplicates(["node"]).mapInArrow(sets, "node long, shingles binary")
+    made = scratch.put(made, f"sets-{name}")
     # sets differ too much in size to be similar: no need to hold them together
-    size = F.octet_length("shingles")
-    sizes = sets.select("thash", size.alias("n"))
-    fit = pairs.join(sizes.withColumnsRenamed({"thash": "u", "n": "nu"}), "u").join(sizes.withColumnsRenamed({"thash": "v", "n": "nv"}), "v")
+    sizes = made.select("node", F.octet_length("shingles").alias("n"))
+    fit = pairs.join(sizes.withColumnsRenamed({"node": "u", "n": "nu"}), "u").join(sizes.withColumnsRenamed({"node": "v", "n": "nv"}), "v")
     fit = scratch.put(fit.where(F.least("nu", "nv") >= F.greatest("nu", "nv") * similarity).select("u", "v"), f"fit-{name}")
-    left = scratch.put(fit.join(sets.withColumnsRenamed({"thash": "u", "shingles": "su"}), "u"), f"left-{name}")
-    return left.join(sets.withColumnsRenamed({"thash": "v", "shingles": "sv"}), "v").select("u", "v", "su", "sv").mapInArrow(check, "u long, v long")
+    left = scratch.put(fit.join(made.withColumnsRenamed({"node": "u", "shingles": "su"}), "u"), f"left-{name}")
+    links = left.join(made.withColumnsRenamed({"node": "v", "shingles": "sv"}), "v").select("u", "v", "su", "sv").mapInArrow(check, "u long, v long")
+    links = scratch.put(links, f"similar-{name}")
+    scratch.drop(*[f"{k}-{name}" for k in ("asked", "sets", "fit", "left")])
+    return links
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _apart(nodes: DataFrame, links: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of nodes in different groups that met: nodes (node, fp, group), links (u, v) of fingerprints, members (value, fp) of values with many."""
+    spans = nodes.groupBy("fp").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
+    of = lambda end: spans.select(F.col("fp").alias(end), F.col("lo").alias(f"lo_{end}"), F.col("hi").alias(f"hi_{end}"))
+    torn = links.join(of("u"), "u").join(of("v"), "v").where((F.col("lo_u") != F.col("hi_u")) | (F.col("lo_v") != F.col("hi_v")) | (F.col("lo_u") != F.col("lo_v"))).select("u", "v")
+    within = spans.where("lo <> hi").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+    torn = scratch.put(torn.union(within), "torn")
+    end = lambda c, x: nodes.select(F.col("fp").alias(c), F.col("node").alias(x), F.col("group").alias(f"in_{x}"))
+    pairs = torn.join(end("u", "a"), "u").join(end("v", "b"), "v").where("in_a <> in_b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # at values with many: who is not in the value's largest group, with all others there
+    at = scratch.put(members.join(nodes, "fp").select("value", "fp", "node", "group"), "at")
+    sizes = at.groupBy("value", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.max(F.struct("n", "group")).alias("x"), F.count(F.lit(1)).alias("groups"))
+    mixed = scratch.put(at.join(sizes.where("groups > 1").select("value", F.col("x.group").alias("largest")), "value"), "mixed")
+    few = mixed.where(F.col("group") != F.col("largest")).select("value", *[F.col(c).alias(f"o_{c}") for c in ("fp", "node", "group")])
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("o_fp"))) <= FAR
+    many = few.join(mixed.drop("largest").withColumnRenamed("value", "w"), (F.col("value") == F.col("w")) & (F.col("group") != F.col("o_group")) & close)
+    return _ordered(pairs.union(many.select(F.col("o_node").alias("u"), F.col("node").alias("v"))))
+
+
+def near_nodes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, thash, node), and for each node its group."""
+    rows = scratch.put(with_sets(docs, id_col, text_col, shingle), "rows")
+    nodes = scratch.put(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("thash").alias("thash")), "nodes")
+    distinct = scratch.put(nodes.groupBy("fp").agg(F.min("node").alias("one")), "distinct")
+    found = scratch.put(met(distinct, 32, meet_all, "u long, v long, member boolean").distinct(), "met")
+    links = found.where("not member").select("u", "v")
+    members = found.where("member").select(F.col("u").alias("value"), F.col("v").alias("fp"))
+    texts = docs.select(_text_hash(F.col(text_col)).alias("thash"), F.col(text_col).cast("binary").alias("b"))
+
+    far = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
+    ends = links.select(F.explode(F.array(F.struct("u", "v", far.alias("far")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), far.alias("far")))).alias("x")).select("x.*")
+    closest = ends.groupBy("u").agg(F.min(F.struct("far", "v")).alias("x")).select("u", "x.v")
+    one = lambda end, x: distinct.select(F.col("fp").alias(end), F.col("one").alias(x))
+    closest = closest.join(one("u", "a"), "u").join(one("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same = nodes.join(distinct, "fp").where("node <> one").select(F.col("node").alias("u"), F.col("one").alias("v"))
+    first = scratch.put(_ordered(closest.union(same)), "first")
+    links_1 = _similar(first, nodes, texts, scratch, similarity, shingle, "1")
+    label = lambda found: nodes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "fp", F.coalesce("component", "node").alias("group"))
+    grouped = scratch.put(label(components(links_1, scratch)), "grouped")
+    second = scratch.put(_apart(grouped, links, members, scratch).join(first, ["u", "v"], "left_anti"), "second")
+    if not second.isEmpty():
+        links_2 = _similar(second, nodes, texts, scratch, similarity, shingle, "2")
+        grouped = scratch.put(label(components(links_1.union(links_2), scratch)), "regrouped")
+    scratch.only("rows", "grouped", "regrouped")
+    return rows.select("id", "thash", "node"), grouped.select("node", "group")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """One row per document: id_col and component_id, the smallest id of its group of near copies (nulls last).
+
+    Texts are linked where the Jaccard similarity of their shingle sets reaches `similarity`
+    (words as for `simhash_groups`; null or word-less texts have empty sets, alike with each
+    other); groups are what links reach. Repeated rows come out once each; an empty table
+    gives no rows; whole texts count; other columns are not read.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    rows, groups = near_nodes(docs, scratch, id_col, text_col, similarity, shingle)
+    named = scratch.put(rows.join(groups, "node").select("id", "group"), "named")
+    best = scratch.put(named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("best")), "lows")
+    return named.join(best, "group").select(F.col("id").alias(id_col), F.col("best.id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each group of near copies, with all its columns: the one of smallest id
+    """One document of each group of `near_groups`, with all its columns: the one of smallest id
     (nulls last), then of smallest text hash.
 
-    Texts are linked where the Jaccard similarity of their shingle sets reaches `similarity`
-    (words as for `simhash_groups`; null or word-less texts have empty sets, alike with each
-    other); groups are what links reach. Of rows that repeat id and text one stays, of their
-    other columns the least. An empty table gives no rows; whole texts count.
+    Of rows that repeat id and text one stays, of their other columns the least. An empty
+    table gives no rows; whole texts count.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    rows = scratch.put(with_fingerprints(docs, word_fingerprint, id_col, text_col), "rows")
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "thash")).alias("best")
-    texts = scratch.put(rows.groupBy("thash").agg(F.first("fp").alias("fp"), best, F.count(F.lit(1)).alias("n")), "texts")
-    distinct = scratch.put(texts.groupBy("fp").agg(F.min("thash").alias("one")), "distinct")
-    met = scratch.put(fingerprint_links(distinct, 32, candidates, thin=False).distinct(), "met")
-    one = distinct.select(F.col("fp"), F.col("one").alias("x"))
-    met = met.join(one.withColumnsRenamed({"fp": "u", "x": "a"}), "u").join(one.withColumnsRenamed({"fp": "v", "x": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"), F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("far"))
-    same = texts.join(distinct, "fp").where("thash <> one").select(F.col("thash").alias("u"), F.col("one").alias("v"), F.lit(0).alias("far"))
-    pairs = scratch.put(met.union(same), "pairs")
-    text = F.col(text_col)
-    whole = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("thash"), text.cast("binary").alias("b"))
-    sets = _sets(pairs, whole, scratch, shingle)
-    ends = pairs.select(F.explode(F.array(F.struct("u", "v", "far"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "far"))).alias("x")).select("x.*")
-    closest = ends.groupBy("u").agg(F.min(F.struct("far", "v")).alias("x")).select(F.greatest("u", "x.v").alias("u"), F.least("u", "x.v").alias("v")).distinct()
-    closest = scratch.put(closest, "closest")
-    first = scratch.put(_similar(closest, sets, scratch, similarity, "1"), "first")
-    labels = scratch.put(components(first, scratch), "labels")
-    group = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"in_{end}"))
-    apart = pairs.join(group("u"), "u", "left").join(group("v"), "v", "left").where(F.coalesce("in_u", "u") != F.coalesce("in_v", "v"))
-    apart = apart.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(closest, ["u", "v"], "left_anti")
-    links = first.union(_similar(scratch.put(apart, "apart"), sets, scratch, similarity, "2"))
-    labels = components(scratch.put(links, "links"), scratch)
-    linked = scratch.put(texts.join(labels, texts.thash == labels.node, "left").select("best", F.coalesce("component", "thash").alias("component")), "linked")
-    kept = scratch.put(linked.groupBy("component").agg(F.min("best").alias("best")).select("best.id", "best.thash"), "kept")
-    mine = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"))
+    rows, groups = near_nodes(docs, scratch, id_col, text_col, similarity, shingle)
+    best = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "thash")).alias("best"))
+    kept = best.join(groups, "node").groupBy("group").agg(F.min("best").alias("best")).select("best.id", "best.thash")
+    kept = scratch.put(kept, "kept")
+    mine = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), _text_hash(F.col(text_col)).alias("hash"))
     out = mine.join(kept, F.col("hash").eqNullSafe(F.col("thash")) & mine.id.eqNullSafe(kept.id), "left_semi")
     repeated = not rows.groupBy("id", "thash").count().where("count > 1").isEmpty()
     scratch.only("kept")

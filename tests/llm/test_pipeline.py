@@ -16,7 +16,7 @@ from reelgrid.llm.queries import oracle_sql, queries
 
 
 def test_registry():
-    assert set(oracle_sql()) <= set(queries()) and len(queries()) == 10
+    assert set(oracle_sql()) <= set(queries()) and len(queries()) == 13
 
 
 def norm(text):

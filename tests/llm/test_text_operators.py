@@ -183,9 +183,58 @@ def test_near_copy_recall(spark):
         if i % 50 == 0:
             shared = Counter(j for x in sets[i] for j in at[x] if j != i)
             pairs |= {(i, j) for j, n in shared.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)}
-    kept = {r.doc_id for r in simhash.drop_near_copies(table).select("doc_id").collect()}
+    group = {r.doc_id: r.component_id for r in simhash.near_groups(table).collect()}
     assert len(pairs) > 10
-    assert sum(i not in kept or j not in kept for i, j in pairs) >= 0.9 * len(pairs)
+    found = sum(group[i] == group[j] for i, j in pairs)
+    print(f"recall {found} of {len(pairs)}")
+    assert found >= 0.9 * len(pairs)
+    kept = {r.doc_id for r in simhash.drop_near_copies(table).select("doc_id").collect()}
+    assert kept == set(group.values())
+
+
+def text_of(n, changed=()):
+    words = [f"w{n}x{i}" for i in range(200)]
+    for i in changed:
+        words[i] = f"other{n}x{i}"
+    return " ".join(words)
+
+
+def test_no_link_that_was_met_is_lost(spark, monkeypatch):
+    """Forty triples of one fingerprint each: two alike texts and one unlike them; which comes first by hash must not matter."""
+    rows = []
+    for n in range(40):
+        rows += [(3 * n, text_of(n)), (3 * n + 1, text_of(n, range(0, 12, 3))), (3 * n + 2, text_of(1000 + n))]
+    monkeypatch.setattr(simhash, "word_fingerprint", lambda words: FINGERPRINTS[words.tobytes()])
+    FINGERPRINTS.clear()
+    for i, t in rows:
+        FINGERPRINTS[simhash._hashes(simhash.words_of(t.encode())).tobytes()] = (i // 3) * 0x9E3779B97F4A7C15 % 2**64
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    group = {r.doc_id: r.component_id for r in simhash.near_groups(df).collect()}
+    assert all(group[3 * n] == group[3 * n + 1] == 3 * n and group[3 * n + 2] == 3 * n + 2 for n in range(40))
+
+
+FINGERPRINTS = {}
+
+
+@pytest.mark.parametrize("size", [simhash.FEW, 60])
+def test_all_that_meet_at_a_value_are_compared(spark, monkeypatch, size):
+    """Fingerprints a few bits from one centre, each with a text of its own but for alike pairs far from each other in any order."""
+    rng = random.Random(size)
+    centre, fps = rng.getrandbits(64), set()
+    while len(fps) < size:
+        fps.add(centre ^ sum(1 << b for b in rng.sample(range(64), 3)))
+    rows = [(i, text_of(i)) for i in range(size)]
+    pairs = [(0, size - 1), (1, size // 2), (2, 3)]
+    for a, b in pairs:
+        rows[b] = (b, text_of(a, range(0, 12, 3)))
+    FINGERPRINTS.clear()
+    for (_, t), fp in zip(rows, fps, strict=True):
+        FINGERPRINTS[simhash._hashes(simhash.words_of(t.encode())).tobytes()] = fp
+    monkeypatch.setattr(simhash, "word_fingerprint", lambda words: FINGERPRINTS[words.tobytes()])
+    group = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: i for i in range(size)} | {b: a for a, b in pairs}
+    met = {(a, b) for a, b in pairs if any((list(fps)[a] >> s & 0xFFFFFFFF ^ list(fps)[b] >> s & 0xFFFFFFFF).bit_count() <= 3 for s in (0, 32))}
+    assert {(a, b) for a, b in pairs if group[a] == group[b]} >= met and all(group[i] in (i, want[i]) for i in range(size))
 
 
 def test_slices_split_no_value():
