@@ -11,11 +11,12 @@ decide three things:
 * where the article lies: the deepest element that holds the content text but for a small
   part, all of whose paths score clearly lower, or, where most of that text is inside article
   or main elements, those elements;
-* which marked elements inside are left out: one marked plainly (a nav element, the class
-  `advert`) always, one marked by a word that has other uses (`related-work`, a form around
-  the page) only where the ratios of the text inside speak against it too;
+* which marked elements inside are left out: real elements (a nav element, a hidden one) and
+  names of parts whose prose is like an article's (`advert`, `reader-comments`) always, all
+  other listed words (`menu`, `tags`, `related-work`, `ad-hoc`; a form around the page) only
+  where the ratios of the text inside speak against it too;
 * which unmarked blocks inside are left out: those of a path that is links almost alone and
-  scores far below content.
+  scores far below content, where they stand before or behind all other text.
 
 Every other block inside stays, however short. A heading right before the article stays too.
 """
@@ -47,15 +48,23 @@ CLOSES_P = frozenset(
 SCOPES = frozenset("article aside body div footer form header html main nav section table td th ul ol".split())
 #: Elements that are plainly not the article.
 PLAIN_TAGS = frozenset("nav footer aside button head menu dialog fieldset".split())
-#: Words of class, id or role with hardly another use, and words that say it only where they stand alone.
-PLAIN_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus footer gdpr menu menubar modal "
-    "nav navbar navigation newsletter overlay paywall popup promo promoted sidebar sidenav signup sponsor sponsored toolbar topbar contentinfo complementary pagination pager".split()
+#: Words of class, id or role for parts whose prose reads as an article's does, so that the ratios cannot tell.
+PROSE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense comment comments commentlist cookie cookies disqus footer gdpr modal newsletter overlay paywall popup promo promoted "
+    "sidebar signup sponsor sponsored contentinfo complementary".split()
 )
+#: Words for parts that are no prose by their nature, which the ratios show.
+SHORT_WORDS = frozenset("breadcrumb breadcrumbs menu menubar nav navbar navigation pager pagination sidenav toolbar topbar".split())
+#: Words that have other uses as well.
 OTHER_WORDS = frozenset(
     "banner consent copyright disclaimer notice notices notification promotion recommended related respond share sharing skip social subscribe subscription tags teaser widget widgets "
     "alert search replies reply login".split()
 )
+#: Words that name a part's shape or place, and so leave another word its meaning.
+SHAPE_WORDS = frozenset(
+    "area bar block bottom box button buttons center col column container field fixed form frame global group header icon inner input item items label layer left legal line link links list lists "
+    "nested outer panel primary reader right rail secondary section site slot sticky thread title top unit user wrap wrapper".split()
+)
 #: Words that say so only outside an article, and words that say the opposite.
 OUTSIDE_WORDS = frozenset("header masthead".split())
 CONTENT_WORDS = frozenset("article body content entry main post prose story text".split())
@@ -66,8 +75,8 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，！？；、]")
 SPACE = re.compile(r"\s+")
 
 #: What markup adds to a path's score, and to an element's evidence.
-IN_ARTICLE, PLAIN, OTHER = 1.5, -8.0, -1.0
-#: Evidence of the ratios is held within this, so that it never outweighs a plain mark.
+IN_ARTICLE, PLAIN, SHORT, OTHER = 1.5, -8.0, -2.0, -1.0
+#: Evidence of the ratios is held within this: text that scores as content does (MARGIN above the level) outweighs the word for a menu, and nothing a plain mark.
 MOST = 2.5
 #: How far below the page's mean a content path may score: a tenth.
 MARGIN = log(10)
@@ -82,7 +91,7 @@ def _words(value: str) -> list[str]:
 
 
 def mark_of(tag: str, attributes: str, inside_article: bool) -> float:
-    """PLAIN, OTHER or 0: what an element's own tag and attributes say."""
+    """PLAIN, SHORT, OTHER or 0: what an element's own tag and attributes say."""
     if tag in PLAIN_TAGS or (tag == "header" and not inside_article):
         return PLAIN
     said = 0.0
@@ -100,16 +109,23 @@ def mark_of(tag: str, attributes: str, inside_article: bool) -> float:
 
 
 def _word_mark(words: list[str], inside_article: bool) -> float:
-    """Of one name: a plain word at an end of it, or any listed word alone, is plain; another listed word is a hint; beside a word for content neither is."""
+    """Of one name. It is plain where it ends in a word of prose parts, or is made of such words and words of shape alone
+    (reader-comments, ad-slot); a word with other uses is plain alone and outside an article. Any other name with a listed
+    word (comment-on-law, tasting-menu, tags) is a hint that the ratios can overrule; beside a word for content it says nothing."""
+    if not SHORT_WORDS.isdisjoint(words) and all(w in SHORT_WORDS or w in SHAPE_WORDS or w == "main" for w in words):
+        return SHORT
     if not words or (len(words) > 1 and not CONTENT_WORDS.isdisjoint(words)):
         return 0.0
-    if words[0] in PLAIN_WORDS or words[-1] in PLAIN_WORDS:
-        return PLAIN
     if not inside_article and not OUTSIDE_WORDS.isdisjoint(words):
         return PLAIN
-    if OTHER_WORDS.isdisjoint(words) and PLAIN_WORDS.isdisjoint(words):
+    prose = not PROSE_WORDS.isdisjoint(words)
+    if prose and (words[-1] in PROSE_WORDS or all(len(w) == 1 or w in PROSE_WORDS | SHORT_WORDS | OTHER_WORDS | SHAPE_WORDS for w in words)):
+        return PLAIN
+    if words[0] in SHORT_WORDS or words[-1] in SHORT_WORDS:
+        return SHORT
+    if not prose and OTHER_WORDS.isdisjoint(words):
         return 0.0
-    return PLAIN if len(words) == 1 else OTHER
+    return PLAIN if len(words) == 1 and not inside_article else OTHER
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -373,7 +389,14 @@ def content_blocks(page: str) -> list[str]:
     def links_alone(p: int) -> bool:
         return share[p] >= LINKS and ratios[p] < plain_level - LINKS_BELOW
 
-    kept = [f and (not roots or (e >= 0 and within[e])) and not links_alone(p) for e, f, (p, _, _) in zip(at, free, blocks, strict=True)]
+    kept = [f and (not roots or (e >= 0 and within[e])) for e, f in zip(at, free, strict=True)]
+    # a list of links before or behind the text is a menu, one in its midst belongs to it
+    alone = [links_alone(p) for p, _, _ in blocks]
+    text = [k for k in range(len(found)) if kept[k] and not alone[k] and not HEADING.match(tree.tag[at[k]] if at[k] >= 0 else "")]
+    if text:
+        kept = [k and (not a or text[0] < i < text[-1]) for i, (k, a) in enumerate(zip(kept, alone, strict=True))]
+    else:
+        kept = [k and not a for k, a in zip(kept, alone, strict=True)]
     follows = None
     for k in range(len(found) - 1, -1, -1):
         e = at[k]

@@ -136,6 +136,23 @@ def test_parts_inside_an_article(part, stays):
     assert got[: len(TEXT)] == TEXT and (len(got) > len(TEXT)) == stays
 
 
+P = f"<p>{SENTENCE}</p>"
+
+
+@pytest.mark.parametrize("part,texts", [
+    (f'<div class="tasting-menu">{P * 2}</div>', 2), (f'<div class="tags">{P * 5}</div>', 5), (f'<p class="alert">{SENTENCE}</p>', 1), (f'<div id="search">{P}</div>', 1), (f'<div id="social">{P}</div>', 1),
+    (f'<div id="reply">{P}</div>', 1), (f'<div id="consent">{P}</div>', 1), (f'<div class="ad-hoc">{P}</div>', 1), (f'<section class="comment-on-law">{P}</section>', 1), (f'<section id="sidebar-history">{P}</section>', 1),
+    ("<ul>" + "".join(f"<li><a href=x>Reference {i}</a></li>" for i in range(5)) + "</ul>", 5),
+    ('<div class="main-menu"><a>Home</a> <a>About</a></div>', 0), ('<ul class="menu"><li><a>Home</a></li><li><a>Us</a></li></ul>', 0), (f'<div class="comments">{P * 3}</div>', 0), (f'<ol class="comment-list"><li>{P}</li></ol>', 0),
+    (f'<div class="ad-slot-1">{P}</div>', 0), (f'<div id="left-sidebar">{P}</div>', 0), (f'<div class="cookie-consent-banner">{P}</div>', 0), (f"<nav>{P}</nav>", 0), ('<div class="tags"><a>one</a> <a>two</a></div>', 0),
+    ('<div class="breadcrumbs"><a>Start</a> &gt; <a>News</a></div>', 0), (f'<div class="newsletter-signup-form">{P}</div>', 0), ('<div id="search"><p>Search</p></div>', 0),
+])
+def test_ratios_overrule_words(part, texts):
+    """Between ten ordinary paragraphs of an article: prose under a word that has other uses stays, what is no prose and reader comments go."""
+    page = f"<body><nav><a>Home</a></nav><article><h1>Title, one</h1>{P * 5}{part}{P * 5}</article></body>"
+    assert len(hx.content_blocks(page)) == 11 + texts
+
+
 @pytest.mark.parametrize("page", ["<a " * 50_000, '<a "' * 50_001, "<div a='" * 30_001 + ">", "<" * 50_000, "<!--" * 30_000, "<p>" * 30_000, "<b>" * 20_000, "a=" * 50_000, "<div " + "x" * 100_000 + ">t</div>", "<video>" * 5000])
 def test_malformed_pages_take_bounded_time(page):
     hx.main_text(page)
