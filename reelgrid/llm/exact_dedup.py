@@ -17,8 +17,17 @@ from pyspark.sql import functions as F
 
 from reelgrid.llm.scratch import Scratch
 
-#: A chunk has 256 characters at least, then ends after the first such triple, or at 4096.
-CHUNK = r"(?s).{256,4093}?[aeo][nr][dts]|.{1,4096}"
+
+
+def _every(first: int, last: int, step: int) -> str:
+    """A quarter of a script's letters: the first of every four stretches."""
+    return "".join(rf"\u{k:04X}-\u{k + step // 4 - 1:04X}" for k in range(first, last, step))
+
+
+#: Of scripts beyond Latin, letters that end a chunk where two of them meet: alphabets and syllabics, kana, ideographs, Hangul.
+OTHER_ENDS = _every(0x0380, 0x1000, 64) + _every(0x3040, 0x3100, 64) + _every(0x3400, 0xA000, 512) + _every(0xAC00, 0xD800, 512)
+#: A chunk has 256 characters at least, then ends after the first such triple or pair, or at 4096.
+CHUNK = rf"(?s).{{256,4093}}?(?:[aeo][nr][dts]|(?=[\u0380-\uD7FF])[{OTHER_ENDS}]{{2}})|.{{1,4096}}"
 WHITE = r"[\x20\x09-\x0D]+"
 
 

@@ -237,6 +237,19 @@ def test_all_that_meet_at_a_value_are_compared(spark, monkeypatch, size):
     assert {(a, b) for a, b in pairs if group[a] == group[b]} >= met and all(group[i] in (i, want[i]) for i in range(size))
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnorst", "абвгдеёжзийклмнопрстуфхцчшщ", "的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年", "अआइईउऊएऐकखगघचछजझटठडढतथदधनपफबभमयरलव", "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"])
+def test_chunks_meet_again_in_every_script(spark, letters):
+    """One inserted character changes the chunk it is in, and few after it; chunks put together are the text."""
+    from reelgrid.llm.exact_dedup import _chunks
+
+    rng = random.Random(11)
+    text = "".join(rng.choice(letters) for _ in range(30_000))
+    other = text[:9000] + rng.choice(letters) + text[9000:]
+    a, b = (r.c for r in spark.createDataFrame([(0, text), (1, other)], "id int, t string").select("id", _chunks(F.col("t")).alias("c")).orderBy("id").collect())
+    assert "".join(a) == text and "".join(b) == other and max(map(len, a)) <= 4096
+    assert len(a) > 20 and len(set(a) - set(b)) <= 4
+
+
 def test_slices_split_no_value():
     import pyarrow as pa
 
