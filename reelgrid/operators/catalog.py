@@ -180,16 +180,17 @@ def previous_labeled(frames: DataFrame, block: int | None = None) -> DataFrame:
     return frames.withColumn("prev_frame_id", seen["frame_id"])
 
 
-def prefilled(frames: DataFrame, clips: DataFrame, labels: DataFrame, predictions: DataFrame | None = None, predict: bool = False) -> DataFrame:
+def prefilled(frames: DataFrame, clips: DataFrame, labels: DataFrame, predictions: DataFrame | None = None, predict: bool = False, block: int | None = None) -> DataFrame:
     """What labeling a frame begins with: frame_id, code, source, keypoints, num_keypoints, orientation.
 
     Saved label, else the previous labeled frame's points without confidences, else predicted
     points, else empty ones. `predict` with predictions (frame_id, keypoints) skips the first
     two. Without a locked orientation: code 409 and nothing else. A frame must have its clip.
+    block: see previous_labeled.
     """
     forced = predict and predictions is not None
     c = clips.select("clip_id", valid_orientation(F.col("orientation")).alias("_o"), F.col("width").alias("image_w"), F.col("height").alias("image_h"))
-    out = previous_labeled(frames).join(c, "clip_id")
+    out = previous_labeled(frames, block).join(c, "clip_id")
     out = out.join(labels.select("frame_id", F.col("keypoints").alias("_saved")), "frame_id", "left")
     out = out.join(labels.select(F.col("frame_id").alias("prev_frame_id"), F.col("keypoints").alias("_prev")), "prev_frame_id", "left")
     if predictions is not None:

@@ -726,7 +726,7 @@ def prefill_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each event's labeling begins with; frames of unknown clips have none."""
     f, k = event_frames(spark, sf_dir), F.col("c_custkey")
     clips = read(spark, sf_dir, "customer").select(k.cast("string").alias("clip_id"), k.cast("int").alias("width"), k.cast("int").alias("height"), _mixed_orientation(k).alias("orientation"))
-    out = C.prefilled(f.select("frame_id", "clip_id", "frame_index", "label_status"), clips, _saved_labels(f))
+    out = C.prefilled(f.select("frame_id", "clip_id", "frame_index", "label_status"), clips, _saved_labels(f), block=WEEK)
     ready = F.col("code") == 200
     return out.select("frame_id", "code", "source", F.when(ready, F.col("image_w")).otherwise(0).alias("image_w"), F.get("keypoints", 0)["x"].alias("x"), F.get("keypoints", 0)["src_conf"].alias("src_conf"), F.coalesce("num_keypoints", F.lit(0)).alias("n"))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import posixpath
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -75,3 +78,20 @@ def shared_write(path: str, data: bytes) -> None:
     with store.open_output_stream(temp) as out:
         out.write(data)
     store.move(temp, at)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes and reads again: in spark.checkpoint.dir, which driver and executors share; in local mode alone also where that is unset. It goes when the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}"
+    path = f"{root.rstrip('/')}/reelgrid-{name}-{uuid.uuid4().hex}"
+
+    def end() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            remove(spark, path)
+
+    atexit.register(end)
+    return path
