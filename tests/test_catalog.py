@@ -181,3 +181,17 @@ def test_files(spark, project, tmp_path):
     assert tuple(readers.read_template(spark, str(tmp_path / "t.json")).first()) == ("t", "a", 1.0, 2.0, 84.0, 50.0)
     sinks.reset_project(spark, folder)
     assert readers.read_manifest(spark, folder)[0].count() == 0
+
+
+def test_listings_come_in_order(spark):
+    import random
+
+    from reelgrid.operators.catalog import clip_listing, frames_of
+
+    ids = [f"f{i:03d}" for i in range(300)]
+    random.Random(1).shuffle(ids)
+    frames = spark.createDataFrame([(i, f"c{int(i[1:]) % 40:02d}", "keep", "unlabeled") for i in ids], "frame_id string, clip_id string, triage string, label_status string").repartition(7)
+    assert [r.frame_id for r in frames_of(frames).collect()] == sorted(ids)
+    clips = spark.createDataFrame([(f"c{i:02d}",) for i in random.Random(2).sample(range(50), 50)], "clip_id string").repartition(5)
+    got = clip_listing(clips, frames).collect()
+    assert [r.clip_id for r in got] == [f"c{i:02d}" for i in range(50)] and got[45].candidates == 0
