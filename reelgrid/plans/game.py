@@ -79,18 +79,22 @@ def _round(x: Column, digits: int) -> Column:
     return S.round_all_like_python(x, digits)
 
 
-def records(frames: DataFrame, who: Profile, config: Config | None = None, frame_rate: float = 5.0, start_shot: int = 0, start_segment: int = 0) -> DataFrame:
-    """run_id, segment_index and the record columns, for every frame up to an abort."""
+def records(frames: DataFrame, who: Profile, config: Config | None = None, frame_rate: float = 5.0, start_shot: int = 0, start_segment: int = 0, block: int | None = None) -> DataFrame:
+    """run_id, segment_index and the record columns, for every frame up to an abort. block: see `ordered`."""
     config = config or Config()
-    return finished(ordered(frames, config, start_shot, start_segment), who, config, frame_rate)
+    return finished(ordered(frames, config, start_shot, start_segment, block), who, config, frame_rate)
 
 
-def ordered(frames: DataFrame, config: Config, start_shot: int = 0, start_segment: int = 0) -> DataFrame:
-    """What depends on the order of a run's frames: shot_id, scene_cut, segment_index; frames after an abort go."""
+def ordered(frames: DataFrame, config: Config, start_shot: int = 0, start_segment: int = 0, block: int | None = None) -> DataFrame:
+    """What depends on the order of a run's frames: shot_id, scene_cut, segment_index; frames after an abort go.
+
+    With `block` (units of frame_index) a run is spread over tasks, see operators/blocks.py;
+    without, it is one task's.
+    """
     f = frames if "error" in frames.columns else frames.withColumn("error", F.lit(None).cast("string"))
-    f = O.shots(O.scene_cuts(f, config.scene_threshold), start_shot)
-    f = O.until_abort(f.withColumn("failed", F.col("error").isNotNull()), config.max_consecutive_errors)
-    return O.segments(f, config.segment_frames, start_segment)
+    f = O.shots(O.scene_cuts(f, config.scene_threshold, block=block), start_shot, block=block)
+    f = O.until_abort(f.withColumn("failed", F.col("error").isNotNull()), config.max_consecutive_errors, block=block)
+    return O.segments(f, config.segment_frames, start_segment, block=block)
 
 
 def chosen_detections(f: DataFrame, who: Profile) -> DataFrame:

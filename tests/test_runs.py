@@ -71,6 +71,13 @@ def test_parts_give_the_records_of_the_whole_run(spark, tmp_path, cuts, failing,
     assert [s["n_records"] for s in m["segments"]] == [8] * 3 and m["status"] == "done"
 
 
+def test_blocks_give_the_order_of_the_whole_run(spark):
+    frames = clip(spark, 40, (7, 23, 24), (3, 11, 12, 13), "one").unionByName(clip(spark, 30, (5,), range(10, 20), "two"))
+    config = game.Config(segment_frames=8, max_consecutive_errors=4)
+    shown = lambda f: sorted(f.select("run_id", "frame_index", "shot_id", "scene_cut", "error_run", "segment_index", "aborted").collect())
+    assert shown(game.ordered(frames, config)) == shown(game.ordered(frames, config, block=9))
+
+
 class Killed(BaseException):
     pass
 
