@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.llm.components import components
-from reelgrid.llm.scratch import Scratch
+from reelgrid.llm.scratch import Scratch, small_batches
 
 RADIUS = 3
 SEED = 42
@@ -48,6 +48,8 @@ SEED = 42
 VARIANTS_PER_TASK = 4_000_000
 #: Rows that a Python worker looks at together.
 SLICE = 400_000
+#: Whole texts or sets that it gets at once.
+SETS = 500
 SIMILARITY, SHINGLE = 0.8, 5
 #: Texts of that similarity hardly ever lie further apart than so many of 64 bits (of 3,674 pairs measured 1 % did).
 FAR = 10
@@ -235,7 +237,7 @@ def candidates(v: np.ndarray, f: np.ndarray, begun: int | None = None) -> tuple[
 def meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (v, fp) in the order of v -> (u, v, member): met pairs, and members (value, fingerprint) of values with many."""
     last = None
-    for v, f in slices(batches):
+    for v, f in slices(batches, SLICE // 3):
         pairs, members = candidates(v, f, last)
         last = v[-1]
         for rows, member in ((np.unique(np.sort(pairs, axis=1), axis=0), False), (members, True)):
@@ -372,14 +374,16 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scra
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "thash"), "node").select("node", F.col("thash").alias("asked"))
     asked = scratch.put(asked, f"asked-{name}")
     made = texts.join(asked, F.col("thash") == F.col("asked")).select("node", "b").dropDuplicates(["node"]).mapInArrow(sets, "node long, shingles binary")
-    made = scratch.put(made, f"sets-{name}")
+    with small_batches(pairs.sparkSession, SETS):
+        made = scratch.put(made, f"sets-{name}")
     # sets differ too much in size to be similar: no need to hold them together
     sizes = made.select("node", F.octet_length("shingles").alias("n"))
     fit = pairs.join(sizes.withColumnsRenamed({"node": "u", "n": "nu"}), "u").join(sizes.withColumnsRenamed({"node": "v", "n": "nv"}), "v")
     fit = scratch.put(fit.where(F.least("nu", "nv") >= F.greatest("nu", "nv") * similarity).select("u", "v"), f"fit-{name}")
     left = scratch.put(fit.join(made.withColumnsRenamed({"node": "u", "shingles": "su"}), "u"), f"left-{name}")
     links = left.join(made.withColumnsRenamed({"node": "v", "shingles": "sv"}), "v").select("u", "v", "su", "sv").mapInArrow(check, "u long, v long")
-    links = scratch.put(links, f"similar-{name}")
+    with small_batches(pairs.sparkSession, SETS):
+        links = scratch.put(links, f"similar-{name}")
     scratch.drop(*[f"{k}-{name}" for k in ("asked", "sets", "fit", "left")])
     return links
 
@@ -409,7 +413,8 @@ def _apart(nodes: DataFrame, links: DataFrame, members: DataFrame, scratch: Scra
 
 def near_nodes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
     """Rows (id, thash, node), and for each node its group."""
-    rows = scratch.put(with_sets(docs, id_col, text_col, shingle), "rows")
+    with small_batches(docs.sparkSession, SETS):
+        rows = scratch.put(with_sets(docs, id_col, text_col, shingle), "rows")
     nodes = scratch.put(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("thash").alias("thash")), "nodes")
     distinct = scratch.put(nodes.groupBy("fp").agg(F.min("node").alias("one")), "distinct")
     found = scratch.put(met(distinct, 32, meet_all, "u long, v long, member boolean").distinct(), "met")
