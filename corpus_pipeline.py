@@ -14,29 +14,42 @@ from reelgrid.llm.packing import pack
 from reelgrid.llm.scratch import Scratch
 from reelgrid.llm.simhash import drop_near_copies
 
+#: Whole documents that a Python worker gets at once in the stages.
+DOCUMENTS_AT_ONCE = 1000
+
+
+def _session(spark: SparkSession) -> None:
+    """Sets the session for rows that hold whole texts; it stays so."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(DOCUMENTS_AT_ONCE))
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go (null or letterless text among them)."""
+    _session(spark)
     return accepted_documents(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal but for white space one stays."""
+    _session(spark)
     return drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (five-word Jaccard similarity of 0.8 or more, directly or over others) one stays."""
+    _session(spark)
     return drop_near_copies(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, once or twice."""
+    _session(spark)
     return mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of 2048-token sequences with their ids."""
+    _session(spark)
     return pack(docs)
 
 
