@@ -32,8 +32,8 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 COVERED = 80
 #: Bits of the tables of frequent words and pairs (16 MB each, at any size of corpus).
 FILTER_BITS = 27
-#: Words of the corpus to one range of keys, which is a task; numbers of keys that a task holds before it counts and hands on.
-RANGE_WORDS, HELD = 2_000_000, 4_000_000
+#: Words of the corpus to one range of keys; tasks that ranges are dealt to at most, each of which does one after the other; numbers of keys that a task holds before it counts and hands on.
+RANGE_WORDS, TASKS, HELD = 2_000_000, 20_000, 4_000_000
 _SLICE_BITS = 19  # of a bit table, in one row
 # Odd factors of the four places of a key; their values are free (digits of the golden ratio and others of xxHash's kind).
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)]
@@ -157,7 +157,7 @@ def _frequent(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray, pairs
             for lo in range(0, len(edges) - 1, 1000):
                 some = edges[lo : lo + 1001]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(place[some[:-1]], pa.int32()), pa.array([keys[i:j].tobytes() for i, j in zip(some[:-1], some[1:], strict=True)], pa.binary()),
+                    [pa.array(place[some[:-1]]), pa.array([keys[i:j].tobytes() for i, j in zip(some[:-1], some[1:], strict=True)], pa.binary()),
                      pa.array([n[i:j].astype("<i8").tobytes() for i, j in zip(some[:-1], some[1:], strict=True)], pa.binary())], ["place", "keys", "n"],
                 )
 
@@ -201,22 +201,31 @@ def _frequent(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray, pairs
         if held:
             yield from blocks()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in batches:
-            for k, n in zip(b.column("keys").to_pylist(), b.column("n").to_pylist(), strict=True):
-                held.append((np.frombuffer(k, np.uint64).reshape(-1, width), np.frombuffer(n, np.int64)))
-        if not held:
-            return
-        keys, n = run_lengths(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
+    def counted(held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        keys, n = run_lengths(np.concatenate([np.frombuffer(k, np.uint64).reshape(-1, width) for k, _ in held]), np.concatenate([np.frombuffer(n, np.int64) for _, n in held]))
         keys, n = keys[n >= least], n[n >= least]
         first = _first_ids(keys)
         for at in range(0, len(n), 10_000):
             rows = [[a, *(x for x in rest if x)] for a, rest in zip(first[at : at + 10_000].view(np.int64).tolist(), keys[at : at + 10_000, 1:].view(np.int64).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64())), pa.array(n[at : at + 10_000])], ["ids", "n"])
 
-    packed = texts.mapInArrow(pack, "place int, keys binary, n binary")
-    return packed.repartitionById(ranges, "place").mapInArrow(count, "ids array<long>, n long")  # a range a task
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One range after the other; rows come in their order."""
+        here, held = None, []
+        for b in batches:
+            for place, k, n in zip(*(b.column(c).to_pylist() for c in ("place", "keys", "n")), strict=True):
+                if place != here and held:
+                    yield from counted(held)
+                    held = []
+                here = place
+                held.append((k, n))
+        if held:
+            yield from counted(held)
+
+    packed = texts.mapInArrow(pack, "place long, keys binary, n binary")
+    tasks = min(ranges, TASKS)
+    dealt = packed.repartitionById(tasks, F.floor(F.col("place") * tasks / ranges).cast("int")).sortWithinPartitions("place")
+    return dealt.mapInArrow(count, "ids array<long>, n long")
 
 
 def _first_ids(keys: np.ndarray) -> np.ndarray:
@@ -251,7 +260,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         raise ArithmeticError("words share ids under every seed")
     totals = words.groupBy("lang").agg(F.sum("n").alias("words"))
     total = words.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, -(-total // range_words))
+    ranges = min(1 << 31, max(1, -(-total // range_words)))
     frequent = scratch.put(words.where(F.col("n") >= least), "frequent")
     bits = bit_table(frequent)
     pairs = scratch.put(_frequent(texts, (2,), bits, None, seed, ranges, least), "pairs")

@@ -293,6 +293,7 @@ def odd_documents(seed):
 def test_phrases_against_plain_python(spark, monkeypatch, seed, least, top, bits):
     monkeypatch.setattr(phrases, "FILTER_BITS", bits)  # with few bits, rare words share those of frequent ones
     monkeypatch.setattr(phrases, "HELD", 500)
+    monkeypatch.setattr(phrases, "TASKS", 7)  # several ranges a task
     docs = odd_documents(seed)
     df = spark.createDataFrame([(t, c, 1, "x") for t, c in docs], "text string, lang string, id int, ids string").repartition(3)
     got = sorted(tuple(r) for r in collocations(df, least=least, top=top, range_words=300).collect())
