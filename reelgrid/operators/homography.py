@@ -6,6 +6,7 @@ The court plane is (across, along) in feet, so the inlier threshold is in feet a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -18,44 +19,16 @@ from reelgrid import court
 THRESHOLD_FEET = 5.0
 LEAST_POINTS = 4
 TRIALS = 400
-TRIALS_AT_ONCE = 50
-FRAMES_AT_ONCE = 2000
+TRIALS_AT_ONCE = 16
+#: Frames of a first fit, and of RANSAC, that are done together.
+FRAMES_AT_ONCE, SAMPLED_AT_ONCE = 2000, 200
 #: Samples end once the chance that none of them held inliers alone is below this.
 MISSED = 1e-4
 SOLVED = "struct<homography:array<array<double>>,used_keypoint_ids:array<string>>"
 
 
-def _normaliser(p: np.ndarray) -> np.ndarray:
-    centre = p.mean(0)
-    spread = np.sqrt(((p - centre) ** 2).sum(1)).mean()
-    s = np.sqrt(2) / spread if spread > 0 else 1.0
-    return np.array([[s, 0, -s * centre[0]], [0, s, -s * centre[1]], [0, 0, 1]])
-
-
-def _apply(h: np.ndarray, p: np.ndarray) -> np.ndarray:
-    q = np.c_[p, np.ones(len(p))] @ h.T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return q[:, :2] / q[:, 2:]
-
-
-def fit(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
-    """Least-squares homography with its last element 1; null for degenerate points."""
-    ts, td = _normaliser(src), _normaliser(dst)
-    s, d = _apply(ts, src), _apply(td, dst)
-    zero, one = np.zeros(len(s)), np.ones(len(s))
-    rows = np.concatenate([
-        np.stack([-s[:, 0], -s[:, 1], -one, zero, zero, zero, d[:, 0] * s[:, 0], d[:, 0] * s[:, 1], d[:, 0]], 1),
-        np.stack([zero, zero, zero, -s[:, 0], -s[:, 1], -one, d[:, 1] * s[:, 0], d[:, 1] * s[:, 1], d[:, 1]], 1),
-    ])
-    _, sizes, vt = np.linalg.svd(rows, full_matrices=len(rows) < 9)  # four points: the ninth vector is beyond the rows' rank
-    if len(sizes) < 8 or sizes[7] < 1e-9 * sizes[0]:
-        return None
-    h = np.linalg.inv(td) @ vt[-1].reshape(3, 3) @ ts
-    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
-
-
-def _fit_samples(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """Homographies (k, 3, 3) through samples of four points (k, 4, 2), all at once; degenerate ones are left out."""
+def _fit_samples(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Homographies (k, 3, 3) through samples of four points (k, 4, 2), all at once, and which of them are no degenerate ones."""
     triples = np.array(list(combinations(range(4), 3)))
 
     def spread(p: np.ndarray) -> np.ndarray:
@@ -63,62 +36,54 @@ def _fit_samples(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
         return np.abs(u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]).min(1)
 
     good = (spread(src) >= 1e-9) & (spread(dst) >= 1e-9)
-    src, dst = src[good], dst[good]
-    if not len(src):
-        return np.zeros((0, 3, 3))
     x, y, u, v = src[..., 0], src[..., 1], dst[..., 0], dst[..., 1]
     zero, one = np.zeros_like(x), np.ones_like(x)
     rows = np.concatenate([
         np.stack([-x, -y, -one, zero, zero, zero, u * x, u * y, u], 2), np.stack([zero, zero, zero, -x, -y, -one, v * x, v * y, v], 2),
     ], 1)
     _, sizes, vt = np.linalg.svd(rows)
-    h = vt[:, -1].reshape(-1, 3, 3)[sizes[:, 7] >= 1e-9 * sizes[:, 0]]
-    return h
+    return vt[:, -1].reshape(-1, 3, 3), good & (sizes[:, 7] >= 1e-9 * sizes[:, 0])
 
 
-def solve(src: np.ndarray, dst: np.ndarray, threshold: float = THRESHOLD_FEET) -> np.ndarray | None:
-    """The homography with most points within the threshold, fitted again to those points.
+@cache
+def _samples(n: int) -> np.ndarray:
+    """The samples of n points, the same for every frame: all of few points, else TRIALS drawn from a seed."""
+    if n <= 9:
+        return np.array(list(combinations(range(n), 4)))
+    return np.argsort(np.random.default_rng(0).random((TRIALS, n)), 1)[:, :4]
+
 
-    Equal input gives equal output. Fewer than four points, a number that is not finite, or
-    points that no homography fits: null.
+def _consensus(src: np.ndarray, dst: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """RANSAC of frames of n points each, together: src and dst (k, n, 2) -> the points of the best sample's homography (k, n), and how many.
+
+    A frame is done once a sample without outliers has hardly been missed; the others go on.
     """
-    n = len(src)
-    if n < LEAST_POINTS or not np.isfinite(src).all():
-        return None
-    try:
-        return _solve(src, dst, threshold)
-    except np.linalg.LinAlgError:
-        return None
-
-
-def _solve(src: np.ndarray, dst: np.ndarray, threshold: float) -> np.ndarray | None:
-    n = len(src)
-    whole = fit(src, dst)
-    if whole is not None and bool((((_apply(whole, src) - dst) ** 2).sum(1) <= threshold**2).all()):
-        return whole  # no sample can hold more points
-    rng = np.random.default_rng(0)
-    picks = np.array(list(combinations(range(n), 4))) if n <= 9 else np.argsort(rng.random((TRIALS, n)), 1)[:, :4]
-    ts, td = _normaliser(src), _normaliser(dst)
-    s, d, back = _apply(ts, src), _apply(td, dst), np.linalg.inv(td)
-    points = np.c_[src, np.ones(n)]
-    best, most, least, done = None, 0, np.inf, 0
-    while done < len(picks):
+    n, picks, frames = src.shape[1], _samples(src.shape[1]), np.arange(len(src))
+    ones = np.ones(src.shape[:2])
+    ts, td = _normalisers(src, ones), _normalisers(dst, ones)
+    s, d, back = _moved(ts, src), _moved(td, dst), np.linalg.inv(td)
+    best, most, least = np.zeros(src.shape[:2], bool), np.zeros(len(src), np.int64), np.full(len(src), np.inf)
+    for done in range(0, len(picks), TRIALS_AT_ONCE):
         at = picks[done : done + TRIALS_AT_ONCE]
-        done += len(at)
-        h = back @ _fit_samples(s[at], d[at]) @ ts
-        if len(h):
-            q = np.einsum("kij,nj->kni", h, points)
-            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-                err = np.nan_to_num(np.sqrt(((q[..., :2] / q[..., 2:] - dst) ** 2).sum(2)), nan=np.inf)
-            inside = err <= threshold
-            count, total = inside.sum(1), np.where(inside, err, 0).sum(1)
-            k = int(np.lexsort((total, -count))[0])
-            if count[k] > most or (count[k] == most and total[k] < least):
-                best, most, least = inside[k], int(count[k]), float(total[k])
-        clean = (most / n) ** 4  # chance that a sample holds inliers alone
-        if clean >= 1 or (clean > 0 and done * np.log1p(-clean) < np.log(MISSED)):
+        h, good = _fit_samples(s[frames][:, at].reshape(-1, 4, 2), d[frames][:, at].reshape(-1, 4, 2))
+        h = back[frames, None] @ h.reshape(-1, len(at), 3, 3) @ ts[frames, None]
+        moved = np.stack([_moved(h[:, k], src[frames]) for k in range(len(at))], 1)
+        err = np.nan_to_num(np.sqrt(((moved - dst[frames, None]) ** 2).sum(3)), nan=np.inf)
+        inside = (err <= threshold) & good.reshape(-1, len(at), 1)
+        count, total = inside.sum(2), np.where(inside, err, 0).sum(2)
+        here = np.where(count == count.max(1, keepdims=True), total, np.inf).argmin(1)
+        row = np.arange(len(frames))
+        count, total, inside = count[row, here], total[row, here], inside[row, here]
+        better = (count > most[frames]) | ((count == most[frames]) & (total < least[frames]) & (count > 0))
+        to = frames[better]
+        best[to], most[to], least[to] = inside[better], count[better], total[better]
+        clean = (most[frames] / n) ** 4  # chance that a sample holds inliers alone
+        with np.errstate(divide="ignore"):
+            over = (clean >= 1) | ((clean > 0) & ((done + len(at)) * np.log1p(-np.minimum(clean, 1)) < np.log(MISSED)))
+        frames = frames[~over]
+        if not len(frames):
             break
-    return fit(src[best], dst[best]) if best is not None and most >= LEAST_POINTS else None
+    return best, most
 
 
 def _normalisers(p: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -165,24 +130,45 @@ def fit_all(src: np.ndarray, dst: np.ndarray, seen: np.ndarray) -> tuple[np.ndar
 
 
 def solve_all(src: np.ndarray, dst: np.ndarray, seen: np.ndarray, threshold: float = THRESHOLD_FEET) -> list[np.ndarray | None]:
-    """solve() of every frame. Frames whose first fit leaves no seen point beyond the threshold are done by stacks; RANSAC sees the others alone."""
-    usable = (seen.sum(1) >= LEAST_POINTS) & np.isfinite(np.where(seen[..., None], src, 0.0)).all((1, 2))
+    """Of every frame the homography with most seen points within the threshold, fitted to those points: src (k, n, 2), dst (n, 2), seen (k, n).
+
+    Frames whose first fit leaves no seen point beyond the threshold are done, as no sample can
+    hold more; RANSAC sees the others, frames of equally many points together. Equal input
+    gives equal output. Fewer than four points, a number that is not finite, or points that no
+    homography fits: null.
+    """
+    src = np.where(seen[..., None], src, 0.0)
+    usable = (seen.sum(1) >= LEAST_POINTS) & np.isfinite(src).all((1, 2))
     out: list[np.ndarray | None] = [None] * len(src)
     for at in range(0, len(src), FRAMES_AT_ONCE):
         which = at + np.flatnonzero(usable[at : at + FRAMES_AT_ONCE])
         if not len(which):
             continue
-        try:
-            h, good = fit_all(src[which], dst, seen[which])
-            err = ((_moved(h, np.where(seen[which][..., None], src[which], 0.0)) - dst) ** 2).sum(2)
-            good &= ((err <= threshold**2) | ~seen[which]).all(1)
-        except np.linalg.LinAlgError:
-            h, good = np.zeros((len(which), 3, 3)), np.zeros(len(which), bool)
-        for i, fits, whole in zip(which, good, h, strict=True):
-            out[i] = whole if fits else solve(src[i][seen[i]], dst[seen[i]], threshold)
+        h, good = fit_all(src[which], dst, seen[which])
+        err = ((_moved(h, src[which]) - dst) ** 2).sum(2)
+        good &= ((err <= threshold**2) | ~seen[which]).all(1)
+        for i, whole in zip(which[good], h[good], strict=True):
+            out[i] = whole
+        left = which[~good]
+        count = seen[left].sum(1)
+        for n in np.unique(count):
+            for lo in range(0, int((count == n).sum()), SAMPLED_AT_ONCE):
+                some = left[count == n][lo : lo + SAMPLED_AT_ONCE]
+                points = np.nonzero(seen[some])[1].reshape(-1, n)
+                best, most = _consensus(src[some[:, None], points], dst[points], threshold)
+                held = np.zeros((len(some), seen.shape[1]), bool)
+                np.put_along_axis(held, points, best, 1)
+                h, good = fit_all(src[some], dst, held)
+                for i, fits, whole in zip(some, good & (most >= LEAST_POINTS), h, strict=True):
+                    out[i] = whole if fits else None
     return out
 
 
+def solve(src: np.ndarray, dst: np.ndarray, threshold: float = THRESHOLD_FEET) -> np.ndarray | None:
+    """solve_all of one frame's points."""
+    return solve_all(src[None], dst, np.ones((1, len(src)), bool), threshold)[0]
+
+
 def homography(points: Column, template: str) -> Column:
     """Canonical points -> struct of the 3 x 3 matrix and the ids of all visible points; fewer than four: null and none."""
     feet = court.template(template)
