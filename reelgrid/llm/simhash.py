@@ -21,13 +21,13 @@ linked at another value or through the star.
 Texts that similar are mostly further than 3 of 64 bits apart, so its fingerprints are of
 words and word pairs, and are met by each half of 32 bits: all pairs within 7 bits have a
 half within 3. Texts of equal shingle sets are one from the start. What meets, and lies within
-FAR bits as a whole, is compared by the shingle sets themselves, in two rounds. The first takes
-each text's closest partner (and, of one fingerprint, a common one) and so joins nearly all
-there is to join. The second compares every met pair that the first left in different groups:
-the members of one fingerprint, those of fingerprints that met, and those of values that too
-many met at to list their pairs (more than FEW; of these the first round sees neighbours
-only), joined by value across groups. So no pair that was met goes uncompared, and no pairs
-are listed within a group.
+FAR bits as a whole, is compared by the shingle sets themselves, in three rounds, each of
+which compares only what the one before left in different groups. The first takes each text's
+closest partner (and, of one fingerprint, a common one), the second all listed pairs: of
+values that FEW or fewer met at all of them, of others neighbours in several orders, and the
+members of one fingerprint. The third joins the members of those other values across groups.
+In both, a sketch of the sets in bits rules out pairs that cannot be similar. So no pair that
+was met goes uncompared, and no pairs are listed within a group.
 """
 
 from __future__ import annotations
@@ -48,12 +48,14 @@ SEED = 42
 VARIANTS_PER_TASK = 4_000_000
 #: Rows that a Python worker looks at together.
 SLICE = 400_000
+#: Bits of the sketch of a shingle set.
+SKETCH = 512
 #: Whole texts or sets that it gets at once.
 SETS = 500
 SIMILARITY, SHINGLE = 0.8, 5
 #: Texts of that similarity hardly ever lie further apart than so many of 64 bits (of 3,674 pairs measured 1 % did).
 FAR = 10
-#: A value of so many members lists all their pairs; of more each with the closest of so many neighbours, the rest in the second round.
+#: A value of so many members lists all their pairs; of more each with the closest of so many neighbours, the rest in the third round.
 FEW = 16
 
 
@@ -337,22 +339,27 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def with_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (id, thash, fp, node): word_fingerprint, and a hash of the shingle set; texts of equal sets are one node."""
+    """Rows (id, thash, fp, node, n, sketch): word_fingerprint; a hash of the shingle set (texts of equal sets are one node), its size, and which of SKETCH buckets its hashes fall into, as bits."""
     from xxhash import xxh64_intdigest
 
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, nodes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
+            fps, nodes, sizes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64)
+            sketches = np.zeros((b.num_rows, SKETCH), bool)
             for i, t in enumerate(b.column(2)):
                 words = _hashes(words_of(t.as_py()))
-                fps[i], nodes[i] = word_fingerprint(words), xxh64_intdigest(shingle_hashes(words, shingle).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64))], ["id", "thash", "fp", "node"])
+                shingles = shingle_hashes(words, shingle)
+                fps[i], nodes[i], sizes[i] = word_fingerprint(words), xxh64_intdigest(shingles.tobytes()), len(shingles)
+                sketches[i, (shingles & np.uint64(SKETCH - 1)).astype(np.int64)] = True
+            bits = pa.array(np.packbits(sketches, axis=1).view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * (SKETCH // 64)), bits)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), pa.array(sizes), lists], ["id", "thash", "fp", "node", "n", "sketch"])
 
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("id"), _text_hash(text).alias("thash"), text.cast("binary").alias("b"))
-    return rows.mapInArrow(run, f"id {id_type}, thash long, fp long, node long")
+    return rows.mapInArrow(run, f"id {id_type}, thash long, fp long, node long, n long, sketch array<long>")
 
 
 def _text_hash(text: Column) -> Column:
@@ -392,30 +399,39 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _apart(nodes: DataFrame, links: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (u, v) of nodes in different groups that met: nodes (node, fp, group), links (u, v) of fingerprints, members (value, fp) of values with many."""
+def _may_reach(similarity: float, a: str, b: str) -> Column:
+    """Whether the sets of two nodes may be similar: sets differ in at least as many shingles as their sketches in bits, similar ones in at most (1 - s) / (1 + s) of all their shingles. Loses none."""
+    apart = F.aggregate(F.zip_with(f"{a}sketch", f"{b}sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return apart <= (F.col(f"{a}n") + F.col(f"{b}n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def _torn(nodes: DataFrame, links: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """Pairs (u, v) of nodes in different groups that may be similar, of fingerprints that met or of one fingerprint: nodes (node, fp, group, n, sketch), links (u, v) of fingerprints."""
     spans = nodes.groupBy("fp").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
     of = lambda end: spans.select(F.col("fp").alias(end), F.col("lo").alias(f"lo_{end}"), F.col("hi").alias(f"hi_{end}"))
     torn = links.join(of("u"), "u").join(of("v"), "v").where((F.col("lo_u") != F.col("hi_u")) | (F.col("lo_v") != F.col("hi_v")) | (F.col("lo_u") != F.col("lo_v"))).select("u", "v")
     within = spans.where("lo <> hi").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
     torn = scratch.put(torn.union(within), "torn")
-    end = lambda c, x: nodes.select(F.col("fp").alias(c), F.col("node").alias(x), F.col("group").alias(f"in_{x}"))
-    pairs = torn.join(end("u", "a"), "u").join(end("v", "b"), "v").where("in_a <> in_b").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    # at values with many: who is not in the value's largest group, with all others there
-    at = scratch.put(members.join(nodes, "fp").select("value", "fp", "node", "group"), "at")
+    end = lambda c, x: nodes.select(F.col("fp").alias(c), F.col("node").alias(x), F.col("group").alias(f"in_{x}"), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}sketch"))
+    return _ordered(torn.join(end("u", "a"), "u").join(end("v", "b"), "v").where((F.col("in_a") != F.col("in_b")) & _may_reach(similarity, "a", "b")).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def _apart(nodes: DataFrame, members: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """Pairs (u, v) of nodes in different groups that may be similar, at values with many: who is not in a value's largest group, with all others there. members: (value, fp)."""
+    at = scratch.put(members.join(nodes, "fp").select("value", "fp", "node", "group", "n", "sketch"), "at")
     sizes = at.groupBy("value", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.max(F.struct("n", "group")).alias("x"), F.count(F.lit(1)).alias("groups"))
     mixed = scratch.put(at.join(sizes.where("groups > 1").select("value", F.col("x.group").alias("largest")), "value"), "mixed")
-    few = mixed.where(F.col("group") != F.col("largest")).select("value", *[F.col(c).alias(f"o_{c}") for c in ("fp", "node", "group")])
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("o_fp"))) <= FAR
+    few = mixed.where(F.col("group") != F.col("largest")).select("value", *[F.col(c).alias(f"o_{c}") for c in ("fp", "node", "group", "n", "sketch")])
+    close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("o_fp"))) <= FAR) & _may_reach(similarity, "", "o_")
     many = few.join(mixed.drop("largest").withColumnRenamed("value", "w"), (F.col("value") == F.col("w")) & (F.col("group") != F.col("o_group")) & close)
-    return _ordered(pairs.union(many.select(F.col("o_node").alias("u"), F.col("node").alias("v"))))
+    return _ordered(many.select(F.col("o_node").alias("u"), F.col("node").alias("v")))
 
 
 def near_nodes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
     """Rows (id, thash, node), and for each node its group."""
     with small_batches(docs.sparkSession, SETS):
         rows = scratch.put(with_sets(docs, id_col, text_col, shingle), "rows")
-    nodes = scratch.put(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("thash").alias("thash")), "nodes")
+    nodes = scratch.put(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "thash", "n", "sketch")]), "nodes")
     distinct = scratch.put(nodes.groupBy("fp").agg(F.min("node").alias("one")), "distinct")
     found = scratch.put(met(distinct, 32, meet_all, "u long, v long, member boolean").distinct(), "met")
     links = found.where("not member").select("u", "v")
@@ -428,15 +444,19 @@ def near_nodes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, si
     one = lambda end, x: distinct.select(F.col("fp").alias(end), F.col("one").alias(x))
     closest = closest.join(one("u", "a"), "u").join(one("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     same = nodes.join(distinct, "fp").where("node <> one").select(F.col("node").alias("u"), F.col("one").alias("v"))
-    first = scratch.put(_ordered(closest.union(same)), "first")
-    links_1 = _similar(first, nodes, texts, scratch, similarity, shingle, "1")
-    label = lambda found: nodes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "fp", F.coalesce("component", "node").alias("group"))
-    grouped = scratch.put(label(components(links_1, scratch)), "grouped")
-    second = scratch.put(_apart(grouped, links, members, scratch).join(first, ["u", "v"], "left_anti"), "second")
-    if not second.isEmpty():
-        links_2 = _similar(second, nodes, texts, scratch, similarity, shingle, "2")
-        grouped = scratch.put(label(components(links_1.union(links_2), scratch)), "regrouped")
-    scratch.only("rows", "grouped", "regrouped")
+    label = lambda found: nodes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "fp", F.coalesce("component", "node").alias("group"), "n", "sketch")
+    grouped = nodes.select("node", "fp", F.col("node").alias("group"), "n", "sketch")
+    compared, alike = None, None
+    rounds = (lambda g: _ordered(closest.union(same)), lambda g: _torn(g, links, scratch, similarity), lambda g: _apart(g, members, scratch, similarity))
+    for k, pairs_of in enumerate(rounds, 1):  # each leaves the next fewer groups, and so fewer pairs
+        pairs = pairs_of(grouped)
+        pairs = scratch.put(pairs if compared is None else pairs.join(compared, ["u", "v"], "left_anti"), f"pairs-{k}")
+        if k > 1 and pairs.isEmpty():
+            continue
+        found = _similar(pairs, nodes, texts, scratch, similarity, shingle, str(k))
+        compared, alike = (pairs, found) if compared is None else (compared.union(pairs), alike.union(found))
+        grouped = scratch.put(label(components(alike, scratch)), f"grouped-{k}")
+    scratch.only("rows", *(f"grouped-{k}" for k in (1, 2, 3)))
     return rows.select("id", "thash", "node"), grouped.select("node", "group")
 
 
