@@ -199,11 +199,14 @@ class Carry:
     frame: int = -1
 
 
-def going_on(frames: DataFrame, carry: Carry, threshold: float = SCENE_THRESHOLD, segment_frames: int = SEGMENT_FRAMES, limit: int = MAX_CONSECUTIVE_ERRORS) -> DataFrame:
+def going_on(frames: DataFrame, carry: Carry, threshold: float = SCENE_THRESHOLD, segment_frames: int = SEGMENT_FRAMES, limit: int = MAX_CONSECUTIVE_ERRORS, block: int | None = None) -> DataFrame:
     """shot_id, scene_cut, error_run, segment_index and aborted of one run's next frames (frame_index, hist, error), from where it stands.
 
     The same as scene_cuts, shots, until_abort and segments over the whole run; frames after an abort go.
+    With `block` the frames are spread over tasks, as there.
     """
+    if block is not None:
+        return _going_on_by_blocks(frames, carry, threshold, segment_frames, limit, block)
     w = Window.partitionBy("run_id").orderBy("frame_index")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     no, failed = F.row_number().over(w), F.col("error").isNotNull()
@@ -221,6 +224,27 @@ def going_on(frames: DataFrame, carry: Carry, threshold: float = SCENE_THRESHOLD
     return f.withColumn("aborted", F.col("_stop").isNotNull()).drop("_no", "_prev", "_ok", "_cut", "_stop")
 
 
+def _going_on_by_blocks(frames: DataFrame, carry: Carry, threshold: float, segment_frames: int, limit: int, block: int) -> DataFrame:
+    w = in_block("run_id", "frame_index")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    no, failed = F.row_number().over(w), F.col("error").isNotNull()
+    f = with_prior(blocked(frames, "frame_index", block), "run_id", {"_end": F.max_by(F.struct("hist"), "frame_index")}, {"_edge": lambda b: F.last("_end").over(b)})
+    before = F.when(F.col("_edge").isNull(), F.lit(carry.hist).cast("array<double>")).otherwise(F.col("_edge.hist")) if carry.hist is not None else F.col("_edge.hist")
+    f = f.withColumns({"_no": no, "_prev": F.when(no == 1, before).otherwise(F.lag("hist").over(w)), "_p": F.count_if(failed).over(so_far)})
+    f = f.withColumn("_cut", F.coalesce(correlation(F.col("_prev"), F.col("hist")) < threshold, F.lit(False))).drop("_prev", "_edge")
+    sums = lambda c: lambda b: F.coalesce(F.sum(c).over(b), F.lit(0))
+    totals = {"_rows": F.count(F.lit(1)), "_cuts": F.count_if("_cut"), "_fails": F.count_if(failed), "_q": F.max(F.when(~failed, F.col("_p")))}
+    f = with_prior(f, "run_id", totals, {"_r": sums("_rows"), "_c": sums("_cuts"), "_f": sums("_fails")}, {"_base": lambda b: F.max(F.col("_f") + F.col("_q")).over(b)})
+    since = F.coalesce(F.col("_f") + F.max(F.when(~failed, F.col("_p"))).over(so_far), F.col("_base"), F.lit(-carry.error_run))  # as in error_runs
+    f = f.withColumns({
+        "shot_id": (F.col("_c") + F.sum(F.col("_cut").cast("int")).over(so_far) + carry.shot).cast("int"), "scene_cut": F.col("_cut") | F.lit(not carry.opened) & (F.col("_r") + F.col("_no") == 1),
+        "error_run": F.col("_f") + F.col("_p") - since, "segment_index": (F.floor((F.col("_r") + F.col("_no") - 1 + carry.filled) / segment_frames) + carry.segment).cast("int"),
+    }).drop("_no", "_p", "_cut", "_r", "_c", "_f", "_base", BLOCK)
+    over = f.where(F.col("error_run") >= limit).groupBy(F.col("run_id").alias("_run")).agg(F.min("frame_index").alias("_stop"))
+    f = f.join(over, F.col("run_id").eqNullSafe(F.col("_run")), "left").where(F.col("_stop").isNull() | (F.col("frame_index") <= F.col("_stop")))
+    return f.withColumn("aborted", F.col("_stop").isNotNull()).drop("_run", "_stop")
+
+
 def carried(rows: DataFrame, carry: Carry, segment_frames: int) -> tuple[Carry, bool]:
     """Where the run stands after these rows of going_on (without the tracker), and whether it was aborted; the same carry if there are none."""
     last = F.max_by(F.struct("shot_id", "error_run", "hist", "frame_index"), "frame_index")

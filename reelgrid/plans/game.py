@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import contextlib
 import posixpath
+import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -24,6 +25,7 @@ from reelgrid.functions import detections as D
 from reelgrid.functions import keypoints as K
 from reelgrid.functions import scalars as S
 from reelgrid.operators import shots as O
+from reelgrid.operators.blocks import BLOCK, blocked, in_block, with_prior
 from reelgrid.operators.homography import with_homography
 from reelgrid.operators.tracking import track
 from reelgrid.plans.inference import Model, with_models
@@ -32,6 +34,10 @@ from reelgrid.sources.files import remove
 from reelgrid.sources.named_files import write_files
 
 
+#: A part that takes longer than so many seconds is not followed by a larger one; frames of a block, by which larger parts are spread over tasks.
+PART_SECONDS, BLOCK_FRAMES = 60.0, 8192
+
+
 @dataclass(frozen=True)
 class Profile:
     name: str
@@ -67,7 +73,7 @@ class Config:
     format: str = "jsonl"
     max_frames: int | None = None
     max_consecutive_errors: int = O.MAX_CONSECUTIVE_ERRORS
-    checkpoint_frames: int | None = None  # processed frames in a part of run_game; none: a segment's
+    checkpoint_frames: int | None = None  # processed frames in a part of run_game; none: a segment's at first, see there
 
     def keyed(self, stride: int, source_fps: float, who: Profile | None = None) -> dict:
         """What a stored run must have been made with to be continued; the limits and the checkpoints are not part of it."""
@@ -158,8 +164,12 @@ def record_columns(f: DataFrame, who: Profile, config: Config, extra: Sequence[s
     )
 
 
-def unbroken(frames: DataFrame, first: int, step: int) -> DataFrame:
-    """One run's frames from `first` on, every step-th, up to the first that is missing."""
+def unbroken(frames: DataFrame, first: int, step: int, block: int | None = None) -> DataFrame:
+    """One run's frames from `first` on, every step-th, up to the first that is missing. block: see `ordered`."""
+    if block is not None:
+        f = with_prior(blocked(frames, "frame_index", block), "run_id", {"_n": F.count(F.lit(1))}, {"_before": lambda b: F.coalesce(F.sum("_n").over(b), F.lit(0))})
+        no = F.col("_before") + F.row_number().over(in_block("run_id", "frame_index"))
+        return f.withColumn("_no", no).where(F.col("frame_index") == first + (F.col("_no") - 1) * step).drop("_no", "_before", BLOCK)
     no = F.row_number().over(Window.partitionBy("run_id").orderBy("frame_index"))
     return frames.withColumn("_no", no).where(F.col("frame_index") == first + (F.col("_no") - 1) * step).drop("_no")
 
@@ -176,7 +186,10 @@ def run_game(
 ) -> dict:
     """Frames of one run (native indices) into records/seg_NNNNN.jsonl and run.json; returns the manifest.
 
-    The run goes on in parts of checkpoint_frames processed frames. A part's frames are chosen by
+    The run goes on in parts of checkpoint_frames processed frames. Without that a part has a
+    segment's frames at first, later as many as all before it, as long as a part by the pace of
+    the last one takes PART_SECONDS at most: so few parts make a long run, and a crash costs a
+    segment or about a minute. A part of many frames is spread over tasks by blocks. A part's frames are chosen by
     index (a filter that the frame source takes), then go through the models (payload is dropped
     behind them; without a hist column it is made from the payload) and are written, once. What
     was open before the part goes on in it, the tracks too, and each segment is published, with
@@ -242,18 +255,24 @@ def run_game(
         hi = -1 if bounds["hi"] is None else bounds["hi"]
         lo = lo if stop_at_gap or bounds["lo"] is None else bounds["lo"]
     size, left, status, k = (config.checkpoint_frames or config.segment_frames) * step, config.max_frames, "done", 0
+    first, count = lo, size
     try:
         while lo <= hi and (left is None or left > 0):
+            begun, size = time.monotonic(), count
+            block = BLOCK_FRAMES * step if size > 2 * BLOCK_FRAMES * step else None
             upto = min(lo + size, hi + 1, hi + 1 if left is None else lo + left * step)
             part = frames.where((F.col("frame_index") >= lo) & (F.col("frame_index") < upto) & (F.col("frame_index") % step == 0))
             if "hist" not in part.columns and "payload" in part.columns:
                 part = part.withColumn("hist", O.colour_histogram(F.col("payload")))
             part = completed(with_models(part, models, config.batch, drop=("payload",)) if models else part.drop("payload"))
-            if stop_at_gap:
-                part = unbroken(part, lo, step)
-            part = chosen_detections(O.going_on(part, carry, config.scene_threshold, config.segment_frames, config.max_consecutive_errors), who)
             at = lambda name: posixpath.join(staged, name)
-            part.write.mode("overwrite").parquet(at("part"))  # the models run here, once
+            if block is not None:  # by blocks the frames are read more than once
+                part.write.mode("overwrite").parquet(at("modelled"))
+                part = spark.read.schema(part.schema).parquet(at("modelled"))
+            if stop_at_gap:
+                part = unbroken(part, lo, step, block)
+            part = chosen_detections(O.going_on(part, carry, config.scene_threshold, config.segment_frames, config.max_consecutive_errors, block), who)
+            part.write.mode("overwrite").parquet(at("part"))  # the models have run here or before, once
             done = spark.read.schema(part.schema).parquet(at("part"))
             after, aborted = O.carried(done, carry, config.segment_frames)
             seen = (after.segment - carry.segment) * config.segment_frames + after.filled - carry.filled
@@ -274,6 +293,9 @@ def run_game(
                 status = "aborted" if aborted else "done"
                 break
             lo = -(-upto // step) * step
+            if config.checkpoint_frames is None:
+                pace = (time.monotonic() - begun) / size
+                count = max(config.segment_frames, min((lo - first) // step, int(PART_SECONDS / pace / step)) // config.segment_frames * config.segment_frames) * step
     except BaseException:
         with contextlib.suppress(Exception):
             publish(carry.segment + 1)
