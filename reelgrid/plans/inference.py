@@ -12,12 +12,6 @@ from pyspark.sql import DataFrame
 from reelgrid import schemas
 
 
-def _cut(batches: Iterator[pd.DataFrame], size: int | None) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for at in range(0, len(b), size or max(1, len(b))):
-            yield b.iloc[at : at + size] if size else b
-
-
 @dataclass(frozen=True)
 class Model:
     """A column that a model adds: build() is called once a worker and gives a function of a batch of rows -> one value a row."""
@@ -40,25 +34,32 @@ def with_models(frames: DataFrame, models: Sequence[Model], batch: int | None =
     fields = [f"`{c}` {types[c]}" for c in kept] + [f"`{m.column}` {m.type}" for m in models]
     had = "error" in frames.columns
 
+    def values_of(model: Callable[[pd.DataFrame], list], b: pd.DataFrame, errors: list) -> list:
+        """The model's value of each row, a part of the batch at a time; of a part that raises, row by row."""
+        out, size = [], batch or max(1, len(b))
+        for at in range(0, len(b), size):
+            part = b.iloc[at : at + size]
+            try:
+                values = list(model(part))
+                if len(values) != len(part):
+                    raise ValueError("a value for each row is needed")
+            except Exception:
+                values = []
+                for i in range(at, at + len(part)):
+                    try:
+                        values.append(model(b.iloc[i : i + 1])[0])
+                    except Exception as e:
+                        values.append(None)
+                        errors[i] = errors[i] if isinstance(errors[i], str) else f"{type(e).__name__}: {e}"
+            out += values
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         built = [(m.column, m.build()) for m in models]
-        for b in _cut(batches, batch):
+        for b in batches:
             errors = list(b["error"]) if had else [None] * len(b)
-            b = b.copy()
             for column, model in built:
-                try:
-                    values = list(model(b))
-                    if len(values) != len(b):
-                        raise ValueError("a value for each row is needed")
-                except Exception:
-                    values = []
-                    for i in range(len(b)):
-                        try:
-                            values.append(model(b.iloc[i : i + 1])[0])
-                        except Exception as e:
-                            values.append(None)
-                            errors[i] = errors[i] if isinstance(errors[i], str) else f"{type(e).__name__}: {e}"
-                b[column] = pd.Series(values, index=b.index, dtype=object)
+                b[column] = pd.Series(values_of(model, b, errors), index=b.index, dtype=object)
             done = b[[*kept, *added]].copy()
             done["error"] = pd.Series(errors, index=b.index, dtype=object)
             yield done

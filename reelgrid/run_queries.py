@@ -82,14 +82,14 @@ def modelled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def doubling():
         def model(b):
-            if (b["event_type"] == "error").any():
+            if "error" in b["event_type"].tolist():
                 raise KeyError("error")
-            return [int(x) * 2 for x in b["event_id"]]
+            return [x * 2 for x in b["event_id"].tolist()]
 
         return model
 
     def summing():
-        return lambda b: [int(u) + (0 if d is None or d != d else int(d)) for u, d in zip(b["user_id"], b["doubled"], strict=True)]
+        return lambda b: [int(u) + (0 if d is None or d != d else int(d)) for u, d in zip(b["user_id"].tolist(), b["doubled"].tolist(), strict=True)]
 
     events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     made = with_models(events, [Model("doubled", "long", doubling), Model("summed", "long", summing)], 8)
