@@ -168,6 +168,134 @@ def _pairs(similar: np.ndarray, least: float) -> list[tuple[int, int]]:
     return [(r, c) for r, c in assign(1 - similar) if near[r, c]]
 
 
+#: Fewer shots than this are tracked one after the other.
+TOGETHER = 6
+
+
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo, lo + 1, ... of each range of n numbers, one range after the other."""
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """overlaps of boxes pair by pair."""
+    side = np.clip(np.minimum(a[:, 2:], b[:, 2:]) - np.maximum(a[:, :2], b[:, :2]), 0, None)
+    inter = side.prod(1)
+    area = lambda x: np.clip(x[:, 2:] - x[:, :2], 0, None).prod(1)
+    union = area(a) + area(b) - inter
+    return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
+
+
+class _Shots(Tracker):
+    """Many shots' trackers as one, a frame of each at a time; tracks are kept by shot, in the order in which they were opened."""
+
+    def __init__(self, trackers: list[Tracker]):
+        super().__init__(1.0)
+        for name in self.ARRAYS:
+            setattr(self, name, np.concatenate([getattr(t, name) for t in trackers]))
+        self.shot = np.repeat(np.arange(len(trackers)), [len(t.number) for t in trackers])
+        self.frames, self.lasts, self.keeps = (np.array([getattr(t, n) for t in trackers]) for n in ("frame", "last", "keep"))
+        self.ended: list[dict] = []
+
+    def _only(self, kept: np.ndarray, put_by: bool = False) -> None:
+        if put_by:
+            self.ended.append({n: getattr(self, n)[~kept] for n in (*self.ARRAYS, "shot")})
+        for name in (*self.ARRAYS, "shot"):
+            setattr(self, name, getattr(self, name)[kept])
+
+    def give_back(self, trackers: list[Tracker]) -> None:
+        whole = {n: np.concatenate([e[n] for e in self.ended] + [getattr(self, n)]) for n in (*self.ARRAYS, "shot")}
+        order = np.argsort(whole["shot"], kind="stable")
+        whole = {n: x[order] for n, x in whole.items()}
+        at = np.searchsorted(whole["shot"], np.arange(len(trackers) + 1))
+        for k, t in enumerate(trackers):
+            t.frame, t.last = int(self.frames[k]), int(self.lasts[k])
+            for n in self.ARRAYS:
+                setattr(t, n, whole[n][at[k] : at[k + 1]].copy())
+
+    def _matched(self, predicted: np.ndarray, tracks: np.ndarray, boxes: np.ndarray, shot: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """_pairs of each shot's tracks and boxes: places in `tracks` and in `boxes`."""
+        of = self.shot[tracks]
+        lo = np.searchsorted(shot, of)
+        n = np.searchsorted(shot, of, "right") - lo
+        rows, cols = np.repeat(np.arange(len(tracks)), n), _ranges(lo, n)
+        similar = _similar(predicted[tracks[rows]], boxes[cols])
+        near = similar >= least
+        r, c = rows[near], cols[near]
+        twice = np.concatenate([of[np.bincount(r, minlength=len(tracks)) > 1], shot[np.bincount(c, minlength=len(boxes)) > 1]])
+        if len(twice):
+            plain = ~np.isin(of[r], twice)
+            rs, cs, by_pair = [r[plain]], [c[plain]], of[rows]
+            for s in np.unique(twice):
+                here = slice(np.searchsorted(by_pair, s), np.searchsorted(by_pair, s, "right"))
+                width = int(n[rows[here.start]])
+                pairs = np.array(_pairs(similar[here].reshape(-1, width), least), np.int64).reshape(-1, 2)
+                rs.append(rows[here.start] + pairs[:, 0])
+                cs.append(cols[here.start] + pairs[:, 1])
+            r, c = np.concatenate(rs), np.concatenate(cs)
+        return r, c
+
+    def step(self, active: np.ndarray, boxes: np.ndarray, conf: np.ndarray, shot: np.ndarray) -> np.ndarray:
+        """Tracker.update of one frame of each active shot: its boxes, by shot."""
+        there = active[self.shot]
+        if not there.all():
+            self._only(there, put_by=True)
+        self.frames[active] += 1
+        out = np.zeros(len(boxes), np.int64)
+        predicted = self._predict()
+        free = np.ones(len(predicted), bool)
+        strong, weak = np.flatnonzero(conf >= HIGH), np.flatnonzero((conf >= LOW) & (conf < HIGH))
+        for dets, least in ((strong, MATCH), (weak, SECOND_MATCH)):
+            tracks = np.flatnonzero(free if dets is strong else free & (self.seen == self.frames[self.shot] - 1))
+            if not len(tracks) or not len(dets):
+                continue
+            r, c = self._matched(predicted, tracks, boxes[dets], shot[dets], least)
+            if len(r):
+                at, d = tracks[r], dets[c]
+                self._correct(at, boxes[d])
+                self.seen[at] = self.frames[self.shot[at]]
+                out[d] = self.number[at]
+                free[at] = False
+        new = strong[(out[strong] == 0) & (conf[strong] >= NEW)]
+        if len(new):
+            of = shot[new]
+            self._open(boxes[new])
+            ids = self.lasts[of] + 1 + np.arange(len(of)) - np.searchsorted(of, of)
+            out[new] = self.number[-len(of) :] = ids
+            self.seen[-len(of) :] = self.frames[of]
+            self.lasts += np.bincount(of, minlength=len(self.lasts))
+            self.shot = np.concatenate([self.shot, of])
+            self._only(np.argsort(self.shot, kind="stable"))
+        alive = self.frames[self.shot] - self.seen <= self.keeps[self.shot]
+        if not alive.all():
+            self._only(alive)
+        return out
+
+
+def advance(trackers: list[Tracker], frames: np.ndarray, starts: np.ndarray, boxes: np.ndarray, conf: np.ndarray) -> np.ndarray:
+    """Track number of each box. trackers: one a shot; frames: how many of the frames, which lie shot by shot, are each shot's; starts: where each frame's boxes begin, and the end.
+
+    The k-th frames of all shots are done together, as long as several shots have one: the same
+    numbers and states as shot by shot, and much less work where shots are short.
+    """
+    out, first = np.zeros(len(boxes), np.int64), np.concatenate([[0], np.cumsum(frames)[:-1]]).astype(np.int64)
+    common = int(np.sort(frames)[-TOGETHER]) if len(frames) >= TOGETHER else 0
+    if common:
+        many = _Shots(trackers)
+        for k in range(common):
+            active = frames > k
+            at = first[active] + k
+            n = starts[at + 1] - starts[at]
+            d = _ranges(starts[at], n)
+            out[d] = many.step(active, boxes[d], conf[d], np.repeat(np.flatnonzero(active), n))
+        many.give_back(trackers)
+    for s in np.flatnonzero(frames > common):
+        for f in range(first[s] + common, first[s] + frames[s]):
+            lo, hi = starts[f], starts[f + 1]
+            out[lo:hi] = trackers[s].update(boxes[lo:hi], conf[lo:hi])
+    return out
+
+
 COLUMNS = ("run_id", "shot_id", "frame_index", "det_no", "x1", "y1", "x2", "y2", "conf")
 TRACKED = "run_id string, shot_id int, frame_index long, det_no int, track_id long"
 
@@ -193,20 +321,26 @@ def track(detections: DataFrame, frame_rate: float, carry: tuple[int, str] | Non
 
         def done(rows: pa.Table, keys: list[tuple]) -> Iterator[pa.RecordBatch]:
             nonlocal shot, tracker, last
+            begins = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]  # of frames
+            opens = [k for k, i in enumerate(begins) if not k or keys[i][:2] != keys[begins[k - 1]][:2]]  # of shots, by frame
             det = rows["det_no"].to_numpy(zero_copy_only=False).astype(float)
-            numbers = np.stack([rows[c].to_numpy(zero_copy_only=False).astype(float) for c in COLUMNS[4:]], 1)
-            ids, lo = np.zeros(len(keys), np.int64), 0
-            for hi in range(1, len(keys) + 1):
-                if hi < len(keys) and keys[hi] == keys[lo]:
-                    continue
-                if shot != keys[lo][:2]:
+            there = np.flatnonzero(~np.isnan(det))
+            numbers = np.stack([rows[c].to_numpy(zero_copy_only=False).astype(float) for c in COLUMNS[4:]], 1)[there]
+            trackers = []
+            for k in opens:
+                here = keys[begins[k]][:2]
+                trackers.append(tracker if here == shot else Tracker.load(carry[1]) if carry is not None and here[1] == carry[0] else Tracker(rate))
+            starts = np.searchsorted(there, np.append(begins, len(keys)))
+            frames = np.diff(np.append(opens, len(begins)))
+            if keys[0][:2] != shot:
+                yield from ended()
+            ids = np.zeros(len(keys), np.int64)
+            ids[there] = advance(trackers, frames, starts, numbers[:, :4], numbers[:, 4])
+            for k, (own, n) in enumerate(zip(trackers, frames, strict=True)):
+                at = keys[begins[opens[k] + n - 1]]
+                shot, tracker, last = at[:2], own, at[2]
+                if k + 1 < len(trackers):
                     yield from ended()
-                    shot = keys[lo][:2]
-                    tracker = Tracker.load(carry[1]) if carry is not None and shot[1] == carry[0] else Tracker(rate)
-                last = keys[lo][2]
-                there = lo + np.flatnonzero(~np.isnan(det[lo:hi]))
-                ids[there] = tracker.update(numbers[there, :4], numbers[there, 4])
-                lo = hi
             kept = np.flatnonzero(ids > 0)
             out = rows.select(COLUMNS[:4]).take(kept).append_column("track_id", pa.array(ids[kept]))
             out = out.append_column("state", pa.nulls(len(kept), pa.string())) if states else out

@@ -47,3 +47,25 @@ def test_draws_are_pythons_and_clips_of_one_name_stay_apart(spark):
     rng = Random("a")
     assert at.tolist() == [x for w in range(0, 1_000_001, 60) if (x := w + rng.randrange(60)) < 1_000_001]
     assert got.where(F.col("timestamp_s") != F.bround(F.col("frame_index") / 30, 3)).count() == 0
+
+
+def test_shots_together_are_those_one_by_one():
+    """The same numbers and states, where boxes cross, vanish and come back, from trackers that have begun; short shots cost little."""
+    from reelgrid.operators.tracking import Tracker, advance
+
+    rng = np.random.default_rng(3)
+    frames = rng.integers(1, 40, 30)
+    n = rng.integers(0, 6, frames.sum())
+    starts = np.concatenate([[0], np.cumsum(n)])
+    xy = rng.uniform(0, 60, (starts[-1], 2))
+    boxes, conf = np.concatenate([xy, xy + rng.uniform(20, 60, xy.shape)], 1), rng.uniform(0, 1, starts[-1])
+    a, b = ([Tracker(5.0) for _ in frames] for _ in range(2))
+    for t in (a[4], b[4]):
+        t.update(boxes[:9], conf[:9])
+    want, f = np.zeros(len(boxes), np.int64), 0
+    for t, many in zip(a, frames, strict=True):
+        for f in range(f, f + many):
+            want[starts[f] : starts[f + 1]] = t.update(boxes[starts[f] : starts[f + 1]], conf[starts[f] : starts[f + 1]])
+        f += 1
+    assert advance(b, frames, starts, boxes, conf).tolist() == want.tolist() and want.max() > 5
+    assert [t.dump() for t in a] == [t.dump() for t in b]
