@@ -13,6 +13,7 @@ import json
 import threading
 from collections.abc import Iterator
 from dataclasses import asdict
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from reelgrid import schemas
 from reelgrid.operators.shots import Carry
-from reelgrid.operators.tracking import Tracker
+from reelgrid.operators.tracking import Tracker, advance
 from reelgrid.plans.game import Config, Profile, chosen_detections, completed, record_columns
 
 ORDERED = (
@@ -44,6 +45,22 @@ def _alike(a: list[float] | None, b: list[float] | None) -> float | None:
     return (cross - ta * tb / n) / np.sqrt(low) if abs(low) > np.finfo(float).eps else 1.0
 
 
+def _alike_in_order(hists: list) -> list[float | None]:
+    """_alike of each histogram after the first and the one before it; together where all are as long, each sum in the same order."""
+    if len(hists) > 1 and hists[0] is None:
+        return [None, *_alike_in_order(hists[1:])]
+    if len({None if h is None else len(h) for h in hists}) > 1 or hists[0] is None or not len(hists[0]):
+        return [_alike(a, b) for a, b in pairwise(hists)]
+    h = np.array(hists, float)
+    a, b, n = h[:-1], h[1:], h.shape[1]
+    total = lambda x: np.cumsum(x, 1)[:, -1]
+    s, squares = total(h), total(h * h)
+    low = (squares[:-1] - s[:-1] * s[:-1] / n) * (squares[1:] - s[1:] * s[1:] / n)
+    top = total(a * b) - s[:-1] * s[1:] / n
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(np.abs(low) > np.finfo(float).eps, top / np.sqrt(low), 1.0).tolist()
+
+
 class RunProcessor(StatefulProcessor):
     """One run's frames in order. After idle_s seconds without frames (none: never) its tracks are closed, and the next frame opens a shot of its own."""
 
@@ -58,30 +75,38 @@ class RunProcessor(StatefulProcessor):
         stored = self.state.get() if self.state.exists() else ("{}", False)
         carry, aborted = Carry(**json.loads(stored[0])), bool(stored[1])
         tracker = Tracker.load(carry.tracker) if carry.tracker else Tracker(self.rate)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("frame_index", kind="stable").itertuples(index=False):
-            if aborted or r.frame_index <= carry.frame:
-                continue
-            hist = None if r.hist is None else [float(x) for x in r.hist]
-            alike = _alike(carry.hist, hist)
-            cut = alike is not None and alike < self.threshold
-            opens = cut or not carry.opened
-            failed = isinstance(r.error, str)
-            if cut:
-                carry.shot += 1
-            if opens:
-                tracker = Tracker(self.rate)
-            det, ids = [], []
-            if not failed:
-                boxes = np.asarray(r.boxes, float).reshape(-1, 5)
-                tracks = tracker.update(boxes[:, :4], boxes[:, 4])
-                det = np.flatnonzero(tracks).astype(np.int32).tolist()
-                ids = [int(tracks[i]) for i in det]
-            carry.error_run = carry.error_run + 1 if failed else 0
-            aborted = carry.error_run >= self.limit
-            out.append((key[0], r.frame_index, r.timestamp_s, carry.shot, opens, carry.segment, r.error if failed else None, carry.error_run, aborted, det, ids, r.packed))
-            carry.hist, carry.frame, carry.opened = hist, int(r.frame_index), True
+        b = pd.concat(list(rows)).sort_values("frame_index", kind="stable")
+        b = b[(b["frame_index"] > carry.frame) & ~b["frame_index"].duplicated()] if not aborted else b[:0]
+        hists, failed = b["hist"].tolist(), [isinstance(e, str) for e in b["error"]]
+        cuts = [x is not None and bool(x < self.threshold) for x in _alike_in_order([carry.hist, *hists])]
+        runs, opens, shots, segments = [], [], [], []
+        for cut, bad in zip(cuts, failed, strict=True):
+            opens.append(cut or not carry.opened)
+            carry.shot, carry.opened, carry.error_run = carry.shot + cut, True, carry.error_run + 1 if bad else 0
+            shots.append(carry.shot)
+            segments.append(carry.segment)
+            runs.append(carry.error_run)
             carry.segment, carry.filled = (carry.segment + 1, 0) if carry.filled + 1 == self.segment_frames else (carry.segment, carry.filled + 1)
+            if carry.error_run >= self.limit:
+                aborted = True
+                break
+        n = len(runs)
+        b = b[:n]
+        found = [np.zeros((0, 5)) if bad else np.asarray(x, float).reshape(-1, 5) for bad, x in zip(failed[:n], b["boxes"], strict=True)]
+        shown = ~np.array(failed[:n], bool)  # a frame that failed is none for the tracker
+        place = np.cumsum(opens) if n else np.zeros(0, np.int64)  # 0: the shot that was open
+        trackers = [tracker, *(Tracker(self.rate) for _ in range(sum(opens)))]
+        boxes, starts = np.concatenate([np.zeros((0, 5)), *found]), np.concatenate([[0], np.cumsum([len(x) for x, on in zip(found, shown, strict=True) if on])]).astype(np.int64)
+        tracks = advance(trackers, np.bincount(place[shown], minlength=len(trackers)), starts, boxes[:, :4], boxes[:, 4])
+        tracker, out, lo = trackers[-1], [], 0
+        for k, (frame, at, error, packed) in enumerate(zip(b["frame_index"].tolist(), b["timestamp_s"].tolist(), b["error"].tolist(), b["packed"].tolist(), strict=True)):
+            here = tracks[lo : lo + len(found[k])]
+            lo += len(found[k])
+            det = np.flatnonzero(here)
+            out.append((key[0], frame, at, shots[k], opens[k], segments[k], error if failed[k] else None, runs[k], runs[k] >= self.limit, det.tolist(), here[det].tolist(), packed))
+            carry.frame = frame
+        if n:
+            carry.hist = None if hists[n - 1] is None else [float(x) for x in hists[n - 1]]
         carry.tracker = tracker.dump()
         self.state.update((json.dumps(asdict(carry)), aborted))
         if self.idle_s is not None:

@@ -69,3 +69,12 @@ def test_shots_together_are_those_one_by_one():
         f += 1
     assert advance(b, frames, starts, boxes, conf).tolist() == want.tolist() and want.max() > 5
     assert [t.dump() for t in a] == [t.dump() for t in b]
+
+
+def test_histograms_together_are_those_one_by_one():
+    from reelgrid.streaming.records import _alike, _alike_in_order
+
+    rng = np.random.default_rng(5)
+    hists = [None, *rng.uniform(0, 1, (20, 64)).tolist(), [0.25] * 64, *rng.uniform(0, 1, (3, 64)).tolist()]
+    assert _alike_in_order(hists) == [_alike(a, b) for a, b in zip(hists, hists[1:])]
+    assert _alike_in_order([None, None, hists[1]]) == [None, None]
