@@ -281,12 +281,12 @@ def _link_batches(links: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def thinned(links: DataFrame) -> DataFrame:
-    """The same components with fewer links (u, v): of every SLICE links of a task at most one a node."""
+    """The same components with fewer links (u, v): of every SLICE links of a task at most one a node, to the least long of those it reaches there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            held.append(np.stack([b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1)], 1))
+            held.append(np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1))
             n += b.num_rows
             if n >= SLICE:
                 held = [spanning(np.concatenate(held))]
@@ -455,7 +455,9 @@ def near_nodes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, si
             continue
         found = _similar(pairs, nodes, texts, scratch, similarity, shingle, str(k))
         compared, alike = (pairs, found) if compared is None else (compared.union(pairs), alike.union(found))
-        grouped = scratch.put(label(components(alike, scratch)), f"grouped-{k}")
+        # few links need few tasks: of up to SLICE they come out as stars, and no round of many small tables follows
+        few = alike.repartition(-(-alike.count() // SLICE) or 1)
+        grouped = scratch.put(label(components(thinned(few), scratch)), f"grouped-{k}")
     scratch.only("rows", *(f"grouped-{k}" for k in (1, 2, 3)))
     return rows.select("id", "thash", "node"), grouped.select("node", "group")
 

@@ -265,6 +265,12 @@ def test_slices_split_no_value():
     assert set(seen) == set(range(3000)) and largest < 500 and sum(n - 1 for n in seen.values()) < 20
 
 
+def test_few_links_come_out_as_stars(spark):
+    """A chain over both signs: every node is linked to the least long at once, so no round follows."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(-40, 40)], "u long, v long").repartition(1)
+    assert {tuple(r) for r in simhash.thinned(chain).collect()} == {(i, -40) for i in range(-39, 41)}
+
+
 def test_spanning_keeps_components():
     rng = np.random.default_rng(5)
     links = rng.integers(0, 3000, (2000, 2)).astype(np.uint64)
