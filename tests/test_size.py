@@ -1,5 +1,6 @@
 """Work that must not grow with the number of parts, copies of names, or rows of one key."""
 
+import re
 from random import Random
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from reelgrid.operators import frames as R
 from reelgrid.operators import shots as O
 from reelgrid.plans import game
+from reelgrid.queries import QUERIES
 from tests.test_runs import NBA, clip, lines
 
 
@@ -78,3 +80,16 @@ def test_histograms_together_are_those_one_by_one():
     hists = [None, *rng.uniform(0, 1, (20, 64)).tolist(), [0.25] * 64, *rng.uniform(0, 1, (3, 64)).tolist()]
     assert _alike_in_order(hists) == [_alike(a, b) for a, b in zip(hists, hists[1:])]
     assert _alike_in_order([None, None, hists[1]]) == [None, None]
+
+
+def test_submissions_are_not_sorted_by_frame(spark, sf):
+    """A fifth of them name one unknown frame: no task may hold these wide rows for a sort."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = QUERIES["validation_status"](spark, sf)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "LeftOuter" in plan and not re.search(r"SortMergeJoin.*LeftOuter", plan)
+        assert found.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
