@@ -27,6 +27,8 @@ from pyspark.sql.types import Row, StructType
 from reelgrid.sources.files import shared_store
 
 COLUMNS = ("name", "content", "source")
+#: Tasks that write files, for each core.
+WRITERS_PER_CORE = 2
 
 
 @dataclass
@@ -115,6 +117,7 @@ def write_files(rows: DataFrame, folder: str, overwrite: bool = False) -> int:
     counted = Observation()
     has = rows.columns
     out = rows.select(*[F.col(c).cast("binary" if c == "content" else "string").alias(c) if c in has else F.lit(None).cast("binary" if c == "content" else "string").alias(c) for c in COLUMNS])
+    out = out.repartition(WRITERS_PER_CORE * spark.sparkContext.defaultParallelism)  # rows are short, each costs a file: a large input file must not be one task
     out.observe(counted, F.count(F.lit(1)).alias("n")).write.format("named_files").mode("overwrite" if overwrite else "append").option("path", folder).save()
     return counted.get["n"]
 

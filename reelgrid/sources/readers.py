@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reelgrid import schemas
 from reelgrid.functions import scalars as S
 from reelgrid.operators.catalog import trained_splits
-from reelgrid.sources.files import exists
+from reelgrid.sources.files import exists, folders
 
 VIDEO_SUFFIXES = ("mp4", "mov", "avi", "mkv")
 
@@ -45,10 +45,11 @@ def _split(ddl: str) -> list[str]:
 
 def read_labels(spark: SparkSession, folder: str) -> DataFrame:
     """One row per labels/<clip>/<frame>.json."""
-    path = posixpath.join(folder, "labels")
-    if not exists(spark, path):
+    clips = folders(spark, posixpath.join(folder, "labels"))
+    if not clips:
         return spark.createDataFrame([], schemas.LABELS)
-    return spark.read.schema(schemas.LABELS).option("multiLine", True).json(posixpath.join(path, "*", "*.json"))
+    # clips are named, not their files: each name would be looked up by a task of its own
+    return spark.read.schema(schemas.LABELS).option("multiLine", True).option("pathGlobFilter", "*.json").json(clips)
 
 
 def list_videos(spark: SparkSession, folder: str, clip: str | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ from reelgrid.operators import frames as R
 from reelgrid.operators import shots as O
 from reelgrid.plans import game
 from reelgrid.queries import QUERIES
+from reelgrid.sources.named_files import write_files
+from reelgrid.sources.readers import read_labels
 from tests.test_runs import NBA, clip, lines
 
 
@@ -93,3 +95,24 @@ def test_submissions_are_not_sorted_by_frame(spark, sf):
         assert found.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def jobs_of(spark, name, work):
+    """What `work` returns, and the numbers of tasks of the stages it ran."""
+    spark.sparkContext.setJobGroup(name, "")
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    t = spark.sparkContext.statusTracker()
+    return out, [t.getStageInfo(s).numTasks for j in t.getJobIdsForGroup(name) for s in t.getJobInfo(j).stageIds if t.getStageInfo(s)]
+
+
+def test_label_files_are_listed_by_clip_and_written_by_all_tasks(spark, tmp_path):
+    names = spark.range(80).coalesce(1).select(F.concat(F.lit("c/"), F.col("id").cast("string"), F.lit(".json")).alias("name"), F.lit('{"frame_id": "f"}').alias("content"))
+    n, tasks = jobs_of(spark, "write", lambda: write_files(names, f"{tmp_path}/labels"))
+    assert n == 80 and max(tasks) == 2 * spark.sparkContext.defaultParallelism
+    (tmp_path / "labels/stray.json").write_text("{}")
+    labels, tasks = jobs_of(spark, "list", lambda: read_labels(spark, str(tmp_path)))
+    assert not tasks and labels.where("frame_id = 'f'").count() == labels.count() == 80
+    assert read_labels(spark, f"{tmp_path}/none").count() == 0
