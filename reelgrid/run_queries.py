@@ -16,7 +16,7 @@ from reelgrid.plans.inference import Model, with_models
 from reelgrid.queries import HASH_SQL, query, read
 from reelgrid.sources import sinks
 from reelgrid.sources.files import work_folder
-from reelgrid.sources.readers import read_labels, read_records
+from reelgrid.sources.readers import read_export_lines, read_labels, read_records
 from reelgrid.sources.video import video_frames
 from reelgrid.streaming.records import record_stream, write_record_stream
 
@@ -128,9 +128,7 @@ def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_folder(spark, "export")
     frames, labels = labels_of_documents(spark, sf_dir)
     X.export(frames, labels, out, 0.1)
-    path = F.col("_metadata.file_path")
-    lines = spark.read.option("recursiveFileLookup", "true").text(posixpath.join(out, "labels"))
-    return lines.select(F.regexp_extract(path, r"([^/]*)\.txt$", 1).alias("frame_id"), F.regexp_extract(path, r"([^/]*)/[^/]*$", 1).alias("split"), F.col("value").alias("line"))
+    return read_export_lines(spark, out)
 
 
 @query("""WITH f AS (SELECT c_custkey, c_custkey % 4 + 1 AS windows, c_custkey % 3 AS was FROM customer)

@@ -11,7 +11,7 @@ from reelgrid.operators import shots as O
 from reelgrid.plans import game
 from reelgrid.queries import QUERIES
 from reelgrid.sources.named_files import write_files
-from reelgrid.sources.readers import read_labels
+from reelgrid.sources.readers import read_export_lines, read_labels
 from tests.test_runs import NBA, clip, lines
 
 
@@ -116,3 +116,11 @@ def test_label_files_are_listed_by_clip_and_written_by_all_tasks(spark, tmp_path
     labels, tasks = jobs_of(spark, "list", lambda: read_labels(spark, str(tmp_path)))
     assert not tasks and labels.where("frame_id = 'f'").count() == labels.count() == 80
     assert read_labels(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_export_lines_of_whole_files(spark, tmp_path):
+    for name, text in {"train/a": "0 1\n", "train/b": "", "val/c": "1 é\r\n2\n", "val/d": "3"}.items():
+        (tmp_path / "labels" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"labels/{name}.txt").write_bytes(text.encode())
+    got = sorted(map(tuple, read_export_lines(spark, str(tmp_path)).collect()))
+    assert got == [("a", "train", "0 1"), ("c", "val", "1 é"), ("c", "val", "2"), ("d", "val", "3")]
