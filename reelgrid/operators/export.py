@@ -11,7 +11,7 @@ from reelgrid import court
 from reelgrid.functions import keypoints as K
 from reelgrid.functions import scalars as S
 from reelgrid.operators.catalog import labels_missing
-from reelgrid.sources.named_files import write_files
+from reelgrid.sources.named_files import spread, write_files
 
 
 class ExportRefused(ValueError):
@@ -75,7 +75,7 @@ def export(
         if images is not None:
             ending = F.regexp_extract("image", r"(\.[A-Za-z0-9]+)$", 1)
             files = files.unionByName(lines.where("image is not null").select(F.concat(F.lit("images/"), "split", F.lit("/"), "frame_id", ending).alias("name"), none.alias("content"), F.concat(F.lit(images.rstrip("/") + "/"), "image").alias("source")))
-    write_files(files, out, overwrite=True)
+    write_files(spread(files), out, overwrite=True)
     if packed:
         lines.select(F.concat_ws("\t", "frame_id", "line").alias("value"), "split").write.mode("overwrite").partitionBy("split").text(posixpath.join(out, "labels"))
     counts = {"train": 0, "val": 0} | {r["split"]: r["n"] for r in split_counts(lines).collect()}

@@ -110,6 +110,11 @@ class NamedFiles(DataSource):
         return FileWriter(self.options["path"], overwrite)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores: they are short and each costs a file, so a large input file must not be one task."""
+    return rows.repartition(WRITERS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def write_files(rows: DataFrame, folder: str, overwrite: bool = False) -> int:
     """rows (name, and content or source) as files of the folder; returns their number."""
     spark = rows.sparkSession
@@ -117,7 +122,6 @@ def write_files(rows: DataFrame, folder: str, overwrite: bool = False) -> int:
     counted = Observation()
     has = rows.columns
     out = rows.select(*[F.col(c).cast("binary" if c == "content" else "string").alias(c) if c in has else F.lit(None).cast("binary" if c == "content" else "string").alias(c) for c in COLUMNS])
-    out = out.repartition(WRITERS_PER_CORE * spark.sparkContext.defaultParallelism)  # rows are short, each costs a file: a large input file must not be one task
     out.observe(counted, F.count(F.lit(1)).alias("n")).write.format("named_files").mode("overwrite" if overwrite else "append").option("path", folder).save()
     return counted.get["n"]
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.operators.catalog import migrate
 from reelgrid.sources.files import read_text, remove, shared_write, write_text_atomically
-from reelgrid.sources.named_files import delete_files, write_files
+from reelgrid.sources.named_files import delete_files, spread, write_files
 
 
 def write_records(records: DataFrame, folder: str, fmt: str = "json") -> None:
@@ -80,7 +80,7 @@ def write_labels(labels: DataFrame, frames: DataFrame, folder: str) -> int:
     """labels/<clip_id>/<frame_id>.json of every label whose frame is known, written again as a whole by the tasks; returns their number."""
     body = F.concat(F.to_json(F.struct(*labels.columns), {"ignoreNullFields": "false"}), F.lit("\n"))
     rows = labels.join(frames.select("frame_id", "clip_id"), "frame_id")
-    return write_files(rows.select(_label_name(), body.alias("content")), posixpath.join(folder, "labels"))
+    return write_files(spread(rows.select(_label_name(), body.alias("content"))), posixpath.join(folder, "labels"))
 
 
 def _label_name() -> Column:

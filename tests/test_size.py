@@ -10,7 +10,7 @@ from reelgrid.operators import frames as R
 from reelgrid.operators import shots as O
 from reelgrid.plans import game
 from reelgrid.queries import QUERIES
-from reelgrid.sources.named_files import write_files
+from reelgrid.sources.named_files import spread, write_files
 from reelgrid.sources.readers import read_export_lines, read_labels
 from tests.test_runs import NBA, clip, lines
 
@@ -110,7 +110,7 @@ def jobs_of(spark, name, work):
 
 def test_label_files_are_listed_by_clip_and_written_by_all_tasks(spark, tmp_path):
     names = spark.range(80).coalesce(1).select(F.concat(F.lit("c/"), F.col("id").cast("string"), F.lit(".json")).alias("name"), F.lit('{"frame_id": "f"}').alias("content"))
-    n, tasks = jobs_of(spark, "write", lambda: write_files(names, f"{tmp_path}/labels"))
+    n, tasks = jobs_of(spark, "write", lambda: write_files(spread(names), f"{tmp_path}/labels"))
     assert n == 80 and max(tasks) == 2 * spark.sparkContext.defaultParallelism
     (tmp_path / "labels/stray.json").write_text("{}")
     labels, tasks = jobs_of(spark, "list", lambda: read_labels(spark, str(tmp_path)))
