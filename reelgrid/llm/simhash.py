@@ -25,18 +25,22 @@ FAR bits as a whole, is compared by the shingle sets themselves, in three rounds
 which compares only what the one before left in different groups. The first takes each text's
 closest partner (and, of one fingerprint, a common one), the second all listed pairs: of
 values that FEW or fewer met at all of them, of others neighbours in several orders, and the
-members of one fingerprint. The third joins the members of those other values across groups.
-In both, a sketch of the sets in bits rules out pairs that cannot be similar. So no pair that
-was met goes uncompared, and no pairs are listed within a group.
+members of one fingerprint. The third joins the members of those other values across groups,
+by the values' hubs: each value's is the member that is met at most values, so values around one
+fingerprint are one key and their pairs are seen once. In both, a sketch of the sets in bits of
+parity rules out pairs that cannot be similar. So no pair that was met goes uncompared, and
+no pairs are listed within a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgrid.llm.components import components
@@ -339,7 +343,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def with_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (id, thash, fp, node, n, sketch): word_fingerprint; a hash of the shingle set (texts of equal sets are one node), its size, and which of SKETCH buckets its hashes fall into, as bits."""
+    """Rows (id, thash, fp, node, n, sketch): word_fingerprint; a hash of the shingle set (texts of equal sets are one node), its size, and of SKETCH buckets which hold an odd number of its hashes, as bits."""
     from xxhash import xxh64_intdigest
 
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -347,12 +351,12 @@ def with_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, nodes, sizes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64)
-            sketches = np.zeros((b.num_rows, SKETCH), bool)
+            sketches = np.zeros((b.num_rows, SKETCH), np.uint8)
             for i, t in enumerate(b.column(2)):
                 words = _hashes(words_of(t.as_py()))
                 shingles = shingle_hashes(words, shingle)
                 fps[i], nodes[i], sizes[i] = word_fingerprint(words), xxh64_intdigest(shingles.tobytes()), len(shingles)
-                sketches[i, (shingles & np.uint64(SKETCH - 1)).astype(np.int64)] = True
+                sketches[i] = np.bincount((shingles & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
             bits = pa.array(np.packbits(sketches, axis=1).view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * (SKETCH // 64)), bits)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), pa.array(sizes), lists], ["id", "thash", "fp", "node", "n", "sketch"])
@@ -400,8 +404,13 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _may_reach(similarity: float, a: str, b: str) -> Column:
-    """Whether the sets of two nodes may be similar: sets differ in at least as many shingles as their sketches in bits, similar ones in at most (1 - s) / (1 + s) of all their shingles. Loses none."""
-    apart = F.aggregate(F.zip_with(f"{a}sketch", f"{b}sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    """Whether the sets of two nodes may be similar. Loses none.
+
+    Shingles of both sets leave a bucket's two parities alike, so sets differ in at least as
+    many shingles as their sketches in bits; similar ones in at most (1 - s) / (1 + s) of all
+    their shingles.
+    """
+    apart = reduce(add, [F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH // 64)])
     return apart <= (F.col(f"{a}n") + F.col(f"{b}n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
@@ -416,14 +425,20 @@ def _torn(nodes: DataFrame, links: DataFrame, scratch: Scratch, similarity: floa
     return _ordered(torn.join(end("u", "a"), "u").join(end("v", "b"), "v").where((F.col("in_a") != F.col("in_b")) & _may_reach(similarity, "a", "b")).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
+def _at_hubs(members: DataFrame) -> DataFrame:
+    """Rows (hub, fp), distinct, of members (value, fp): all members of a value have one hub in common, the one of them that is a member of most values."""
+    often = members.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("fp")))
+    return often.select(F.max(F.struct("often", "fp")).over(Window.partitionBy("value"))["fp"].alias("hub"), "fp").distinct()
+
+
 def _apart(nodes: DataFrame, members: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """Pairs (u, v) of nodes in different groups that may be similar, at values with many: who is not in a value's largest group, with all others there. members: (value, fp)."""
-    at = scratch.put(members.join(nodes, "fp").select("value", "fp", "node", "group", "n", "sketch"), "at")
-    sizes = at.groupBy("value", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.max(F.struct("n", "group")).alias("x"), F.count(F.lit(1)).alias("groups"))
-    mixed = scratch.put(at.join(sizes.where("groups > 1").select("value", F.col("x.group").alias("largest")), "value"), "mixed")
-    few = mixed.where(F.col("group") != F.col("largest")).select("value", *[F.col(c).alias(f"o_{c}") for c in ("fp", "node", "group", "n", "sketch")])
+    """Pairs (u, v) of nodes in different groups that may be similar, at values with many: who is not in a hub's largest group, with all others there. members: (value, fp)."""
+    at = scratch.put(_at_hubs(members).join(nodes, "fp").select("hub", "fp", "node", "group", "n", "sketch"), "at")
+    sizes = at.groupBy("hub", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(F.max(F.struct("n", "group")).alias("x"), F.count(F.lit(1)).alias("groups"))
+    mixed = scratch.put(at.join(sizes.where("groups > 1").select("hub", F.col("x.group").alias("largest")), "hub"), "mixed")
+    few = mixed.where(F.col("group") != F.col("largest")).select("hub", *[F.col(c).alias(f"o_{c}") for c in ("fp", "node", "group", "n", "sketch")])
     close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("o_fp"))) <= FAR) & _may_reach(similarity, "", "o_")
-    many = few.join(mixed.drop("largest").withColumnRenamed("value", "w"), (F.col("value") == F.col("w")) & (F.col("group") != F.col("o_group")) & close)
+    many = few.join(mixed.drop("largest").withColumnRenamed("hub", "h"), (F.col("hub") == F.col("h")) & (F.col("group") != F.col("o_group")) & close)
     return _ordered(many.select(F.col("o_node").alias("u"), F.col("node").alias("v")))
 
 

@@ -237,6 +237,37 @@ def test_all_that_meet_at_a_value_are_compared(spark, monkeypatch, size):
     assert {(a, b) for a, b in pairs if group[a] == group[b]} >= met and all(group[i] in (i, want[i]) for i in range(size))
 
 
+def test_sketch_rules_out_pairs_below_the_similarity(spark):
+    """Long texts: no pair at 0.8 or more is ruled out, all of some 0.66 are, though most of their shingles are the same."""
+    texts = [[f"w{n}x{i}" for i in range(400)] for n in range(30)]
+    other = [[f"o{w}" if i % (25 if n < 15 else 50) == 10 else w for i, w in enumerate(words)] for n, words in enumerate(texts)]
+    rows = [(2 * n + k, " ".join(t)) for n, both in enumerate(zip(texts, other, strict=True)) for k, t in enumerate(both)]
+    sets = simhash.with_sets(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5)
+    end = lambda x, k: sets.where(F.col("id") % 2 == k).select((F.col("id") / 2).cast("long").alias("pair"), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}sketch"))
+    got = {r.pair: r.may for r in end("a", 0).join(end("b", 1), "pair").select("pair", simhash._may_reach(0.8, "a", "b").alias("may")).collect()}
+    alike_sets = {n: alike(shingles(" ".join(texts[n])), shingles(" ".join(other[n]))) for n in range(30)}
+    assert sum(alike_sets.values()) == 15 and got == alike_sets
+
+
+def test_members_of_a_value_have_a_hub_in_common(spark):
+    """A large group of near copies: of all that meet at values with many both are at a hub, by far fewer rows than values."""
+    rng = random.Random(4)
+    centre, fps = rng.getrandbits(64), set()
+    while len(fps) < 400:
+        fps.add(centre ^ sum(1 << b for b in rng.sample(range(24), rng.choice([1, 2, 3]))))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    found = simhash.met(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), 32, simhash.meet_all, "u long, v long, member boolean").distinct()
+    members = found.where("member").select(F.col("u").alias("value"), F.col("v").alias("fp")).cache()
+    at, hubs, n = defaultdict(set), defaultdict(set), 0
+    for r in members.collect():
+        at[r.value].add(r.fp)
+    for r in simhash._at_hubs(members).collect():
+        hubs[r.fp].add(r.hub)
+        n += 1
+    assert max(map(len, at.values())) > 100 and all(set.intersection(*(hubs[f] for f in some)) & some for some in at.values())
+    assert n == sum(map(len, hubs.values())) and n < members.count() / 4
+
+
 @pytest.mark.parametrize("letters", ["abcdefghijklmnorst", "абвгдеёжзийклмнопрстуфхцчшщ", "的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年", "अआइईउऊएऐकखगघचछजझटठडढतथदधनपफबभमयरलव", "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"])
 def test_chunks_meet_again_in_every_script(spark, letters):
     """One inserted character changes the chunk it is in, and few after it; chunks put together are the text."""
