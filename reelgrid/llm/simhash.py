@@ -21,15 +21,18 @@ linked at another value or through the star.
 Texts that similar are mostly further than 3 of 64 bits apart, so its fingerprints are of
 words and word pairs, and are met by each half of 32 bits: all pairs within 7 bits have a
 half within 3. Texts of equal shingle sets are one from the start. What meets, and lies within
-FAR bits as a whole, is compared by the shingle sets themselves, in three rounds, each of
+FAR bits as a whole, is compared by the shingle sets themselves, in four rounds, each of
 which compares only what the one before left in different groups. The first takes each text's
-closest partner (and, of one fingerprint, a common one), the second all listed pairs: of
-values that FEW or fewer met at all of them, of others neighbours in several orders, and the
-members of one fingerprint. The third joins the members of those other values across groups,
-by the values' hubs: each value's is the member that is met at most values, so values around one
-fingerprint are one key and their pairs are seen once. In both, a sketch of the sets in bits of
-parity rules out pairs that cannot be similar. So no pair that was met goes uncompared, and
-no pairs are listed within a group.
+closest partner (and, of one fingerprint, a common one). The others know a value's hub, which is
+the member that is met at most values, so values around one fingerprint are one key and their
+pairs are seen once. The second compares all at a hub with the one there whose shingles are most
+to be found in others, too; in a group of near copies that is the one least changed, and most of
+the group is one from then on. The third takes the pairs of values that two met at, and the
+members of one fingerprint, the fourth joins the members of all other values, at their hubs, across
+groups. So no pairs of a value with more than two are listed within a group. Left out are texts
+which have more than 1 - similarity of their shingles alone among all that met; of the others
+such shingles, and a sketch of the sets in bits of parity, rule out pairs that cannot be similar.
+No other pair that was met goes uncompared.
 """
 
 from __future__ import annotations
@@ -59,7 +62,7 @@ SETS = 500
 SIMILARITY, SHINGLE = 0.8, 5
 #: Texts of that similarity hardly ever lie further apart than so many of 64 bits (of 3,674 pairs measured 1 % did).
 FAR = 10
-#: A value of so many members lists all their pairs; of more each with the closest of so many neighbours, the rest in the third round.
+#: Of a value's members each is first compared with the closest of less than so many neighbours on either side.
 FEW = 16
 
 
@@ -210,45 +213,46 @@ def stars(v: np.ndarray, f: np.ndarray) -> np.ndarray:
     return np.stack([f[good], centre[good]], 1)
 
 
-def candidates(v: np.ndarray, f: np.ndarray, begun: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of fingerprints at most FAR bits apart that met at a value, and members (value, fingerprint) of values with more than FEW.
+def candidates(v: np.ndarray, f: np.ndarray, begun: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of fingerprints that met at a value and lie at most FAR bits apart: the pairs of values with two members; for each
+    fingerprint at values with more a closest partner; and the members (value, fingerprint) of values with more.
 
-    A value of FEW members or less gives all its pairs; of others each member is paired with
-    the closest of FEW / 2 neighbours on either side, in an order by their bits, from another
-    bit on at each value. `begun` is a value that had members before these.
+    Partners are sought among FEW - 1 neighbours on either side, in an order by their bits,
+    from another bit on at each value; members of FEW or fewer are left out if none is that
+    close. `begun` is a value that had members before these.
     """
     turn = (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
     order = np.lexsort(((f << turn) | (f >> ((np.uint64(64) - turn) & np.uint64(63))), v))
     v, f = v[order], f[order]
     run = np.cumsum(np.concatenate([[True], v[1:] != v[:-1]])) - 1
-    many = np.bincount(run)[run] > FEW
+    size = np.bincount(run)[run]
     if begun is not None:
-        many |= v == np.uint64(begun)
+        size[v == np.uint64(begun)] += FEW
     near, best = np.full(len(f), 65, np.uint8), f.copy()
-    pairs = []
     for k in range(1, FEW):
         far = np.where(v[k:] == v[:-k], np.bitwise_count(f[k:] ^ f[:-k]), 65).astype(np.uint8)
-        listed = np.flatnonzero((far <= FAR) & (far > 0) & ~many[k:])
-        pairs.append(np.stack([f[listed + k], f[listed]], 1))
-        if k > FEW // 2:
-            continue
         for here, there in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):
             closer = (far < near[here]) & (far > 0)
             near[here] = np.where(closer, far, near[here])
             best[here] = np.where(closer, f[there], best[here])
-    good = many & (near <= FAR)
-    return np.concatenate([*pairs, np.stack([f[good], best[good]], 1)]), np.stack([v[many], f[many]], 1)
+    close, many = near <= FAR, size > 2
+    pairs = np.stack([f, best], 1)
+    first = np.flatnonzero(close & many)
+    first = first[np.lexsort((best[first], near[first], f[first]))]
+    first = first[np.unique(f[first], return_index=True)[1]]
+    members = many & (close | (size > FEW))
+    return pairs[close & ~many], pairs[first], np.stack([v[members], f[members]], 1)
 
 
 def meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (v, fp) in the order of v -> (u, v, member): met pairs, and members (value, fingerprint) of values with many."""
+    """Rows (v, fp) in the order of v -> (u, v, member): met pairs (false), members (value, fingerprint) of values with more than two (true), and for each fingerprint there the closest of a slice (null)."""
     last = None
     for v, f in slices(batches, SLICE // 3):
-        pairs, members = candidates(v, f, last)
+        pairs, closest, members = candidates(v, f, last)
         last = v[-1]
-        for rows, member in ((np.unique(np.sort(pairs, axis=1), axis=0), False), (members, True)):
+        for rows, member in ((np.unique(np.sort(pairs, axis=1), axis=0), False), (closest, None), (members, True)):
             for b in _link_batches(rows):
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([member] * b.num_rows)], ["u", "v", "member"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([member] * b.num_rows, pa.bool_())], ["u", "v", "member"])
 
 
 def spanning(links: np.ndarray) -> np.ndarray:
@@ -370,23 +374,25 @@ def _text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float, shingle: int, name: str) -> DataFrame:
-    """Of pairs (u, v) of nodes those whose shingle sets are similar, written; texts: (thash, b), each hash once or more."""
+def _sets(asked: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """Rows (node, shingles) of asked nodes (node, asked: the hash of one of its texts): the hashes of the set, as bytes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], ["node", "shingles"])
 
+    texts = docs.select(_text_hash(F.col(text_col)).alias("thash"), F.col(text_col).cast("binary").alias("b"))
+    return texts.join(asked, F.col("thash") == F.col("asked")).select("node", "b").dropDuplicates(["node"]).mapInArrow(sets, "node long, shingles binary")
+
+
+def _similar(pairs: DataFrame, made: DataFrame, scratch: Scratch, similarity: float, name: str) -> DataFrame:
+    """Of pairs (u, v) of nodes those whose sets (node, shingles) are similar, written."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = [jaccard(*(np.frombuffer(x[i].as_buffer(), np.uint64) for x in (b.column(2), b.column(3)))) >= similarity for i in range(b.num_rows)]
             yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "thash"), "node").select("node", F.col("thash").alias("asked"))
-    asked = scratch.put(asked, f"asked-{name}")
-    made = texts.join(asked, F.col("thash") == F.col("asked")).select("node", "b").dropDuplicates(["node"]).mapInArrow(sets, "node long, shingles binary")
-    with small_batches(pairs.sparkSession, SETS):
-        made = scratch.put(made, f"sets-{name}")
     # sets differ too much in size to be similar: no need to hold them together
     sizes = made.select("node", F.octet_length("shingles").alias("n"))
     fit = pairs.join(sizes.withColumnsRenamed({"node": "u", "n": "nu"}), "u").join(sizes.withColumnsRenamed({"node": "v", "n": "nv"}), "v")
@@ -395,16 +401,34 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scra
     links = left.join(made.withColumnsRenamed({"node": "v", "shingles": "sv"}), "v").select("u", "v", "su", "sv").mapInArrow(check, "u long, v long")
     with small_batches(pairs.sparkSession, SETS):
         links = scratch.put(links, f"similar-{name}")
-    scratch.drop(*[f"{k}-{name}" for k in ("asked", "sets", "fit", "left")])
+    scratch.drop(*[f"{k}-{name}" for k in ("fit", "left")])
     return links
 
 
+def _open(made: DataFrame, similarity: float) -> DataFrame:
+    """Rows (node, shared) of the sets (node, shingles) that may be similar to another one: shared counts the shingles that another one has too. Loses none: a similar set shares that part of both."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.fromiter((len(x.as_buffer()) // 8 for x in b.column(1)), np.int64, b.num_rows)
+            h = np.frombuffer(b"".join(x.as_py() for x in b.column(1)), np.int64) if sizes.any() else np.zeros(0, np.int64)
+            nodes = np.repeat(b.column(0).to_numpy(zero_copy_only=False), sizes)
+            for i in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(h[i : i + 100_000])], ["node", "h"])
+
+    alone = made.mapInArrow(hashes, "node long, h long").groupBy("h").agg(F.min("node").alias("of"), F.count(F.lit(1)).alias("holders"))
+    alone = alone.where("holders = 1").groupBy("of").agg(F.count(F.lit(1)).alias("alone"))
+    n = (F.octet_length("shingles") / 8).cast("long")
+    counted = made.select("node", n.alias("size")).join(alone, F.col("node") == F.col("of"), "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    return counted.where(F.col("shared") >= F.col("size") * similarity - 1e-6).select("node", "shared")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _may_reach(similarity: float, a: str, b: str) -> Column:
-    """Whether the sets of two nodes may be similar. Loses none.
+    """Whether the sets of two nodes may be similar, by their sketches. Loses none.
 
     Shingles of both sets leave a bucket's two parities alike, so sets differ in at least as
     many shingles as their sketches in bits; similar ones in at most (1 - s) / (1 + s) of all
@@ -414,30 +438,48 @@ def _may_reach(similarity: float, a: str, b: str) -> Column:
     return apart <= (F.col(f"{a}n") + F.col(f"{b}n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
+def _may_share(similarity: float, a: str, b: str) -> Column:
+    """The same by what each has in common with any other set: similar ones have s / (1 + s) of all their shingles in common."""
+    return F.least(f"{a}shared", f"{b}shared") >= (F.col(f"{a}n") + F.col(f"{b}n")) * (similarity / (1 + similarity)) - 1e-6
+
+
 def _torn(nodes: DataFrame, links: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """Pairs (u, v) of nodes in different groups that may be similar, of fingerprints that met or of one fingerprint: nodes (node, fp, group, n, sketch), links (u, v) of fingerprints."""
+    """Pairs (u, v) of nodes in different groups that may be similar, of fingerprints that met or of one fingerprint: nodes (node, fp, group, n, sketch, shared), links (u, v) of fingerprints."""
     spans = nodes.groupBy("fp").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
     of = lambda end: spans.select(F.col("fp").alias(end), F.col("lo").alias(f"lo_{end}"), F.col("hi").alias(f"hi_{end}"))
     torn = links.join(of("u"), "u").join(of("v"), "v").where((F.col("lo_u") != F.col("hi_u")) | (F.col("lo_v") != F.col("hi_v")) | (F.col("lo_u") != F.col("lo_v"))).select("u", "v")
     within = spans.where("lo <> hi").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
     torn = scratch.put(torn.union(within), "torn")
-    end = lambda c, x: nodes.select(F.col("fp").alias(c), F.col("node").alias(x), F.col("group").alias(f"in_{x}"), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}sketch"))
-    return _ordered(torn.join(end("u", "a"), "u").join(end("v", "b"), "v").where((F.col("in_a") != F.col("in_b")) & _may_reach(similarity, "a", "b")).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    end = lambda c, x: nodes.select(F.col("fp").alias(c), F.col("node").alias(x), F.col("group").alias(f"in_{x}"), *[F.col(k).alias(f"{x}{k}") for k in ("n", "sketch", "shared")])
+    return _ordered(torn.join(end("u", "a"), "u").join(end("v", "b"), "v").where((F.col("in_a") != F.col("in_b")) & _may_share(similarity, "a", "b") & _may_reach(similarity, "a", "b")).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def _at_hubs(members: DataFrame) -> DataFrame:
-    """Rows (hub, fp), distinct, of members (value, fp): all members of a value have one hub in common, the one of them that is a member of most values."""
+    """Rows (hub, fp, often), distinct, of members (value, fp): all members of a value have one hub in common, the one of them that is a member of most values; of how many, is often."""
     often = members.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("fp")))
-    return often.select(F.max(F.struct("often", "fp")).over(Window.partitionBy("value"))["fp"].alias("hub"), "fp").distinct()
+    return often.select(F.max(F.struct("often", "fp")).over(Window.partitionBy("value")).alias("x"), "fp").select(F.col("x.fp").alias("hub"), "fp", F.col("x.often").alias("often")).distinct()
+
+
+#: Of a node at a hub.
+AT_HUB = ("fp", "node", "group", "n", "sketch", "shared")
 
 
-def _apart(nodes: DataFrame, members: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """Pairs (u, v) of nodes in different groups that may be similar, at values with many: who is not in a hub's largest group, with all others there. members: (value, fp)."""
-    at = scratch.put(_at_hubs(members).join(nodes, "fp").select("hub", "fp", "node", "group", "n", "sketch"), "at")
+def _led(nodes: DataFrame, hubs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of nodes in different groups that may be similar: at each hub all with the one that shares most of its shingles, in a group of near copies the one least changed. nodes as for `_torn`, hubs: (hub, fp)."""
+    at = hubs.join(nodes, "fp").select("hub", *AT_HUB)
+    first = at.groupBy("hub").agg(F.max_by(F.struct(*AT_HUB), F.struct(F.col("shared") / F.col("n"), "node")).alias("x"))
+    first = first.select(F.col("hub").alias("h"), *[F.col(f"x.{c}").alias(f"o_{c}") for c in AT_HUB])
+    led = at.join(first, (F.col("hub") == F.col("h")) & (F.col("group") != F.col("o_group")) & _may_share(similarity, "", "o_") & _may_reach(similarity, "", "o_"))
+    return _ordered(led.select(F.col("o_node").alias("u"), F.col("node").alias("v")))
+
+
+def _apart(nodes: DataFrame, hubs: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """Pairs (u, v) of nodes in different groups that may be similar, at values with many: who is not in a hub's largest group, with all others there. nodes as for `_torn`, hubs: (hub, fp)."""
+    at = scratch.put(hubs.join(nodes, "fp").select("hub", *AT_HUB), "at")
     sizes = at.groupBy("hub", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(F.max(F.struct("n", "group")).alias("x"), F.count(F.lit(1)).alias("groups"))
     mixed = scratch.put(at.join(sizes.where("groups > 1").select("hub", F.col("x.group").alias("largest")), "hub"), "mixed")
-    few = mixed.where(F.col("group") != F.col("largest")).select("hub", *[F.col(c).alias(f"o_{c}") for c in ("fp", "node", "group", "n", "sketch")])
-    close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("o_fp"))) <= FAR) & _may_reach(similarity, "", "o_")
+    few = mixed.where(F.col("group") != F.col("largest")).select("hub", *[F.col(c).alias(f"o_{c}") for c in AT_HUB])
+    close = _may_share(similarity, "", "o_") & (F.bit_count(F.col("fp").bitwiseXOR(F.col("o_fp"))) <= FAR) & _may_reach(similarity, "", "o_")
     many = few.join(mixed.drop("largest").withColumnRenamed("hub", "h"), (F.col("hub") == F.col("h")) & (F.col("group") != F.col("o_group")) & close)
     return _ordered(many.select(F.col("o_node").alias("u"), F.col("node").alias("v")))
 
@@ -447,33 +489,41 @@ def near_nodes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, si
     with small_batches(docs.sparkSession, SETS):
         rows = scratch.put(with_sets(docs, id_col, text_col, shingle), "rows")
     nodes = scratch.put(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "thash", "n", "sketch")]), "nodes")
-    distinct = scratch.put(nodes.groupBy("fp").agg(F.min("node").alias("one")), "distinct")
+    distinct = scratch.put(nodes.groupBy("fp").agg((F.count(F.lit(1)) > 1).alias("several")), "distinct")
     found = scratch.put(met(distinct, 32, meet_all, "u long, v long, member boolean").distinct(), "met")
     links = found.where("not member").select("u", "v")
-    members = found.where("member").select(F.col("u").alias("value"), F.col("v").alias("fp"))
-    texts = docs.select(_text_hash(F.col(text_col)).alias("thash"), F.col(text_col).cast("binary").alias("b"))
+    hubs = scratch.put(_at_hubs(found.where("member").select(F.col("u").alias("value"), F.col("v").alias("fp"))), "hubs")
+
+    far = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("far")
+    ends = links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
+    closest = ends.union(found.where("member is null").select("u", "v")).select("u", "v", far).groupBy("u").agg(F.min(F.struct("far", "v")).alias("x")).select("u", "x.v")
+    several = distinct.where("several").select("fp")
+    asked = ends.select(F.col("u").alias("fp")).union(hubs.select("fp")).union(several).distinct()
+    asked = scratch.put(nodes.join(asked, "fp").select("node", F.col("thash").alias("asked")), "asked")
+    with small_batches(docs.sparkSession, SETS):
+        made = scratch.put(_sets(asked, docs, text_col, shingle), "sets")
+    shared = scratch.put(_open(made, similarity), "shared")
 
-    far = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
-    ends = links.select(F.explode(F.array(F.struct("u", "v", far.alias("far")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), far.alias("far")))).alias("x")).select("x.*")
-    closest = ends.groupBy("u").agg(F.min(F.struct("far", "v")).alias("x")).select("u", "x.v")
-    one = lambda end, x: distinct.select(F.col("fp").alias(end), F.col("one").alias(x))
-    closest = closest.join(one("u", "a"), "u").join(one("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    same = nodes.join(distinct, "fp").where("node <> one").select(F.col("node").alias("u"), F.col("one").alias("v"))
     label = lambda found: nodes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "fp", F.coalesce("component", "node").alias("group"), "n", "sketch")
     grouped = nodes.select("node", "fp", F.col("node").alias("group"), "n", "sketch")
+    still = scratch.put(grouped.join(shared, "node").select("node", "fp"), "open")
+    chosen = scratch.put(still.groupBy("fp").agg(F.min("node").alias("one")), "chosen")
+    one = lambda end, x: chosen.select(F.col("fp").alias(end), F.col("one").alias(x))
+    first = closest.join(one("u", "a"), "u").join(one("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same = still.join(chosen, "fp").where("node <> one").select(F.col("node").alias("u"), F.col("one").alias("v"))
     compared, alike = None, None
-    rounds = (lambda g: _ordered(closest.union(same)), lambda g: _torn(g, links, scratch, similarity), lambda g: _apart(g, members, scratch, similarity))
+    rounds = (lambda g: _ordered(first.union(same)), lambda g: _led(g, hubs, similarity), lambda g: _torn(g, links, scratch, similarity), lambda g: _apart(g, hubs, scratch, similarity))
     for k, pairs_of in enumerate(rounds, 1):  # each leaves the next fewer groups, and so fewer pairs
-        pairs = pairs_of(grouped)
+        pairs = pairs_of(grouped.join(shared, "node"))
         pairs = scratch.put(pairs if compared is None else pairs.join(compared, ["u", "v"], "left_anti"), f"pairs-{k}")
         if k > 1 and pairs.isEmpty():
             continue
-        found = _similar(pairs, nodes, texts, scratch, similarity, shingle, str(k))
+        found = _similar(pairs, made, scratch, similarity, str(k))
         compared, alike = (pairs, found) if compared is None else (compared.union(pairs), alike.union(found))
         # few links need few tasks: of up to SLICE they come out as stars, and no round of many small tables follows
         few = alike.repartition(-(-alike.count() // SLICE) or 1)
         grouped = scratch.put(label(components(thinned(few), scratch)), f"grouped-{k}")
-    scratch.only("rows", *(f"grouped-{k}" for k in (1, 2, 3)))
+    scratch.only("rows", *(f"grouped-{k}" for k in range(1, 5)))
     return rows.select("id", "thash", "node"), grouped.select("node", "group")
 
 

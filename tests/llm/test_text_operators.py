@@ -268,6 +268,76 @@ def test_members_of_a_value_have_a_hub_in_common(spark):
     assert n == sum(map(len, hubs.values())) and n < members.count() / 4
 
 
+def test_listed_pairs_grow_with_a_group_not_with_its_square():
+    """Fingerprints up to three bits from one centre: twice as many list little more than twice the pairs, and few for each; whoever met at a value is listed there."""
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    centre, fps, listed = rng.getrandbits(64), [], {}
+    while len(fps) < 1000:
+        fps = list(dict.fromkeys([*fps, centre ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3])))]))
+    for n in (500, 1000):
+        batch = pa.RecordBatch.from_arrays([pa.array(np.array(fps[:n], np.uint64).view(np.int64))], ["fp"])
+        met = np.concatenate([np.stack([c.to_numpy() for c in b.columns], 1) for b in simhash.emit_variants(iter([batch]), 32)])
+        met = met[np.argsort(met[:, 0].view(np.uint64), kind="stable")]
+        rows = {tuple(r.values()) for b in simhash.meet_all(iter([pa.RecordBatch.from_arrays([pa.array(met[:, 0].copy()), pa.array(met[:, 1].copy())], ["v", "fp"])])) for r in b.to_pylist()}
+        listed[n] = sum(member is False for *_, member in rows)
+    assert listed[1000] <= 2.5 * listed[500] + 1000 and listed[1000] <= 10 * 1000, listed
+    at, of = defaultdict(set), defaultdict(set)
+    for v, f in met.tolist():
+        at[v].add(f)
+    for u, v, member in rows:
+        if member:
+            of[u].add(v)
+    for v, all_there in at.items():
+        if len(all_there) > 2:
+            assert of[v] == all_there
+
+
+def test_a_large_near_group_is_compared_by_few_pairs(spark, monkeypatch):
+    """240 texts around one, changed a little to a lot, all met: the groups of brute force, by a few pairs a text."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    centre, fps, rows = rng.getrandbits(64), set(), []
+    while len(fps) < 240:
+        fps.add(centre ^ sum(1 << b for b in rng.sample(range(24), rng.choice([1, 2, 3]))))
+    for i in range(240):
+        words = list(base)
+        for k in rng.sample(range(200), i % 12 + 1):
+            words[k] = f"other{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    FINGERPRINTS.clear()
+    for (_, t), fp in zip(rows, sorted(fps), strict=True):
+        FINGERPRINTS[simhash._hashes(simhash.words_of(t.encode())).tobytes()] = fp
+    monkeypatch.setattr(simhash, "word_fingerprint", lambda words: FINGERPRINTS[words.tobytes()])
+    compared, similar = [], simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda pairs, *rest: compared.append(pairs.count()) or similar(pairs, *rest))
+    group = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [shingles(t) for _, t in rows]
+    comp = reach(range(240), lambda a, b: alike(sets[a], sets[b]))
+    assert len({comp[i] for i in range(240)}) > 20 and all((group[a] == group[b]) == (comp[a] == comp[b]) for a in range(240) for b in range(a))
+    assert sum(compared) <= 4 * 240
+
+
+def test_texts_left_out_are_like_no_other(spark):
+    """Of texts around one those stay that may be similar to another; what they share is at least what any two share."""
+    rng = random.Random(13)
+    texts = []
+    for i in range(60):
+        words = [f"w{k}" for k in range(100)]
+        for k in rng.sample(range(100), i % 10):
+            words[k] = f"other{rng.randrange(30)}"
+        texts.append(" ".join(words))
+    made = [(i, bytes(simhash.shingle_set(t.encode()).tobytes())) for i, t in enumerate([*texts, ""])]
+    left = {r.node: r.shared for r in simhash._open(spark.createDataFrame(made, "node long, shingles binary"), 0.8).collect()}
+    sets = [shingles(t) for t in texts]
+    for a in range(60):
+        for b in range(a):
+            if alike(sets[a], sets[b]) and sets[a] != sets[b]:
+                assert min(left[a], left[b]) >= len(sets[a] & sets[b])
+    assert 10 < len(left) < 55
+
+
 @pytest.mark.parametrize("letters", ["abcdefghijklmnorst", "абвгдеёжзийклмнопрстуфхцчшщ", "的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年", "अआइईउऊएऐकखगघचछजझटठडढतथदधनपफबभमयरलव", "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"])
 def test_chunks_meet_again_in_every_script(spark, letters):
     """One inserted character changes the chunk it is in, and few after it; chunks put together are the text."""
