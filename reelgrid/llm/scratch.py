@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -70,6 +71,30 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: Bytes of the largest table that is broadcast where tables grow with the input. By Spark's own estimate: the hashed rows take up to four times as many, and the driver holds those of a plan's joins at once.
+BROADCAST_BYTES = 1 << 20
+
+
+def _bytes(size: str) -> int:
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)i?b?", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+@contextlib.contextmanager
+def small_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """What is run inside broadcasts tables of BROADCAST_BYTES at most, so that the driver's memory does not grow with the input."""
+    key, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    sizes = {key: spark.conf.get(key), adaptive: spark.conf.get(adaptive, None)}  # the second counts where it is set
+    before = {k: v for k, v in sizes.items() if v and _bytes(v) > BROADCAST_BYTES}
+    for k in before:
+        spark.conf.set(k, str(BROADCAST_BYTES))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 #: Rows of one block; no block spans two partitions.
 BLOCK_BITS = 16
 

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgrid.llm.components import components
-from reelgrid.llm.scratch import Scratch, small_batches
+from reelgrid.llm.scratch import Scratch, small_batches, small_broadcasts
 
 RADIUS = 3
 SEED = 42
@@ -335,13 +335,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.put(with_fingerprints(docs, lambda t: fingerprint(t, shingle), id_col, text_col), "rows")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))
-    distinct = scratch.put(rows.groupBy("fp").agg(best.alias("best")), "distinct")
-    labels = components(thinned(scratch.put(fingerprint_links(distinct), "links")), scratch)
-    linked = scratch.put(distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "best", F.coalesce("component", "fp").alias("component")), "linked")
-    lows = scratch.put(linked.groupBy("component").agg(F.min("best").alias("best")), "lows")
-    groups = scratch.put(linked.select("fp", "component").join(lows, "component").select("fp", F.col("best.id").alias("low")), "groups")
+    with small_broadcasts(docs.sparkSession):
+        distinct = scratch.put(rows.groupBy("fp").agg(best.alias("best")), "distinct")
+        labels = components(thinned(scratch.put(fingerprint_links(distinct), "links")), scratch)
+        linked = scratch.put(distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "best", F.coalesce("component", "fp").alias("component")), "linked")
+        lows = scratch.put(linked.groupBy("component").agg(F.min("best").alias("best")), "lows")
+        groups = scratch.put(linked.select("fp", "component").join(lows, "component").select("fp", F.col("best.id").alias("low")), "groups")
     scratch.only("rows", "groups")
-    return rows.join(groups, "fp").select(
+    return rows.join(groups.hint("merge"), "fp").select(  # runs later, by the session's own limit of broadcasts
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id"),
     )
 
@@ -536,10 +537,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives no rows; whole texts count; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    rows, groups = near_nodes(docs, scratch, id_col, text_col, similarity, shingle)
-    named = scratch.put(rows.join(groups, "node").select("id", "group"), "named")
-    best = scratch.put(named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("best")), "lows")
-    return named.join(best, "group").select(F.col("id").alias(id_col), F.col("best.id").alias("component_id"))
+    with small_broadcasts(docs.sparkSession):
+        rows, groups = near_nodes(docs, scratch, id_col, text_col, similarity, shingle)
+        named = scratch.put(rows.join(groups, "node").select("id", "group"), "named")
+        best = scratch.put(named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("best")), "lows")
+    return named.join(best.hint("merge"), "group").select(F.col("id").alias(id_col), F.col("best.id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -550,12 +552,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table gives no rows; whole texts count.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    rows, groups = near_nodes(docs, scratch, id_col, text_col, similarity, shingle)
-    best = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "thash")).alias("best"))
-    kept = best.join(groups, "node").groupBy("group").agg(F.min("best").alias("best")).select("best.id", "best.thash")
-    kept = scratch.put(kept, "kept")
+    with small_broadcasts(docs.sparkSession):
+        rows, groups = near_nodes(docs, scratch, id_col, text_col, similarity, shingle)
+        best = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "thash")).alias("best"))
+        kept = best.join(groups, "node").groupBy("group").agg(F.min("best").alias("best")).select("best.id", "best.thash")
+        kept = scratch.put(kept, "kept")
     mine = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), _text_hash(F.col(text_col)).alias("hash"))
-    out = mine.join(kept, F.col("hash").eqNullSafe(F.col("thash")) & mine.id.eqNullSafe(kept.id), "left_semi")
+    out = mine.join(kept.hint("merge"), F.col("hash").eqNullSafe(F.col("thash")) & mine.id.eqNullSafe(kept.id), "left_semi")
     repeated = not rows.groupBy("id", "thash").count().where("count > 1").isEmpty()
     scratch.only("kept")
     if repeated:

@@ -16,7 +16,7 @@ from reelgrid.llm import mixing, simhash
 from reelgrid.llm.components import components
 from reelgrid.llm.exact_dedup import drop_exact_copies, exact_groups
 from reelgrid.llm.packing import encoder, pack, public_vocabulary
-from reelgrid.llm.scratch import Scratch
+from reelgrid.llm.scratch import BROADCAST_BYTES, Scratch, small_broadcasts
 from reelgrid.llm.sharding import shard_rows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -582,3 +582,22 @@ def test_empty_tables_and_clashing_names(spark, operator):
     names = "id uid n h o u v fp key part at shard slot size source_size target plan seed whole kept base recipe text_sha256 rows doc".split()
     clash = docs(spark, [(1, "a b c d", "s"), (2, "a b c d", None)]).select("*", *[F.lit(7).alias(n) for n in names])
     assert operator(clash).count() >= 1
+
+
+def test_near_copies_need_no_large_broadcasts(spark, monkeypatch):
+    """Their tables grow with the documents: the driver holds none of more than a stated size, nor the last one."""
+    key, seen, put = "spark.sql.autoBroadcastJoinThreshold", [], Scratch.put
+    before = spark.conf.get(key)
+    monkeypatch.setattr(Scratch, "put", lambda self, df, name: seen.append(spark.conf.get(key)) or put(self, df, name))
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four five six seven eight "), (F.col("id") % 20).cast("string")).alias("text"))
+    for found in (simhash.drop_near_copies(docs), simhash.near_groups(docs), simhash.simhash_groups(docs)):
+        assert found.count() in (20, 40) and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert str(BROADCAST_BYTES) in seen and spark.conf.get(key) == before
+    try:
+        for size, inside in (("-1", "-1"), ("256k", "256k"), ("2MB", str(BROADCAST_BYTES)), (str(BROADCAST_BYTES), str(BROADCAST_BYTES))):
+            spark.conf.set(key, size)
+            with small_broadcasts(spark):
+                assert spark.conf.get(key) == inside
+            assert spark.conf.get(key) == size
+    finally:
+        spark.conf.set(key, before)
