@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import posixpath
 import tempfile
 import uuid
@@ -86,6 +87,25 @@ def shared_write(path: str, data: bytes) -> None:
     store.move(temp, at)
 
 
+def delete_tree(path: str) -> None:
+    """Deletes a folder, if there is one. On the local file system its entries come as a stream: a list of millions of files would not fit the driver."""
+    from pyarrow import fs
+
+    store, at = shared_store(path)
+    if not isinstance(store, fs.LocalFileSystem):
+        with contextlib.suppress(FileNotFoundError):
+            store.delete_dir(at)
+        return
+    with contextlib.suppress(FileNotFoundError), os.scandir(at) as entries:
+        for e in entries:
+            if e.is_dir(follow_symlinks=False):
+                delete_tree(e.path)
+            else:
+                os.unlink(e.path)
+    with contextlib.suppress(FileNotFoundError):
+        os.rmdir(at)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for what a query writes and reads again: in spark.checkpoint.dir, which driver and executors share; in local mode alone also where that is unset. It goes when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -96,7 +116,9 @@ def work_folder(spark: SparkSession, name: str) -> str:
     path = f"{root.rstrip('/')}/reelgrid-{name}-{uuid.uuid4().hex}"
 
     def end() -> None:
-        with contextlib.suppress(Exception):  # the session may have ended before
+        with contextlib.suppress(Exception):
+            delete_tree(path)
+        with contextlib.suppress(Exception):  # a store that pyarrow does not know; the session may have ended before
             remove(spark, path)
 
     atexit.register(end)

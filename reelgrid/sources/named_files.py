@@ -13,22 +13,26 @@ folders only, never single files.
 
 from __future__ import annotations
 
+import os
 import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
-from reelgrid.sources.files import shared_store
+from reelgrid.sources.files import delete_tree, folders, shared_store
 
 COLUMNS = ("name", "content", "source")
 #: Tasks that write files, for each core.
 WRITERS_PER_CORE = 2
+#: Files, and bytes of their content, that a reading task hands on at once, about.
+FILES_AT_ONCE, CONTENT_AT_ONCE = 1000, 4 << 20
 
 
 @dataclass
@@ -80,11 +84,7 @@ class FileWriter(DataSourceWriter):
         return Written(k + 1 if "k" in locals() else 0)
 
     def _drop(self, path: str) -> None:
-        store, at = shared_store(path)
-        try:
-            store.delete_dir(at)
-        except FileNotFoundError:
-            pass
+        delete_tree(path)
 
     def commit(self, messages: list[Written | None]) -> None:
         if not self.overwrite:
@@ -142,3 +142,71 @@ def delete_files(names: DataFrame, folder: str) -> int:
             yield pd.DataFrame({"n": [found]})
 
     return names.select("name").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _listed(root: str, folder: str, deep: bool) -> Iterator[str]:
+    """Names below root of a folder's files, and with `deep` those of its folders; hidden ones are left out, as Spark does. Local ones come as a stream, other stores list a folder at a time."""
+    from pyarrow import fs
+
+    store, at = shared_store(root)
+    todo = [folder]
+    while todo:
+        here = todo.pop()
+        path = posixpath.join(at, here) if here else at
+        if isinstance(store, fs.LocalFileSystem):
+            with os.scandir(path) as found:
+                entries = ((e.name, e.is_dir()) for e in found)
+                for name, inner in entries:
+                    if not name.startswith((".", "_")):
+                        if not inner:
+                            yield posixpath.join(here, name)
+                        elif deep:
+                            todo.append(posixpath.join(here, name))
+        else:
+            for e in store.get_file_info(fs.FileSelector(path)):
+                if not e.base_name.startswith((".", "_")):
+                    if e.type != fs.FileType.Directory:
+                        yield posixpath.join(here, e.base_name)
+                    elif deep:
+                        todo.append(posixpath.join(here, e.base_name))
+
+
+def read_files(spark: SparkSession, root: str, ending: str = "", loose: bool = False, deep: bool = False) -> DataFrame:
+    """name (the path below root) and content of the files, of that ending, in the folders of root; loose: and those beside them; deep: and in their folders.
+
+    Tasks list the folders, one a folder, and names are dealt to all cores to be read. The
+    driver knows the folders only: Spark's own readers hold every file's path and status there.
+    """
+    roots = [(posixpath.basename(f.rstrip("/")), deep) for f in folders(spark, root)]
+    roots = [(f, d) for f, d in roots if not f.startswith((".", "_"))] + ([("", False)] if loose else [])
+    if not roots:
+        return spark.createDataFrame([], "name string, content binary")
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for folder, deep in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held = []
+                for name in _listed(root, folder, deep):
+                    if name.endswith(ending):
+                        held.append(name)
+                    if len(held) == FILES_AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["name"])
+                        held = []
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["name"])
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = shared_store(root)
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["name", "content"])
+        for b in batches:
+            rows, size = [], 0
+            for name in b.column(0).to_pylist():
+                with store.open_input_stream(posixpath.join(at, name)) as f:
+                    rows.append((name, f.read()))
+                size += len(rows[-1][1])
+                if len(rows) >= FILES_AT_ONCE or size >= CONTENT_AT_ONCE:
+                    yield made(rows)
+                    rows, size = [], 0
+            yield made(rows)
+
+    found = spark.createDataFrame(roots, "folder string, deep boolean").mapInArrow(names, "name string")
+    return spread(found).mapInArrow(contents, "name string, content binary")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from reelgrid import schemas
 from reelgrid.functions import scalars as S
 from reelgrid.operators.catalog import trained_splits
-from reelgrid.sources.files import exists, folders
+from reelgrid.sources.files import exists
+from reelgrid.sources.named_files import read_files
 
 VIDEO_SUFFIXES = ("mp4", "mov", "avi", "mkv")
 
@@ -45,11 +46,9 @@ def _split(ddl: str) -> list[str]:
 
 def read_labels(spark: SparkSession, folder: str) -> DataFrame:
     """One row per labels/<clip>/<frame>.json."""
-    clips = folders(spark, posixpath.join(folder, "labels"))
-    if not clips:
-        return spark.createDataFrame([], schemas.LABELS)
-    # clips are named, not their files: each name would be looked up by a task of its own
-    return spark.read.schema(schemas.LABELS).option("multiLine", True).option("pathGlobFilter", "*.json").json(clips)
+    text = read_files(spark, posixpath.join(folder, "labels"), ".json").select(F.regexp_replace(F.col("content").cast("string"), r"^\x{FEFF}?\s+|^\x{FEFF}", "").alias("text")).where("text <> ''")
+    one, many = F.from_json("text", schemas.LABELS), F.from_json("text", f"array<struct<{_colons(schemas.LABELS)}>>")
+    return text.select(F.explode_outer(F.when(F.startswith("text", F.lit("[")), many).otherwise(F.array(one))).alias("l")).select("l.*")
 
 
 def list_videos(spark: SparkSession, folder: str, clip: str | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from reelgrid.operators import frames as R
 from reelgrid.operators import shots as O
 from reelgrid.plans import game
 from reelgrid.queries import QUERIES
-from reelgrid.sources.named_files import spread, write_files
+from reelgrid.sources.files import delete_tree
+from reelgrid.sources.named_files import read_files, spread, write_files
 from reelgrid.sources.readers import read_export_lines, read_labels
 from tests.test_runs import NBA, clip, lines
 
@@ -124,3 +125,26 @@ def test_export_lines_of_whole_files(spark, tmp_path):
         (tmp_path / f"labels/{name}.txt").write_bytes(text.encode())
     got = sorted(map(tuple, read_export_lines(spark, str(tmp_path)).collect()))
     assert got == [("a", "train", "0 1"), ("c", "val", "1 é"), ("c", "val", "2"), ("d", "val", "3")]
+
+
+def test_the_driver_knows_no_label_file(spark, tmp_path):
+    """Tasks list and read the files, whatever they hold; Spark's readers kept each one's path and status in the driver."""
+    texts = {"a b/1.json": '{"frame_id": "1"}', "a b/2.json": '\ufeff {"frame_id": "2"}', "c%20/3.json": ' [{"frame_id": "3"}, {"frame_id": "4"}]\n', "c%20/empty.json": "", "c%20/blank.json": " \n", "c%20/torn.json": '{"frame_id": ', "c%20/.x.json": "{}", "c%20/y.txt": "{}", ".z/5.json": "{}"}
+    for name, text in texts.items():
+        (tmp_path / "labels" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "labels" / name).write_bytes(text.encode())
+    for folder in (str(tmp_path), f"file://{tmp_path}".replace(" ", "%20")):
+        labels = read_labels(spark, folder)
+        assert not labels.inputFiles()
+        assert sorted(r.frame_id or "" for r in labels.collect()) == ["", "1", "2", "3", "4"]
+
+
+def test_trees_are_deleted_without_links_targets(tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "kept").mkdir()
+    for name in ("a/1", "a/b/2", "kept/3"):
+        (tmp_path / name).write_text("")
+    (tmp_path / "a/link").symlink_to(tmp_path / "kept")
+    delete_tree(f"file://{tmp_path}/a")
+    delete_tree(f"{tmp_path}/a")
+    assert not (tmp_path / "a").exists() and (tmp_path / "kept/3").exists()
