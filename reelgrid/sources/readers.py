@@ -125,9 +125,9 @@ def read_split_listing(spark: SparkSession, export_dir: str) -> DataFrame:
 
 def read_export_lines(spark: SparkSession, export_dir: str) -> DataFrame:
     """frame_id, split and line of an export's label files, a row for each line. Files are taken whole: Spark's line reader sets itself up for each file anew, which is most of its time on one line."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(posixpath.join(export_dir, "labels"))
+    files = read_files(spark, posixpath.join(export_dir, "labels"), loose=True, deep=True).withColumn("path", F.concat(F.lit("labels/"), "name"))
     lines = F.split(F.regexp_replace(F.decode("content", "UTF-8"), r"\r?\n\z", ""), r"\r?\n")
-    return files.where("length > 0").select(F.regexp_extract("path", r"([^/]*)\.txt$", 1).alias("frame_id"), F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("split"), F.explode(lines).alias("line"))
+    return files.where(F.octet_length("content") > 0).select(F.regexp_extract("path", r"([^/]*)\.txt$", 1).alias("frame_id"), F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("split"), F.explode(lines).alias("line"))
 
 
 def read_trained_frames(spark: SparkSession, weights: str) -> DataFrame:

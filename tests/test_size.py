@@ -139,6 +139,16 @@ def test_the_driver_knows_no_label_file(spark, tmp_path):
         assert sorted(r.frame_id or "" for r in labels.collect()) == ["", "1", "2", "3", "4"]
 
 
+def test_the_driver_knows_no_export_file(spark, tmp_path):
+    for name in ("train/a.txt", "val/b.txt", "val/deep/c.txt", "d.txt", "train/.hidden.txt"):
+        (tmp_path / "labels" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "labels" / name).write_text(f"{name}\n")
+    found = read_export_lines(spark, str(tmp_path))
+    assert not found.inputFiles()
+    assert sorted(map(tuple, found.collect())) == [("a", "train", "train/a.txt"), ("b", "val", "val/b.txt"), ("c", "deep", "val/deep/c.txt"), ("d", "labels", "d.txt")]
+    assert read_files(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_trees_are_deleted_without_links_targets(tmp_path):
     (tmp_path / "a/b").mkdir(parents=True)
     (tmp_path / "kept").mkdir()
