@@ -113,9 +113,14 @@ def correlation(a: Column, b: Column) -> Column:
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     cross = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     squares = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x * x)
-    top = cross - total(a) * total(b) / n
-    low = (squares(a) - total(a) * total(a) / n) * (squares(b) - total(b) * total(b) / n)
-    return F.when(F.abs(low) > 2.220446049250313e-16, top / F.sqrt(low)).when(low.isNotNull(), F.lit(1.0))
+    sums = F.struct(n.alias("n"), cross.alias("ab"), total(a).alias("a"), total(b).alias("b"), squares(a).alias("aa"), squares(b).alias("bb"))
+
+    def of(t: Column) -> Column:
+        low = (t["aa"] - t["a"] * t["a"] / t["n"]) * (t["bb"] - t["b"] * t["b"] / t["n"])
+        return F.when(F.abs(low) > 2.220446049250313e-16, (t["ab"] - t["a"] * t["b"] / t["n"]) / F.sqrt(low)).when(low.isNotNull(), F.lit(1.0))
+
+    # named by a lambda: Spark would go over the bins again wherever a sum is used
+    return F.get(F.transform(F.array(sums), of), 0)
 
 
 def scene_cuts(frames: DataFrame, threshold: float = SCENE_THRESHOLD, run: str = "run_id", order: str = "frame_index", hist: str = "hist", block: int | None = None) -> DataFrame:

@@ -300,14 +300,14 @@ COLUMNS = ("run_id", "shot_id", "frame_index", "det_no", "x1", "y1", "x2", "y2",
 TRACKED = "run_id string, shot_id int, frame_index long, det_no int, track_id long"
 
 
-def track(detections: DataFrame, frame_rate: float, carry: tuple[int, str] | None = None, states: bool = False) -> DataFrame:
+def track(detections: DataFrame, frame_rate: float, carry: tuple[int, str] | None = None, states: bool = False, state_of: int | None = None) -> DataFrame:
     """(run_id, shot_id, frame_index, det_no, x1, y1, x2, y2, conf; one row of null det_no for a frame without any) -> tracked rows with track_id.
 
     Shots are dealt to tasks and streamed in frame order: a task holds one Arrow batch, the
     frame at its edge and the tracks in sight, however long a shot is. A shot whose earlier
     frames were tracked before goes on from carry, its shot_id and the tracker's state; with
     `states` a row of null det_no and track_id follows each shot's last frame, whose `state` is
-    that of its tracker then.
+    that of its tracker then; with `state_of` after that shot alone.
     """
     rate = float(max(1, round(frame_rate)))
     types = pa.schema([("run_id", pa.string()), ("shot_id", pa.int32()), ("frame_index", pa.int64()), ("det_no", pa.int32()), ("track_id", pa.int64())] + [("state", pa.string())] * states)
@@ -316,7 +316,7 @@ def track(detections: DataFrame, frame_rate: float, carry: tuple[int, str] | Non
         shot, tracker, last = None, Tracker(rate), None
 
         def ended() -> Iterator[pa.RecordBatch]:
-            if states and shot is not None:
+            if states and shot is not None and state_of in (None, shot[1]):
                 yield pa.RecordBatch.from_pylist([{"run_id": shot[0], "shot_id": shot[1], "frame_index": last, "state": tracker.dump()}], types)
 
         def done(rows: pa.Table, keys: list[tuple]) -> Iterator[pa.RecordBatch]:

@@ -277,7 +277,7 @@ def run_game(
             after, aborted = O.carried(done, carry, config.segment_frames)
             seen = (after.segment - carry.segment) * config.segment_frames + after.filled - carry.filled
             if seen:
-                tracked = track(player_boxes(done), config.target_fps, (carry.shot, carry.tracker) if carry.tracker else None, states=True)
+                tracked = track(player_boxes(done), config.target_fps, (carry.shot, carry.tracker) if carry.tracker else None, states=True, state_of=after.shot)
                 tracked.write.mode("overwrite").parquet(at("tracked"))
                 tracked = spark.read.schema(tracked.schema).parquet(at("tracked"))
                 state = tracked.where(F.col("state").isNotNull() & (F.col("shot_id") == after.shot)).select("state").first()

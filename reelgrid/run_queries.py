@@ -27,7 +27,11 @@ LIMIT, SEGMENT = 3, 5000
 
 def _hist(kind: Column) -> Column:
     """A histogram of its own for each type of event, so that another type is a cut."""
-    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i == F.array_position(F.array(*map(F.lit, KINDS)), kind), 1.0).otherwise(0.0))
+    only = lambda n: F.lit([float(i == n) for i in range(64)])
+    out = F.when(kind.isNull(), only(-1))
+    for n, k in enumerate(KINDS, 1):
+        out = out.when(kind == k, only(n))
+    return out.otherwise(only(0))
 
 
 def frames_of_events(spark: SparkSession, sf_dir: str, run: Column) -> DataFrame:

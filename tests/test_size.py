@@ -158,3 +158,24 @@ def test_trees_are_deleted_without_links_targets(tmp_path):
     delete_tree(f"file://{tmp_path}/a")
     delete_tree(f"{tmp_path}/a")
     assert not (tmp_path / "a").exists() and (tmp_path / "kept/3").exists()
+
+
+def test_a_frame_of_a_run_costs_no_work_twice(spark):
+    """Sums over a histogram's bins are made once, and of a part's shots only the open one's tracker is written down."""
+    from reelgrid.operators.tracking import track
+    from reelgrid.run_queries import KINDS, _hist
+
+    pairs = [([0.1, 0.2, 0.7], [0.3, 0.3, 0.4]), ([0.5, 0.5, 0.5], [0.1, 0.2, 0.3]), (None, [1.0, 0.0, 0.0]), ([0.0, 1.0, 0.0], [0.0, 1.0, 0.0])]
+    found = spark.createDataFrame(pairs, "a array<double>, b array<double>").select(O.correlation(F.col("a"), F.col("b")).alias("r"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 5
+    got = [r.r for r in found.collect()]
+    assert np.allclose([got[0], got[1], got[3]], [np.corrcoef(*pairs[0])[0, 1], 1.0, 1.0]) and got[2] is None
+
+    boxes = [("r", shot, 10 * shot + k, 0, 10.0, 10.0, 40.0, 80.0, 0.9) for shot in range(4) for k in range(3)]
+    rows = spark.createDataFrame(boxes, "run_id string, shot_id int, frame_index long, det_no int, x1 double, y1 double, x2 double, y2 double, conf double")
+    every, last = (track(rows, 5.0, states=True, **of).orderBy("frame_index", "state") for of in ({}, {"state_of": 3}))
+    assert [r.shot_id for r in last.where("state is not null").collect()] == [3]
+    assert last.collect() == every.where("state is null or shot_id = 3").collect()
+
+    kinds = spark.createDataFrame([(k,) for k in (*KINDS, "other", None)], "k string").select(_hist(F.col("k")).alias("h"))
+    assert [np.flatnonzero(r.h).tolist() for r in kinds.collect()] == [[1], [2], [3], [4], [5], [0], []]
