@@ -179,3 +179,14 @@ def test_a_frame_of_a_run_costs_no_work_twice(spark):
 
     kinds = spark.createDataFrame([(k,) for k in (*KINDS, "other", None)], "k string").select(_hist(F.col("k")).alias("h"))
     assert [np.flatnonzero(r.h).tolist() for r in kinds.collect()] == [[1], [2], [3], [4], [5], [0], []]
+
+
+def test_windows_are_counted_before_they_leave_the_worker(spark):
+    """The same counts as over the drawn frames, and no function of arrays is left to run on each window."""
+    clips = spark.createDataFrame([("a", 30.0, 2.0, 1_000_001), ("b", 30.0, 2.0, 59), ("b", 30.0, 2.0, 130), ("c", 30.0, 2.0, 0), ("d", 10.0, 0.1, 9), ("e", 7.0, 1.0, None)], "clip_id string, fps double, interval_s double, frame_count long")
+    found = R.window_counts(clips)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    sizes = {"a": (60, 1_000_001), "b": (60, 130), "d": (1, 9)}
+    want = sorted((c, w, 1) for c, (step, n) in sizes.items() for w in range(n // step))
+    assert sorted(map(tuple, found.collect())) == want
+    assert QUERIES["window_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("lambda") == 0
